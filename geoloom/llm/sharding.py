@@ -93,17 +93,18 @@ def minimax_cuts(sums: DataFrame, shards: int, *, resolution: int = RESOLUTION)
     while True:
         length = sum(b - a for a, b in stretches)
         width = max(1, -(-length // resolution))
-        wanted = F.lit(False)
+        which, k = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for n, (a, b) in enumerate(stretches):
+            here = (F.col("upto") > a) & (F.col("upto") <= b)
+            which, k = F.when(here, n).otherwise(which), F.when(here, F.floor((F.col("upto") - a - 1) / width).cast("long")).otherwise(k)
+        found = sums.select(which.alias("s"), k.alias("k"), "upto").where("s is not null").groupBy("s", "k").agg(F.min("upto").alias("lo"), F.max("upto").alias("hi"), F.count("*").alias("n")).collect()
         for a, b in stretches:
-            wanted = wanted | ((F.col("upto") > a) & (F.col("upto") <= b))
-        found = sums.where(wanted).groupBy(F.floor((F.col("upto") - 1) / width).cast("long").alias("k")).agg(F.min("upto").alias("lo"), F.max("upto").alias("hi"), F.count("*").alias("n"), F.min(F.col("upto") - F.col("size")).alias("start")).collect()
+            if b + 1 in known:
+                known[b + 1] = True  # what ends before it is listed now
         for r in found:
-            # a stretch's interval: its first group ends at lo and its last at hi
             known[int(r["lo"])] = True  # nothing ends between the interval before and its first group
             if r["n"] > 1:
                 known[int(r["hi"])] = r["n"] == 2
-        for a, _ in stretches:
-            known.setdefault(a, False)
         ends = sorted(k for k in known if k > 0)
         reach = Reach(ends, [known[k] for k in ends])
         high = least(low, high, lambda c: reach.fits(c, shards, False))
@@ -118,7 +119,7 @@ def minimax_cuts(sums: DataFrame, shards: int, *, resolution: int = RESOLUTION)
                     open_ends.append((ends[k - 1] if k else 0, ends[k] - 1))
             at_low, at_high = first[0], last[1]
         stretches = [s for s in sorted(set(open_ends)) if s[1] > s[0]]
-        if low == high and not stretches or not stretches:
+        if not stretches:
             break
     cuts, at = [], 0
     while at < total:
