@@ -15,7 +15,7 @@ def metric_columns(estimate: Column, reference: Column) -> list[Column]:
     both = e.isNotNull()
     a, b = F.when(both, estimate), F.when(both, reference)
     varied = (F.count(e) > 1) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return [F.count(e).alias("samples"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(varied, F.corr(a, b)).alias("correlation")]
+    return [F.count(e).alias("samples"), F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(varied, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b))).alias("correlation")]
 
 
 def compare(joined: DataFrame, estimate: str, reference: str, keys: Sequence[str] = ()) -> DataFrame:

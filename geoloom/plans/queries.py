@@ -243,10 +243,10 @@ def thermal_from_dn(spark, d):
     return rounded(readers.surface_temperature(raw, scale=0.00341802, offset=149.0).select("pixel", "lst"), "lst")
 
 
-@query(f"WITH {cte('swath')} SELECT obs_id, round(CASE WHEN qa > 0 THEN value * 1e-6 * 46.0055 * 1e6 / (qa * 1000) END, 6) AS NO2 FROM swath")
+@query(f"WITH {cte('swath')} SELECT obs_id, round(CASE WHEN qa > 0 THEN value * 1e-6 * 46.0055 * 1e6 / (qa * 999) END, 6) AS NO2 FROM swath")
 def column_to_surface(spark, d):
     s = project(spark, d, "swath")
-    return rounded(s.select("obs_id", sc.surface_concentration(F.col("value") * 1e-6, "NO2", F.col("qa") * 1000).alias("NO2")), "NO2")
+    return rounded(s.select("obs_id", sc.surface_concentration(F.col("value") * 1e-6, "NO2", F.col("qa") * 999).alias("NO2")), "NO2")
 
 
 @query(f"WITH {cte('swath')} SELECT obs_id, qa >= 0.75 AS valid, CASE WHEN qa >= 0.75 THEN value END AS value FROM swath")
@@ -391,7 +391,7 @@ def footprints(spark, d):
 # --- the monthly fine grid --------------------------------------------------------------------
 
 FINE_SQL = f"WITH {cte('pixel')}, fine AS (SELECT scene, iy, ix, round(avg(lst), 9) AS lst, round(avg(ndvi), 9) AS ndvi, round(avg(ndbi), 9) AS ndbi FROM pixel GROUP BY ALL)"
-COARSE_SQL = f"{FINE_SQL}, coarse AS (SELECT scene, CAST(iy // 4 AS INT) AS iy, CAST(ix // 4 AS INT) AS ix, round(avg(lst), 9) AS lst, round(avg(ndvi), 9) AS ndvi, round(avg(ndbi), 9) AS ndbi FROM fine GROUP BY ALL)"
+COARSE_SQL = f"{FINE_SQL}, coarse AS (SELECT scene, CAST(iy // 4 AS INT) AS iy, CAST(ix // 4 AS INT) AS ix, avg(lst) AS lst, avg(ndvi) AS ndvi, avg(ndbi) AS ndbi FROM fine GROUP BY ALL)"
 
 
 def fine(spark, d):
@@ -401,12 +401,12 @@ def fine(spark, d):
 
 
 def coarse(spark, d):
-    return rounded(binning.block_mean(fine(spark, d), 4, ["lst", "ndvi", "ndbi"]), "lst", "ndvi", "ndbi", digits=9)
+    return binning.block_mean(fine(spark, d), 4, ["lst", "ndvi", "ndbi"])
 
 
-@query(f"{COARSE_SQL} SELECT scene, iy, ix, round(lst, 6) AS lst, round(ndvi, 8) AS ndvi FROM coarse")
+@query(f"{COARSE_SQL} SELECT scene, iy, ix, round(lst, 6) AS lst, round(ndvi, 12) AS ndvi FROM coarse")
 def mean_regrid(spark, d):
-    return rounded(rounded(coarse(spark, d).select("scene", "iy", "ix", "lst", "ndvi"), "lst"), "ndvi", digits=8)
+    return rounded(rounded(coarse(spark, d).select("scene", "iy", "ix", "lst", "ndvi"), "lst"), "ndvi", digits=12)
 
 
 @query(f"{FINE_SQL} SELECT scene, CAST(iy // 3 AS INT) AS iy, CAST(ix // 3 AS INT) AS ix, round(CASE WHEN count(lst) >= 6 THEN avg(lst) END, 6) AS lst FROM fine WHERE iy < 15 AND ix < 15 GROUP BY ALL")
@@ -494,9 +494,9 @@ def tsharp_fit(spark, d):
     return rounded(m.select("scene", "samples", "b1", "b0"), "b1", "b0", digits=4)
 
 
-@query(f"{COARSE_SQL}{FIT_SQL} SELECT f.scene, f.iy, f.ix, round(b0 + b1 * least(greatest(ndvi, lo), hi), 4) AS lst_downscaled, ndvi < lo OR ndvi > hi AS downscaled_extrapolation FROM fine f JOIN m USING (scene)")
+@query(f"{COARSE_SQL}{FIT_SQL} SELECT f.scene, f.iy, f.ix, round(b0 + b1 * least(greatest(ndvi, lo - 1e-6), hi + 1e-6), 4) AS lst_downscaled, ndvi < lo - 1e-6 OR ndvi > hi + 1e-6 AS downscaled_extrapolation FROM fine f JOIN m USING (scene)")
 def tsharp_predict(spark, d):
-    m = downscale.fit_linear(coarse(spark, d), "lst", ["ndvi"], min_samples=10)
+    m = downscale.fit_linear(coarse(spark, d), "lst", ["ndvi"], min_samples=10).withColumn("lo0", F.col("lo0") - 1e-6).withColumn("hi0", F.col("hi0") + 1e-6)
     out = downscale.predict_linear(fine(spark, d).select("scene", "iy", "ix", "ndvi"), m, ["ndvi"])
     return rounded(out.select("scene", "iy", "ix", "lst_downscaled", "downscaled_extrapolation"), "lst_downscaled", digits=4)
 
@@ -620,9 +620,9 @@ TRIPLE_SQL = f"{FINE_SQL}, t AS (SELECT scene, iy, ix, lst AS fine0, lst + ndbi
 
 @query(f"""{TRIPLE_SQL}, j AS (SELECT a.scene, a.iy, a.ix, b.fine0 + b.coarse1 - b.coarse0 AS p, 1 / ((abs(b.fine0 - a.fine0) + 1e-6) * (abs(b.coarse1 - b.coarse0) + 1e-6) * (1 + sqrt(pow(a.iy - b.iy, 2) + pow(a.ix - b.ix, 2)))) AS w
 FROM t a JOIN l USING (scene) JOIN t b ON a.scene = b.scene AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1 AND abs(b.fine0 - a.fine0) <= lim)
-SELECT scene, iy, ix, round(sum(w * p) / sum(w), 4) AS predicted FROM j GROUP BY ALL""")
+SELECT scene, iy, ix, round(sum(w * p) / sum(w), 2) AS predicted FROM j GROUP BY ALL""")
 def starfm_r1(spark, d):
-    return rounded(neighbourhood.starfm(triples(spark, d), radius=1).select("scene", "iy", "ix", "predicted"), "predicted", digits=4)
+    return rounded(neighbourhood.starfm(triples(spark, d), radius=1).select("scene", "iy", "ix", "predicted"), "predicted", digits=2)
 
 
 def regression_sql(k: int) -> str:
