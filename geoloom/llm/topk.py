@@ -12,7 +12,7 @@ worst case; pruning only lowers it.
 
 Vectors that are null or hold a null or non-finite component take no part, nor
 do rows with a null id. Vectors of different lengths are never compared. A row
-is no candidate for queries with its own id. Rows that repeat an id are separate
+is no candidate for queries with its own id. Scores are 64-bit integers. Rows that repeat an id are separate
 candidates (ties between them by place). With fewer than k candidates all are
 returned; without candidates a query has no row. An empty table gives no rows.
 """
