@@ -18,7 +18,6 @@ replaced by the result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -176,11 +175,11 @@ class PieceModel:
         text = piece.decode("utf-8", "replace")
         return "▁" in text.lstrip("▁")
 
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
+    def encode_segments(self, segments: list[str]) -> list[bytes]:
         """Ids of segments that start with a blank (the library's own prefix) or another space."""
         ids = self.library.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         # after its blank an empty rest means a lone space mark, which the library drops for ''
-        return [[self.lone_space] if s == " " else i if s[0] == " " else i[1:] for s, i in zip(segments, ids, strict=True)]
+        return [seg.packed([self.lone_space] if s == " " else i if s[0] == " " else i[1:]) for s, i in zip(segments, ids, strict=True)]
 
     def one(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids and spans of one text through the character map."""
@@ -218,13 +217,12 @@ class PieceModel:
         offsets, flat = seg.cut(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())), " \\n")
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
-        pieces = self.cached(coded.dictionary.to_pylist())
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids = np.fromiter(chain.from_iterable(pieces), np.int32, int(counts.sum()))
-        first = np.concatenate([[0], np.cumsum(counts)])
+        distinct = coded.dictionary.to_pylist()
+        first, ids = seg.unpacked(self.cached(distinct))
+        counts = np.diff(first)
         # spans within the distinct segments, all of them laid end to end
         size = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw = np.frombuffer("".join(coded.dictionary.to_pylist()).encode(), np.uint8)
+        raw = np.frombuffer("".join(distinct).encode(), np.uint8)
         reach = np.cumsum(np.where(raw == 32, len(SPACE), 1))
         ends = np.searchsorted(reach, np.cumsum(self.width[ids]), side="right")
         begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
@@ -287,6 +285,7 @@ def encode_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
+        seg.take_over("pieces")
         for batch in seg.byte_balanced(batches, text_col, batch_bytes):
             texts = seg.large_text(batch.column(text_col))
             offsets, *lists = m.encode(texts)

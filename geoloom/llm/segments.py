@@ -11,6 +11,7 @@ library whole.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,20 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a batch closes when it reaches this.
 BATCH_BYTES = 8 << 20
 #: Segments kept from earlier batches in one Python worker.
-CACHE_SEGMENTS = 600_000
+CACHE_SEGMENTS = 500_000
 #: Marks a cut; a text that holds it is encoded whole.
 MARK = "\x1f"
 
 
 def large_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """The column as one string array without nulls (null: empty)."""
+    """The column as one string array without nulls (null: empty) and without an offset.
+
+    The copy matters: some kernels of this Arrow version misread slices.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    return texts.take(pa.array(np.arange(len(texts))))
 
 
 def byte_balanced(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -100,20 +105,48 @@ def segment_sums(per_segment: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+_CACHES: list[SegmentCache] = []
+_OWNER: list[str] = []
+
+
+def take_over(owner: str) -> None:
+    """Forget what other operators have cached in this worker."""
+    if _OWNER != [owner]:
+        _OWNER[:] = [owner]
+        for cache in _CACHES:
+            cache.young, cache.old = {}, {}
+
+
 class SegmentCache:
-    """Results by segment, forgotten all at once when the bound is reached."""
+    """Results by segment in two generations: when the young one is full it becomes the old one."""
 
     def __init__(self, encode, bound: int = CACHE_SEGMENTS):
-        self.encode, self.bound, self.known = encode, bound, {}
+        self.encode, self.bound = encode, bound // 2
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+        _CACHES.append(self)
 
     def __call__(self, segments: list[str]) -> list:
-        known = self.known
-        new = [s for s in segments if s not in known]
-        if new:
-            if len(known) + len(new) > self.bound:
-                known.clear()
-                new = segments
-            for start in range(0, len(new), 20_000):
-                part = new[start : start + 20_000]
-                known.update(zip(part, self.encode(part), strict=True))
-        return [known[s] for s in segments]
+        young, old = self.young, self.old
+        if len(young) + len(segments) > self.bound:
+            old, young = young, {}
+            self.young, self.old = young, old
+        missing = [s for s in segments if s not in young]
+        new = [s for s in missing if s not in old]
+        if len(new) < len(missing):
+            young.update((s, old[s]) for s in missing if s in old)
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            young.update(zip(part, self.encode(part), strict=True))
+        return [young[s] for s in segments]
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers, the form in which caches keep them."""
+    return array("i", ids).tobytes()
+
+
+def unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and ids of packed lists laid end to end."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+    return np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(parts), np.int32)

@@ -23,6 +23,7 @@ manifest without files and reads back as no rows.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,11 +80,27 @@ def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
     return None if flags & NULL_ID else doc_id, np.frombuffer(payload[9:], "<u4" if flags & WIDE else "<u2")
 
 
+#: Letters whose folding and composed form are the same everywhere, and punctuation that forms one run.
+PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Steps before the merges for which a plain word is one unit of the model. Fixed values.
+PLAIN_STEPS = ({"NFC", "Replace", "Lowercase"}, {"Split", "ByteLevel"})
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character for each byte in byte-level vocabularies (a public convention)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in shown}
+    return out | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in out)}
+
+
 class WordEncoder:
     """Ids of Arrow strings with a tokenizer that drops white space.
 
     Where the splitting pattern matches no white space, ids of a text are those of
-    its words one after the other; other tokenizers get whole texts.
+    its words one after the other; other tokenizers get whole texts. A word of
+    plain letters, and the punctuation after it, are units of the library's model
+    by themselves, so they go to it directly; all other words go through the
+    library's whole chain.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -96,22 +114,57 @@ class WordEncoder:
         self.tokenizer.no_padding()
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.by_word = ids(" \n \n") == [] and ids("a b\nc") == ids("a") + ids("b") + ids("c")
-        self.cached = seg.SegmentCache(self.ids)
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        config = json.loads(self.tokenizer.to_str())
+        steps = [{x["type"] for x in (config[k] or {}).get("normalizers" if k == "normalizer" else "pretokenizers", [])} for k in ("normalizer", "pre_tokenizer")]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs: dict[str, bytes] = {}  # punctuation after words
+        tried = ["word", "Straße", "ÉTÉ", "it,", "end.***", "ñandú|"]
+        self.cached = seg.SegmentCache(self.encode_words)
+        self.direct = tuple(steps) == PLAIN_STEPS and self.by_word and all(self.plain(w) == seg.packed(ids(w)) for w in tried)
+
+    def unit(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text if text.isascii() else "".join(self.letters[b] for b in text.encode()))]
+
+    def plain(self, word: str) -> bytes | None:
+        """Packed ids of a plain word, or None if it isn't one."""
+        found = PLAIN_WORD.fullmatch(word)
+        if not found:
+            return None
+        stem, run = found[1].lower(), found[2]
+        if not run:
+            return seg.packed(self.unit(stem))
+        ids = self.cached.young.get(stem) or self.cached.old.get(stem) or seg.packed(self.unit(stem))
+        after = self.runs.get(run)
+        if after is None:
+            after = seg.packed(self.unit(run))
+            if len(self.runs) < 10_000:
+                self.runs[run] = after
+        return ids + after
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        out = [self.plain(w) for w in words] if self.direct else [None] * len(words)
+        rest = [k for k, x in enumerate(out) if x is None or any(s in words[k] for s in self.specials)]
+        for start in range(0, len(rest), 5_000):
+            part = rest[start : start + 5_000]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = seg.packed(e.ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids."""
+        if self.direct:  # the library folds these letters anyway; fewer distinct words
+            folded = pc.ascii_lower(texts)
+            if not any(pc.any(pc.match_substring(folded, s)).as_py() for s in self.specials):
+                texts = folded
         if self.by_word:
             offsets, flat = seg.words(texts)
         else:
             offsets, flat = np.arange(len(texts) + 1), texts
         coded = flat.dictionary_encode()
-        known = self.cached(coded.dictionary.to_pylist())
-        counts = np.fromiter(map(len, known), np.int64, len(known))
-        ids = np.fromiter((x for k in known for x in k), np.int64, int(counts.sum()))
-        lengths, values = seg.ragged_take(np.concatenate([[0], np.cumsum(counts)]), ids, coded.indices.to_numpy().astype(np.int64))
+        first, ids = seg.unpacked(self.cached(coded.dictionary.to_pylist()))
+        lengths, values = seg.ragged_take(first, ids, coded.indices.to_numpy().astype(np.int64))
         return np.concatenate([[0], np.cumsum(seg.segment_sums(lengths, offsets))]).astype(np.int64), values
 
 
@@ -145,6 +198,7 @@ class TokenWriter(DataSourceArrowWriter):
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         encode, end = encoder(self.tokenizer).encode, np.array(self.end, np.int64)
+        seg.take_over("token_ids")
         at = total = 0
         entries: list[tuple[int, int, int]] = []
         fs.create_dir(root, recursive=True)
