@@ -140,5 +140,50 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
 
 
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP9_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '{WORDS}') AS w FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, w, CASE
+    WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN ['short:' || array_to_string(w, ' ')] ELSE ['raw:' || text] END AS g,
+    CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE 'raw:' || text END AS whole FROM d
+), s AS (SELECT doc_id, unnest(g) AS gram FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b WHERE c >= 0.8 * (len(x.g) + len(y.g) - c) - 1e-9),
+r AS (SELECT doc_id AS node, doc_id AS root FROM g UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+k AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT g.doc_id, k.class_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(count(*) OVER (PARTITION BY whole) AS BIGINT) AS n_copies
+FROM g JOIN k ON k.node = g.doc_id LEFT JOIN n ON n.a = g.doc_id
+"""
+
+
+def op10_sql() -> str:
+    """Base places by position, and containment of every block in every template."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    starts = []
+    for phrase, label in licences.PHRASES.items():
+        parts = phrase.split(" ")
+        same = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
+        starts.append(f"SELECT doc_id, '{label}' AS label, i FROM d, unnest(range(0, greatest(len(w) - {len(parts) - 1}, 0))) u(i) WHERE {same}")
+    listed = ", ".join(f"('{label}', {licences.template_words(t)})" for label, t in licences.TEMPLATES.items())
+    half = max(len(licences.WORD_RE.findall(t.lower())) for t in licences.TEMPLATES.values())
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORDS}') AS w FROM documents),
+b AS ({" UNION ALL ".join(starts)}),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+t AS (SELECT * FROM (VALUES {listed}) v(label, words)),
+blocks AS (SELECT doc_id, w[o + 1:o + {2 * half}] AS block FROM d, unnest(range(0, greatest(len(w) - {half} - 1, 0) + 1, {half})) u(o)),
+m AS (SELECT doc_id, label, max(len(list_intersect(words, block)) / CAST(len(words) AS DOUBLE)) AS c FROM blocks, t GROUP BY doc_id, label HAVING max(len(list_intersect(words, block)) / CAST(len(words) AS DOUBLE)) >= 0.8 - 1e-9),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS c FROM (SELECT doc_id, label, 1.0 AS c FROM b UNION ALL SELECT doc_id, label, c FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(c, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op3_warc": OP3_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op3_warc": OP3_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_licences": op10_sql()}
