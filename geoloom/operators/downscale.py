@@ -218,3 +218,13 @@ def weighted_ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float = 1
     xc, yc = x - mx, y - my
     b = np.linalg.solve((xc * w[:, None]).T @ xc + alpha * np.eye(x.shape[1]), (xc * w[:, None]).T @ yc)
     return np.concatenate([[my - b @ mx], b])
+
+
+def fit_estimator(training: DataFrame, target: str, predictors: Sequence[str], estimator):
+    """(fitted Spark ML pipeline, residual deviation with ddof 1) of any regressor with `featuresCol` features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = usable(training, [target, *predictors])
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(predictors), outputCol="features"), estimator.setLabelCol(target)]).fit(rows)
+    return fitted, fitted.transform(rows).agg(F.stddev_samp(F.col(target) - F.col("prediction"))).first()[0]

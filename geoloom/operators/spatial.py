@@ -220,3 +220,12 @@ def nearest_sites(cells: DataFrame, sites: DataFrame, x: str, y: str, k: int, *,
 def cells_table(spark: SparkSession, height: int, width: int) -> DataFrame:
     return spark.range(height * width).select(F.expr(f"cast(id div {width} as int)").alias("iy"), (F.col("id") % width).cast("int").alias("ix"))
 
+
+
+def resampling_for(name: str, dtype: str, source_step: float, target_step: float, explicit: dict[str, str] | None = None) -> str:
+    """`nearest` or `mean` for a variable: what is asked for, nearest for masks and flags, mean if the source is finer."""
+    if explicit and name in explicit:
+        return explicit[name]
+    if dtype == "boolean" or name.endswith("mask") or name.endswith("flags"):
+        return "nearest"
+    return "mean" if source_step < target_step else "nearest"

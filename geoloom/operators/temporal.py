@@ -97,6 +97,16 @@ def mosaic(tiles: DataFrame, values: Sequence[str], *, rank: str, group: str = "
     return tiles.groupBy(F.col(group).alias("scene"), "iy", "ix").agg(*aggs)
 
 
+def fullest_tile(tiles: DataFrame, value: str, *, tile: str, group: str = "pass_time") -> DataFrame:
+    """Of tiles of a group that lie on different grids, the one with most valid cells; the first tile on ties.
+
+    Cells are counted before anything is compared, so a group costs a row a tile.
+    """
+    counts = tiles.groupBy(group, tile).agg(F.count(value).alias("_n"))
+    best = counts.groupBy(group).agg(F.max_by(F.col(tile), F.struct(F.col("_n"), -F.col(tile))).alias(tile))
+    return tiles.join(best, [group, tile], "left_semi")
+
+
 def union_scenes(cubes: Sequence[DataFrame]) -> DataFrame:
     """Scenes of several cubes one after the other, by column name; columns a cube lacks are NULL."""
     out = cubes[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,3 +82,38 @@ def conformal_quantile(scores: DataFrame, score: str, *, alpha: float = 0.1, buc
                 break
             wanted -= c["n"]
     return scores.sparkSession.createDataFrame([(float(lo), n, q)], "quantile double, samples long, level double")
+
+
+@dataclass(frozen=True)
+class Conformal:
+    """A calibrated half-width, in units of the spread if there is one."""
+
+    quantile: float
+    samples: int
+    alpha: float
+    spread_floor: float | None = None
+
+
+def fit_conformal(calibration: DataFrame, estimate: str, reference: str, *, spread: str | None = None, alpha: float = 0.1, min_samples: int = 30) -> Conformal:
+    """Split-conformal calibration on rows that the model was not trained on.
+
+    With `spread`, scores are errors over the spread, held to at least its 5th percentile.
+    """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha lies between 0 and 1")
+    floor = None
+    score = F.abs(F.col(estimate) - F.col(reference))
+    if spread:
+        floor = max(calibration.agg(F.percentile(spread, F.lit(0.05))).first()[0] or 0.0, 1e-6)
+        score = score / F.greatest(F.col(spread), F.lit(floor))
+    found = conformal_quantile(calibration.select(score.alias("s")), "s", alpha=alpha).first()
+    if found["samples"] < min_samples:
+        raise ValueError(f"{found['samples']} calibration samples; {min_samples} are needed")
+    return Conformal(found["quantile"], found["samples"], alpha, floor)
+
+
+def conformal_interval(predicted: DataFrame, model: Conformal, estimate: str, *, spread: str | None = None) -> DataFrame:
+    """Adds <estimate>_lower, _upper and _uncertainty (the half-width)."""
+    half = F.lit(model.quantile) if model.spread_floor is None else F.lit(model.quantile) * F.greatest(F.col(spread), F.lit(model.spread_floor))
+    half = F.when(F.col(estimate).isNotNull(), half)
+    return predicted.withColumns({f"{estimate}_uncertainty": half, f"{estimate}_lower": F.col(estimate) - half, f"{estimate}_upper": F.col(estimate) + half})

@@ -404,9 +404,9 @@ def coarse(spark, d):
     return binning.block_mean(fine(spark, d), 4, ["lst", "ndvi", "ndbi"])
 
 
-@query(f"{COARSE_SQL} SELECT scene, iy, ix, round(lst, 6) AS lst, round(ndvi, 12) AS ndvi FROM coarse")
+@query(f"{COARSE_SQL} SELECT scene, iy, ix, round(lst, 6) AS lst, round(ndvi, 13) AS ndvi FROM coarse")
 def mean_regrid(spark, d):
-    return rounded(rounded(coarse(spark, d).select("scene", "iy", "ix", "lst", "ndvi"), "lst"), "ndvi", digits=12)
+    return rounded(rounded(coarse(spark, d).select("scene", "iy", "ix", "lst", "ndvi"), "lst"), "ndvi", digits=13)
 
 
 @query(f"{FINE_SQL} SELECT scene, CAST(iy // 3 AS INT) AS iy, CAST(ix // 3 AS INT) AS ix, round(CASE WHEN count(lst) >= 6 THEN avg(lst) END, 6) AS lst FROM fine WHERE iy < 15 AND ix < 15 GROUP BY ALL")
@@ -604,6 +604,23 @@ def conformal_quantile(spark, d):
     return rounded(out.select("quantile", "samples"), "quantile", digits=9)
 
 
+CONFORMAL_SQL = f"""WITH {cte('bands')}, c AS (SELECT *, greatest(B03 + 0.05, (SELECT greatest(quantile_cont(B03 + 0.05, 0.05), 1e-6) FROM bands)) AS sp FROM bands),
+s AS (SELECT abs(B08 - B11) / sp AS s, row_number() OVER (ORDER BY abs(B08 - B11) / sp) AS k, count(*) OVER () AS n FROM c), q AS (SELECT s AS q FROM s WHERE k = ceil((n - 1) * least(1.0, ceil((n + 1) * CAST(0.9 AS DOUBLE)) / CAST(n AS DOUBLE))) + 1)"""
+
+
+@query(f"{CONFORMAL_SQL} SELECT pixel, round(B08 - q * sp, 6) AS B08_lower, round(B08 + q * sp, 6) AS B08_upper FROM c, q")
+def conformal_interval(spark, d):
+    b = project(spark, d, "bands").withColumn("sp", F.col("B03") + 0.05)
+    model = validation.fit_conformal(b, "B08", "B11", spread="sp")
+    return rounded(validation.conformal_interval(b, model, "B08", spread="sp").select("pixel", "B08_lower", "B08_upper"), "B08_lower", "B08_upper")
+
+
+@query(f"WITH {cte('obs')}, n AS (SELECT scene, iy, count(lst) AS n FROM obs GROUP BY ALL), b AS (SELECT scene, arg_max(iy, n * 1000000 - iy) AS iy FROM n GROUP BY ALL) SELECT scene, iy, event_id FROM obs JOIN b USING (scene, iy)")
+def fullest_tiles(spark, d):
+    """Rows of the grid stand for tiles; each day keeps the one with most valid pixels."""
+    return temporal.fullest_tile(obs(spark, d), "lst", tile="iy", group="scene").select("scene", "iy", "event_id")
+
+
 @query(f"WITH {cte('bands')} SELECT pixel, round(sqrt((pow(B02 - (B02 + B03 + B04) / 3, 2) + pow(B03 - (B02 + B03 + B04) / 3, 2) + pow(B04 - (B02 + B03 + B04) / 3, 2)) / 2), 6) AS spread FROM bands")
 def ensemble_spread(spark, d):
     return rounded(downscale.ensemble_spread(project(spark, d, "bands"), ["B02", "B03", "B04"]).select("pixel", "spread"), "spread")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
 
@@ -80,6 +80,15 @@ def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before.select("path", F.col("sha256").alias("_old")), "path", "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("sha256"))).drop("_old")
 
 
+def cached(spark: SparkSession, folder: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table stored under the digest of its key; made and written on the first request only."""
+    path = f"{folder}/{hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:40]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 #: Option names that may hold credentials and never reach a manifest. Fixed values.
 SECRET_WORDS = ("password", "token", "secret", "key", "credential")
 

@@ -467,3 +467,52 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.day, r.ix): r.valid_count for r in spark.table("daily").collect()}
     expected = {(r.day, r.ix): r.n for r in data.where("ts < '2025-01-20'").groupBy(F.date_trunc("day", "ts").alias("day"), "ix").agg(F.count("*").alias("n")).collect()}
     assert {k: v for k, v in got.items() if k in expected} == expected
+
+
+def test_resampling_policy():
+    assert spatial.resampling_for("cloud_mask", "double", 10, 100) == "nearest" and spatial.resampling_for("NDVI", "double", 10, 100) == "mean"
+    assert spatial.resampling_for("NDVI", "double", 100, 10) == "nearest" and spatial.resampling_for("NDVI", "double", 10, 100, {"NDVI": "nearest"}) == "nearest"
+
+
+def test_any_estimator(spark):
+    from pyspark.ml.regression import LinearRegression
+
+    df = spark.createDataFrame([(float(k), 3.0 + 2.0 * k) for k in range(20)] + [(None, 1.0)], "x double, y double")
+    fitted, spread = downscale.fit_estimator(df, "y", ["x"], LinearRegression())
+    assert spread < 1e-6 and abs(fitted.transform(df.where("x = 7")).first().prediction - 17) < 1e-6
+
+
+def test_conformal_covers(spark):
+    rng = random.Random(7)
+    rows = [(rng.uniform(0.5, 2), 0.0) for _ in range(600)]
+    rows = [(s, rng.gauss(0, s), 0.0) for s, _ in rows]
+    df = spark.createDataFrame(rows, "spread double, e double, r double")
+    model = validation.fit_conformal(df, "e", "r", spread="spread")
+    out = validation.conformal_interval(df, model, "e", spread="spread")
+    share = out.agg(F.avg(F.col("r").between(F.col("e_lower"), F.col("e_upper")).cast("int"))).first()[0]
+    assert 0.88 < share < 0.93
+    with pytest.raises(ValueError):
+        validation.fit_conformal(df.limit(5), "e", "r")
+
+
+def test_cached_tables_are_made_once(spark, tmp_path):
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert sinks.cached(spark, f"file://{tmp_path}", {"aoi": 1}, make).count() == 3
+    assert len(calls) == 1
+
+
+def test_command_line(tmp_path, capsys):
+    from geoloom.__main__ import main
+
+    path = tmp_path / "r.json"
+    path.write_text(request.Request(g.Area(13.2, 52.4, 13.5, 52.6), "2025-06-01", "2025-06-30", ("sentinel3",)).to_json())
+    assert main(["plan", str(path)]) == 0 and "discover" in capsys.readouterr().out
+    assert main(["check", str(path)]) == 0
+    path.write_text(request.Request(g.Area(0, 0, 30, 30), "2025-06-01", "2025-06-30", ("sentinel3",)).to_json())
+    assert main(["check", str(path)]) == 1
