@@ -36,8 +36,8 @@ BITS = 6
 ORDERS = 3
 #: Code points with a code of their own.
 POINTS = 0x3000
-#: Characters scored in one presence matrix.
-DOC_BLOCK = 256
+#: Texts in one presence matrix, characters whose n-grams are looked up at once.
+DOC_BLOCK, CHUNK = 256, 1 << 18
 
 
 @dataclass
@@ -51,19 +51,21 @@ class LanguageModel:
         """Texts x n-grams, true where the text holds the n-gram."""
         width = len(self.weights)
         out = np.zeros((len(texts), width + 1), bool)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.alphabet[np.minimum(points, POINTS - 1)].astype(np.int32)
-        row = np.repeat(np.arange(len(texts), dtype=np.int64) * (width + 1), lengths)
         flat = out.reshape(-1)
-        gram = codes
-        for n, slots in enumerate(self.slots, 1):
-            if n > 1:
-                gram = (gram[:-1] << BITS) | codes[n - 1 :]
-            place = slots[gram] + row[: len(gram)]
-            if n > 1:  # n-grams do not reach into the next text
-                place = place[row[: len(gram)] == row[n - 1 :]]
-            flat[place] = True
+        for start in range(0, len(points), CHUNK):  # chunks overlap by the longest n-gram
+            part = points[start : start + CHUNK + ORDERS - 1]
+            codes = self.alphabet[np.minimum(part, POINTS - 1)].astype(np.int32)
+            row = np.searchsorted(ends, np.arange(start, start + len(part)), side="right") * (width + 1)
+            gram = codes
+            for n, slots in enumerate(self.slots, 1):
+                if n > 1:
+                    gram = (gram[:-1] << BITS) | codes[n - 1 :]
+                place = slots[gram] + row[: len(gram)]
+                if n > 1:  # n-grams do not reach into the next text
+                    place = place[row[: len(gram)] == row[n - 1 :]]
+                flat[place] = True
         return out[:, :width]
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -154,6 +156,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        seg.take_over("language")
         for batch in seg.byte_balanced(batches, text_col, batch_bytes):
             texts = seg.large_text(batch.column(text_col)).to_pylist()
             labels, scores = [], []

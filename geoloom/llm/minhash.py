@@ -121,6 +121,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, text hash, bytes, sequence hashes, and band hashes ([] for texts without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg.take_over("minhash")
         for batch in seg.byte_balanced(batches, "text"):
             texts = seg.large_text(batch.column("text"))
             grams, offsets, first, second, w = ngram_sets(texts, n)
@@ -192,6 +193,7 @@ def verify_units(threshold: float, n: int):
                 yield ids[a], int(links[a]), ids[top]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg.take_over("minhash")
         held: list[dict] = []
         out: list[tuple[int, int, int]] = []
 

@@ -172,6 +172,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, min_match: int
         ahead = keep if last else passed
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seg.take_over("tiling")
             for batch in seg.byte_balanced(batches, text_col):
                 found = matches(wh.words(seg.large_text(batch.column(text_col))), block.value, threshold)
                 before = batch.column("items").to_pylist() if "items" in batch.schema.names else [[]] * batch.num_rows

@@ -99,6 +99,7 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_path).count
+        seg.take_over("token_counts")
         for batch in seg.byte_balanced(batches, text_col, batch_bytes):
             texts = seg.large_text(batch.column(text_col))
             n = count(texts)

@@ -2,8 +2,8 @@
 
 Words are runs of letters and digits: after folding to lower case, bytes of
 ASCII other than 0-9 and a-z separate words, all bytes from 0x80 belong to them.
-A batch of texts is one byte array; a running polynomial sum modulo 2^64 gives
-every word's hash by two look-ups, and n-gram hashes combine those of n words in
+A batch of texts is one byte array; a running polynomial sum modulo 2^64, taken
+over a chunk of whole words at a time, gives every word's hash by two look-ups, and n-gram hashes combine those of n words in
 a row, so no word becomes a Python object.
 """
 
@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes whose running sums are held at once; one word may be longer.
+CHUNK = 1 << 17
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[128:] = True
 _IS_WORD[ord("0") : ord("9") + 1] = True
@@ -63,8 +65,8 @@ def words(texts: pa.Array) -> Words:
     n = len(sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(folded.buffers()[2] or b"", np.uint8)
-    first = int(np.frombuffer(folded.buffers()[1], np.int64)[folded.offset]) if n else 0
-    data = data[first : first + int(starts[-1])]
+    origin = int(np.frombuffer(folded.buffers()[1], np.int64)[folded.offset]) if n else 0
+    data = data[origin : origin + int(starts[-1])]
     inside = _IS_WORD[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0], edge[-1] = True, True
@@ -74,11 +76,17 @@ def words(texts: pa.Array) -> Words:
     begins, ends = at[:-1], at[1:]
     keep = inside[begins] if len(data) else np.zeros(0, bool)
     begins, ends = begins[keep], ends[keep]
-    up, down = powers(len(data) + 1)
-    running = np.empty(len(data) + 1, np.uint64)
-    running[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=running[1:])
-    hashes = mix((running[ends] - running[begins]) * down[begins])
+    hashes = np.empty(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):  # whole words, about CHUNK bytes of them at once
+        stop = max(at + 1, int(np.searchsorted(begins, begins[at] + CHUNK)))
+        first, last = begins[at], ends[stop - 1]
+        up, down = powers(int(last - first) + 1)
+        running = np.zeros(last - first + 1, np.uint64)
+        np.cumsum((data[first:last].astype(np.uint64) + np.uint64(1)) * up[:-1], out=running[1:])
+        b, e = begins[at:stop] - first, ends[at:stop] - first
+        hashes[at:stop] = mix((running[e] - running[b]) * down[b])
+        at = stop
     return Words(hashes, begins, ends, np.searchsorted(begins, starts))
 
 
@@ -95,13 +103,3 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     index = np.repeat(w.offsets[:-1], counts) + np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], counts)
     return gram[index], offsets
 
-
-def short_text_hashes(w: Words) -> np.ndarray:
-    """One hash for all words of each text (for texts shorter than an n-gram)."""
-    out = np.zeros(len(w.offsets) - 1, np.uint64)
-    for i in range(len(out)):
-        h = np.uint64(0x5851F42D4C957F2D)
-        for x in w.hashes[w.offsets[i] : w.offsets[i + 1]]:
-            h = mix(np.array([h], np.uint64) * np.uint64(BASE) + x)[0]
-        out[i] = h
-    return out
