@@ -21,11 +21,11 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     mark = fingerprint(current)
     for _ in range(max_rounds):
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = splittable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # every node of `large` now hangs on smaller ones; bring those together
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(lowest, "a")
+        hung = large.join(splittable(lowest, "a"), "a")
         small = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
         following = materialise(small, "edges")
         new_mark = fingerprint(following)
@@ -40,5 +40,14 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def splittable(grouped: DataFrame, key: str) -> DataFrame:
+    """The same rows with a key whose partitioning the planner does not know.
+
+    A join with them then shuffles both sides by itself, so that adaptive execution
+    can split a hot key of the other side; straight after the aggregate it could not.
+    """
+    return grouped.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 20)))).first())

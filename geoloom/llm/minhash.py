@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import segments as seg
 from . import wordhash as wh
-from .components import components
+from .components import components, splittable
 from .storage import materialise
 
 #: Rows of a block of a small part, most blocks before blocks grow, rows and bytes of a block at most.
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     classes = materialise(classes.select("s1", "s2", "bands", F.col("rep.doc_id").alias("node"), F.col("rep.th").alias("th"), "copies", "n_bytes"), "classes")
     spread = classes.select("node", F.posexplode("bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
+    buckets = splittable(buckets, "hash")
     edges = spread.join(buckets, ["band", "hash"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     parts = components(edges)
     verified = materialise(verified_ties(base, classes, parts, threshold, n), "ties")
