@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .binning import block_mean
-from .spatial import bilinear_up, spread_down
+from .spatial import bilinear_corners, bilinear_up, spread_down
 
 
 def usable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -86,21 +86,43 @@ def conserve_blocks(predicted: DataFrame, coarse: DataFrame, target: str, factor
     return out.withColumn(f"{value}_raw", F.col(value)).withColumn(value, F.col(value) + F.col("coarse_consistency_correction"))
 
 
-def conserve_smooth(predicted: DataFrame, coarse: DataFrame, target: str, factor: int, *, height: int, width: int, iterations: int = 10, keys: Sequence[str] = ("scene",), value: str = "lst_downscaled", checkpoint_every: int = 3) -> DataFrame:
+def conserve_smooth(predicted: DataFrame, coarse: DataFrame, target: str, factor: int, *, height: int, width: int, iterations: int = 10, value: str = "lst_downscaled") -> DataFrame:
     """Adds bilinearly interpolated residuals, again and again: no steps between coarse cells.
 
-    Height and width are the coarse grid's. Lineage is cut with checkpoint() every few rounds.
+    Height and width are the coarse grid's. Interpolating and averaging over blocks
+    are linear, so their product is a table of at most nine weights a coarse cell;
+    rounds run on coarse cells alone, a scene at a time, and the fine cells are
+    touched twice whatever the number of rounds. Cells without an observation add
+    nothing; a fine cell next to an absent coarse cell is not corrected.
     """
-    base = coarse.select(*keys, "iy", "ix", F.col(target).alias("_t"))
-    out = predicted.withColumn("coarse_consistency_correction", F.lit(0.0))
-    for k in range(iterations):
-        now = out.withColumn("_now", F.col(value) + F.col("coarse_consistency_correction"))
-        mean = block_mean(now, factor, ["_now"], keys=keys)
-        grid = base.join(mean, [*keys, "iy", "ix"], "left").select(*keys, "iy", "ix", F.coalesce(F.col("_t") - F.col("_now"), F.lit(0.0)).alias("_r"))
-        out = bilinear_up(out, grid, factor, "_r", height=height, width=width, keys=keys)
-        out = out.withColumn("coarse_consistency_correction", F.col("coarse_consistency_correction") + F.coalesce("_r", F.lit(0.0))).drop("_r")
-        if checkpoint_every and (k + 1) % checkpoint_every == 0 and k + 1 < iterations:
-            out = out.checkpoint(eager=True)
+    keys = ["scene"]
+    base = coarse.select("scene", "iy", "ix", F.col(target).cast("double").alias("t"))
+    cells = predicted.where(F.col(value).isNotNull()).select("scene", "iy", "ix")
+    corners = bilinear_corners(cells, factor, height, width).join(base.select("scene", F.col("iy").alias("_cy"), F.col("ix").alias("_cx"), F.lit(True).alias("_there")), ["scene", "_cy", "_cx"], "left")
+    whole = corners.groupBy("scene", "iy", "ix").agg(F.collect_list(F.struct("_cy", "_cx", "_w")).alias("k"), F.count_if(F.col("_there").isNull()).alias("missing"))  # four corners a cell
+    block = [F.expr(f"iy div {factor}").cast("int").alias("iy"), F.expr(f"ix div {factor}").cast("int").alias("ix")]
+    means = predicted.groupBy("scene", *block).agg(F.avg(value).alias("m"), F.count(value).alias("n"))
+    weights = whole.where("missing = 0").select("scene", *block, F.inline("k")).groupBy("scene", "iy", "ix", "_cy", "_cx").agg(F.sum("_w").alias("w"))
+    spread = weights.join(means.select("scene", "iy", "ix", "n"), ["scene", "iy", "ix"]).select("scene", "iy", "ix", "_cy", "_cx", (F.col("w") / F.col("n")).alias("w"))
+    start = base.join(means, ["scene", "iy", "ix"], "left").select("scene", "iy", "ix", (F.col("t") - F.col("m")).alias("r"))
+
+    def rounds(residuals: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        place = {k: n for n, k in enumerate(zip(residuals.iy, residuals.ix, strict=True))}
+        known = residuals.r.notna().to_numpy()
+        first = residuals.r.fillna(0.0).to_numpy()
+        to = np.fromiter((place.get(k, -1) for k in zip(links.iy, links.ix, strict=True)), np.int64, len(links))
+        by = np.fromiter((place[k] for k in zip(links._cy, links._cx, strict=True)), np.int64, len(links))
+        w = links.w.to_numpy()
+        to, by, w = to[to >= 0], by[to >= 0], w[to >= 0]
+        total = np.zeros(len(first))
+        for _ in range(iterations):
+            total = total + np.where(known, first - np.bincount(to, w * total[by], len(first)), 0.0)
+        return residuals[["scene", "iy", "ix"]].assign(_r=total)
+
+    kind = dict(coarse.dtypes)["scene"]
+    field = start.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(rounds, f"scene {kind}, iy int, ix int, _r double")
+    out = bilinear_up(predicted, field, factor, "_r", height=height, width=width, out="coarse_consistency_correction")
+    out = out.withColumn("coarse_consistency_correction", F.coalesce("coarse_consistency_correction", F.lit(0.0)))
     return out.withColumn(f"{value}_raw", F.col(value)).withColumn(value, F.col(value) + F.col("coarse_consistency_correction"))
 
 

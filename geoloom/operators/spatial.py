@@ -105,13 +105,8 @@ def spread_down(fine: DataFrame, coarse: DataFrame, factor: int, values: Sequenc
     return fine.withColumn("_cy", F.expr(f"iy div {factor}").cast("int")).withColumn("_cx", F.expr(f"ix div {factor}").cast("int")).join(right, [*keys, "_cy", "_cx"], "left").drop("_cy", "_cx")
 
 
-def bilinear_up(fine: DataFrame, coarse: DataFrame, factor: int, value: str, *, height: int, width: int, keys: Sequence[str] = ("scene",), out: str | None = None) -> DataFrame:
-    """Bilinear interpolation of coarse centres at fine centres; beyond the outer centres the outer value.
-
-    Missing corners make the result NULL unless their weight is zero. Height and
-    width are those of the coarse grid.
-    """
-    out = out or value
+def bilinear_corners(fine: DataFrame, factor: int, height: int, width: int) -> DataFrame:
+    """Each fine cell with the coarse cells (_cy, _cx) around its centre that have a weight (_w)."""
     pos = lambda c: (F.col(c) + 0.5) / factor - 0.5
     py, px = (F.least(F.greatest(pos(c), F.lit(0.0)), F.lit(float(n - 1))) for c, n in (("iy", height), ("ix", width)))
     rows = fine.withColumn("_py", py).withColumn("_px", px)
@@ -119,9 +114,19 @@ def bilinear_up(fine: DataFrame, coarse: DataFrame, factor: int, value: str, *,
     exploded = rows.withColumn("_k", F.explode(corners)).withColumn("_cy", (F.floor("_py") + F.col("_k.dy")).cast("int")).withColumn("_cx", (F.floor("_px") + F.col("_k.dx")).cast("int"))
     fy, fx = F.col("_py") - F.floor("_py"), F.col("_px") - F.floor("_px")
     weight = F.when(F.col("_k.dy") == 1, fy).otherwise(F.lit(1.0) - fy) * F.when(F.col("_k.dx") == 1, fx).otherwise(F.lit(1.0) - fx)
-    right = coarse.select(*keys, F.col("iy").alias("_cy"), F.col("ix").alias("_cx"), F.col(value).alias("_v"))
-    joined = exploded.withColumn("_w", weight).where("_w > 0").join(right, [*keys, "_cy", "_cx"], "left")
+    return exploded.withColumn("_w", weight).where("_w > 0").drop("_py", "_px", "_k")
+
+
+def bilinear_up(fine: DataFrame, coarse: DataFrame, factor: int, value: str, *, height: int, width: int, keys: Sequence[str] = ("scene",), out: str | None = None) -> DataFrame:
+    """Bilinear interpolation of coarse centres at fine centres; beyond the outer centres the outer value.
+
+    Missing corners make the result NULL unless their weight is zero. Height and
+    width are those of the coarse grid.
+    """
+    out = out or value
     by = [*keys, "iy", "ix"]
+    right = coarse.select(*keys, F.col("iy").alias("_cy"), F.col("ix").alias("_cx"), F.col(value).alias("_v"))
+    joined = bilinear_corners(fine.select(*by), factor, height, width).join(right, [*keys, "_cy", "_cx"], "left")
     mixed = joined.groupBy(*by).agg(F.sum(F.col("_v") * F.col("_w")).alias("_sum"), F.count_if(F.col("_v").isNull()).alias("_missing"))
     result = mixed.select(*by, F.when(F.col("_missing") == 0, F.col("_sum")).alias(out))
     return fine.drop(out).join(result, by, "left")

@@ -540,10 +540,23 @@ def predicted(spark, d):
     return downscale.predict_linear(fine(spark, d).select("scene", "iy", "ix", "ndvi"), m, ["ndvi"])
 
 
-@query()
+def smooth_sql(rounds: int) -> str:
+    """Residuals interpolated and added again and again, each round in the open."""
+    weight = "(CASE WHEN dy = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN dx = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END)"
+    parts = [f"{COARSE_SQL}{FIT_SQL}, c0 AS (SELECT f.scene, f.iy, f.ix, b0 + b1 * least(greatest(f.ndvi, lo), hi) AS v, CAST(0 AS DOUBLE) AS corr FROM fine f JOIN m USING (scene))"]
+    parts.append(f"k AS (SELECT *, {weight} AS w FROM (SELECT scene, iy, ix, greatest(0, least(3, (iy + 0.5) / 4 - 0.5)) AS py, greatest(0, least(3, (ix + 0.5) / 4 - 0.5)) AS px FROM c0), range(2) a(dy), range(2) b(dx))")
+    for n in range(1, rounds + 1):
+        parts.append(f"a{n} AS (SELECT scene, iy // 4 AS iy, ix // 4 AS ix, avg(v + corr) AS a FROM c{n - 1} GROUP BY ALL)")
+        parts.append(f"r{n} AS (SELECT c.scene, c.iy, c.ix, coalesce(c.lst - a.a, 0) AS r FROM coarse c LEFT JOIN a{n} a ON a.scene = c.scene AND a.iy = c.iy AND a.ix = c.ix)")
+        parts.append(f"u{n} AS (SELECT k.scene, k.iy, k.ix, CASE WHEN count(r.r) = count(*) THEN sum(r.r * w) END AS u FROM k LEFT JOIN r{n} r ON r.scene = k.scene AND r.iy = floor(py) + dy AND r.ix = floor(px) + dx WHERE w > 0 GROUP BY ALL)")
+        parts.append(f"c{n} AS (SELECT c.scene, c.iy, c.ix, v, corr + coalesce(u, 0) AS corr FROM c{n - 1} c JOIN u{n} u USING (scene, iy, ix))")
+    return ", ".join(parts) + f" SELECT scene, iy, ix, round(v + corr, 4) AS lst_downscaled FROM c{rounds}"
+
+
+@query(smooth_sql(3))
 def smooth_conservation(spark, d):
     out = downscale.conserve_smooth(predicted(spark, d), coarse(spark, d), "lst", 4, height=4, width=4, iterations=3)
-    return rounded(out.select("scene", "iy", "ix", "lst_downscaled"), "lst_downscaled")
+    return rounded(out.select("scene", "iy", "ix", "lst_downscaled"), "lst_downscaled", digits=4)
 
 
 @query()
