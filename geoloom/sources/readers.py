@@ -8,7 +8,6 @@ Every reader is a projection, so filters and column selections reach the scan.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -147,6 +146,3 @@ def open_cube(spark: SparkSession, path: str, columns: Sequence[str] | None = No
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]+", "_", text)
