@@ -5,7 +5,9 @@ the content's length (extra field 'sl'), so a reader can pass over a member
 without inflating it. The reader plans file partitions from the manifest, takes
 filters on record type and header columns, inflates and parses a record's
 headers first, and leaves the payload alone if the record is not wanted or the
-payload column is not asked for (option `payload`).
+payload column is not asked for (option `payload`). Folders without a manifest
+are searched for .warc and .warc.gz files from elsewhere; their members may lack
+the lengths.
 
 Of records with equal payloads of `dedup_min` bytes or more, that with the
 smallest page_id is the response; others are revisits without a payload, with
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,52 +87,125 @@ def parse_headers(head: bytes) -> dict:
     }
 
 
-class Members:
-    """Walks a file's gzip members; each gives its headers, then its payload on request."""
+class Records:
+    """Walks an archive's records; each gives its headers, then its payload on request.
+
+    Members with their length are passed over without inflating more than the
+    headers; members without it are inflated to their end, as only that tells
+    where the next begins, but kept only on request; plain records are skipped by
+    their content length.
+    """
 
     def __init__(self, source):
-        self.source, self.data = source, b""
+        self.source, self.data, self.at = source, b"", 0
 
     def need(self, n: int) -> bool:
-        """Have `n` bytes at hand, reading on as necessary."""
-        while len(self.data) < n:
-            more = self.source.read(max(CHUNK, n - len(self.data)))
+        """Have `n` bytes at hand from the current place, reading on as necessary."""
+        if self.at > CHUNK:
+            self.data, self.at = self.data[self.at :], 0
+        while len(self.data) - self.at < n:
+            more = self.source.read(max(CHUNK, n - (len(self.data) - self.at)))
             if not more:
                 return False
             self.data += more
         return True
 
+    def take(self, n: int) -> bytes:
+        if not self.need(n):
+            raise ValueError("an archive ends within a record")
+        self.at += n
+        return self.data[self.at - n : self.at]
+
     def __iter__(self) -> Iterator[tuple[dict, callable]]:
-        at = 0
-        while True:
-            if at > CHUNK:
-                self.data, at = self.data[at:], 0
-            if not self.need(at + 24):
-                if len(self.data) > at:
+        while self.need(1):
+            if self.need(24) and self.data[self.at : self.at + 4] == b"\x1f\x8b\x08\x04" and self.data[self.at + 12 : self.at + 14] == b"sl":
+                yield self.sized_member()
+            elif self.data[self.at : self.at + 2] == b"\x1f\x8b":
+                yield from self.member()
+            elif self.need(5) and self.data[self.at : self.at + 5] == b"WARC/":
+                yield from self.plain()
+            elif self.data[self.at : self.at + 1] in b"\r\n":
+                self.at += 1
+            else:
+                raise ValueError("neither a record nor a gzip member")
+
+    def sized_member(self) -> tuple[dict, callable]:
+        (size,) = struct.unpack("<I", self.data[self.at + 16 : self.at + 20])
+        whole = self.take(size)
+        check = struct.unpack("<II", whole[-8:])
+        inflate = zlib.decompressobj(-15)
+        head = inflate.decompress(whole[24:-8], HEAD_BYTES)
+        while (end := head.find(b"\r\n\r\n")) < 0 and not inflate.eof:
+            head += inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
+        if end < 0:
+            raise ValueError("a record without headers")
+        fields = parse_headers(head[:end])
+
+        def payload() -> bytes:
+            content = head + inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
+            if (zlib.crc32(content), len(content) & 0xFFFFFFFF) != check:
+                raise ValueError("a damaged record")
+            return content[end + 4 : end + 4 + fields["content_length"]]
+
+        return fields, payload
+
+    def member(self) -> Iterator[tuple[dict, callable]]:
+        inflate = zlib.decompressobj(31)
+        content = b""
+
+        def more() -> bytes:
+            """Some more of the content; b'' once the member has ended."""
+            while not inflate.eof:
+                if not self.need(1):
                     raise ValueError("an archive ends within a record")
-                return
-            if self.data[at : at + 4] != b"\x1f\x8b\x08\x04" or self.data[at + 12 : at + 14] != b"sl":
-                raise ValueError("a gzip member without its length")
-            (size,) = struct.unpack("<I", self.data[at + 16 : at + 20])
-            if not self.need(at + size):
-                raise ValueError("an archive ends within a record")
-            body = self.data[at + 24 : at + size - 8]
-            check = struct.unpack("<II", self.data[at + size - 8 : at + size])
-            inflate = zlib.decompressobj(-15)
-            head = inflate.decompress(body, HEAD_BYTES)
-            while (end := head.find(b"\r\n\r\n")) < 0 and not inflate.eof:
-                head += inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
-            if end < 0:
+                given = self.data[self.at :]
+                out = inflate.decompress(given, HEAD_BYTES * 16)
+                left = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+                self.at += len(given) - len(left)
+                if out:
+                    return out
+            return b""
+
+        while (end := content.find(b"\r\n\r\n")) < 0:
+            got = more()
+            if not got:
                 raise ValueError("a record without headers")
+            content += got
+        fields = parse_headers(content[:end])
+
+        def payload() -> bytes:
+            parts = [content]
+            while got := more():
+                parts.append(got)
+            return b"".join(parts)[end + 4 : end + 4 + fields["content_length"]]
 
-            def payload(head=head, end=end, inflate=inflate, check=check) -> bytes:
-                content = head + inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
-                if (zlib.crc32(content), len(content) & 0xFFFFFFFF) != check:
-                    raise ValueError("a damaged record")
-                return content[end + 4 : len(content) - 4]
+        yield fields, payload
+        while more():
+            pass
 
-            yield parse_headers(head[:end]), payload
-            at += size
+    def plain(self) -> Iterator[tuple[dict, callable]]:
+        size = HEAD_BYTES
+        while True:
+            full = self.need(size)
+            end = self.data.find(b"\r\n\r\n", self.at, self.at + size)
+            if end >= 0 or not full:
+                break
+            size *= 2
+        if end < 0:
+            raise ValueError("a record without headers")
+        fields = parse_headers(self.data[self.at : end])
+        self.take(end + 4 - self.at)
+        taken = []
+
+        def payload() -> bytes:
+            taken.append(self.take(fields["content_length"]))
+            return taken[0]
+
+        yield fields, payload
+        if not taken:
+            left = fields["content_length"]
+            while left:  # pass over it in parts
+                left -= len(self.take(min(left, CHUNK)))
 
 
 @dataclass
@@ -148,7 +224,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         records = size = 0
-        with fs.open_output_stream(f"{root}/{name}") as out:
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("record_type", "page_id", "url", "payload_digest", "payload_bytes", "refers_to", "payload")), strict=True):
                     *fields, payload = row
@@ -190,8 +266,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[ArchivePart]:
         fs, root = open_fs(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json") as f:
-            names = [x["name"] for x in json.loads(f.read())["files"]]
+        if fs.get_file_info(f"{root}/_manifest.json").is_file:
+            with fs.open_input_stream(f"{root}/_manifest.json") as f:
+                names = [x["name"] for x in json.loads(f.read())["files"]]
+        else:  # archives from elsewhere
+            found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+            names = sorted(i.path[len(root) :].lstrip("/") for i in found if i.is_file and i.path.endswith((".warc", ".warc.gz")))
         return [ArchivePart(n) for n in names] or [ArchivePart("")]
 
     def read(self, part: ArchivePart) -> Iterator[pa.RecordBatch]:
@@ -202,8 +282,8 @@ class WarcReader(DataSourceReader):
         types = pa.schema([types.field(n) for n in self.names])
         rows: list[dict] = []
         held = 0
-        with fs.open_input_stream(f"{root}/{part.name}") as f:
-            for fields, payload in Members(f):
+        with fs.open_input_stream(f"{root}/{part.name}", compression=None) as f:
+            for fields, payload in Records(f):
                 if not all(fields[c] in values for c, values in self.wanted):
                     continue
                 if self.with_payload and fields["record_type"] != "revisit":

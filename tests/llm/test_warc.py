@@ -55,4 +55,33 @@ def test_headers_longer_than_one_read():
 
     head = warc.header_lines("response", 1, "http://x/" + "a" * 9000, "d" * 64, 4, None, "2024-01-01T00:00:00Z", 4)
     data = warc.member(head + b"body\r\n\r\n", 1) * 2
-    assert [(f["page_id"], p()) for f, p in warc.Members(io.BytesIO(data))] == [(1, b"body")] * 2
+    assert [(f["page_id"], p()) for f, p in warc.Records(io.BytesIO(data))] == [(1, b"body")] * 2
+
+
+def foreign(page_id, body):
+    return warc.header_lines("response", page_id, "http://x/", "d" * 64, len(body), None, "2024-01-01T00:00:00Z", len(body)) + body + b"\r\n\r\n"
+
+
+def test_archives_from_elsewhere(spark, tmp_path):
+    import gzip
+    import os
+
+    bodies = [b"one", b"", os.urandom(300_000), b"\r\n\r\nWARC/1.1\r\n" * 500, b"z" * 2_000_000]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.warc").write_bytes(b"".join(foreign(k, b) for k, b in enumerate(bodies)))
+    (tmp_path / "sub" / "b.warc.gz").write_bytes(b"".join(gzip.compress(foreign(10 + k, b)) for k, b in enumerate(bodies)))
+    (tmp_path / "notes.txt").write_text("no archive")
+    out = {r.page_id: bytes(r.payload) for r in warc.read_warc(spark, f"file://{tmp_path}").collect()}
+    assert out == {k: b for k, b in enumerate(bodies)} | {10 + k: b for k, b in enumerate(bodies)}
+    assert sorted(r.page_id for r in warc.read_warc(spark, f"file://{tmp_path}", payload=False).where("page_id in (2, 14)").collect()) == [2, 14]
+
+
+def test_damage_is_noticed():
+    import io
+
+    import pytest
+
+    good = warc.member(foreign(1, b"body" * 100), 1)
+    for bad in (good[:-3], good[:60] + bytes([good[60] ^ 255]) + good[61:], b"junk" + good):
+        with pytest.raises(Exception):
+            [p() for _, p in warc.Records(io.BytesIO(bad))]
