@@ -227,8 +227,8 @@ def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     signed = materialise(sign(base, n, bands, rows), "signatures")
     members = signed.select("doc_id", "s1", "s2")
     # repeats of one (doc_id, text) count once
-    classes = signed.groupBy("s1", "s2", "bands", "doc_id").agg(F.min("th").alias("th"), F.max("n_bytes").alias("n_bytes")).groupBy("s1", "s2", "bands").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
-    classes = materialise(classes.select("s1", "s2", "bands", F.col("rep.doc_id").alias("node"), F.col("rep.th").alias("th"), "copies", "n_bytes"), "classes")
+    classes = signed.groupBy("s1", "s2", "bands", "doc_id").agg(F.min("th").alias("th"), F.max("n_bytes").alias("n_bytes")).groupBy("s1", "s2", "bands").agg(F.min("doc_id").alias("node"), F.min_by("th", "doc_id").alias("th"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
+    classes = materialise(classes.select("s1", "s2", "bands", "node", "th", "copies", "n_bytes"), "classes")
     spread = classes.select("node", F.posexplode("bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
     buckets = splittable(buckets, "hash")
