@@ -245,8 +245,8 @@ class PieceModel:
         return np.concatenate([[0], np.cumsum(per_text)]).astype(np.int64), all_ids, begins, ends
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
-        flat, decode = ids.tolist(), self.library.decode
-        return [decode(flat[a:b]) if b > a else "" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        decode = self.library.decode
+        return [decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 _MODELS: dict[str, PieceModel] = {}

@@ -72,13 +72,12 @@ def piece_digests(results: pa.RecordBatch) -> pa.RecordBatch:
     offsets = ids.offsets.to_numpy()
     flat = ids.values.to_numpy()
     spans = np.stack([begins.values.to_numpy(), ends.values.to_numpy()], 1).astype("<u4")
-    listed = flat.tolist()
     digit = _DIGITS.__getitem__ if not len(flat) or flat.max() < len(_DIGITS) else str
     edges = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.diff(offsets)),
-            pa.array([hashlib.sha256(",".join(map(digit, listed[a:b])).encode()).hexdigest() for a, b in edges]),
+            pa.array([hashlib.sha256(",".join(map(digit, flat[a:b].tolist())).encode()).hexdigest() for a, b in edges]),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in results.column("decoded").to_pylist()]),
             pa.array([zlib.crc32(spans[a:b].tobytes()) for a, b in edges], pa.int64()),
         ],

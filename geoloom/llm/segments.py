@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a batch closes when it reaches this.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Segments kept from earlier batches in one Python worker.
 CACHE_SEGMENTS = 500_000
 #: Marks a cut; a text that holds it is encoded whole.
