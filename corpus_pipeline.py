@@ -13,11 +13,18 @@ from geoloom.llm import language, minhash, queries, tiling
 from geoloom.llm.storage import materialise
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents under names that no operator's results have, and the text's name among them."""
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; null texts and texts without a letter go."""
     model = language.fit_languages(docs, queries.learnable())
-    found = language.identify_languages(docs, model, keep=docs.columns)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
+    own, text = plain(docs)
+    found = language.identify_languages(own, model, text_col=text)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(own.columns).toDF(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +44,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to the threshold."""
-    found = tiling.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where("not contaminated").select(docs.columns)
+    own, text = plain(docs)
+    found = tiling.find_contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col=text)
+    return found.where("not contaminated").select(own.columns).toDF(*docs.columns)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,3 +19,18 @@ def test_stages_keep_clean_documents(spark):
     gone = {r.doc_id for r in kept.collect()} - {r.doc_id for r in clean.collect()}
     assert holding <= gone and len(gone) <= len(holding) + 3
     assert corpus_pipeline.run(spark, SF).count() == clean.count()
+
+
+def test_columns_with_the_names_of_results(spark):
+    rows = [(1, "The first text of all", "en", "a", 1), (2, None, "en", "b", 2), (3, "123", "en", "c", 3), (None, "one more text", "en", "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, items int").withColumn("contaminated", docs_flag())
+    out = corpus_pipeline.language_id(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r.lang_pred for r in out.collect()) == ["a", "d"]
+    clean = corpus_pipeline.decontamination(spark, out, SF)
+    assert sorted((r["items"], r.contaminated) for r in clean.collect()) == [(1, "x"), (4, "x")]
+
+
+def docs_flag():
+    from pyspark.sql import functions as F
+
+    return F.lit("x")
