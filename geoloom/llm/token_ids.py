@@ -45,6 +45,8 @@ from .storage import open_fs
 MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("at", "<u8"), ("before", "<u8"), ("n", "<u8")])
 WIDE, NULL_ID = 1, 2
+#: Bytes of text encoded at once by a writing task, and words it remembers.
+WRITE_BYTES, CACHE_WORDS = 8 << 20, 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -121,7 +123,7 @@ class WordEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}  # punctuation after words
         tried = ["word", "Straße", "ÉTÉ", "it,", "end.***", "ñandú|"]
-        self.cached = seg.SegmentCache(self.encode_words)
+        self.cached = seg.SegmentCache(self.encode_words, CACHE_WORDS)
         self.direct = tuple(steps) == PLAIN_STEPS and self.by_word and all(self.plain(w) == seg.packed(ids(w)) for w in tried)
 
     def unit(self, text: str) -> list[int]:
@@ -203,7 +205,7 @@ class TokenWriter(DataSourceArrowWriter):
         entries: list[tuple[int, int, int]] = []
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/{name}.rec") as out:
-            for batch in seg.byte_balanced(batches, "text"):
+            for batch in seg.byte_balanced(batches, "text", WRITE_BYTES):
                 offsets, ids = encode(seg.large_text(batch.column("text")))
                 frames = []
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
