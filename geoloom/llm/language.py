@@ -1,20 +1,23 @@
 """Language identification with a string kernel.
 
-A text is the set of its character n-grams (n = 1 to 3, letters folded to
-lower case): the blended-spectrum presence kernel of two texts is the number of
-n-grams they share, divided by the geometric mean of their own numbers. The
-n-grams are those of the landmarks, a bounded set of training texts; kernel
-ridge regression, one class against the rest, is solved in the Nystroem space of
-the landmarks. Since the kernel is a normalised product of presence vectors, the
-landmark matrix and the solution fold into one matrix, and a batch of texts is
-scored by one product of its presence matrix with it.
-
-Fit: at most about `per_label` texts a label, chosen by a hash of their id.
-Texts are always scored whole. Null text, or text without a letter, gives the
-label `und` and score 0; the score of others is the winning regression value,
-limited to 0..1. Ties go to the label that sorts first. Rows with a null id or
-label are never learned from; without any learnable row everything is `und`.
-Kept columns whose names clash with results are replaced by them.
+A text is the set of its character n-grams (n = 1 to 3, over all code points,
+letters folded to lower case): the blended-spectrum presence kernel of two texts
+is the number of n-grams they share, divided by the geometric mean of their own
+numbers. The n-grams are those of the landmarks, a bounded set of training texts,
+in sorted tables of 64-bit codes; kernel ridge regression, one class against the
+rest, is solved in the Nystroem space of the landmarks. Since the kernel is a
+normalised product of presence vectors, the landmark matrix and the solution fold
+into one matrix, and a text's scores are the sum of the rows of its n-grams.
+
+Fit: at most about `per_label` texts a label, chosen by a hash of their id, each
+of at most `max_chars` characters (a label that only longer texts have is not
+learned). More labels than `max_labels` raise a ValueError: the model has a row
+an n-gram and a column a label, and travels to every worker. Texts are always
+scored whole. Null text, or text without a letter, gives the label `und` and
+score 0; the score of others is the winning regression value, limited to 0..1.
+Ties go to the label that sorts first. Rows with a null id or label are never
+learned from; without any learnable row everything is `und`. Kept columns whose
+names clash with results are replaced by them.
 """
 
 from __future__ import annotations
@@ -31,118 +34,173 @@ from pyspark.sql import types as T
 from . import segments as seg
 
 UNKNOWN = "und"
-#: Codes of the folded alphabet: 0 other, 1 white space, 2.. letters.
-BITS = 6
 ORDERS = 3
-#: Code points with a code of their own.
-POINTS = 0x3000
-#: Texts in one presence matrix, characters whose n-grams are looked up at once.
-DOC_BLOCK, CHUNK = 256, 1 << 18
+#: Code points there are; n-gram codes that are looked up by place rather than by search, at most.
+POINTS, DIRECT = 0x110000, 1 << 22
+#: Characters whose n-grams are looked up at once, rows of the matrix that are summed at once.
+CHUNK, ROWS = 1 << 18, 1 << 14
 
 
 @dataclass
 class LanguageModel:
     labels: list[str]
-    alphabet: np.ndarray  #: code by code point
-    slots: list[np.ndarray]  #: column of the presence matrix by n-gram code, -1 if unknown
+    alphabet: np.ndarray  #: code by code point, from 1; 0 if no landmark holds it
+    grams: list[np.ndarray]  #: sorted n-gram codes of the landmarks, for each n
+    places: list[np.ndarray | None]  #: number in `grams` by n-gram code, -1 if unknown; None: search
     weights: np.ndarray  #: n-gram columns x labels
 
+    def columns(self, text: str) -> np.ndarray:
+        """Columns of the text's n-grams, sorted, once each; those no landmark holds have none."""
+        points = code_points(text)
+        width = sum(map(len, self.grams))
+        found = []
+        for start in range(0, len(points), CHUNK):  # chunks overlap by the longest n-gram
+            base = 0
+            for grams, places, codes in zip(self.grams, self.places, gram_codes(self.alphabet, points[start : start + CHUNK + ORDERS - 1]), strict=True):
+                if places is not None:
+                    place = places[codes]
+                    place = place[place >= 0]
+                else:
+                    place = np.minimum(np.searchsorted(grams, codes), max(len(grams) - 1, 0))
+                    place = place[grams[place] == codes] if len(grams) else place[:0]
+                found.append(distinct(place, len(grams)) + base)
+                base += len(grams)
+        if len(found) <= ORDERS:
+            return np.concatenate(found) if found else np.zeros(0, np.int64)
+        return distinct(np.concatenate(found), width)
+
     def presence(self, texts: list[str]) -> np.ndarray:
         """Texts x n-grams, true where the text holds the n-gram."""
-        width = len(self.weights)
-        out = np.zeros((len(texts), width + 1), bool)
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        flat = out.reshape(-1)
-        for start in range(0, len(points), CHUNK):  # chunks overlap by the longest n-gram
-            part = points[start : start + CHUNK + ORDERS - 1]
-            codes = self.alphabet[np.minimum(part, POINTS - 1)].astype(np.int32)
-            row = np.searchsorted(ends, np.arange(start, start + len(part)), side="right") * (width + 1)
-            gram = codes
-            for n, slots in enumerate(self.slots, 1):
-                if n > 1:
-                    gram = (gram[:-1] << BITS) | codes[n - 1 :]
-                place = slots[gram] + row[: len(gram)]
-                if n > 1:  # n-grams do not reach into the next text
-                    place = place[row[: len(gram)] == row[n - 1 :]]
-                flat[place] = True
-        return out[:, :width]
+        out = np.zeros((len(texts), len(self.weights)), bool)
+        for row, text in zip(out, texts, strict=True):
+            row[self.columns(text)] = True
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts x labels, the regression values."""
-        here = self.presence(texts)
-        norm = np.sqrt(np.maximum(np.count_nonzero(here, axis=1), 1))
-        return (here.astype(np.float32) @ self.weights) / norm[:, None]
+        out = np.zeros((len(texts), len(self.labels)))
+        for row, text in zip(out, texts, strict=True):
+            own = self.columns(text)
+            for k in range(0, len(own), ROWS):
+                row += self.weights[own[k : k + ROWS]].sum(0, dtype=np.float64)
+            row /= np.sqrt(max(len(own), 1))
+        return out
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_codes(alphabet: np.ndarray, points: np.ndarray) -> Iterator[np.ndarray]:
+    """For each n the codes of the n-grams: digits in the base of the alphabet, 0 for unknown letters."""
+    letters = alphabet[points].astype(np.int64)
+    base = int(alphabet[-1])
+    gram = letters
+    for n in range(1, ORDERS + 1):
+        if n > 1:
+            gram = gram[:-1] * base + letters[n - 1 :]
+        yield gram
+
+
+def distinct(values: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct values below `width`."""
+    if len(values) * 32 < width:
+        return np.unique(values).astype(np.int64)
+    here = np.zeros(width, bool)
+    here[values] = True
+    return np.flatnonzero(here)
+
+
+def folded_points() -> np.ndarray:
+    """Code point of the lower-case letter by code point; others, and letters that fold to several, stand for themselves."""
+    lower = ((chr(p).lower(), p) for p in range(POINTS))
+    return np.fromiter((ord(c) if len(c) == 1 else p for c, p in lower), np.int64, POINTS)
+
+
+def landmark_grams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Alphabet, its last entry the base of codes, and sorted n-gram codes of the texts."""
+    fold = folded_points()
+    used = np.zeros(POINTS, bool)
+    for text in texts:
+        used[fold[code_points(text)]] = True
+    alphabet = np.where(used, np.cumsum(used), 0)[fold]
+    alphabet = np.append(alphabet, used.sum() + 1).astype(np.int32)
+    grams = [np.zeros(0, np.int64)] * ORDERS
+    for k in range(0, len(texts), 16):
+        own = [[np.unique(codes) for codes in gram_codes(alphabet, code_points(text))] for text in texts[k : k + 16]]
+        grams = [np.unique(np.concatenate([grams[n], *(codes[n] for codes in own)])) for n in range(ORDERS)]
+    return alphabet, grams
+
+
+def direct(grams: np.ndarray, size: int) -> np.ndarray | None:
+    """Number by code where the table of all codes is small."""
+    if size > DIRECT:
+        return None
+    out = np.full(size, -1, np.int32)
+    out[grams] = np.arange(len(grams))
+    return out
 
 
 def fit(texts: list[str], labels: list[str], *, landmarks: int = 256, ridge: float = 1e-2) -> LanguageModel:
     """Nystroem kernel ridge regression on labelled texts, in the order given."""
     names = sorted(set(labels))
     if not names:
-        return LanguageModel([], np.zeros(POINTS, np.int32), [], np.zeros((0, 0), np.float32))
-    counts = np.bincount(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).clip(max=POINTS - 1), minlength=POINTS)
-    alphabet = np.zeros(POINTS, np.int32)
-    folded: dict[str, int] = {}
-    for point in range(POINTS):
-        char = chr(point)
-        if char.isspace():
-            alphabet[point] = 1
-        elif char.isalpha() and len(char.lower()) == 1:
-            folded[char.lower()] = folded.get(char.lower(), 0) + int(counts[point])
-    common = sorted((c for c in folded if folded[c]), key=lambda c: (-folded[c], c))[: (1 << BITS) - 2]
-    code = {c: k + 2 for k, c in enumerate(common)}
-    for point in range(POINTS):
-        char = chr(point)
-        if char.isalpha():
-            alphabet[point] = code.get(char.lower(), 0)
-    chosen: list[int] = []
-    for name in names:  # the same number of landmarks for each label
-        chosen += [i for i, x in enumerate(labels) if x == name][: max(1, landmarks // len(names))]
-    full = LanguageModel(names, alphabet, [], np.zeros((0, 0), np.float32))
-    base = 0
-    for n in range(1, ORDERS + 1):
-        full.slots.append(np.arange(base, base + (1 << BITS * n), dtype=np.int64))
-        base += 1 << BITS * n
-    full.weights = np.zeros((base, 0), np.float32)
-    used = np.zeros(base, bool)
-    for k in range(0, len(chosen), 64):
-        used |= full.presence([texts[i] for i in chosen[k : k + 64]]).any(0)
-    width = int(used.sum())
-    column = np.where(used, np.cumsum(used) - 1, width).astype(np.int64)
-    model = LanguageModel(names, alphabet, [column[s] for s in full.slots], np.zeros((width, len(names)), np.float32))
-
-    def unit(part: list[str]) -> np.ndarray:
-        here = model.presence(part).astype(np.float32)
-        return here / np.sqrt(np.maximum(here.sum(1, keepdims=True), 1))
-
-    anchor = unit([texts[i] for i in chosen])
-    values, vectors = np.linalg.eigh((anchor @ anchor.T).astype(np.float64))
+        return LanguageModel([], np.zeros(POINTS + 1, np.int32), [], [], np.zeros((0, 0), np.float32))
+    by_name: dict[str, list[int]] = {}
+    for i, name in enumerate(labels):
+        by_name.setdefault(name, []).append(i)
+    chosen = [i for name in names for i in by_name[name][: max(1, landmarks // len(names))]]  # the same number for each label
+    alphabet, grams = landmark_grams([texts[i] for i in chosen])
+    width = sum(map(len, grams))
+    model = LanguageModel(names, alphabet, grams, [direct(g, int(alphabet[-1]) ** n) for n, g in enumerate(grams, 1)], np.zeros((width, len(names)), np.float32))
+
+    held = [model.columns(texts[i]) for i in chosen]
+    sizes = np.array([len(h) for h in held], np.float64)
+    holders = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
+    column = np.concatenate(held)
+    holders = holders[np.argsort(column, kind="stable")]  # landmarks by n-gram
+    edges = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=width))])
+    del column
+
+    def kernel(own: np.ndarray) -> np.ndarray:
+        """Values of the kernel between a text and the landmarks."""
+        shared = np.zeros(len(held), np.int64)
+        for k in range(0, len(own), ROWS):
+            starts, counts = edges[own[k : k + ROWS]], edges[own[k : k + ROWS] + 1] - edges[own[k : k + ROWS]]
+            at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            shared += np.bincount(holders[at], minlength=len(held))
+        return shared / np.sqrt(np.maximum(sizes, 1) * max(len(own), 1))
+
+    values, vectors = np.linalg.eigh(np.array([kernel(own) for own in held]))
     sound = values > 1e-6 * values.max()
     root = vectors[:, sound] / np.sqrt(values[sound])
-    gram, target = 0.0, 0.0
-    for k in range(0, len(texts), DOC_BLOCK):
-        space = (unit(texts[k : k + DOC_BLOCK]) @ anchor.T).astype(np.float64) @ root
-        hot = np.array([[x == name for name in names] for x in labels[k : k + DOC_BLOCK]], np.float64)
-        gram, target = gram + space.T @ space, target + space.T @ hot
+    number = {name: k for k, name in enumerate(names)}
+    gram, target = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(names)))
+    for text, label in zip(texts, labels, strict=True):
+        space = kernel(model.columns(text)) @ root
+        gram += np.outer(space, space)
+        target[:, number[label]] += space
     solved = np.linalg.solve(gram + ridge * len(texts) * np.eye(len(gram)) / 100, target)
-    model.weights = (anchor.T.astype(np.float64) @ (root @ solved)).astype(np.float32)
+    for own, row in zip(held, root @ solved, strict=True):
+        model.weights[own] += (row / np.sqrt(max(len(own), 1))).astype(np.float32)
     return model
 
 
-def training_sample(docs: DataFrame, learnable: Column, *, id_col: str, text_col: str, label_col: str, per_label: int, max_chars: int) -> DataFrame:
+def training_sample(docs: DataFrame, learnable: Column, *, id_col: str, text_col: str, label_col: str, per_label: int, max_chars: int, max_labels: int) -> DataFrame:
     """About `per_label` texts of each label, by a hash of the id; no single task sees a whole label."""
     rows = docs.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.length(text_col).between(1, max_chars))
-    sizes = rows.groupBy(F.col(label_col).alias("_label")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_label").limit(200).collect()
-    keep = F.lit(False)
-    share = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    for r in sizes:
-        keep = keep | ((F.col(label_col) == r["_label"]) & (share < F.lit(min(1.0, per_label / r["_n"]))))
-    return rows.where(keep).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-
-
-def fit_languages(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 800, max_chars: int = 50_000, landmarks: int = 256) -> LanguageModel:
-    """Model from a bounded sample: `per_label` texts a label (in expectation), each of at most `max_chars`."""
-    rows = training_sample(docs, learnable, id_col=id_col, text_col=text_col, label_col=label_col, per_label=per_label, max_chars=max_chars).collect()
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()
+    if len(sizes) > max_labels:
+        raise ValueError(f"more than {max_labels} labels in {label_col}: raise max_labels")
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, per_label / r["n"])) for r in sizes], T.StructType([T.StructField("label", rows.schema["label"].dataType), T.StructField("keep", T.DoubleType())]))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(F.broadcast(shares), "label").where(share < F.col("keep")).select("id", "text", "label")
+
+
+def fit_languages(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 800, max_chars: int = 50_000, landmarks: int = 256, max_labels: int = 1000) -> LanguageModel:
+    """Model from a bounded sample: `per_label` texts a label (in expectation), each of at most `max_chars`; ValueError beyond `max_labels`."""
+    rows = training_sample(docs, learnable, id_col=id_col, text_col=text_col, label_col=label_col, per_label=per_label, max_chars=max_chars, max_labels=max_labels).collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["text"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows], landmarks=landmarks)
 
@@ -160,14 +218,12 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
         for batch in seg.byte_balanced(batches, text_col, batch_bytes):
             texts = seg.large_text(batch.column(text_col)).to_pylist()
             labels, scores = [], []
-            for k in range(0, len(texts), DOC_BLOCK):
-                part = texts[k : k + DOC_BLOCK]
-                values = m.scores(part) if m.labels else np.zeros((len(part), 1))
-                best = values.argmax(1)
-                for text, b, v in zip(part, best.tolist(), values[np.arange(len(part)), best].tolist(), strict=True):
-                    known = bool(m.labels) and has_letter(text)
-                    labels.append(m.labels[b] if known else UNKNOWN)
-                    scores.append(min(1.0, max(0.0, float(v))) if known else 0.0)
+            values = m.scores(texts) if m.labels else np.zeros((len(texts), 1))
+            best = values.argmax(1)
+            for text, b, v in zip(texts, best.tolist(), values[np.arange(len(texts)), best].tolist(), strict=True):
+                known = bool(m.labels) and has_letter(text)
+                labels.append(m.labels[b] if known else UNKNOWN)
+                scores.append(min(1.0, max(0.0, float(v))) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, *made])
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
