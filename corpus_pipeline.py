@@ -30,16 +30,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that with the smallest doc_id.
 
-    Rows without a doc_id stay; of rows that repeat a doc_id one stays.
+    Rows without a doc_id stay. Rows with the same doc_id and different texts are
+    different documents, in the order of their texts' SHA-256; of rows that repeat
+    both (null text: empty) the one stays that sorts first by its columns from
+    left to right.
     """
-    found = minhash.near_duplicates(docs)
-    extra = found.where("class_id <> doc_id").select("doc_id")
-    kept = docs.join(extra, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        extra = minhash.near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
+        return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    own, text = plain(docs)
+    ident = own.columns[docs.columns.index("doc_id")]
+    numbered = materialise(number_documents(own, ident, text), "numbered")
+    extra = minhash.near_duplicates(numbered, id_col="_number", text_col=text).where("class_id <> doc_id").select(F.col("doc_id").alias("_number"))
+    kept = numbered.join(extra, "_number", "left_anti").select(own.columns)
+    return kept.unionByName(own.where(F.col(ident).isNull())).toDF(*docs.columns)
+
+
+def number_documents(own: DataFrame, ident: str, text: str) -> DataFrame:
+    """A row for each doc_id and text, with a _number that grows with both."""
+    order = F.struct(*(F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in own.schema))
+    first = own.where(F.col(ident).isNotNull()).groupBy(F.col(ident).alias("_id"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("_sha")).agg(F.min_by(F.struct(*own.columns), order).alias("_row"))
+    return first.orderBy("_id", "_sha").select("_row.*", F.monotonically_increasing_id().alias("_number"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

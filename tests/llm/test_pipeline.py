@@ -1,3 +1,7 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_near import brute
 
@@ -30,6 +34,25 @@ def test_columns_with_the_names_of_results(spark):
     assert sorted((r["items"], r.contaminated) for r in clean.collect()) == [(1, "x"), (4, "x")]
 
 
+def test_doc_ids_on_several_texts(spark):
+    def words(k):
+        return " ".join(f"w{k}x{j}" for j in range(30))
+
+    rows = [(1, words(0), "a"), (5, words(0), "a"), (5, words(1), "a")]  # a copy and a unique text
+    rows += [(6, words(2), "a"), (6, words(3), "a")]  # two unrelated texts
+    rows += [(7, words(4), "x"), (7, words(4), "w"), (7, words(4), "y")]  # repeats of id and text
+    rows += [(2, words(5), "a"), (9, words(5), "a"), (9, words(6), "a"), (10, words(6), "a")]  # one id in two classes
+    rows += [(8, words(7), "a"), (8, words(7) + " more", "a")]  # near copies under one id
+    rows += [(None, words(8), "a"), (None, words(8), "a"), (11, None, "b"), (11, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("tags", F.create_map(F.lit("k"), "source"))
+    out = corpus_pipeline.ngram_jaccard(spark, docs.repartition(5), SF)
+    assert out.columns == docs.columns
+    found = sorted(((r.doc_id or 0, r.text or "", r.source) for r in out.collect()), key=str)
+    near = min(rows[12:14], key=lambda r: hashlib.sha256(r[1].encode()).digest())
+    sure = [rows[k] for k in (0, 2, 3, 4, 6, 8, 10)] + [near, (0, words(8), "a"), (0, words(8), "a"), (11, "", "b")]
+    assert found == sorted(sure, key=str)
+
+
 def docs_flag():
     from pyspark.sql import functions as F
 
