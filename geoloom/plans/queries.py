@@ -559,6 +559,12 @@ def smooth_conservation(spark, d):
     return rounded(out.select("scene", "iy", "ix", "lst_downscaled"), "lst_downscaled", digits=4)
 
 
+@query(smooth_sql(10))
+def smooth_conservation_i10(spark, d):
+    out = downscale.conserve_smooth(predicted(spark, d), coarse(spark, d), "lst", 4, height=4, width=4)
+    return rounded(out.select("scene", "iy", "ix", "lst_downscaled"), "lst_downscaled", digits=4)
+
+
 @query()
 def atpk_field(spark, d):
     return rounded(models.conserve_kriged(predicted(spark, d), coarse(spark, d), "lst", 4, (4, 4)), "lst_downscaled", "coarse_consistency_correction")
@@ -567,7 +573,7 @@ def atpk_field(spark, d):
 @query()
 def local_trees(spark, d):
     c = coarse(spark, d)
-    return rounded(models.local_trees(c, fine(spark, d), "lst", ["ndvi", "ndbi"], 4, (4, 4), min_samples=10, members=5), "lst_downscaled", "lst_downscaled_uncertainty")
+    return rounded(models.local_trees(c, fine(spark, d), "lst", ["ndvi", "ndbi"], 4, (4, 4), min_samples=10), "lst_downscaled", "lst_downscaled_uncertainty")
 
 
 def scaled_forest(spark, d, kind, **options):
@@ -577,7 +583,7 @@ def scaled_forest(spark, d, kind, **options):
 
 @query()
 def random_forest(spark, d):
-    return scaled_forest(spark, d, "forest", numTrees=20, maxDepth=6)
+    return scaled_forest(spark, d, "forest")
 
 
 @query()
@@ -606,11 +612,20 @@ def homogeneity_weights(spark, d):
     return rounded(downscale.homogeneity_weights(fine(spark, d), ["ndvi"], 4), "weight", digits=5)
 
 
-@query(f"{FINE_SQL} SELECT a.scene, CAST(b.iy - a.iy AS INT) AS dy, CAST(b.ix - a.ix AS INT) AS dx, round(avg((a.lst - b.lst) * (a.lst - b.lst)) / 2, 5) AS gamma, count(*) AS pairs FROM fine a JOIN fine b ON a.scene = b.scene AND b.iy - a.iy BETWEEN 0 AND 2 AND b.ix - a.ix BETWEEN -2 AND 2 AND (b.iy > a.iy OR b.ix > a.ix) GROUP BY ALL HAVING count(*) >= 5")
+def semivariogram_sql(lag: int) -> str:
+    return f"{FINE_SQL} SELECT a.scene, CAST(b.iy - a.iy AS INT) AS dy, CAST(b.ix - a.ix AS INT) AS dx, round(avg((a.lst - b.lst) * (a.lst - b.lst)) / 2, 5) AS gamma, count(*) AS pairs FROM fine a JOIN fine b ON a.scene = b.scene AND b.iy - a.iy BETWEEN 0 AND {lag} AND b.ix - a.ix BETWEEN -{lag} AND {lag} AND (b.iy > a.iy OR b.ix > a.ix) GROUP BY ALL HAVING count(*) >= 5"
+
+
+@query(semivariogram_sql(2))
 def semivariogram(spark, d):
     return rounded(neighbourhood.semivariogram(fine(spark, d), "lst", max_lag=2), "gamma", digits=5)
 
 
+@query(semivariogram_sql(8))
+def semivariogram_lag8(spark, d):
+    return rounded(neighbourhood.semivariogram(fine(spark, d), "lst"), "gamma", digits=5)
+
+
 @query(f"WITH {cte('obs')}, s AS (SELECT abs(lst - 300) AS s, row_number() OVER (ORDER BY abs(lst - 300)) AS k, count(*) OVER () AS n FROM obs WHERE lst IS NOT NULL) SELECT round(s, 9) AS quantile, n AS samples FROM s WHERE k = ceil((n - 1) * least(1.0, ceil((n + 1) * CAST(0.9 AS DOUBLE)) / CAST(n AS DOUBLE))) + 1")
 def conformal_quantile(spark, d):
     out = validation.conformal_quantile(obs(spark, d).select(F.abs(F.col("lst") - 300).alias("s")), "s")
@@ -648,26 +663,45 @@ def triples(spark, d):
 TRIPLE_SQL = f"{FINE_SQL}, t AS (SELECT scene, iy, ix, lst AS fine0, lst + ndbi * 10 AS fine2, lst * 0.5 + iy AS coarse0, lst * 0.4 + ndvi * 5 AS coarse2, lst * 0.6 + ix AS coarse1 FROM fine), l AS (SELECT scene, 2 * stddev_pop(fine0) AS lim FROM t GROUP BY ALL)"
 
 
-@query(f"""{TRIPLE_SQL}, j AS (SELECT a.scene, a.iy, a.ix, b.fine0 + b.coarse1 - b.coarse0 AS p, 1 / ((abs(b.fine0 - a.fine0) + 1e-6) * (abs(b.coarse1 - b.coarse0) + 1e-6) * (1 + sqrt(pow(a.iy - b.iy, 2) + pow(a.ix - b.ix, 2)))) AS w
-FROM t a JOIN l USING (scene) JOIN t b ON a.scene = b.scene AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1 AND abs(b.fine0 - a.fine0) <= lim)
-SELECT scene, iy, ix, round(sum(w * p) / sum(w), 2) AS predicted FROM j GROUP BY ALL""")
+def starfm_sql(radius: int) -> str:
+    scale = f" / {radius}" if radius > 1 else ""
+    return f"""{TRIPLE_SQL}, j AS (SELECT a.scene, a.iy, a.ix, b.fine0 + b.coarse1 - b.coarse0 AS p, 1 / ((abs(b.fine0 - a.fine0) + 1e-6) * (abs(b.coarse1 - b.coarse0) + 1e-6) * (1 + sqrt(pow(a.iy - b.iy, 2) + pow(a.ix - b.ix, 2)){scale})) AS w
+FROM t a JOIN l USING (scene) JOIN t b ON a.scene = b.scene AND abs(a.iy - b.iy) <= {radius} AND abs(a.ix - b.ix) <= {radius} AND abs(b.fine0 - a.fine0) <= lim)
+SELECT scene, iy, ix, round(sum(w * p) / sum(w), 2) AS predicted FROM j GROUP BY ALL"""
+
+
+@query(starfm_sql(1))
 def starfm_r1(spark, d):
     return rounded(neighbourhood.starfm(triples(spark, d), radius=1).select("scene", "iy", "ix", "predicted"), "predicted", digits=2)
 
 
-def regression_sql(k: int) -> str:
+@query(starfm_sql(10))
+def starfm_r10(spark, d):
+    return rounded(neighbourhood.starfm(triples(spark, d)).select("scene", "iy", "ix", "predicted"), "predicted", digits=2)
+
+
+def regression_sql(k: int, radius: int) -> str:
     return f"""r{k} AS (SELECT scene, iy, ix, CASE WHEN ok THEN (sxy / n - mx * my) / v ELSE 1 END AS slope, CASE WHEN ok THEN greatest(syy - (my - (sxy / n - mx * my) / v * mx) * sy - (sxy / n - mx * my) / v * sxy, 0) / greatest(n - 2, 1) END AS rv FROM
 (SELECT *, sx / n AS mx, sy / n AS my, sxx / n - pow(sx / n, 2) AS v, n >= 3 AND sxx / n - pow(sx / n, 2) > 1e-9 AS ok FROM
 (SELECT a.scene, a.iy, a.ix, count(*) AS n, sum(b.coarse{k}) AS sx, sum(b.fine{k}) AS sy, sum(b.coarse{k} * b.coarse{k}) AS sxx, sum(b.coarse{k} * b.fine{k}) AS sxy, sum(b.fine{k} * b.fine{k}) AS syy
-FROM t a JOIN l USING (scene) JOIN t b ON a.scene = b.scene AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1 AND abs(b.fine0 - a.fine0) <= lim GROUP BY ALL)))"""
+FROM t a JOIN l USING (scene) JOIN t b ON a.scene = b.scene AND abs(a.iy - b.iy) <= {radius} AND abs(a.ix - b.ix) <= {radius} AND abs(b.fine0 - a.fine0) <= lim GROUP BY ALL)))"""
+
 
+def estarfm_sql(radius: int) -> str:
+    return f"""{TRIPLE_SQL}, {regression_sql(0, radius)}, {regression_sql(2, radius)}, q AS (SELECT t.scene, t.iy, t.ix, coalesce(1 / (r0.rv + 1e-6), 1) AS w0, coalesce(1 / (r2.rv + 1e-6), 1) AS w2, fine0 + r0.slope * (coarse1 - coarse0) AS p0, fine2 + r2.slope * (coarse1 - coarse2) AS p2
+FROM t JOIN r0 USING (scene, iy, ix) JOIN r2 ON t.scene = r2.scene AND t.iy = r2.iy AND t.ix = r2.ix) SELECT scene, iy, ix, round((w0 * p0 + w2 * p2) / (w0 + w2), 3) AS predicted FROM q"""
 
-@query(f"""{TRIPLE_SQL}, {regression_sql(0)}, {regression_sql(2)}, q AS (SELECT t.scene, t.iy, t.ix, coalesce(1 / (r0.rv + 1e-6), 1) AS w0, coalesce(1 / (r2.rv + 1e-6), 1) AS w2, fine0 + r0.slope * (coarse1 - coarse0) AS p0, fine2 + r2.slope * (coarse1 - coarse2) AS p2
-FROM t JOIN r0 USING (scene, iy, ix) JOIN r2 ON t.scene = r2.scene AND t.iy = r2.iy AND t.ix = r2.ix) SELECT scene, iy, ix, round((w0 * p0 + w2 * p2) / (w0 + w2), 3) AS predicted FROM q""")
+
+@query(estarfm_sql(1))
 def estarfm_r1(spark, d):
     return rounded(neighbourhood.estarfm(triples(spark, d), radius=1).select("scene", "iy", "ix", "predicted"), "predicted", digits=3)
 
 
+@query(estarfm_sql(10))
+def estarfm_r10(spark, d):
+    return rounded(neighbourhood.estarfm(triples(spark, d)).select("scene", "iy", "ix", "predicted"), "predicted", digits=3)
+
+
 @query(f"""WITH {cte('dem')}, g AS (SELECT a.iy, a.ix, CASE WHEN e.z IS NOT NULL AND w.z IS NOT NULL THEN (e.z - w.z) / 2 WHEN e.z IS NOT NULL THEN e.z - a.z WHEN w.z IS NOT NULL THEN a.z - w.z END / 100 AS dx,
 -(CASE WHEN s.z IS NOT NULL AND n.z IS NOT NULL THEN (s.z - n.z) / 2 WHEN s.z IS NOT NULL THEN s.z - a.z WHEN n.z IS NOT NULL THEN a.z - n.z END) / 100 AS dy
 FROM dem a LEFT JOIN dem e ON e.iy = a.iy AND e.ix = a.ix + 1 LEFT JOIN dem w ON w.iy = a.iy AND w.ix = a.ix - 1 LEFT JOIN dem s ON s.ix = a.ix AND s.iy = a.iy + 1 LEFT JOIN dem n ON n.ix = a.ix AND n.iy = a.iy - 1),
