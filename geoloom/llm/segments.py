@@ -5,7 +5,7 @@ same ids for the text as for the pieces between those places, one after the
 other. Batches of texts are therefore cut into segments in Arrow kernels, the
 distinct segments of a batch are encoded once by the library itself, and the
 results are spread back with array indexing. Segments seen in earlier batches
-come from a bounded cache. Texts for which the cut is not proven safe go to the
+come from a cache bounded by its bytes. Texts for which the cut is not proven safe go to the
 library whole.
 """
 
@@ -20,8 +20,10 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a batch closes when it reaches this.
 BATCH_BYTES = 2 << 20
-#: Segments kept from earlier batches in one Python worker.
-CACHE_SEGMENTS = 500_000
+#: Bytes that a cache of segments may take in one Python worker, and the longest segment it keeps.
+CACHE_BYTES, LONGEST_KEPT = 96 << 20, 256
+#: Bytes of a cached entry beside those of its text and result: two objects and a place in the table.
+ENTRY_BYTES = 240
 #: Marks a cut; a text that holds it is encoded whole.
 MARK = "\x1f"
 
@@ -114,31 +116,51 @@ def take_over(owner: str) -> None:
     if _OWNER != [owner]:
         _OWNER[:] = [owner]
         for cache in _CACHES:
-            cache.young, cache.old = {}, {}
+            cache.young, cache.old, cache.held = {}, {}, 0
 
 
 class SegmentCache:
-    """Results by segment in two generations: when the young one is full it becomes the old one."""
+    """Results by segment in two generations: when the young one is full it becomes the old one.
 
-    def __init__(self, encode, bound: int = CACHE_SEGMENTS):
+    `bound` is in bytes, by an estimate, and holds for both together; segments of
+    more than `LONGEST_KEPT` characters are encoded and not kept.
+    """
+
+    def __init__(self, encode, bound: int = CACHE_BYTES):
         self.encode, self.bound = encode, bound // 2
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.held = 0
         _CACHES.append(self)
 
+    def keep(self, segment: str, result) -> None:
+        """Remember a result, in a new generation if the young one is full."""
+        cost = ENTRY_BYTES + len(segment) * (1 if segment.isascii() else 4) + (len(result) if isinstance(result, bytes) else 0)
+        if len(segment) > LONGEST_KEPT or cost > self.bound:
+            return
+        if self.held + cost > self.bound:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[segment] = result
+        self.held += cost
+
     def __call__(self, segments: list[str]) -> list:
         young, old = self.young, self.old
-        if len(young) + len(segments) > self.bound:
-            old, young = young, {}
-            self.young, self.old = young, old
-        missing = [s for s in segments if s not in young]
-        new = [s for s in missing if s not in old]
-        if len(new) < len(missing):
-            young.update((s, old[s]) for s in missing if s in old)
+        out = [young.get(s) for s in segments]
+        new = []
+        for k, found in enumerate(out):
+            if found is None:
+                segment = segments[k]
+                found = out[k] = old.get(segment)
+                if found is None:
+                    new.append(k)
+                else:
+                    self.keep(segment, found)
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
-            young.update(zip(part, self.encode(part), strict=True))
-        return [young[s] for s in segments]
+            for k, result in zip(part, self.encode([segments[k] for k in part]), strict=True):
+                out[k] = result
+                self.keep(segments[k], result)
+        return out
 
 
 def packed(ids: list[int]) -> bytes:

@@ -45,8 +45,10 @@ from .storage import open_fs
 MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("at", "<u8"), ("before", "<u8"), ("n", "<u8")])
 WIDE, NULL_ID = 1, 2
-#: Bytes of text encoded at once by a writing task, and words it remembers.
-WRITE_BYTES, CACHE_WORDS = 8 << 20, 1_000_000
+#: Bytes of text encoded at once by a writing task, and of the words it remembers.
+WRITE_BYTES, CACHE_BYTES = 8 << 20, 256 << 20
+#: Bytes of a data file in an input partition, and of records in a batch, about.
+SPAN_BYTES, READ_BYTES = 64 << 20, 4 << 20
 
 
 def masked(data: bytes) -> int:
@@ -123,7 +125,7 @@ class WordEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs: dict[str, bytes] = {}  # punctuation after words
         tried = ["word", "Straße", "ÉTÉ", "it,", "end.***", "ñandú|"]
-        self.cached = seg.SegmentCache(self.encode_words, CACHE_WORDS)
+        self.cached = seg.SegmentCache(self.encode_words, CACHE_BYTES)
         self.direct = tuple(steps) == PLAIN_STEPS and self.by_word and all(self.plain(w) == seg.packed(ids(w)) for w in tried)
 
     def unit(self, text: str) -> list[int]:
@@ -185,6 +187,7 @@ class Written(WriterCommitMessage):
     name: str
     records: int
     ids: int
+    cuts: list[int]  #: records at which input partitions begin
 
 
 class TokenWriter(DataSourceArrowWriter):
@@ -203,6 +206,7 @@ class TokenWriter(DataSourceArrowWriter):
         seg.take_over("token_ids")
         at = total = 0
         entries: list[tuple[int, int, int]] = []
+        cuts, last_cut = [0], 0
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/{name}.rec") as out:
             for batch in seg.byte_balanced(batches, "text", WRITE_BYTES):
@@ -210,6 +214,9 @@ class TokenWriter(DataSourceArrowWriter):
                 frames = []
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                     own = np.concatenate([ids[a:b], end])
+                    if at - last_cut >= SPAN_BYTES:
+                        cuts.append(len(entries))
+                        last_cut = at
                     frames.append(frame(pack(doc_id, own)))
                     entries.append((at, total, len(own)))
                     at += len(frames[-1])
@@ -217,12 +224,12 @@ class TokenWriter(DataSourceArrowWriter):
                 out.write(b"".join(frames))
         with fs.open_output_stream(f"{root}/{name}.idx") as out:
             out.write(np.array(entries, INDEX).tobytes())
-        return Written(part, name, len(entries), total)
+        return Written(part, name, len(entries), total, cuts)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
-        files = [{"name": m.name, "records": m.records, "ids": m.ids} for m in sorted((m for m in messages if m), key=lambda m: m.part) if m.records]
+        files = [{"name": m.name, "records": m.records, "ids": m.ids, "cuts": m.cuts} for m in sorted((m for m in messages if m), key=lambda m: m.part) if m.records]
         with fs.open_output_stream(f"{root}/_manifest.json") as out:
             out.write(json.dumps({"files": files}).encode())
 
@@ -243,8 +250,7 @@ class TokenSpan(InputPartition):
 
 
 class TokenReader(DataSourceReader):
-    #: Records an input partition has at most.
-    SPAN = 50_000
+    """Input partitions and batches follow bytes; a record larger than either stands alone."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -252,7 +258,7 @@ class TokenReader(DataSourceReader):
     def partitions(self) -> list[TokenSpan]:
         spans, before = [], 0
         for f in manifest(self.path):
-            spans += [TokenSpan(f["name"], k, min(k + self.SPAN, f["records"]), before) for k in range(0, f["records"], self.SPAN)]
+            spans += [TokenSpan(f["name"], a, b, before) for a, b in zip(f["cuts"], [*f["cuts"][1:], f["records"]], strict=True)]
             before += f["ids"]
         return spans or [TokenSpan("", 0, 0, 0)]
 
@@ -265,16 +271,18 @@ class TokenReader(DataSourceReader):
             index = np.frombuffer(f.read((span.stop - span.first) * INDEX.itemsize), INDEX)
         with fs.open_input_file(f"{root}/{span.name}.rec") as f:
             f.seek(int(index["at"][0]))
-            for k in range(0, len(index), 1000):
-                part = index[k : k + 1000]
-                begin = int(part["at"][0])
-                stop = int(index["at"][k + 1000]) if k + 1000 < len(index) else None
-                if stop is None:  # the last frame's length is in its head
+            edges = [0]
+            while edges[-1] < len(index):  # records of about READ_BYTES, one at least
+                upto = int(np.searchsorted(index["at"], index["at"][edges[-1]] + np.uint64(READ_BYTES)))
+                edges.append(max(edges[-1] + 1, upto))
+            for first, stop in zip(edges[:-1], edges[1:], strict=True):
+                part, begin = index[first:stop], int(index["at"][first])
+                if stop == len(index):  # the last frame's length is in its head
                     tail = f.read(int(part["at"][-1]) - begin + 12)
                     (size,) = struct.unpack("<Q", tail[-12:-4])
                     data = tail + f.read(size + 4)
                 else:
-                    data = f.read(stop - begin)
+                    data = f.read(int(index["at"][stop]) - begin)
                 doc_ids, payloads, at = [], [], 0
                 for _ in part:
                     payload, at = unframe(data, at)
@@ -314,15 +322,13 @@ class TokenFiles(DataSource):
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_ids: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents to `path` in ascending order of their ids.
 
-    One range shuffle of (id, text); each task sorts its range and encodes while
-    it writes, so neither ids nor texts gather anywhere.
+    One range shuffle of (id, text) by id and text hash, so that null or equal ids
+    spread as well; each task sorts its range and encodes while it writes, so
+    neither ids nor texts gather anywhere.
     """
     docs.sparkSession.dataSource.register(TokenFiles)
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    )
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.write.format("geoloom_tokens").mode("append").option("path", path).option("tokenizer", tokenizer_path).option("end_ids", ",".join(map(str, end_ids))).save()
 
 

@@ -71,6 +71,19 @@ def test_batches_follow_bytes():
     assert all(sum(map(len, p.column("text").to_pylist())) <= 40 or p.num_rows == 1 for p in parts)
 
 
+def test_caches_are_bounded_by_bytes():
+    calls = []
+    cache = segments.SegmentCache(lambda part: calls.append(len(part)) or [x.encode() for x in part], 100_000)
+    for k in range(300):
+        texts_ = [f"w{k}-{j}" for j in range(20)] + ["x" * 5000, "again"]
+        assert cache(texts_) == [t.encode() for t in texts_]
+        held = sum(segments.ENTRY_BYTES + len(s) + len(v) for g in (cache.young, cache.old) for s, v in g.items())
+        assert held <= 100_000 and not any(len(s) > segments.LONGEST_KEPT for g in (cache.young, cache.old) for s in g)
+    assert sum(calls) <= 300 * 21 + 60  # "again" stays known through the generations
+    cache = segments.SegmentCache(lambda part: [1] * len(part), 10_000)
+    assert cache(["a", *(str(k) for k in range(500)), "a"]) == [1] * 502
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, ids int")
 
