@@ -1,6 +1,10 @@
 import random
+import re
+import time
 
-from geoloom.llm import tiling
+import numpy as np
+
+from geoloom.llm import tiling, wordhash
 
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "one two three"), (3, None), (4, ""), (5, "Se que osllra ñezll del does mente raarga ñasquera rrie")]
 CLEAN = "nothing here is taken from any other place at all and goes on"
@@ -67,9 +71,63 @@ def greedy(doc, item, least):
             marked += best
 
 
+def hashed(numbers):
+    return wordhash.mix(np.array(numbers, np.uint64) + np.uint64(1))
+
+
 def test_tiles_equal_the_textbook():
     rng = random.Random(2)
-    for _ in range(300):
-        doc, item = [rng.randrange(4) for _ in range(rng.randint(0, 25))], [rng.randrange(4) for _ in range(rng.randint(0, 15))]
-        seeds = [(d, p) for d in range(len(doc) - 2) for p in range(len(item) - 2) if doc[d : d + 3] == item[p : p + 3]]
-        assert sum(n for *_, n in tiling.tile(doc, item, seeds, 3)) == greedy(doc, item, 3)
+    for _ in range(500):
+        kinds, least = rng.choice([2, 3, 4, 8]), rng.choice([1, 2, 3])
+        doc, item = [rng.randrange(kinds) for _ in range(rng.randint(0, 30))], [rng.randrange(kinds) for _ in range(rng.randint(0, 18))]
+        expected = greedy(doc, item, least)
+        assert sum(n for *_, n in tiling.tile(hashed(doc), hashed(item), least)) == expected
+        assert tiling.covered(hashed(doc), hashed(item), least, 0.0) == expected
+
+
+def test_long_repetitive_pairs_take_no_long():
+    doc, item = [k % 7 for k in range(20_000)], [k % 7 if k % 50 else 9 for k in range(2_000)]
+    began = time.perf_counter()
+    assert tiling.covered(hashed(doc), hashed(item), 4, 0.5) == 1960
+    assert tiling.covered(hashed([1] * 20_000), hashed([1] * 2_000), 4, 0.5) == 2_000
+    assert time.perf_counter() - began < 2
+
+
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+
+def brute(docs, items, least=4, threshold=0.5):
+    """(n_items, max_coverage) by row, every document against every item."""
+    out = []
+    for i, text in docs:
+        hits = []
+        for item_id, item in {(i, t) for i, t in items if t}:
+            w = words_of(item)
+            marked = greedy(words_of(text), w, min(least, len(w))) if w else 0
+            if marked and marked >= threshold * len(w):
+                hits.append((item_id, marked / len(w)))
+        out.append((i, len({i for i, _ in hits}), max((c for _, c in hits), default=0.0)))
+    return sorted(out, key=str)
+
+
+def test_whole_query_against_brute_force(spark):
+    """Shuffled, split and repeated passages, by both ways of joining."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(30)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 25)))) for k in range(20)] + [(3, "w1 w2 w3 w4 w5"), (20, None), (21, ""), (22, "w9"), (None, "w7 w8 w7 w8 w7")]
+    docs = []
+    for k in range(50):
+        parts = (items[k % 20][1] or "").split()
+        at = rng.randint(0, len(parts))
+        docs.append((k, " ".join([*parts[at:], "gap", *(rng.choice(words) for _ in range(rng.randint(0, 15))), *parts[:at]] * rng.choice([1, 1, 3]))))
+    docs += [(60, None), (61, ""), (7, docs[7][1]), (None, docs[3][1]), (62, "w9 " * 400)]
+    expected = brute(docs, items)
+    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, coverage string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (tiling.BLOCK_BYTES, 10):
+        out = tiling.find_contamination(d, b, block_bytes=block_bytes)
+        assert out.columns == ["doc_id", "text", "coverage", "items", "n_items", "max_coverage", "contaminated"]
+        rows = out.collect()
+        assert sorted(((r.doc_id, r.n_items, r.max_coverage) for r in rows), key=str) == expected
+        assert all(r.contaminated == (r.max_coverage >= 0.5) for r in rows)
