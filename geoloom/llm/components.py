@@ -46,7 +46,8 @@ def splittable(grouped: DataFrame, key: str) -> DataFrame:
     A join with them then shuffles both sides by itself, so that adaptive execution
     can split a hot key of the other side; straight after the aggregate it could not.
     """
-    return grouped.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+    same = F.concat(F.col(key), F.lit("")) if dict(grouped.dtypes)[key] == "string" else F.col(key).bitwiseXOR(F.lit(0))
+    return grouped.withColumn(key, same)
 
 
 def fingerprint(edges: DataFrame) -> tuple:

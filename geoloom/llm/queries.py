@@ -36,7 +36,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    return warc.read_warc(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses by their own payloads, revisits by their headers alone
+    responses = warc.read_warc(spark, path).where("record_type = 'response'").withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
+    revisits = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return responses.select(*columns).unionByName(revisits.select(*columns))
 
 
 def learnable(id_col: str = "doc_id") -> Column:

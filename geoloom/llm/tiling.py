@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from . import segments as seg
 from . import wordhash as wh
+from .components import splittable
 from .storage import materialise
 
 #: Bytes of item texts that every worker may hold.
@@ -312,7 +313,7 @@ def through_joins(docs: DataFrame, wanted: DataFrame, min_match: int, threshold:
 
     hits = met.select("text_key", "i", "size", "item", "t").mapInArrow(run, f"text_key string, hit struct<{ITEM_DDL.replace(' ', ': ').replace(',:', ',')}>")
     found = hits.groupBy("text_key").agg(F.array_sort(F.collect_list("hit")).alias("items"))  # a row an item that the text holds
-    rows = docs.select(*keep, F.sha2(text, 256).alias("_key")).join(found.withColumn("_key", F.concat("text_key", F.lit(""))).drop("text_key"), "_key", "left")
+    rows = docs.select(*keep, F.sha2(text, 256).alias("_key")).join(splittable(found.withColumnRenamed("text_key", "_key"), "_key"), "_key", "left")
     items_col = F.coalesce("items", F.array().cast(made["items"].dataType))
     best = F.coalesce(F.array_max(F.transform(items_col, lambda x: x["coverage"])), F.lit(0.0))
     return rows.select(*keep, items_col.alias("items"), F.size(F.array_distinct(F.transform(items_col, lambda x: x["item_id"]))).cast("long").alias("n_items"), best.alias("max_coverage"), ((best >= threshold) & (F.size(items_col) > 0)).alias("contaminated"))

@@ -2,19 +2,21 @@
 
 Each record is a gzip member of its own whose header carries the member's and
 the content's length (extra field 'sl'), so a reader can pass over a member
-without inflating it. The reader plans file partitions from the manifest, takes
-filters on record type and header columns, inflates and parses a record's
-headers first, and leaves the payload alone if the record is not wanted or the
-payload column is not asked for (option `payload`). Folders without a manifest
-are searched for .warc and .warc.gz files from elsewhere; their members may lack
-the lengths.
+without inflating it. The reader plans partitions from the manifest, byte ranges
+of about `SPLIT_BYTES` that begin at a record, takes filters on record type and
+header columns, inflates and parses a record's headers first, and leaves the
+payload alone if the record is not wanted or the payload column is not asked for
+(option `payload`). Folders without a manifest are searched for .warc and
+.warc.gz files from elsewhere, one partition each; their members may lack the
+lengths.
 
 Of records with equal payloads of `dedup_min` bytes or more, that with the
 smallest page_id is the response; others are revisits without a payload, with
 the payload's digest and length in their headers. Null html is an empty
 payload. A null page_id is never the response of others; if no equal payload
 has a page_id, all are responses. Rows that repeat the smallest page_id are
-responses too. Null URLs have no target header and come back null; characters
+responses too. An empty table gives an archive folder without files, which reads
+back as no rows; columns other than page_id, url and html are left out. Null URLs have no target header and come back null; characters
 that a header line can't hold come back as written by percent-decoding.
 """
 
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from .components import splittable
 from .storage import open_fs
 
 SCHEMA = "record_type string, page_id long, url string, date string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -43,8 +46,8 @@ HEADER_COLUMNS = {"record_type", "page_id", "url", "payload_digest", "payload_by
 URN = "urn:page:"
 #: Bytes of inflated data that surely hold a record's headers; more is read if not.
 HEAD_BYTES = 4096
-#: Compressed bytes read from a file at once.
-CHUNK = 4 << 20
+#: Compressed bytes read from a file at once; bytes of a file in an input partition.
+CHUNK, SPLIT_BYTES = 4 << 20, 64 << 20
 
 
 def member(content: bytes, level: int) -> bytes:
@@ -96,17 +99,21 @@ class Records:
     their content length.
     """
 
-    def __init__(self, source):
+    def __init__(self, source, size: int | None = None):
         self.source, self.data, self.at = source, b"", 0
+        self.left = size  #: bytes of the source that are ours; None: all
 
     def need(self, n: int) -> bool:
         """Have `n` bytes at hand from the current place, reading on as necessary."""
         if self.at > CHUNK:
             self.data, self.at = self.data[self.at :], 0
         while len(self.data) - self.at < n:
-            more = self.source.read(max(CHUNK, n - (len(self.data) - self.at)))
+            wanted = max(CHUNK, n - (len(self.data) - self.at))
+            more = self.source.read(wanted if self.left is None else min(wanted, self.left))
             if not more:
                 return False
+            if self.left is not None:
+                self.left -= len(more)
             self.data += more
         return True
 
@@ -213,6 +220,7 @@ class Archive(WriterCommitMessage):
     name: str
     records: int
     size: int
+    cuts: list[int]  #: offsets of records at which input partitions begin
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -223,16 +231,18 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-        records = size = 0
+        records, size, cuts = 0, 0, [0]
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in batches:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("record_type", "page_id", "url", "payload_digest", "payload_bytes", "refers_to", "payload")), strict=True):
                     *fields, payload = row
                     payload = payload or b""
                     data = member(header_lines(*fields, self.date, len(payload)) + payload + b"\r\n\r\n", self.level)
+                    if size - cuts[-1] >= SPLIT_BYTES:
+                        cuts.append(size)
                     out.write(data)
                     records, size = records + 1, size + len(data)
-        return Archive(name, records, size)
+        return Archive(name, records, size, cuts)
 
     def commit(self, messages: list[Archive | None]) -> None:
         fs, root = open_fs(self.path)
@@ -250,6 +260,8 @@ class WarcWriter(DataSourceArrowWriter):
 @dataclass
 class ArchivePart(InputPartition):
     name: str
+    start: int = 0
+    size: int | None = None  #: bytes from the start; None: to the end
 
 
 class WarcReader(DataSourceReader):
@@ -268,11 +280,12 @@ class WarcReader(DataSourceReader):
         fs, root = open_fs(self.path)
         if fs.get_file_info(f"{root}/_manifest.json").is_file:
             with fs.open_input_stream(f"{root}/_manifest.json") as f:
-                names = [x["name"] for x in json.loads(f.read())["files"]]
+                files = json.loads(f.read())["files"]
+            parts = [ArchivePart(x["name"], a, b - a) for x in files for a, b in zip(x["cuts"], [*x["cuts"][1:], x["size"]], strict=True)]
         else:  # archives from elsewhere
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-            names = sorted(i.path[len(root) :].lstrip("/") for i in found if i.is_file and i.path.endswith((".warc", ".warc.gz")))
-        return [ArchivePart(n) for n in names] or [ArchivePart("")]
+            parts = [ArchivePart(n) for n in sorted(i.path[len(root) :].lstrip("/") for i in found if i.is_file and i.path.endswith((".warc", ".warc.gz")))]
+        return parts or [ArchivePart("")]
 
     def read(self, part: ArchivePart) -> Iterator[pa.RecordBatch]:
         if not part.name:
@@ -282,8 +295,9 @@ class WarcReader(DataSourceReader):
         types = pa.schema([types.field(n) for n in self.names])
         rows: list[dict] = []
         held = 0
-        with fs.open_input_stream(f"{root}/{part.name}", compression=None) as f:
-            for fields, payload in Records(f):
+        with fs.open_input_file(f"{root}/{part.name}") as f:
+            f.seek(part.start)
+            for fields, payload in Records(f, part.size):
                 if not all(fields[c] in values for c, values in self.wanted):
                     continue
                 if self.with_payload and fields["record_type"] != "revisit":
@@ -317,16 +331,20 @@ class Warc(DataSource):
 def as_records(pages: DataFrame, *, dedup_min: int = 100) -> DataFrame:
     """Pages as rows of the archive: type, digest and reference of each.
 
-    The smallest page_id of each digest is found with partial aggregation, so a
-    payload shared by a third of all pages costs one row a task; the join back is
-    an equi-join whose large side adaptive execution can split.
+    The smallest page_id of each digest is found with partial aggregation and
+    joined to rows without payloads, whose hot digests adaptive execution can split.
+    Payloads then meet only the rows of their own (digest, page), a key that a
+    payload shared by a third of all pages spreads over.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    firsts = rows.where(f"payload_bytes >= {int(dedup_min)}").groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(firsts, "payload_digest", "left")
-    refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return joined.withColumn("refers_to", refers).select(
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256), "_url": F.xxhash64("url")})
+    narrow = rows.where(f"payload_bytes >= {int(dedup_min)}").select("payload_digest", "page_id", "_url")
+    firsts = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
+    again = narrow.join(splittable(firsts, "payload_digest"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    again = again.select(F.col("payload_digest").alias("_digest"), F.col("page_id").alias("_page"), F.col("_url").alias("_own_url"), F.col("first_id").alias("refers_to"))
+    again = splittable(again, "_digest").distinct()  # by all columns, not where the join left them
+    same = (rows["payload_digest"] == again["_digest"]) & rows["page_id"].eqNullSafe(again["_page"]) & (rows["_url"] == again["_own_url"])
+    return rows.join(again, same, "left").select(
         F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"),
         "page_id", "url", "payload_digest", "payload_bytes", "refers_to",
         F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"),
@@ -340,7 +358,10 @@ def write_warc(pages: DataFrame, path: str, *, dedup_min: int = 100) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    """All records; filters on header columns reach the reader."""
+    """All records; filters on header columns reach the reader.
+
+    Turns on `spark.sql.python.filterPushdown.enabled`, without which Spark filters after the reader.
+    """
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("geoloom_warc").option("path", path).option("payload", str(payload).lower()).load()

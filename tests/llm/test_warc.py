@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from geoloom.llm import storage, warc
@@ -50,6 +51,43 @@ def test_null_ids_and_empty_tables(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_byte_ranges_of_an_archive(spark, monkeypatch):
+    rows = [(k, "u", f"{k} " * (k % 50 + 30), "x") for k in range(200)]
+    parts = {}
+    for size in (warc.SPLIT_BYTES, 2_000, 1):
+        monkeypatch.setattr(warc, "SPLIT_BYTES", size)
+        writer = warc.WarcWriter({"path": storage.new_path(spark, "warc")})
+        monkeypatch.setattr(warc.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 0})()))
+        batch = pa.RecordBatch.from_pylist([{"record_type": "response", "page_id": i, "url": u, "payload_digest": hashlib.sha256(h.encode()).hexdigest(), "payload_bytes": len(h), "refers_to": None, "payload": h.encode()} for i, u, h, _ in rows])
+        writer.commit([writer.write(iter([batch]))])
+        reader = warc.WarcReader({"path": writer.path}, warc.T.StructType.fromDDL(warc.SCHEMA))
+        found = [list(reader.read(p)) for p in reader.partitions()]
+        parts[size] = len(found)
+        assert [(r["page_id"], r["payload"].decode()) for part in found for b in part for r in b.to_pylist()] == [(i, h) for i, _, h, _ in rows]
+    assert parts[warc.SPLIT_BYTES] == 200 and 1 < parts[2_000] < 200
+
+
+def test_a_hot_payload_is_split(spark):
+    """A third of all payloads equal: the join with a digest's first page is split, and no payload meets it."""
+    spread = spark.range(60_000).repartition(32).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, repeat('hot', 50), concat(repeat('p', 100), id % 20000)) as html")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4096", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2048", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        records = warc.as_records(spread)
+        found = records.groupBy("record_type").count().collect()
+        plan = records.groupBy("record_type").count()
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in text
+    hot, rest = 20_000 - 1, 40_000 - len({k % 20_000 for k in range(60_000) if k % 3})
+    assert {r.record_type: r["count"] for r in found} == {"revisit": hot + rest, "response": 60_000 - hot - rest}
+
+
 def test_headers_longer_than_one_read():
     import io
 
