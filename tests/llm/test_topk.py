@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from geoloom.llm import topk
@@ -58,6 +59,47 @@ def test_few_and_none(spark):
     assert run(spark, vectors(1, 4, 5)) == []
 
 
+def test_repeated_and_clashing(spark):
+    """Query rows that repeat an id ask together; candidates that repeat one keep their places."""
+    rows = vectors(120, 5, 6) + [(20, [0.5] * 5, 1, "x"), (20, [0.5] * 5, 1, "x"), (40, vectors(1, 5, 9)[0][1], 1, "x"), (41, [0.25] * 5, 1, "x")]
+    df = spark.createDataFrame([(i, v, s, r, "q") for i, v, s, r in rows], f"{SCHEMA}, query_id string").withColumnRenamed("score", "dim")
+    out = sorted(tuple(r) for r in topk.exact_top_k(df, F.col("vec_id") % 20 == 0, k=6, shard_rows=40).collect())
+    good = [(i, [math.floor(x * 64) for x in v]) for i, v, *_ in rows]
+    expected = []
+    for q in sorted({i for i, _ in good if i % 20 == 0}):
+        pool = sorted((-sum(x * y for x, y in zip(a, b)), c) for i, a in good if i == q for c, b in good if c != q)
+        expected += [(q, r, c, -s) for r, (s, c) in enumerate(pool[:6], 1)]
+    assert out == expected
+
+
+def test_whole_subtrees_are_passed_by(monkeypatch):
+    """Clustered vectors: a batch looks at few leaves, and results stay exact."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 400, (40, 16))
+    v = np.rint(np.repeat(centres, 100, 0) + rng.normal(0, 5, (4000, 16))).astype(np.int64)
+    ids = rng.permutation(4000)
+    tree = topk.BallTree(ids, v, leaf_rows=50)
+    assert any(tree.children) and tree.children[0] is not None
+    seen = []
+    real = np.rint
+    monkeypatch.setattr(topk.np, "rint", lambda x: seen.append(x.size) or real(x))
+    q = v[::500]
+    row, found, score = tree.search(ids[::500], q, 10, np.full(len(q), topk.LOWEST))
+    monkeypatch.undo()
+    assert sum(seen) < 0.25 * len(q) * len(v)
+    scores = q @ v.T
+    for k in range(len(q)):
+        own = sorted((-s, i) for s, i in zip(scores[k].tolist(), ids.tolist()) if i != ids[::500][k])[:10]
+        assert sorted((-s, i) for s, i in zip(score[row == k].tolist(), found[row == k].tolist())) == own
+
+
+def test_regions_split_and_hot_vectors(spark, monkeypatch):
+    """A third of all vectors equal, many regions and shards."""
+    monkeypatch.setattr(topk, "REGIONS", 16)
+    rows = vectors(400, 6, 8) + [(1000 + k, [0.5] * 6, 1, "x") for k in range(200)]
+    assert run(spark, rows, shard_rows=30, k=5, query_rows=7) == brute(rows, 5)
+
+
 def test_large_integers_stay_exact(spark):
     rows = [(i, [float(F32(x)) for x in (1e6 + i, -3e5 * i, 12345.678)], 1, "x") for i in range(40)]
     assert run(spark, rows) == brute(rows, 20)
