@@ -2,13 +2,16 @@
 
 `Normaliser` applies a model's compiled character map by longest prefix (a
 double-array trie in front of the replacement strings) and records for every
-normalised byte which source byte it came from. The library segments the text;
-each piece's place in the normalised text is then projected through that record
-to a span of bytes of the original text.
+normalised byte which source byte it came from. Stretches in which no entry of
+the map can begin are copied at once; an empty map has only such. The library
+segments the text; each piece's place in the normalised text is then projected
+through that record to a span of bytes of the original text.
 
 Models whose pieces never join a non-space to a following white space, and whose
-character map is the identity, are encoded by distinct segments (see
-`segments.py`); all others text by text.
+character map is empty, are encoded by distinct segments (see `segments.py`),
+each of them normalised, aligned and projected once; all others text by text.
+A piece of one byte of a character spans that byte; pieces of a replaced stretch
+begin at it.
 
 Nulls count as empty texts, which have no pieces and decode to ''. Repeated rows
 give repeated results; a kept column whose name clashes with a result is
@@ -65,18 +68,28 @@ class Normaliser:
         self.space = SPACE if escape else b" "
         self.symbols = sorted(user_symbols, key=len, reverse=True)
         self.trie, self.strings = [], b""
+        #: Bytes with which an entry of the map, or a symbol, begins.
+        self.begins = np.zeros(256, bool)
+        self.begins[[s[0] for s in self.symbols if s]] = True
         if charsmap:
             size = int.from_bytes(charsmap[:4], "little")
             self.trie = np.frombuffer(charsmap[4 : 4 + size], "<u4").tolist()
             self.strings = charsmap[4 + size :]
+            root = self.jump(self.trie[0])
+            for byte in range(1, 256):
+                if root ^ byte < len(self.trie) and self.trie[root ^ byte] & 0x800000FF == byte:
+                    self.begins[byte] = True
+
+    @staticmethod
+    def jump(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
 
     def longest(self, data: bytes, at: int) -> tuple[int, int]:
         """Length and value of the longest entry of the map at `at`; length 0 if none."""
         trie, found = self.trie, (0, 0)
         if not trie:
             return found
-        jump = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
-        node = jump(trie[0])
+        node = self.jump(trie[0])
         for n in range(at, len(data)):
             node ^= data[n]
             if node >= len(trie):
@@ -84,58 +97,80 @@ class Normaliser:
             unit = trie[node]
             if unit & 0x800000FF != data[n]:
                 break
-            node ^= jump(unit)
+            node ^= self.jump(unit)
             if unit >> 8 & 1:
                 found = (n + 1 - at, trie[node] & 0x7FFFFFFF)
         return found
 
-    def step(self, data: bytes, at: int) -> tuple[bytes, int]:
-        """Replacement for what stands at `at`, and how many source bytes it covers."""
+    def replacement(self, data: bytes, at: int) -> tuple[bytes, int] | None:
+        """What the map, or a symbol, puts for what stands at `at`, and how many source bytes that covers."""
         for symbol in self.symbols:
             if data.startswith(symbol, at):
                 return symbol, len(symbol)
         length, value = self.longest(data, at)
-        if length:
-            return self.strings[value : self.strings.index(b"\0", value)], length
-        lead = data[at]
-        length = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        return data[at : at + length], length
-
-    def __call__(self, data: bytes) -> tuple[bytes, list[int]]:
+        return (self.strings[value : self.strings.index(b"\0", value)], length) if length else None
+
+    def mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes after the map; for each its source, the place of its unit, and whether it is a blank at the unit's front.
+
+        A unit is a replacement, or a byte that stands for itself.
+        """
+        raw = np.frombuffer(data, np.uint8)
+        parts, sources, units, at, length = [], [], [], 0, 0
+
+        def copy(stop: int) -> None:
+            nonlocal length
+            if stop > at:
+                parts.append(raw[at:stop])
+                sources.append(np.arange(at, stop))
+                units.append(np.arange(length, length + stop - at))
+                length += stop - at
+
+        for place in np.flatnonzero(self.begins[raw]).tolist():
+            found = self.replacement(data, place) if place >= at else None
+            if found:
+                copy(place)
+                new = np.frombuffer(found[0], np.uint8)
+                parts.append(new)
+                sources.append(np.full(len(new), place))
+                units.append(np.full(len(new), length))
+                length, at = length + len(new), place + found[1]
+        copy(len(data))
+        if not parts:
+            return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        out, source, unit = np.concatenate(parts), np.concatenate(sources), np.concatenate(units)
+        blank = out == 32
+        others = np.cumsum(~blank)  # blanks at the front of a unit have none of it before them
+        return out, source, unit, blank & (others == others[unit] - ~blank[unit])
+
+    def aligned(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """Bytes after the map, blanks written as the model's space, and the source byte of each and of the end."""
+        out, source, *_ = self.mapped(data)
+        return self.spelled(out, source, len(data))
+
+    def spelled(self, out: np.ndarray, source: np.ndarray, end: int) -> tuple[bytes, np.ndarray]:
+        return out.tobytes().replace(b" ", self.space), np.append(np.repeat(source, np.where(out == 32, len(self.space), 1)), end)
+
+    def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end its source offset."""
-        out, source, at = bytearray(), [], 0
+        out, source, unit, front = self.mapped(data)
         if self.squeeze:
-            while at < len(data):
-                new, length = self.step(data, at)
-                if new != b" ":
-                    break
-                at += length
-        if at >= len(data):
-            return b"", [at]
-
-        def put(piece: bytes) -> None:
-            out.extend(piece)
-            source.extend([at] * len(piece))
-
+            if not len(out) or (front & (unit == np.arange(len(out)))).all():
+                return b"", np.array([len(data)])  # nothing but blanks
+            again = front & ((unit == 0) | (out[unit - 1] == 32))
+            out, source = out[~again], source[~again]
+        elif not data:
+            return b"", np.array([0])
+        first = source[:1] if self.squeeze else np.zeros(1, np.int64)
+        text, at = self.spelled(out, source, len(data))
         if self.dummy_prefix and not self.as_suffix:
-            put(self.space)
-        after_space = self.squeeze
-        while at < len(data):
-            new, length = self.step(data, at)
-            if after_space:
-                new = new.lstrip(b" ")
-            if new:
-                put(new.replace(b" ", self.space))
-                after_space = self.squeeze and new.endswith(b" ")
-            at += length
+            text, at = self.space + text, np.concatenate([np.repeat(first if len(first) else at[:1], len(self.space)), at])
         if self.squeeze:
-            while out.endswith(self.space):
-                at = source[len(out) - len(self.space)]
-                del out[-len(self.space) :], source[len(out) :]
+            while text.endswith(self.space):
+                text, at = text[: -len(self.space)], at[: -len(self.space)]
         if self.dummy_prefix and self.as_suffix:
-            put(self.space)
-        source.append(at)
-        return bytes(out), source
+            text, at = text + self.space, np.append(at, np.repeat(at[-1:], len(self.space)))
+        return text, at
 
 
 class PieceModel:
@@ -192,8 +227,7 @@ class PieceModel:
             proto = self.library.encode(text, out_type="proto")
             width = np.array([w if w >= 0 else len(p.piece.encode()) for w, p in zip(width.tolist(), proto.pieces, strict=True)])
         ends = np.cumsum(width)
-        at = np.array(source)
-        return ids, at[ends - width].tolist(), at[ends].tolist()
+        return ids, source[ends - width].tolist(), source[ends].tolist()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Offsets into ids, ids, span starts and span ends, for all texts one after the other."""
@@ -222,10 +256,9 @@ class PieceModel:
         counts = np.diff(first)
         # spans within the distinct segments, all of them laid end to end
         size = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw = np.frombuffer("".join(distinct).encode(), np.uint8)
-        reach = np.cumsum(np.where(raw == 32, len(SPACE), 1))
-        ends = np.searchsorted(reach, np.cumsum(self.width[ids]), side="right")
-        begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        _, source = self.normaliser.aligned("".join(distinct).encode())
+        upto = np.cumsum(self.width[ids])
+        begins, ends = source[upto - self.width[ids]], source[upto]
         start = np.repeat(np.cumsum(size) - size, counts)
         ends, begins = ends - start, begins - start
         # spread to the texts

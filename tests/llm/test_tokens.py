@@ -61,7 +61,59 @@ def test_normaliser_equals_the_library():
             text = "".join(rng.choice("ＡＢ①  　xé中ﬁ́e​\ttA½カﾞ") for _ in range(rng.randint(0, 9)))
             out, source = own(text.encode())
             assert out.decode() == library.normalize(text)
-            assert len(source) == len(out) + 1 and sorted(source) == source
+            assert len(source) == len(out) + 1 and (np.diff(source) >= 0).all()
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out += bytes([n & 127 | 128])
+        n >>= 7
+    return out + bytes([n])
+
+
+@pytest.fixture(scope="module")
+def mapped_model(tmp_path_factory):
+    """The public pieces behind a real character map, with and without the removal of blanks."""
+    import sentencepiece
+
+    plain = pieces.PieceModel(queries.tokenizer_file("piece_bpe_32k.model")).library.serialized_model_proto()
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf").serialized_model_proto()
+    spec = next(v for f, v in pieces.wire_fields(rule) if f == 3)
+    paths = []
+    for squeeze in (0, 1):
+        fields = [(f, spec + b"\x18\x01\x20" + bytes([squeeze]) if f == 3 else v) for f, v in pieces.wire_fields(plain)]
+        path = tmp_path_factory.mktemp("models") / f"mapped{squeeze}.model"
+        path.write_bytes(b"".join(bytes([f << 3 | 2]) + varint(len(v)) + v for f, v in fields))
+        paths.append(str(path))
+    return paths
+
+
+def test_a_real_character_map_through_the_operator(spark, mapped_model):
+    """Ids, decoded texts and spans where longest prefixes of the map replace several bytes at once."""
+    rng = random.Random(6)
+    found = ["".join(rng.choice("ＡＢ①  　xé中ﬁ́e​\ttA½カﾞ the") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["ﬁne ½ カﾞ", "  a  ", "", " "]
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(found)], "doc_id long, text string, n_tokens string, ids int")
+    for path in mapped_model:
+        m = pieces.model(path)
+        assert m.normaliser.trie and not m.cuttable
+        out = {r.doc_id: r for r in pieces.encode_pieces(docs, path, keep=["doc_id"]).collect()}
+        for k, text in enumerate(found):
+            r, data = out[k], text.encode()
+            assert r.ids == m.library.encode(text) and r.decoded == (m.library.decode(r.ids) if r.ids else "")
+            assert all(0 <= b <= e <= len(data) for b, e in zip(r.begins, r.ends)) and r.begins == sorted(r.begins) and r.begins[1:] == r.ends[:-1]
+            for b, e, piece in zip(r.begins, r.ends, m.library.id_to_piece(r.ids) if r.ids else []):  # a whole span normalises to its piece
+                whole = data[b:e].decode("utf-8", "ignore")
+                inside = data[e:].decode("utf-8", "ignore")[:1] in ("ﬁ", "½")  # a piece may end within what replaces these
+                if whole.encode() == data[b:e] and whole.isascii() and whole.strip() and not inside and not piece.startswith("<0x"):
+                    assert m.library.normalize(whole).lstrip("▁") == piece.lstrip("▁")
+
+
+def test_spans_of_single_bytes():
+    model = pieces.PieceModel(queries.tokenizer_file("piece_bpe_32k.model"))
+    text = "a 𓀀b"  # no piece holds the sign, so its bytes are pieces
+    offsets, ids, begins, ends = model.encode(pa.array([text], pa.large_string()))
+    assert list(zip(begins.tolist(), ends.tolist())) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7)] and ids.tolist() == model.library.encode(text)
 
 
 def test_batches_follow_bytes():
