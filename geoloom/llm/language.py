@@ -51,23 +51,31 @@ class LanguageModel:
 
     def columns(self, text: str) -> np.ndarray:
         """Columns of the text's n-grams, sorted, once each; those no landmark holds have none."""
+        return self.look(text)[0]
+
+    def look(self, text: str) -> tuple[np.ndarray, float]:
+        """The columns, and the share of the text's n-grams that have one (each as often as it stands)."""
         points = code_points(text)
         width = sum(map(len, self.grams))
-        found = []
-        for start in range(0, len(points), CHUNK):  # chunks overlap by the longest n-gram
+        found, known, total = [], 0, 0
+        for start in range(0, len(points), CHUNK):  # n-grams that begin in the chunk
             base = 0
             for grams, places, codes in zip(self.grams, self.places, gram_codes(self.alphabet, points[start : start + CHUNK + ORDERS - 1]), strict=True):
+                codes = codes[:CHUNK]
                 if places is not None:
                     place = places[codes]
                     place = place[place >= 0]
                 else:
                     place = np.minimum(np.searchsorted(grams, codes), max(len(grams) - 1, 0))
                     place = place[grams[place] == codes] if len(grams) else place[:0]
+                known, total = known + len(place), total + len(codes)
                 found.append(distinct(place, len(grams)) + base)
                 base += len(grams)
         if len(found) <= ORDERS:
-            return np.concatenate(found) if found else np.zeros(0, np.int64)
-        return distinct(np.concatenate(found), width)
+            own = np.concatenate(found) if found else np.zeros(0, np.int64)
+        else:
+            own = distinct(np.concatenate(found), width)
+        return own, known / max(total, 1)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """Texts x n-grams, true where the text holds the n-gram."""
@@ -78,13 +86,17 @@ class LanguageModel:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts x labels, the regression values."""
-        out = np.zeros((len(texts), len(self.labels)))
-        for row, text in zip(out, texts, strict=True):
-            own = self.columns(text)
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The scores, and the share of n-grams of each text that landmarks hold."""
+        out, familiar = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
+        for i, (row, text) in enumerate(zip(out, texts, strict=True)):
+            own, familiar[i] = self.look(text)
             for k in range(0, len(own), ROWS):
                 row += self.weights[own[k : k + ROWS]].sum(0, dtype=np.float64)
             row /= np.sqrt(max(len(own), 1))
-        return out
+        return out, familiar
 
 
 def code_points(text: str) -> np.ndarray:
@@ -206,10 +218,14 @@ def fit_languages(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id",
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", keep: list[str] | None = None, batch_bytes: int = seg.BATCH_BYTES) -> DataFrame:
-    """`keep` columns with lang_pred and score. Map-only."""
-    made = ("lang_pred", "score")
+    """`keep` columns with lang_pred, score and familiar. Map-only.
+
+    `familiar` is the share of the text's n-grams that landmarks hold: near 1 for
+    learned languages, near 0 for scripts that were never seen.
+    """
+    made = ("lang_pred", "score", "familiar")
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in made]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("familiar", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +234,13 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
         for batch in seg.byte_balanced(batches, text_col, batch_bytes):
             texts = seg.large_text(batch.column(text_col)).to_pylist()
             labels, scores = [], []
-            values = m.scores(texts) if m.labels else np.zeros((len(texts), 1))
+            values, familiar = m.judged(texts) if m.labels else (np.zeros((len(texts), 1)), np.zeros(len(texts)))
             best = values.argmax(1)
             for text, b, v in zip(texts, best.tolist(), values[np.arange(len(texts)), best].tolist(), strict=True):
                 known = bool(m.labels) and has_letter(text)
                 labels.append(m.labels[b] if known else UNKNOWN)
                 scores.append(min(1.0, max(0.0, float(v))) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, *made])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar)], [*keep, *made])
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 

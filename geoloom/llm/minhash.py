@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import segments as seg
 from . import wordhash as wh
 from .components import components, splittable
-from .storage import materialise
+from .storage import materialise, scratch
 
 #: Rows of a block of a small part, most blocks before blocks grow, rows and bytes of a block at most.
 BLOCK_ROWS, FEW_BLOCKS, MOST_ROWS, MOST_BYTES = 128, 16, 2_048, 16 << 20
@@ -221,7 +221,16 @@ def verify_units(threshold: float, n: int):
 
 
 def near_duplicates(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9998, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), n_links (documents it is similar to), n_copies (of its own words)."""
+    """doc_id, class_id (smallest doc_id of the class), n_links (documents it is similar to), n_copies (of its own words).
+
+    The result is a written table; all others are deleted.
+    """
+    with scratch(docs.sparkSession):
+        return materialise(joined(docs, n, threshold, recall, id_col, text_col), "near", last=True)
+
+
+def joined(docs: DataFrame, n: int, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """The join of `near_duplicates`, step by step."""
     bands, rows = bands_for(threshold, recall)
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     signed = materialise(sign(base, n, bands, rows), "signatures")

@@ -89,8 +89,25 @@ def piece_digests(results: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
+
+
 def piece_results(docs: DataFrame) -> DataFrame:
-    return pieces.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"], derive=piece_digests, derived="n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
+    return pieces.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"], derive=piece_digests, derived=DIGESTS)
+
+
+ENCODED = "ids array<int>, begins array<int>, ends array<int>"
+
+
+def encoded_with_digests(results: pa.RecordBatch) -> pa.RecordBatch:
+    """Ids and spans beside the digests."""
+    digests = piece_digests(results)
+    lists = [results.column(c).cast(pa.list_(pa.int32())) for c in ("ids", "begins", "ends")]
+    return pa.RecordBatch.from_arrays([*lists, *digests.columns], ["ids", "begins", "ends", *digests.schema.names])
+
+
+def encoded_pieces(docs: DataFrame) -> DataFrame:
+    return pieces.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id"], derive=encoded_with_digests, derived=f"{ENCODED}, {DIGESTS}")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

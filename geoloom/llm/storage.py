@@ -1,22 +1,30 @@
 """Places that the driver and every executor can see.
 
-On a cluster the only such place is the folder named by `spark.checkpoint.dir`;
-a temporary folder of its own is used only where that setting is absent (tests).
+On a cluster the only such place is the folder named by `spark.checkpoint.dir`.
+Without that setting a local master (tests) gets a temporary folder; any other
+master is refused, since a folder of one machine is no place to cut lineage.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_HERE = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder, from the session's `spark.checkpoint.dir`."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/geoloom-shared-{os.getuid()}"
     return path.rstrip("/")
 
@@ -26,12 +34,35 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/geoloom/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def scopes() -> list[list[str]]:
+    if not hasattr(_HERE, "scopes"):
+        _HERE.scopes = []
+    return _HERE.scopes
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes in this block are deleted at its end, but for those with `last`."""
+    own: list[str] = []
+    scopes().append(own)
+    try:
+        yield
+    finally:
+        scopes().remove(own)
+        for path in own:
+            discard(spark, path)
+
+
+def materialise(df: DataFrame, tag: str, *, last: bool = False) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    `last` leaves the table to the scratch block around this one, if there is one.
     """
     path = new_path(df.sparkSession, tag)
+    blocks = scopes()[:-1] if last else scopes()
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._geoloom_path = path

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, scratch
 
 #: Candidates in a shard, vectors in a leaf, vectors in the pilot sample, regions of a vector length.
 SHARD_ROWS, LEAF_ROWS, PILOT_ROWS, REGIONS = 16_384, 256, 4_096, 128
@@ -294,8 +294,14 @@ def exact_top_k(df: DataFrame, is_query: Column, *, k: int = 20, id_col: str = "
     `is_query` marks the rows that ask; every row is a candidate. All tasks get the
     splits and balls of the regions (`REGIONS` for each of `LENGTHS` lengths at
     most). Candidates and queries meet in groups of at most about `shard_rows` and
-    `query_rows` rows.
+    `query_rows` rows. The result is a written table; all others are deleted.
     """
+    with scratch(df.sparkSession):
+        return materialise(searched(df, is_query, k, id_col, vec_col, scale, shard_rows, query_rows), "top_k", last=True)
+
+
+def searched(df: DataFrame, is_query: Column, k: int, id_col: str, vec_col: str, scale: int, shard_rows: int, query_rows: int) -> DataFrame:
+    """The search of `exact_top_k`, round by round."""
     vectors = quantised(df, id_col, vec_col, scale)
     sizes = vectors.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
     regions: dict[int, Regions] = {}

@@ -43,12 +43,23 @@ def test_odd_rows(spark):
     docs = docs_of(spark, rows)
     model = language.fit_languages(docs, queries.learnable())
     out = language.identify_languages(docs, model)
-    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "familiar"]
     by_id = {r.doc_id: r for r in out.collect()}
     assert [by_id[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and by_id[1000].score == 0
     assert by_id[1003].lang_pred == "en" and by_id[None].lang_pred == "de" and by_id[1004].lang_pred in model.labels
 
 
+def test_familiar_is_the_share_of_known_grams(monkeypatch):
+    texts = [r[1] for r in make(30)]
+    model = language.fit(texts, [r[2] for r in make(30)], landmarks=30)
+    known = {t[k : k + n] for n in (1, 2, 3) for t in texts for k in range(len(t) - n + 1)}
+    for chunk in (language.CHUNK, 5):
+        monkeypatch.setattr(language, "CHUNK", chunk)
+        for text in (texts[3], "Это русский текст", "the zzz über", "", "Ж"):
+            grams = [text.lower()[k : k + n] for n in (1, 2, 3) for k in range(len(text) - n + 1)]
+            assert abs(model.look(text)[1] - sum(g in known for g in grams) / max(len(grams), 1)) < 1e-12
+
+
 def test_nothing_to_learn(spark):
     docs = docs_of(spark, [(1, "text", None, "s")])
     model = language.fit_languages(docs, queries.learnable())

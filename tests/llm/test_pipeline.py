@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -25,6 +26,39 @@ def test_stages_keep_clean_documents(spark):
     assert corpus_pipeline.run(spark, SF).count() == clean.count()
 
 
+def test_languages_decide(spark):
+    """Wanted languages, unknown scripts, encoded data and a missing label."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    more = [(10_001, "Это русский текст, которого модель не видела. " * 5, "ru"), (10_002, "这是一个没有学过的文字系统 " * 40, None), (10_003, docs.where("lang = 'de'").first().text, None)]
+    rows = [tuple(r) for r in docs.collect()] + more
+    both = spark.createDataFrame(rows, docs.schema)
+    learned = both.where("doc_id <> 10001")  # a label of one long text would be learned
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, learned, SF).collect()} == {i for i, *_ in rows if i < 10_001} | {10_003}
+    german = corpus_pipeline.language_id(spark, learned, SF, languages=("de",)).collect()
+    assert {r.lang for r in german} == {"de"} and 10_003 in {r.doc_id for r in german}
+    unseen = spark.createDataFrame([(i, t, None if i == 10_001 else g) for i, t, g in rows], docs.schema)
+    assert 10_001 not in {r.doc_id for r in corpus_pipeline.language_id(spark, unseen, SF).collect()}
+
+
+def test_empty_tables_long_texts_and_repeats(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    long = " ".join(f"wort{k % 977} und" for k in range(60_000))
+    three = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 3 != 1)
+    short = "Der Tag und die Nacht und das Wort"
+    rows = [(1, long, "de"), (1, long, "de"), (2, long + " mehr", "de"), (three, short, "de"), (three, short, "de"), (4, None, "de"), (5, "", None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_id(spark, odd, SF)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 1, 2, three, three]
+    kept = corpus_pipeline.ngram_jaccard(spark, odd, SF)
+    assert sorted((r.doc_id, len(r.text or "")) for r in kept.collect()) == [(1, len(long)), (4, 0), (three, len(short))]
+    clean = corpus_pipeline.decontamination(spark, odd, SF)
+    assert clean.count() == len(rows)
+    pieces = {r.doc_id: r for r in corpus_pipeline.piece_encoding(spark, odd, SF).collect()}
+    assert pieces[4].ids == [] and len(pieces[1].ids) == pieces[1].n_tokens and pieces[1].ends[-1] == len(long)
+
+
 def test_columns_with_the_names_of_results(spark):
     rows = [(1, "The first text of all", "en", "a", 1), (2, None, "en", "b", 2), (3, "123", "en", "c", 3), (None, "one more text", "en", "d", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, items int").withColumn("contaminated", docs_flag())
