@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import language, minhash, queries, tiling
-from geoloom.llm.storage import materialise
+from geoloom.llm.storage import discard, materialise
+
+#: Languages that stay; None: all that the model has learned.
+LANGUAGES: tuple[str, ...] | None = None
+#: A document stays if the model has seen at least this share of its character n-grams.
+#: Text in learned languages has 0.75 or more of them, other scripts 0.1 or less.
+LEAST_FAMILIAR = 0.4
 
 
 def plain(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -19,12 +25,22 @@ def plain(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.toDF(*names), names[docs.columns.index("text")]
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; null texts and texts without a letter go."""
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, *, languages: tuple[str, ...] | None = LANGUAGES, least_familiar: float = LEAST_FAMILIAR) -> DataFrame:
+    """Documents whose predicted language is wanted; a null `lang` becomes the prediction.
+
+    Null texts, texts without a letter and texts of which the model has seen too
+    few n-grams have no known language and go. Rows that repeat are judged alike;
+    an empty table gives no rows, and so does one without a row to learn from.
+    """
     model = language.fit_languages(docs, queries.learnable())
     own, text = plain(docs)
     found = language.identify_languages(own, model, text_col=text)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(own.columns).toDF(*docs.columns)
+    stays = (F.col("lang_pred") != language.UNKNOWN) & (F.col("familiar") >= least_familiar)
+    if languages is not None:
+        stays = stays & F.col("lang_pred").isin(*languages)
+    label = own.columns[docs.columns.index("lang")]
+    kind = own.schema[label].dataType
+    return found.where(stays).withColumn(label, F.coalesce(label, F.col("lang_pred").cast(kind))).select(own.columns).toDF(*docs.columns)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +49,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows without a doc_id stay. Rows with the same doc_id and different texts are
     different documents, in the order of their texts' SHA-256; of rows that repeat
     both (null text: empty) the one stays that sorts first by its columns from
-    left to right.
+    left to right. Texts of any length count whole; an empty table gives no rows.
     """
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         extra = minhash.near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
@@ -54,15 +70,23 @@ def number_documents(own: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item to the threshold."""
+    """Documents that hold no benchmark item to the threshold.
+
+    Null and empty texts hold none and stay, as do rows that repeat; very long
+    texts are looked through whole. An empty table gives no rows.
+    """
     own, text = plain(docs)
     found = tiling.find_contamination(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text_col=text)
     return found.where("not contaminated").select(own.columns).toDF(*docs.columns)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every document left, as digests."""
-    return queries.piece_results(docs)
+    """doc_id, ids with their byte spans in the text, n_tokens and digests of ids and decoded text.
+
+    A null text is an empty one, without ids. Rows that repeat are encoded alike;
+    very long texts whole; an empty table gives no rows.
+    """
+    return queries.encoded_pieces(docs)
 
 
 STAGES = [
@@ -80,7 +104,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, "stage")
+            discard(spark, before)  # the table of the stage before, if it was one
     return docs
