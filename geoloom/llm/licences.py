@@ -1,38 +1,43 @@
 """License scans by exact set-similarity join, in DataFrame operations.
 
-Every text is cut into blocks of words that overlap by half, the half as long as
-the longest template, so a passage of a template's length lies whole in one. A
+A template is a license wording of any length, a row of (label, text). Every text
+is cut, for each template it may hold, into blocks of twice the template's words
+that overlap by half, so a passage of the template's length lies whole in one. A
 block meets a template when it holds at least `threshold` of the template's
 distinct words (containment). The templates' words are ranked by the number of
 documents that hold them, rarest first:
 
 * prefix filter: of a template with n distinct words, a block that holds
-  ceil(threshold * n) of them holds one of the n - ceil(threshold * n) + 1 rarest,
-  so only blocks with such a word are candidates;
-* positional filter: at the first shared prefix word, the words that follow in
-  the template's order bound what can still be shared;
-* length filter: a block needs ceil(threshold * n) distinct words at least.
-
-Candidates are verified on whole sets. The templates are a parameter of fixed
-size, so they are literals of the plan: no shuffle but the one that counts words.
-The first pass over the texts keeps only those that hold enough of a template's
-words at all (the length filter over the whole text).
+  need = ceil(threshold * n) of them holds one of the n - need + 1 rarest; these
+  make an inverted index, and documents are joined to it by the words they hold;
+* length filter: a text needs `need` words, and a block `need` distinct words of
+  the templates, at least;
+* positional filter: with the first shared word at place p of the template and q of
+  the block (both in rank order), no more than 1 + min(n - p, m - q) can be shared.
+
+What passes is verified on whole sets. Only words of documents that hold a prefix
+word are ever shuffled, keyed by (row, template, block), a group of bounded size.
+The index is joined by Spark's own choice: broadcast if its measured size allows,
+else by a shuffle whose hot words are split. Texts are read twice: to count words,
+and to scan.
 
 Beside it, each place where a phrase's words stand one after the other counts as
 a base match. Words: A-Z folded, then runs of the pattern `WORD`. Null texts are
-empty. Rows that repeat a doc_id each get a row. An empty table gives no rows.
+empty. Rows that repeat a doc_id each get a row; words that are equally rare rank
+by spelling. Very long texts only make more blocks. Other columns, whatever their
+names, are not read. An empty table gives no rows; without templates only base
+matches are found.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .licence_texts import TEMPLATES
+from .storage import materialise, scratch
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_RE = re.compile(WORD)
@@ -44,28 +49,6 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: label -> template text, wordings by which licenses are named in public notices.
-TEMPLATES = {
-    "gpl-3": "this work is licensed under the gnu general public license version 3",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "apache-2": "licensed under the apache license version 2.0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2.0",
-    "cc-by-nc": "licensed under the creative commons attribution noncommercial license cc by nc 4.0",
-}
-
-
-@dataclass
-class Template:
-    label: str
-    words: list[str]  #: distinct, rarest first
-    need: int
-    prefix: list[str] = field(init=False)
-
-    def __post_init__(self):
-        self.prefix = self.words[: len(self.words) - self.need + 1]
-
-
 def folded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -75,10 +58,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
 
-def template_words(text: str) -> list[str]:
-    return list(dict.fromkeys(WORD_RE.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))))
-
-
 def phrase_starts(words: str, phrase: str) -> Column:
     """Places (from 0) where the phrase's words stand consecutively."""
     parts = phrase.split(" ")
@@ -88,56 +67,89 @@ def phrase_starts(words: str, phrase: str) -> Column:
     return F.when(F.array_contains(w, parts[-1]) & F.array_contains(w, parts[0]), F.filter(places, ok)).otherwise(F.array().cast("array<int>"))
 
 
-def need_of(n: int, threshold: float) -> int:
-    return max(1, math.ceil(threshold * n - 1e-9))
+def templates_in(spark: SparkSession, folder: str) -> DataFrame:
+    """label and text of every text file in a folder; the label is the file's name without its ending."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt|\.md)?$", 1)
+    return spark.read.text(folder, wholetext=True).select(name.alias("label"), F.col("value").alias("text"))
+
+
+def parsed(templates: DataFrame) -> DataFrame:
+    """template, label, half (words with repeats) and word: a row a distinct word; templates without words have none."""
+    words = templates.where(F.col("label").isNotNull()).select("label", words_of(folded(F.col("text"))).alias("w")).distinct()
+    numbered = words.where(F.size("w") > 0).select(F.xxhash64("label", "w").alias("template"), "label", F.size("w").alias("half"), "w")
+    return numbered.select("template", "label", "half", F.explode(F.array_distinct("w")).alias("word"))
+
+
+def within(words: str, vocabulary: list[str]) -> Column:
+    """The words of an array that are in a vocabulary, by one hash set for all rows; words hold no quotes."""
+    listed = ", ".join(f"'{w}'" for w in vocabulary) or "''"
+    return F.array_distinct(F.expr(f"filter({words}, w -> w in ({listed}))"))
 
 
-def literal_array(words: list[str]) -> Column:
-    return F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
+def indexed(spelled: DataFrame, counts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(word, rank) of the vocabulary, and templates with ranks (rarest first), n and need.
 
+    The window over the vocabulary is one of the templates' words, whatever the documents' size.
+    """
+    vocabulary = spelled.select("word").distinct().join(counts, "word", "left")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.coalesce("n_docs", F.lit(0)), "word")
+    ranked = vocabulary.select("word", F.row_number().over(order).alias("rank"))
+    sets = spelled.join(ranked, "word").groupBy("template", "label", "half").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
+    n = F.size("ranks")
+    return ranked, sets.withColumn("n", n).withColumn("need", F.greatest(F.lit(1), F.ceil(n * threshold - 1e-9).cast("int")))
 
-def block_score(block: Column, template: Template) -> Column:
-    """Containment of a block (its template words, rarest first) in a template; 0 below the threshold."""
-    n, prefix = len(template.words), literal_array(template.prefix)
-    shared_prefix = F.array_intersect(prefix, block)
-    first = F.array_position(prefix, F.get(shared_prefix, F.lit(0)))  # from 1
-    place = F.array_position(block, F.get(shared_prefix, F.lit(0)))
-    bound = F.lit(1) + F.least(F.lit(n) - first, F.size(block) - place)
-    shared = F.size(F.array_intersect(literal_array(template.words), block))
-    passes = (F.size(block) >= template.need) & (F.size(shared_prefix) > 0) & (bound >= template.need)
-    return F.when(passes & (shared >= template.need), shared / F.lit(float(n))).otherwise(F.lit(0.0))
 
+def scan_licences(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: DataFrame | list[tuple[str, str]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label and containment of the best block).
 
-def best_block(template: Template) -> Column:
-    return F.coalesce(F.array_max(F.transform("blocks", lambda block: block_score(block, template))), F.lit(0.0))
+    The result is a written table; all others are deleted.
+    """
+    spark = docs.sparkSession
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(TEMPLATES if templates is None else templates, "label string, text string")
+    with scratch(spark):
+        return materialise(scanned(docs, phrases, templates, threshold, id_col, text_col), "licences", last=True)
 
 
-def scan_licences(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label and containment of the best block)."""
-    parsed = {label: template_words(text) for label, text in templates.items()}
-    vocabulary = sorted({w for ws in parsed.values() for w in ws})
-    half = max((len(WORD_RE.findall(t.lower())) for t in templates.values()), default=1)
+def scanned(docs: DataFrame, phrases: dict[str, str], templates: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """The join of `scan_licences`, step by step."""
     words = docs.select(F.col(id_col).alias("doc_id"), words_of(folded(F.col(text_col))).alias("words"))
-    held = F.array_intersect(literal_array(vocabulary), F.col("words"))
-    first = words.select("doc_id", F.size("words").cast("long").alias("n_words"), held.alias("held"), *(phrase_starts("words", p).alias(f"p{k}") for k, p in enumerate(phrases)), "words")
-    enough = F.lit(False)
-    for ws in parsed.values():
-        enough = enough | (F.size(F.array_intersect(literal_array(ws), F.col("held"))) >= need_of(len(ws), threshold))
-    first = materialise(first.select("doc_id", "n_words", "held", *(f"p{k}" for k in range(len(phrases))), F.when(enough, F.col("words")).alias("words")), "licences")
-    counts = {r["w"]: r["n"] for r in first.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    ordered = [Template(label, sorted(ws, key=ranked.index), need_of(len(ws), threshold)) for label, ws in parsed.items()]
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - F.lit(half + 1), F.lit(0)), F.lit(half))
-    blocks = F.transform(starts, lambda at: F.array_intersect(literal_array(ranked), F.slice(F.col("words"), at + 1, F.lit(2 * half))))
-    found = first.withColumn("blocks", F.when(F.col("words").isNotNull(), blocks))
-    scored = F.array(*(F.struct(F.lit(t.label).alias("label"), best_block(t).alias("containment")) for t in ordered))
-    scored = F.when(F.col("blocks").isNotNull(), F.filter(scored, lambda m: m["containment"] > 0)).otherwise(F.array().cast("array<struct<label:string,containment:double>>"))
-    places = F.concat(*(F.col(f"p{k}") for k in range(len(phrases))))
-    base = F.array_compact(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values()))))
-    named = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    found = found.select("doc_id", "n_words", places.alias("places"), base.alias("base"), scored.alias("matches"))
-    return found.select(
+    spelled = materialise(parsed(templates), "templates")
+    vocabulary = sorted(r["word"] for r in spelled.select("word").distinct().collect())  # bounded by the templates
+    counts = materialise(words.select(F.explode(within("words", vocabulary)).alias("word")).groupBy("word").agg(F.count("*").alias("n_docs")), "counts")
+    ranked, sets = (materialise(x, tag) for x, tag in zip(indexed(spelled, counts, threshold), ("ranks", "sets"), strict=True))
+    prefixes = sets.select("template", "need", F.explode(F.slice("ranks", F.lit(1), F.col("n") - F.col("need") + 1)).alias("rank")).join(ranked, "rank").select("word", "template", "need")
+    rare = sorted(r["word"] for r in prefixes.select("word").distinct().collect())
+
+    named = [f"p{k}" for k in range(len(phrases))]
+    scan = words.select("doc_id", F.size("words").alias("n_words"), *(phrase_starts("words", p).alias(n) for n, p in zip(named, phrases, strict=True)), within("words", rare).alias("rare"), "words")
+    scan = scan.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", *named, "rare", F.when(F.size("rare") > 0, F.col("words")).alias("words"))
+    scan = materialise(scan, "scan")
+
+    pairs = scan.select("row", "n_words", F.explode("rare").alias("word")).join(prefixes, "word").where("n_words >= need").select("row", "n_words", "template").distinct()
+    pairs = pairs.join(sets, "template").select("row", "n_words", "template", "half")
+    tokens = scan.where("words is not null").select("row", F.posexplode("words").alias("at", "word")).join(ranked, "word").select("row", "at", "rank")
+    last = F.floor(F.greatest(F.col("n_words") - F.col("half") - 1, F.lit(0)) / F.col("half")).cast("int")
+    mine = F.floor(F.col("at") / F.col("half")).cast("int")  # the two blocks over a word
+    held = pairs.join(tokens, "row").select("row", "template", "rank", F.explode(F.array_distinct(F.array(F.least(mine, last), F.least(F.greatest(mine - 1, F.lit(0)), last)))).alias("block"), (F.col("at")).alias("at"), "half")
+    held = held.where((F.col("at") >= F.col("block") * F.col("half")) & (F.col("at") < (F.col("block") + 2) * F.col("half")))
+    blocks = held.groupBy("row", "template", "block").agg(F.array_sort(F.collect_set("rank")).alias("own"))  # at most 2 * half ranks
+    met = blocks.join(sets, "template")
+    first = F.get(F.array_intersect(F.slice("ranks", F.lit(1), F.col("n") - F.col("need") + 1), F.col("own")), F.lit(0))
+    met = met.where(F.size("own") >= F.col("need")).withColumn("first", first).where("first is not null")
+    met = met.where(1 + F.least(F.col("n") - F.array_position("ranks", F.col("first")), F.size("own") - F.array_position("own", F.col("first"))) >= F.col("need"))
+    shared = F.size(F.array_intersect("ranks", "own"))
+    found = met.withColumn("shared", shared).where("shared >= need").groupBy("row", "label").agg(F.max(F.col("shared") / F.col("n").cast("double")).alias("containment"))
+    matches = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("label", "containment"))).alias("matches"))  # a label each
+
+    no_places, no_labels = F.array().cast("array<int>"), F.array().cast("array<string>")
+    places = F.concat(no_places, *(F.col(n) for n in named))
+    base = F.concat(no_labels, F.array_compact(F.array(*(F.when(F.size(n) > 0, F.lit(label)) for n, label in zip(named, phrases.values(), strict=True)))) if named else no_labels)
+    rows = scan.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), places.alias("places"), base.alias("base")).join(matches, "row", "left")
+    rows = rows.withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<label:string,containment:double>>")))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return rows.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        named(F.col("base")).alias("base_labels"), named(F.concat("base", F.transform("matches", lambda m: m["label"]))).alias("labels"),
+        joined(F.col("base")).alias("base_labels"), joined(F.concat("base", F.transform("matches", lambda m: m["label"]))).alias("labels"),
         F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))).alias("score"), "matches",
     )

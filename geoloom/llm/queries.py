@@ -189,15 +189,16 @@ def op10_sql() -> str:
         parts = phrase.split(" ")
         same = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(parts))
         starts.append(f"SELECT doc_id, '{label}' AS label, i FROM d, unnest(range(0, greatest(len(w) - {len(parts) - 1}, 0))) u(i) WHERE {same}")
-    listed = ", ".join(f"('{label}', {licences.template_words(t)})" for label, t in licences.TEMPLATES.items())
-    half = max(len(licences.WORD_RE.findall(t.lower())) for t in licences.TEMPLATES.values())
+    words = [(label, licences.WORD_RE.findall(text)) for label, text in dict.fromkeys(licences.TEMPLATES)]
+    listed = ", ".join(f"('{label}', {list(dict.fromkeys(w))}, {len(w)})" for label, w in words)
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORDS}') AS w FROM documents),
 b AS ({" UNION ALL ".join(starts)}),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
-t AS (SELECT * FROM (VALUES {listed}) v(label, words)),
-blocks AS (SELECT doc_id, w[o + 1:o + {2 * half}] AS block FROM d, unnest(range(0, greatest(len(w) - {half} - 1, 0) + 1, {half})) u(o)),
-m AS (SELECT doc_id, label, max(len(list_intersect(words, block)) / CAST(len(words) AS DOUBLE)) AS c FROM blocks, t GROUP BY doc_id, label HAVING max(len(list_intersect(words, block)) / CAST(len(words) AS DOUBLE)) >= 0.8 - 1e-9),
+t AS (SELECT * FROM (VALUES {listed}) v(label, words, half)),
+likely AS (SELECT doc_id, w, label, words, half FROM d, t WHERE len(list_intersect(words, w)) >= 0.8 * len(words) - 1e-9),
+blocks AS (SELECT doc_id, label, words, w[o + 1:o + 2 * half] AS block FROM likely, unnest(range(0, greatest(len(w) - half - 1, 0) + 1, half)) u(o)),
+m AS (SELECT doc_id, label, max(len(list_intersect(words, block)) / CAST(len(words) AS DOUBLE)) AS c FROM blocks WHERE len(list_intersect(words, block)) >= 0.8 * len(words) - 1e-9 GROUP BY doc_id, label),
 a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS c FROM (SELECT doc_id, label, 1.0 AS c FROM b UNION ALL SELECT doc_id, label, c FROM m) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(c, 0) AS DOUBLE) AS score
