@@ -53,12 +53,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         extra = minhash.near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
-        return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+        return docs.join(extra.hint("merge"), "doc_id", "left_anti").select(docs.columns)  # ids grow with the data: no broadcast
     own, text = plain(docs)
     ident = own.columns[docs.columns.index("doc_id")]
     numbered = materialise(number_documents(own, ident, text), "numbered")
     extra = minhash.near_duplicates(numbered, id_col="_number", text_col=text).where("class_id <> doc_id").select(F.col("doc_id").alias("_number"))
-    kept = numbered.join(extra, "_number", "left_anti").select(own.columns)
+    kept = numbered.join(extra.hint("merge"), "_number", "left_anti").select(own.columns)
     return kept.unionByName(own.where(F.col(ident).isNull())).toDF(*docs.columns)
 
 
