@@ -7,9 +7,10 @@ Divisions by zero give NULL.
 from __future__ import annotations
 
 import math
-import re
+import operator
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,22 +112,36 @@ def valid_pixel(columns: Sequence[str], policy: QualityPolicy | None = None, *,
     return out
 
 
-def apply_quality(df: DataFrame, policy: QualityPolicy | None = None, *, value: str = "lst", uncertainty: str = "lst_uncertainty") -> DataFrame:
-    """Adds valid_mask; masks the value and its uncertainty only."""
-    out = df.withColumn("valid_mask", valid_pixel(df.columns, policy, value=value))
+def apply_quality(df: DataFrame, policy: QualityPolicy | None = None, *, value: str = "lst", uncertainty: str = "lst_uncertainty", keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """Adds valid_mask; masks the value and its uncertainty only.
+
+    A policy with a cloud buffer needs cells (keys, iy, ix): clouds grow by that many of them.
+    """
+    policy = policy or QualityPolicy()
+    cloud, rows = None, df
+    if policy.cloud_buffer > 0:
+        from ..operators.neighbourhood import grown
+
+        found = df.where(cloudy(df.columns, policy)).select(*keys, "iy", "ix")
+        near = grown(found, policy.cloud_buffer, keys).withColumn("_cloud", F.lit(True))
+        rows = df.join(near, [*keys, "iy", "ix"], "left")
+        cloud = F.coalesce("_cloud", F.lit(False))
+    out = rows.withColumn("valid_mask", valid_pixel(df.columns, policy, value=value, cloud=cloud)).drop("_cloud")
     return out.withColumns({c: F.when(F.col("valid_mask"), F.col(c)) for c in (value, uncertainty) if c in df.columns})
 
 
-def flag_mask(masks: Sequence[int], meanings: str, terms: Sequence[str] = ("cloud", "cirrus", "fog", "stratus")) -> int:
-    """OR of the masks whose meaning contains a term, whatever the case; 0 if the lists differ in length."""
-    names = meanings.split()
-    if len(names) != len(masks):
+#: Parts of a flag's meaning that speak of cloud. Fixed values.
+CLOUD_TERMS = ("cloud", "cirrus", "fog", "stratus")
+
+
+def flag_mask(masks: Sequence[int], meanings: str, terms: Sequence[str] = CLOUD_TERMS) -> int:
+    """The bits whose meaning holds one of the terms, whatever the case; none if masks and meanings don't pair up."""
+    bits = dict(enumerate(masks))
+    named = dict(enumerate(meanings.lower().split()))
+    if bits.keys() != named.keys():
         return 0
-    out = 0
-    for mask, name in zip(masks, names, strict=True):
-        if any(re.search(re.escape(t), name, re.I) for t in terms):
-            out |= int(mask)
-    return out
+    chosen = {int(bits[k]) for k, name in named.items() for term in terms if term.lower() in name}
+    return reduce(operator.or_, chosen, 0)
 
 
 def has_flag(flags: Column, mask: int) -> Column:

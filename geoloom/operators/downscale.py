@@ -1,18 +1,19 @@
 """Sharpening coarse temperature with fine predictors, scene by scene.
 
 Linear models are sums by scene (one shuffle of partial sums) and coefficients
-joined back, so scenes of any size fit and predict in parallel. Models that need
-a solver per scene run in `applyInPandas` with a scene as the unit.
+joined back, so scenes of any size fit and predict in parallel. Trees, kriging and
+weighted regression are in `trees.py`, `kriging.py` and `gwr.py`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,41 +25,42 @@ def usable(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)))
 
 
-def determinant(m: list[list[Column]]) -> Column:
-    """By cofactors; systems here have few unknowns."""
-    if len(m) == 1:
-        return m[0][0]
-    terms = [m[0][k] * determinant([[*r[:k], *r[k + 1 :]] for r in m[1:]]) * (-1 if k % 2 else 1) for k in range(len(m))]
-    return reduce(lambda a, b: a + b, terms)
-
-
 def fit_linear(training: DataFrame, target: str, predictors: Sequence[str], *, keys: Sequence[str] = ("scene",), min_samples: int = 100) -> DataFrame:
     """keys, samples, b0, b1.., residual_std (ddof 1), and lo/hi of each predictor, by least squares.
 
-    Centred sums solve the normal equations in closed form (up to four
-    predictors). Groups with too few samples or singular predictors have no row.
+    One aggregation gives means and covariances of each group; their systems, a row
+    a group, are solved in Arrow batches. Groups with too few samples or predictors
+    that depend on each other have no row.
     """
-    if not 1 <= len(predictors) <= 4:
-        raise ValueError("one to four predictors")
+    if not predictors:
+        raise ValueError("at least one predictor")
+    n = len(predictors)
+    x, y = [F.col(p).cast("double") for p in predictors], F.col(target).cast("double")
     rows = usable(training, [target, *predictors])
-    means = rows.groupBy(*keys).agg(F.count("*").alias("samples"), F.avg(target).alias("_my"), *(F.avg(p).alias(f"_m{k}") for k, p in enumerate(predictors)), *(f(p).alias(f"{n}{k}") for k, p in enumerate(predictors) for n, f in (("lo", F.min), ("hi", F.max)))).where(F.col("samples") >= min_samples)
-    joined = rows.join(means, list(keys)) if keys else rows.crossJoin(F.broadcast(means))
-    x = [F.col(p) - F.col(f"_m{k}") for k, p in enumerate(predictors)]
-    y = F.col(target) - F.col("_my")
-    n = len(x)
-    carried = ["samples", "_my", *(f"_m{k}" for k in range(n)), *(f"{e}{k}" for k in range(n) for e in ("lo", "hi"))]
-    sums = joined.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carried), *(F.sum(x[i] * x[j]).alias(f"_x{i}{j}") for i in range(n) for j in range(i, n)), *(F.sum(x[i] * y).alias(f"_y{i}") for i in range(n)), F.sum(y * y).alias("_yy"))
-    m = [[F.col(f"_x{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)]
-    scale = reduce(lambda a, b: a * b, (m[i][i] for i in range(n)))
-    det = determinant(m)
-    sums = sums.withColumn("_det", det).where((F.col("_det") > scale * 1e-12) & (scale > 0))
-    for k in range(n):
-        swapped = [[F.col(f"_y{i}") if j == k else m[i][j] for j in range(n)] for i in range(n)]
-        sums = sums.withColumn(f"b{k + 1}", determinant(swapped) / F.col("_det"))
-    b0 = reduce(lambda a, k: a - F.col(f"b{k + 1}") * F.col(f"_m{k}"), range(n), F.col("_my"))
-    sse = reduce(lambda a, k: a - F.col(f"b{k + 1}") * F.col(f"_y{k}"), range(n), F.col("_yy"))
-    std = F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("samples") - 1))
-    return sums.withColumn("b0", b0).withColumn("residual_std", std).select(*keys, "samples", "b0", *(f"b{k + 1}" for k in range(n)), "residual_std", *(f"{e}{k}" for k in range(n) for e in ("lo", "hi")))
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("samples"), F.avg(y).alias("my"), F.array(*map(F.avg, x)).alias("m"), F.var_pop(y).alias("yy"),
+        F.array(*(F.covar_pop(a, b) for a in x for b in x)).alias("xx"), F.array(*(F.covar_pop(a, y) for a in x)).alias("xy"),
+        *(f(p).alias(f"{name}{k}") for k, p in enumerate(predictors) for name, f in (("lo", F.min), ("hi", F.max))),
+    ).where(F.col("samples") >= min_samples)
+    ends = [f"{e}{k}" for k in range(n) for e in ("lo", "hi")]
+    kept = [*keys, "samples", "my", "m", "yy", "xy", *ends]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xx, xy = (np.array(batch.column(c).to_pylist(), float).reshape(batch.num_rows, n, -1) for c in ("xx", "xy"))
+            scale = np.sqrt(np.maximum(np.einsum("gii->gi", xx), 0.0))
+            outer = scale[:, :, None] * scale[:, None, :]
+            sound = (scale > 0).all(1)
+            sound[sound] = np.linalg.det(xx[sound] / outer[sound]) > 1e-12
+            b = np.zeros((batch.num_rows, n))
+            b[sound] = np.linalg.solve(xx[sound], xy[sound])[:, :, 0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(b.tolist(), pa.list_(pa.float64()))], [*kept, "b"]).filter(pa.array(sound))
+
+    schema = T.StructType([*(sums.schema[c] for c in kept), T.StructField("b", T.ArrayType(T.DoubleType()))])
+    out = sums.mapInArrow(solve, schema)
+    dot = lambda c: F.aggregate(F.zip_with("b", c, lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
+    std = F.sqrt(F.greatest(F.col("yy") - dot("xy"), F.lit(0.0)) * F.col("samples") / (F.col("samples") - 1))
+    return out.select(*keys, "samples", (F.col("my") - dot("m")).alias("b0"), *(F.get("b", F.lit(k)).alias(f"b{k + 1}") for k in range(n)), std.alias("residual_std"), *ends)
 
 
 def predict_linear(fine: DataFrame, model: DataFrame, predictors: Sequence[str], *, keys: Sequence[str] = ("scene",)) -> DataFrame:
@@ -127,17 +129,18 @@ def conserve_smooth(predicted: DataFrame, coarse: DataFrame, target: str, factor
 
 
 def homogeneity_weights(fine: DataFrame, predictors: Sequence[str], factor: int, *, keys: Sequence[str] = ("scene",)) -> DataFrame:
-    """Weight of each coarse cell: inverse mean coefficient of variation of its fine predictors, scaled to 0.05..1."""
-    pop = lambda p: F.sqrt(F.greatest(F.avg(F.col(p) * F.col(p)) - F.avg(p) * F.avg(p), F.lit(0.0)))
-    cv = [F.when(F.abs(F.avg(p)) > 1e-6, pop(p) / F.abs(F.avg(p))).alias(f"_c{k}") for k, p in enumerate(predictors)]
-    blocks = fine.groupBy(*keys, F.expr(f"iy div {factor}").cast("int").alias("iy"), F.expr(f"ix div {factor}").cast("int").alias("ix")).agg(*cv)
-    names = [f"_c{k}" for k in range(len(predictors))]
-    total = reduce(lambda a, b: a + b, (F.coalesce(n, F.lit(0.0)) for n in names))
-    known = reduce(lambda a, b: a + b, (F.col(n).isNotNull().cast("int") for n in names))
-    blocks = blocks.withColumn("_cv", F.when(known > 0, total / known)).withColumn("_w", F.when(F.col("_cv") > 0, F.lit(1.0) / F.col("_cv"))).drop(*names)
-    ends = blocks.groupBy(*keys).agg(F.min("_w").alias("_lo"), F.max("_w").alias("_hi"))
-    scaled = F.when(F.col("_hi").isNull(), 1.0).when(F.col("_w").isNull(), 0.05).when(F.col("_hi") > F.col("_lo"), F.least(F.greatest((F.col("_w") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.05)), F.lit(1.0))).otherwise(1.0)
-    return blocks.join(F.broadcast(ends), list(keys)).select(*keys, "iy", "ix", scaled.alias("weight"))
+    """Weight of each coarse cell: inverse mean coefficient of variation of its fine predictors, scaled to 0.05..1.
+
+    Predictors with a mean of about 0 have no coefficient; one of about 0 gives no weight of its own (0.05).
+    """
+    cv = [F.when(F.abs(F.avg(p)) > 1e-6, F.stddev_pop(p) / F.abs(F.avg(p))) for p in predictors]
+    blocks = fine.groupBy(*keys, F.expr(f"iy div {factor}").cast("int").alias("iy"), F.expr(f"ix div {factor}").cast("int").alias("ix")).agg(F.array_compact(F.array(*cv)).alias("_c"))
+    mean = F.when(F.size("_c") > 0, F.aggregate("_c", F.lit(0.0), lambda a, c: a + c) / F.size("_c"))
+    blocks = blocks.withColumn("_w", F.when(mean > 1e-6, F.lit(1.0) / mean)).drop("_c")
+    scene = Window.partitionBy(*keys)
+    low, high = F.min("_w").over(scene), F.max("_w").over(scene)  # a row a coarse cell
+    held = F.least(F.greatest((F.col("_w") - low) / (high - low), F.lit(0.05)), F.lit(1.0))
+    return blocks.select(*keys, "iy", "ix", F.when(high.isNull() | (high <= low), 1.0).when(F.col("_w").isNull(), 0.05).otherwise(held).alias("weight"))
 
 
 def match_scenes(coarse: DataFrame, fine: DataFrame, *, index: str, max_gap_us: int, min_valid: float = 0.5) -> DataFrame:
@@ -175,36 +178,6 @@ def per_scene_model(training: DataFrame, fine: DataFrame, fit_predict: Callable[
     return training.groupBy(*keys).cogroup(fine.groupBy(*keys)).applyInPandas(fit_predict, schema)
 
 
-def gwr(cells: DataFrame, training: DataFrame, target: str, predictor: str, *, bandwidth: float, k: int = 200, min_local: int = 10, kernel: str = "bisquare") -> DataFrame:
-    """Geographically weighted regression on one predictor: iy, ix, b0, b1, local_samples.
-
-    Neighbours are distinct locations (x, y), each with all its replicates, reduced
-    to sums before the join; the fit is weighted normal equations of those sums.
-    """
-    rows = usable(training, [target, predictor]).groupBy("x", "y").agg(F.count("*").alias("n"), F.sum(predictor).alias("sx"), F.sum(target).alias("sy"), F.sum(F.col(predictor) * F.col(predictor)).alias("sxx"), F.sum(F.col(predictor) * F.col(target)).alias("sxy"))
-    from pyspark.sql import Window
-
-    sites = rows.select(F.col("x").alias("px"), F.col("y").alias("py"), "n", "sx", "sy", "sxx", "sxy")
-    d2 = F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2))
-    reach = F.lit(bandwidth * bandwidth) if kernel == "bisquare" else F.lit(float("inf"))
-    side = bandwidth if kernel == "bisquare" else None
-    if side:  # beyond the bandwidth the weight is zero: meet in buckets of that width
-        bucket = lambda c: F.floor(F.col(c) / side).cast("long")
-        around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        left = cells.select("iy", "ix", "x", "y").withColumn("_a", F.explode(around)).withColumn("_by", bucket("y") + F.col("_a.i")).withColumn("_bx", bucket("x") + F.col("_a.j")).drop("_a")
-        near = left.join(sites.withColumn("_by", bucket("py")).withColumn("_bx", bucket("px")), ["_by", "_bx"]).drop("_by", "_bx")
-    else:
-        near = cells.select("iy", "ix", "x", "y").crossJoin(sites)
-    order = Window.partitionBy("iy", "ix").orderBy("d2", "px", "py")
-    near = near.withColumn("d2", d2).where(F.col("d2") < reach).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    ratio2 = F.col("d2") / (bandwidth * bandwidth)
-    w = F.pow(F.lit(1.0) - ratio2, F.lit(2)) if kernel == "bisquare" else F.exp(ratio2 * -0.5)
-    s = near.groupBy("iy", "ix").agg(F.sum("n").alias("local_samples"), *(F.sum(w * F.col(c)).alias(f"w_{c}") for c in ("n", "sx", "sy", "sxx", "sxy"))).where(F.col("local_samples") >= min_local)
-    det = F.col("w_n") * F.col("w_sxx") - F.col("w_sx") * F.col("w_sx")
-    b1 = F.when(F.abs(det) > 1e-12, (F.col("w_n") * F.col("w_sxy") - F.col("w_sx") * F.col("w_sy")) / det)
-    return s.withColumn("b1", b1).withColumn("b0", (F.col("w_sy") - F.col("b1") * F.col("w_sx")) / F.col("w_n")).select("iy", "ix", "b0", "b1", "local_samples")
-
-
 def ensemble_spread(predictions: DataFrame, members: Sequence[str], out: str = "spread") -> DataFrame:
     """Sample deviation over the members' predictions in each row."""
     a = F.array(*(F.col(m) for m in members))
@@ -227,19 +200,12 @@ def forest(training: DataFrame, target: str, predictors: Sequence[str], *, kind:
 
 
 def predict_forest(model, fine: DataFrame, predictors: Sequence[str]) -> DataFrame:
-    """Adds lst_downscaled; cells with a missing predictor have no row in the model's part and stay NULL."""
+    """Adds lst_downscaled; cells with a missing predictor stay, with NULL."""
     from pyspark.ml.feature import VectorAssembler
 
-    ready = VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="skip").transform(fine)
-    return model.transform(ready).withColumnRenamed("prediction", "lst_downscaled").drop("features")
-
-
-def weighted_ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, alpha: float = 1.0) -> np.ndarray:
-    """Intercept and slopes; the intercept is not shrunk."""
-    mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
-    xc, yc = x - mx, y - my
-    b = np.linalg.solve((xc * w[:, None]).T @ xc + alpha * np.eye(x.shape[1]), (xc * w[:, None]).T @ yc)
-    return np.concatenate([[my - b @ mx], b])
+    sound = reduce(lambda a, b: a & b, (F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")) for p in predictors))
+    ready = VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="keep").transform(fine)
+    return model.transform(ready).withColumn("lst_downscaled", F.when(sound, F.col("prediction"))).drop("features", "prediction")
 
 
 def fit_estimator(training: DataFrame, target: str, predictors: Sequence[str], estimator):

@@ -7,6 +7,8 @@ cell) and sum them with one equi-join and partial aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ def dilate(cube: DataFrame, mask: str, pixels: int, *, keys: tuple[str, ...] = (
     return grown.withColumn(out or mask, F.max("_row").over(along("ix", "iy"))).drop("_row")
 
 
+def grown(cells: DataFrame, pixels: int, keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """keys, iy, ix of all cells within `pixels` rows and columns of the given ones, along one axis, then the other."""
+    steps = F.explode(F.sequence(F.lit(-pixels), F.lit(pixels)))
+    out = cells.select(*keys, "iy", "ix").distinct()
+    for axis in ("iy", "ix"):
+        out = out.withColumn("_d", steps).withColumn(axis, F.col(axis) + F.col("_d")).drop("_d").distinct()
+    return out
+
+
 def slope_aspect(dem: DataFrame, z: str, resolution: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Slope and aspect in degrees: central differences, one-sided at edges; rows run south, columns east.
 

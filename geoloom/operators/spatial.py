@@ -211,15 +211,55 @@ def union_area_share(footprints: DataFrame, grid_cells: DataFrame, key: str, box
     return hit.select(key, "cx", "cy").distinct().groupBy(key).agg(F.round(F.least(F.lit(1.0), F.count("*") / total), 4).alias("coverage"))
 
 
-def nearest_sites(cells: DataFrame, sites: DataFrame, x: str, y: str, k: int, *, cell_keys: Sequence[str], site_key: str) -> DataFrame:
-    """cell keys, site and distance of the k nearest sites.
+def around(cells: DataFrame, sites: DataFrame, reach: float, *, keys: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:
+    """Cells with every site (sx, sy) of the same keys in the nine buckets about them, and d2, the squared distance.
 
-    The sites are one area's stations or training locations; their number is checked
-    by the caller. Each cell's rows meet in a ranked window limited to k before the shuffle.
+    Buckets are as wide as `reach`, so no site within it is missed; farther ones may be there.
     """
-    d2 = F.pow(F.col(x) - F.col("sx"), F.lit(2)) + F.pow(F.col(y) - F.col("sy"), F.lit(2))
-    near = Window.partitionBy(*cell_keys).orderBy("d2", site_key)
-    return cells.crossJoin(sites).withColumn("d2", d2).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).withColumn("distance", F.sqrt("d2")).drop("d2")
+    bucket = lambda c: F.floor(F.col(c) / reach).cast("long")
+    nine = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    asked = cells.withColumn("_k", F.explode(nine)).withColumns({"_by": bucket(y) + F.col("_k.i"), "_bx": bucket(x) + F.col("_k.j")}).drop("_k")
+    offered = sites.withColumns({"_by": bucket("sy"), "_bx": bucket("sx")})
+    met = asked.join(offered, [*keys, "_by", "_bx"]).drop("_by", "_bx")
+    return met.withColumn("d2", (F.col(x) - F.col("sx")) * (F.col(x) - F.col("sx")) + (F.col(y) - F.col("sy")) * (F.col(y) - F.col("sy")))
+
+
+def nearest_sites(cells: DataFrame, sites: DataFrame, x: str, y: str, k: int, *, cell_keys: Sequence[str], site_key: str | Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Cells with rank and distance of the k nearest sites (sx, sy) of the same `keys`, all if there are fewer.
+
+    Sites are counted in square buckets whose side doubles from level to level. A
+    cell looks on the first level where the nine buckets about it hold k sites:
+    its k-th is within 2 * sqrt(2) sides, so the nine buckets two levels up hold all
+    that may be nearer, and only those are joined. Ties go to the smaller site key.
+    """
+    site_key = [site_key] if isinstance(site_key, str) else list(site_key)
+    ends = sites.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("sx", "sy") for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    mine = cells.agg(*(f(c).alias(f"{name}_{d}") for c, d in ((x, "sx"), (y, "sy")) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    known = [(ends[f"lo_{c}"], ends[f"hi_{c}"], mine[f"lo_{c}"], mine[f"hi_{c}"]) for c in ("sx", "sy")]
+    nothing = not ends["n"] or any(v is None for vs in known for v in vs)
+    (x0, x1), (y0, y1) = [(0.0, 1.0)] * 2 if nothing else [(min(v), max(v)) for v in known]
+    extent = max(x1 - x0, y1 - y0, 1e-9) * (1 + 1e-9)
+    level_sites = max(1.0, (ends["n"] or 1) * 4 / k)
+    side = max(extent / 2**20, extent / math.sqrt(level_sites))  # about k / 4 sites in a bucket of level 0
+    top = max(0, math.ceil(math.log2(extent / side)))  # there the nine buckets hold everything
+    home = lambda c, low: F.floor((F.col(c) - low) / side).cast("long")
+    up = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("long")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    nine = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+
+    offered = sites.withColumns({"_hx": home("sx", x0), "_hy": home("sy", y0)}).withColumn("_level", levels)
+    offered = offered.withColumns({"_bx": up("_hx", F.col("_level")), "_by": up("_hy", F.col("_level"))}).drop("_hx", "_hy")
+    counts = offered.groupBy(*keys, "_level", "_bx", "_by").agg(F.count("*").alias("_n"))
+    placed = cells.withColumns({"_hx": home(x, x0), "_hy": home(y, y0)})
+    homes = placed.select(*keys, "_hx", "_hy").distinct()
+    asked = homes.withColumn("_level", levels).withColumn("_k", nine).withColumns({"_bx": up("_hx", F.col("_level")) + F.col("_k.i"), "_by": up("_hy", F.col("_level")) + F.col("_k.j")}).drop("_k")
+    held = asked.join(counts, [*keys, "_level", "_bx", "_by"]).groupBy(*keys, "_hx", "_hy", "_level").agg(F.sum("_n").alias("_n"))
+    found = held.groupBy(*keys, "_hx", "_hy").agg(F.least(F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("_level"))) + 2, F.lit(top)), F.lit(top)).alias("_level"))
+    looking = placed.join(found, [*keys, "_hx", "_hy"]).withColumn("_k", nine).withColumns({"_bx": up("_hx", F.col("_level")) + F.col("_k.i"), "_by": up("_hy", F.col("_level")) + F.col("_k.j")}).drop("_k", "_hx", "_hy")
+    met = looking.join(offered, [*keys, "_level", "_bx", "_by"]).drop("_level", "_bx", "_by")
+    d2 = (F.col(x) - F.col("sx")) * (F.col(x) - F.col("sx")) + (F.col(y) - F.col("sy")) * (F.col(y) - F.col("sy"))
+    near = Window.partitionBy(*cell_keys).orderBy("_d2", *site_key)
+    return met.withColumn("_d2", d2).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).withColumn("distance", F.sqrt("_d2")).drop("_d2")
 
 
 def cells_table(spark: SparkSession, height: int, width: int) -> DataFrame:

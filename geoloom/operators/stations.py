@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import nearest_sites
-from .temporal import nearest_times
+from .spatial import around, nearest_sites
+from .temporal import micros
 from .validation import metric_columns
 
 
@@ -18,52 +18,73 @@ def pivot_readings(readings: DataFrame, parameters: Sequence[str], *, order: str
     return readings.groupBy("station_id", "ts").agg(*last)
 
 
-def reading_at(readings: DataFrame, times: DataFrame, tolerance_us: int) -> DataFrame:
+def first_readings(readings: DataFrame, order: str | None = None) -> DataFrame:
+    """station_id, ts, value: of several readings at one time the first by `order` (without one the smallest value)."""
+    good = readings.where("value is not null")
+    return good.groupBy("station_id", "ts").agg((F.min_by("value", order) if order else F.min("value")).alias("value"))
+
+
+def reading_at(readings: DataFrame, times: DataFrame, tolerance_us: int, *, order: str | None = None) -> DataFrame:
     """station_id, scene, value: each station's nearest reading to each scene time within a tolerance, the earlier on ties.
 
-    Scenes and stations are few against readings, so their product carries one row
-    a pair; the readings are matched by two sorted windows for each station.
+    `times` has scene, or station_id and scene where each station is asked for its
+    own times. A reading answers for the times nearer to it than to its neighbours,
+    an interval; intervals and times meet in buckets of an eighth of the tolerance,
+    so a station and time meet in one row.
     """
-    good = readings.where("value is not null")
-    pairs = good.select("station_id").distinct().crossJoin(F.broadcast(times.select("scene").distinct()))
-    near = nearest_times(pairs, good.select("station_id", F.col("ts").alias("scene")), tolerance_us, keys=["station_id"], tie="earlier").where("matched_time is not null")
-    values = good.groupBy("station_id", F.col("ts").alias("matched_time")).agg(F.max("value").alias("value"))
-    return near.join(values, ["station_id", "matched_time"]).select("station_id", "scene", "value")
+    own = ["station_id"] if "station_id" in times.columns else []
+    width = max(1, tolerance_us // 8)
+    t = F.col("_t")
+    by_time = Window.partitionBy("station_id").orderBy("_t")
+    rows = first_readings(readings, order).withColumn("_t", micros("ts"))
+    low = F.greatest(F.coalesce(F.floor((F.lag(t).over(by_time) + t) / 2).cast("long") + 1, t - tolerance_us), t - tolerance_us)
+    high = F.least(F.coalesce(F.floor((t + F.lead(t).over(by_time)) / 2).cast("long"), t + tolerance_us), t + tolerance_us)
+    bucket = lambda c: F.floor(c / width).cast("long")
+    answers = rows.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
+    asked = times.select(*own, "scene").where("scene is not null").distinct().withColumn("_s", micros("scene")).withColumn("_bucket", bucket(F.col("_s")))
+    return answers.join(asked, [*own, "_bucket"]).where(F.col("_s").between(F.col("_low"), F.col("_high"))).select("station_id", "scene", "value")
 
 
 def interpolate(cells: DataFrame, stations: DataFrame, at_times: DataFrame, *, max_distance: float, min_neighbours: int = 3, max_neighbours: int = 12, power: float = 2.0) -> DataFrame:
-    """scene, iy, ix, value, station_count, uncertainty, valid by inverse distance weighting.
+    """scene, iy, ix, value, station_count, uncertainty, valid by inverse distance weighting, for scenes with a reading.
 
     The radius decides how many stations support a cell; the weights are those of
     the nearest `max_neighbours` of all stations with a reading. A cell at a station
-    takes the mean of the stations there, with uncertainty 0.
+    takes the mean of the stations there, with uncertainty 0. Stations in reach are
+    counted first, by buckets; nearest ones are looked for only where enough are.
     """
-    sites = at_times.join(stations, "station_id").select("scene", "station_id", F.col("x").alias("sx"), F.col("y").alias("sy"), "value")
-    rows = cells.select("iy", "ix", "x", "y").crossJoin(sites)
-    d = F.sqrt(F.pow(F.col("x") - F.col("sx"), F.lit(2)) + F.pow(F.col("y") - F.col("sy"), F.lit(2)))
-    by = Window.partitionBy("scene", "iy", "ix")
-    ranked = rows.withColumn("d", d).withColumn("_within", F.count_if(F.col("d") <= max_distance).over(by)).withColumn("_rank", F.row_number().over(by.orderBy("d", "station_id"))).where(F.col("_rank") <= max_neighbours)
-    weight = F.when(F.col("d") == 0, 1.0).otherwise(F.lit(1.0) / F.pow(F.col("d"), F.lit(power)))
-    v = F.col("value")
-    exact = F.count_if(F.col("d") == 0)
-    sums = ranked.groupBy("scene", "iy", "ix").agg(F.max("_within").alias("station_count"), F.sum(weight).alias("w"), F.sum(weight * v).alias("wv"), F.sum(weight * v * v).alias("wvv"), exact.alias("exact"), F.avg(F.when(F.col("d") == 0, v)).alias("here"))
+    by = ["scene", "iy", "ix"]
+    sites = at_times.join(stations.select("station_id", F.col("x").alias("sx"), F.col("y").alias("sy")), "station_id").select("scene", "station_id", "sx", "sy", "value")
+    scenes = sites.groupBy("scene").agg(F.count("*").alias("_sites"))
+    frame = scenes.crossJoin(cells.select("iy", "ix", "x", "y")).drop("_sites")  # the rows of the result
+    support = around(frame, sites, max_distance, keys=["scene"]).where(F.col("d2") <= max_distance * max_distance).groupBy(*by).agg(F.count("*").alias("station_count"))
+    enough = frame.join(support.where(F.col("station_count") >= min_neighbours).select(*by), by, "left_semi")
+    near = nearest_sites(enough, sites, "x", "y", max_neighbours, cell_keys=by, site_key="station_id", keys=["scene"])
+    d, v = F.col("distance"), F.col("value")
+    w = F.when(d > 0, F.lit(1.0) / F.pow(d, F.lit(power)))
+    sums = near.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * v).alias("wv"), F.sum(w * v * v).alias("wvv"), F.avg(F.when(d == 0, v)).alias("here"))
     mean = F.col("wv") / F.col("w")
     spread = F.sqrt(F.greatest(F.col("wvv") / F.col("w") - mean * mean, F.lit(0.0)))
-    valid = F.col("station_count") >= min_neighbours
-    return sums.select("scene", "iy", "ix", F.when(valid, F.when(F.col("exact") > 0, F.col("here")).otherwise(mean)).alias("value"), "station_count", F.when(valid, F.when(F.col("exact") > 0, 0.0).otherwise(spread)).alias("uncertainty"), valid.alias("valid"))
-
-
-def leave_one_out(readings: DataFrame, stations: DataFrame, *, tolerance_us: int, max_distance: float, min_neighbours: int = 3, max_neighbours: int = 12, power: float = 2.0) -> DataFrame:
-    """station_id, ts, predicted, observed: each reading predicted from the other stations in the radius."""
-    good = readings.where("value is not null").groupBy("station_id", "ts").agg(F.max("value").alias("value"))
-    near = reading_at(good, good.select(F.col("ts").alias("scene")), tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
-    a, b = stations.select("station_id", F.col("x").alias("x1"), F.col("y").alias("y1")), stations.select(F.col("station_id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    d = F.sqrt(F.pow(F.col("x1") - F.col("x2"), F.lit(2)) + F.pow(F.col("y1") - F.col("y2"), F.lit(2)))
-    pairs = a.crossJoin(b).where("station_id <> other").withColumn("d", d).where(F.col("d") <= max_distance).select("station_id", "other", "d")
-    rows = good.join(pairs, "station_id").join(near, ["other", "ts"])
-    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("station_id", "ts").orderBy("d", "other"))).where(F.col("k") <= max_neighbours)
+    out = frame.select(*by).join(support, by, "left").join(sums, by, "left").withColumn("station_count", F.coalesce("station_count", F.lit(0)))
+    return out.select(*by, F.coalesce("here", mean).alias("value"), "station_count", F.when(F.col("here").isNotNull(), 0.0).otherwise(spread).alias("uncertainty"), (F.col("station_count") >= min_neighbours).alias("valid"))
+
+
+def leave_one_out(readings: DataFrame, stations: DataFrame, *, tolerance_us: int, max_distance: float, min_neighbours: int = 3, max_neighbours: int = 12, power: float = 2.0, order: str | None = None) -> DataFrame:
+    """station_id, ts, predicted, observed: each reading predicted from the other stations in the radius.
+
+    Stations in reach of each other meet in buckets; a station is asked only for
+    the times at which one in its reach has a reading.
+    """
+    good = first_readings(readings, order)
+    sites = stations.select(F.col("station_id").alias("other"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    pairs = around(stations.select("station_id", "x", "y"), sites, max_distance).where((F.col("station_id") != F.col("other")) & (F.col("d2") <= max_distance * max_distance)).select("station_id", "other", F.sqrt("d2").alias("d"))
+    asked = good.join(pairs, "station_id").withColumnRenamed("value", "observed")
+    times = asked.select(F.col("other").alias("station_id"), F.col("ts").alias("scene")).distinct()
+    found = reading_at(good, times, tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
+    rank = F.row_number().over(Window.partitionBy("station_id", "ts").orderBy("d", "other"))
+    ranked = asked.join(found, ["other", "ts"]).withColumn("k", rank).where(F.col("k") <= max_neighbours)
     w = F.lit(1.0) / F.pow(F.greatest("d", F.lit(1.0)), F.lit(power))
-    out = ranked.groupBy("station_id", "ts").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("predicted"), F.count("*").alias("n"), F.first("value").alias("observed"))
+    out = ranked.groupBy("station_id", "ts").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("predicted"), F.count("*").alias("n"), F.first("observed").alias("observed"))
     return out.where(F.col("n") >= min_neighbours).drop("n")
 
 
@@ -81,7 +102,7 @@ def collocate(cube: DataFrame, stations: DataFrame, readings: DataFrame, value:
     `row` and `col` are the station's cell; stations outside have samples 0 and a note.
     """
     placed = stations.withColumn("_in", inside).withColumn("iy", row.cast("int")).withColumn("ix", col.cast("int"))
-    values = cube.select("scene", "iy", "ix", F.col(value).alias("estimate")).join(F.broadcast(placed.where("_in").select("station_id", "iy", "ix")), ["iy", "ix"]).where("estimate is not null")
+    values = cube.select("scene", "iy", "ix", F.col(value).alias("estimate")).join(placed.where("_in").select("station_id", "iy", "ix"), ["iy", "ix"]).where("estimate is not null")
     at = reading_at(readings, cube.select("scene"), tolerance_us)
     metrics = values.join(at.withColumnRenamed("value", "observed"), ["station_id", "scene"]).groupBy("station_id").agg(*metric_columns(F.col("estimate"), F.col("observed")))
     note = F.when(~F.col("_in"), "outside the grid").when(F.coalesce("samples", F.lit(0)) == 0, "no matching reading")

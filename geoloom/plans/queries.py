@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..functions import scalar as sc
-from ..operators import binning, catalogue, downscale, models, neighbourhood, spatial, stations, temporal, validation, zonal
+from ..operators import binning, catalogue, downscale, gwr, kriging, neighbourhood, spatial, stations, temporal, trees, validation, zonal
 from ..sources import readers, sinks
 from . import workflow
 from .tables import cte, project, read
@@ -103,10 +103,11 @@ def daily_mean(spark, d):
     return rounded(binning.daily_mean(masked), "lst")
 
 
-@query(f"WITH {cte('obs')}, m AS (SELECT scene AS day, iy, ix, avg(lst) AS lst, count(lst) AS n FROM obs WHERE sat_zenith < 5 GROUP BY ALL), days AS (SELECT CAST(unnest(generate_series((SELECT CAST(min(scene) AS TIMESTAMP) FROM obs WHERE sat_zenith < 5), (SELECT CAST(max(scene) AS TIMESTAMP) FROM obs WHERE sat_zenith < 5), INTERVAL 1 DAY)) AS DATE) AS day), c AS (SELECT DISTINCT iy, ix FROM obs WHERE sat_zenith < 5) SELECT day, iy, ix, round(lst, 6) AS lst, coalesce(n, 0) AS valid_count FROM days CROSS JOIN c LEFT JOIN m USING (day, iy, ix)")
+@query(f"WITH {cte('obs')}, o AS (SELECT CAST(date_trunc('week', scene) AS DATE) AS scene, iy, ix, lst FROM obs), m AS (SELECT scene AS day, iy, ix, avg(lst) AS lst, count(lst) AS n FROM o GROUP BY ALL), days AS (SELECT CAST(unnest(generate_series((SELECT CAST(min(scene) AS TIMESTAMP) FROM o), (SELECT CAST(max(scene) AS TIMESTAMP) FROM o), INTERVAL 1 DAY)) AS DATE) AS day), c AS (SELECT DISTINCT iy, ix FROM o) SELECT day, iy, ix, round(lst, 6) AS lst, coalesce(n, 0) AS valid_count FROM days CROSS JOIN c LEFT JOIN m USING (day, iy, ix)")
 def daily_mean_gaps(spark, d):
-    near_nadir = obs(spark, d).where("sat_zenith < 5")
-    return rounded(binning.daily_mean(near_nadir, fill_gaps=True), "lst")
+    """All pixels on the Monday of their week: six days of seven are gaps."""
+    mondays = obs(spark, d).withColumn("scene", F.trunc("scene", "week"))
+    return rounded(binning.daily_mean(mondays, fill_gaps=True), "lst")
 
 
 @query(f"{CELLS_SQL} SELECT iy, ix, round(avg(lst), 6) AS mean, round(quantile_cont(lst, 0.95), 6) AS p95, round(max(lst), 6) AS max, count(*) FILTER (lst >= 35) AS hot_count, count(lst) AS observation_count FROM cells GROUP BY ALL")
@@ -553,42 +554,50 @@ def smooth_sql(rounds: int) -> str:
     return ", ".join(parts) + f" SELECT scene, iy, ix, round(v + corr, 4) AS lst_downscaled FROM c{rounds}"
 
 
-@query(smooth_sql(3))
-def smooth_conservation(spark, d):
-    out = downscale.conserve_smooth(predicted(spark, d), coarse(spark, d), "lst", 4, height=4, width=4, iterations=3)
-    return rounded(out.select("scene", "iy", "ix", "lst_downscaled"), "lst_downscaled", digits=4)
-
-
 @query(smooth_sql(10))
-def smooth_conservation_i10(spark, d):
+def smooth_conservation(spark, d):
     out = downscale.conserve_smooth(predicted(spark, d), coarse(spark, d), "lst", 4, height=4, width=4)
     return rounded(out.select("scene", "iy", "ix", "lst_downscaled"), "lst_downscaled", digits=4)
 
 
 @query()
 def atpk_field(spark, d):
-    return rounded(models.conserve_kriged(predicted(spark, d), coarse(spark, d), "lst", 4, (4, 4)), "lst_downscaled", "coarse_consistency_correction")
+    return rounded(kriging.conserve_kriged(predicted(spark, d), coarse(spark, d), "lst", 4, (4, 4)), "lst_downscaled", "coarse_consistency_correction")
+
+
+@query()
+def thermal_sharpening(spark, d):
+    """Block means of a thermal band, a linear fit and kriged residuals."""
+    f = fine(spark, d)
+    return rounded(kriging.sharpen_thermal(f, f, "lst", ["ndvi"], 4, (4, 4), min_samples=5), "lst_downscaled", "coarse_consistency_correction")
 
 
 @query()
 def local_trees(spark, d):
-    c = coarse(spark, d)
-    return rounded(models.local_trees(c, fine(spark, d), "lst", ["ndvi", "ndbi"], 4, (4, 4), min_samples=10), "lst_downscaled", "lst_downscaled_uncertainty")
+    f = fine(spark, d)
+    weights = downscale.homogeneity_weights(f, ["ndvi", "ndbi"], 4)
+    out = trees.local_trees(coarse(spark, d), f, "lst", ["ndvi", "ndbi"], 4, (4, 4), min_samples=10, weights=weights)
+    return rounded(out, "lst_downscaled", "lst_downscaled_uncertainty")
 
 
-def scaled_forest(spark, d, kind, **options):
-    fitted = downscale.forest(coarse(spark, d), "lst", ["ndvi", "ndbi"], kind=kind, **options)
-    return rounded(downscale.predict_forest(fitted, fine(spark, d).select("scene", "iy", "ix", "ndvi", "ndbi"), ["ndvi", "ndbi"]).select("scene", "iy", "ix", "lst_downscaled"), "lst_downscaled")
+def by_ensemble(spark, d, kind):
+    out = trees.scene_ensemble(coarse(spark, d), fine(spark, d), "lst", ["ndvi", "ndbi"], 4, kind, min_samples=10)
+    return rounded(out, "lst_downscaled", "lst_downscaled_uncertainty")
 
 
 @query()
 def random_forest(spark, d):
-    return scaled_forest(spark, d, "forest")
+    return by_ensemble(spark, d, "forest")
 
 
 @query()
 def gradient_boosting(spark, d):
-    return scaled_forest(spark, d, "boosted", maxIter=10, maxDepth=4, stepSize=0.1)
+    return by_ensemble(spark, d, "boosted")
+
+
+@query(f"{COARSE_SQL} SELECT scene, count(lst) AS samples FROM coarse WHERE ndvi IS NOT NULL GROUP BY scene HAVING count(lst) < 16")
+def skipped_scenes(spark, d):
+    return trees.skipped_scenes(coarse(spark, d), "lst", ["ndvi"], 16).select("scene", "samples")
 
 
 GWR_SQL = f"""{COARSE_SQL}, s AS (SELECT iy AS py, ix AS px, count(*) AS n, sum(ndvi) AS sx, sum(lst) AS sy, sum(ndvi * ndvi) AS sxx, sum(ndvi * lst) AS sxy FROM coarse GROUP BY ALL),
@@ -601,28 +610,23 @@ SELECT iy, ix, CAST(ls AS BIGINT) AS local_samples, round((n * sxy - sx * sy) /
 def gwr_fit(spark, d):
     c = coarse(spark, d).withColumn("x", F.col("ix").cast("double")).withColumn("y", F.col("iy").cast("double"))
     cells_xy = fine(spark, d).select("iy", "ix").distinct().withColumn("x", (F.col("ix") + 0.5) / 4 - 0.5).withColumn("y", (F.col("iy") + 0.5) / 4 - 0.5)
-    out = downscale.gwr(cells_xy, c, "lst", "ndvi", bandwidth=2.0)
+    out = gwr.gwr(cells_xy, c, "lst", ["ndvi"], bandwidth=2.0)
     return rounded(longs(out.select("iy", "ix", "local_samples", "b1"), "local_samples"), "b1", digits=3)
 
 
-@query(f"""{FINE_SQL}, cv AS (SELECT scene, iy // 4 AS iy, ix // 4 AS ix, CASE WHEN abs(avg(ndvi)) > 1e-6 THEN sqrt(greatest(avg(ndvi * ndvi) - avg(ndvi) * avg(ndvi), 0)) / abs(avg(ndvi)) END AS cv FROM fine GROUP BY ALL),
+@query(f"""{FINE_SQL}, cv AS (SELECT scene, iy // 4 AS iy, ix // 4 AS ix, CASE WHEN abs(avg(ndvi)) > 1e-6 THEN stddev_pop(ndvi) / abs(avg(ndvi)) END AS cv FROM fine GROUP BY ALL),
 w AS (SELECT *, CASE WHEN cv > 1e-6 THEN 1 / cv END AS w FROM cv), e AS (SELECT scene, min(w) AS lo, max(w) AS hi FROM w GROUP BY ALL)
-SELECT scene, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(CASE WHEN hi IS NULL THEN 1 WHEN w IS NULL THEN 0.05 WHEN hi > lo THEN least(greatest((w - lo) / (hi - lo), 0.05), 1) ELSE 1 END, 5) AS weight FROM w JOIN e USING (scene)""")
+SELECT scene, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(CASE WHEN hi IS NULL OR hi <= lo THEN 1 WHEN w IS NULL THEN 0.05 ELSE least(greatest((w - lo) / (hi - lo), 0.05), 1) END, 8) AS weight FROM w JOIN e USING (scene)""")
 def homogeneity_weights(spark, d):
-    return rounded(downscale.homogeneity_weights(fine(spark, d), ["ndvi"], 4), "weight", digits=5)
+    return rounded(downscale.homogeneity_weights(fine(spark, d), ["ndvi"], 4), "weight", digits=8)
 
 
 def semivariogram_sql(lag: int) -> str:
     return f"{FINE_SQL} SELECT a.scene, CAST(b.iy - a.iy AS INT) AS dy, CAST(b.ix - a.ix AS INT) AS dx, round(avg((a.lst - b.lst) * (a.lst - b.lst)) / 2, 5) AS gamma, count(*) AS pairs FROM fine a JOIN fine b ON a.scene = b.scene AND b.iy - a.iy BETWEEN 0 AND {lag} AND b.ix - a.ix BETWEEN -{lag} AND {lag} AND (b.iy > a.iy OR b.ix > a.ix) GROUP BY ALL HAVING count(*) >= 5"
 
 
-@query(semivariogram_sql(2))
-def semivariogram(spark, d):
-    return rounded(neighbourhood.semivariogram(fine(spark, d), "lst", max_lag=2), "gamma", digits=5)
-
-
 @query(semivariogram_sql(8))
-def semivariogram_lag8(spark, d):
+def semivariogram(spark, d):
     return rounded(neighbourhood.semivariogram(fine(spark, d), "lst"), "gamma", digits=5)
 
 
@@ -670,13 +674,8 @@ FROM t a JOIN l USING (scene) JOIN t b ON a.scene = b.scene AND abs(a.iy - b.iy)
 SELECT scene, iy, ix, round(sum(w * p) / sum(w), 2) AS predicted FROM j GROUP BY ALL"""
 
 
-@query(starfm_sql(1))
-def starfm_r1(spark, d):
-    return rounded(neighbourhood.starfm(triples(spark, d), radius=1).select("scene", "iy", "ix", "predicted"), "predicted", digits=2)
-
-
 @query(starfm_sql(10))
-def starfm_r10(spark, d):
+def starfm(spark, d):
     return rounded(neighbourhood.starfm(triples(spark, d)).select("scene", "iy", "ix", "predicted"), "predicted", digits=2)
 
 
@@ -692,13 +691,8 @@ def estarfm_sql(radius: int) -> str:
 FROM t JOIN r0 USING (scene, iy, ix) JOIN r2 ON t.scene = r2.scene AND t.iy = r2.iy AND t.ix = r2.ix) SELECT scene, iy, ix, round((w0 * p0 + w2 * p2) / (w0 + w2), 3) AS predicted FROM q"""
 
 
-@query(estarfm_sql(1))
-def estarfm_r1(spark, d):
-    return rounded(neighbourhood.estarfm(triples(spark, d), radius=1).select("scene", "iy", "ix", "predicted"), "predicted", digits=3)
-
-
 @query(estarfm_sql(10))
-def estarfm_r10(spark, d):
+def estarfm(spark, d):
     return rounded(neighbourhood.estarfm(triples(spark, d)).select("scene", "iy", "ix", "predicted"), "predicted", digits=3)
 
 
@@ -713,14 +707,14 @@ def slope_aspect(spark, d):
 
 # --- matching in time ---------------------------------------------------------------------------
 
-ASOF_SQL = f"""{COARSE_SQL}, f AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS f FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000), t AS (SELECT DISTINCT scene FROM coarse),
+ASOF_SQL = f"""{COARSE_SQL}, f AS (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) + 20 AS f FROM orders), t AS (SELECT DISTINCT scene FROM coarse),
 r AS (SELECT scene, f, abs(epoch_us(CAST(scene AS TIMESTAMP)) - epoch_us(CAST(f AS TIMESTAMP))) AS us, row_number() OVER (PARTITION BY scene ORDER BY abs(epoch_us(CAST(scene AS TIMESTAMP)) - epoch_us(CAST(f AS TIMESTAMP))), f DESC) AS k FROM t, f WHERE abs(epoch_us(CAST(scene AS TIMESTAMP)) - epoch_us(CAST(f AS TIMESTAMP))) <= 1036800000000),
 m AS (SELECT t.scene, r.f AS matched_time, r.us AS time_delta_us FROM t LEFT JOIN r ON r.scene = t.scene AND r.k = 1)"""
 
 
 def feature_scenes(spark, d):
-    """Dates of urgent large orders as feature scenes, on the coarse grid."""
-    times = read(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 400000").select(F.col("o_orderdate").cast("date").alias("scene")).distinct()
+    """A feature scene on day 20 of every quarter with an order, on the coarse grid: nearer to some months than to others."""
+    times = read(spark, d, "orders").select(F.date_add(F.trunc("o_orderdate", "quarter"), 20).alias("scene")).distinct()
     grid = spatial.cells_table(spark, 4, 4)
     return times.crossJoin(F.broadcast(grid)).withColumn("feature", (F.dayofyear("scene") * 100 + F.col("iy") * 10 + F.col("ix")).cast("double")).withColumn("valid_mask", F.col("ix") % 2 == 0)
 
@@ -867,13 +861,12 @@ def footprint_fill(spark, d):
 
 
 def hourly(spark, d):
-    """Readings: events of each user belong to the station of that number, by hour."""
-    e = read(spark, d, "events").select(F.col("user_id").alias("station_id"), F.date_trunc("hour", "ts").alias("ts"), "value")
-    known = read(spark, d, "supplier").select(F.col("s_suppkey").alias("station_id"))
-    return e.join(F.broadcast(known), "station_id").groupBy("station_id", "ts").agg(F.max("value").alias("value"))
+    """Readings: events of each user belong to the station of that number; of an hour's the first counts."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("station_id"), F.date_trunc("hour", "ts").alias("ts"), "value", "event_id")
+    return stations.first_readings(e, "event_id")
 
 
-READ_SQL = "readings AS (SELECT user_id AS station_id, date_trunc('hour', ts) AS ts, max(value) AS value FROM events JOIN supplier ON s_suppkey = user_id GROUP BY ALL)"
+READ_SQL = "readings AS (SELECT user_id AS station_id, date_trunc('hour', ts) AS ts, arg_min(value, event_id) AS value FROM events GROUP BY ALL)"
 DAYS_SQL = "days AS (SELECT DISTINCT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS scene FROM events)"
 AT_SQL = f"""{READ_SQL}, {DAYS_SQL}, rd AS (SELECT station_id, scene, value FROM (SELECT r.station_id, scene, value, row_number() OVER (PARTITION BY r.station_id, scene ORDER BY abs(epoch_us(ts) - epoch_us(scene)), ts) AS k FROM readings r JOIN days ON abs(epoch_us(ts) - epoch_us(scene)) <= 21600000000) WHERE k = 1)"""
 

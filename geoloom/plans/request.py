@@ -45,6 +45,7 @@ class Downscaling:
     factor: int = 10
     min_samples: int = 100
     sensor: str = "sentinel2"
+    bandwidth: float = 5.0  #: of gwr, in coarse cells
 
     def __post_init__(self):
         if self.model not in MODELS or self.correction not in CORRECTIONS:

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, catalogue, downscale, models, temporal
+from ..operators import binning, catalogue, downscale, gwr, kriging, temporal, trees
 from ..sources.sinks import save_result
 from .request import Downscaling, Request, build_plan, check_limits
 
@@ -86,18 +86,19 @@ def downscale_cube(coarse: DataFrame, fine: DataFrame, spec: Downscaling, target
         model = downscale.fit_linear(training, target, names[:1] if spec.model == "tsharp" else names, min_samples=spec.min_samples)
         predicted = downscale.predict_linear(fine.select(*KEYS, *names), model, names[:1] if spec.model == "tsharp" else names)
     elif spec.model == "local_trees":
-        predicted = models.local_trees(training, fine, target, names, spec.factor, shape, min_samples=spec.min_samples)
+        weights = downscale.homogeneity_weights(fine, names, spec.factor)
+        predicted = trees.local_trees(training, fine, target, names, spec.factor, shape, min_samples=spec.min_samples, weights=weights)
     elif spec.model in ("random_forest", "gradient_boosting"):
-        fitted = downscale.forest(training, target, names, kind="forest" if spec.model == "random_forest" else "boosted")
-        predicted = downscale.predict_forest(fitted, fine.select(*KEYS, *names), names)
-    else:
-        raise ValueError(f"{spec.model} needs coordinates; call operators.downscale.gwr")
+        predicted = trees.scene_ensemble(training, fine, target, names, spec.factor, "forest" if spec.model == "random_forest" else "boosted", min_samples=spec.min_samples)
+    else:  # places in coarse cells
+        at = lambda df, scale: df.withColumns({c: (F.col(i) + 0.5) / scale for c, i in (("x", "ix"), ("y", "iy"))})
+        predicted = gwr.predict_gwr(at(fine, spec.factor), at(training, 1), target, names, bandwidth=spec.bandwidth, min_local=spec.min_samples)
     observed = coarse.where(F.col(target).isNotNull())
     if spec.correction == "block":
         return downscale.conserve_blocks(predicted, observed, target, spec.factor)
     if spec.correction == "smooth":
         return downscale.conserve_smooth(predicted, observed, target, spec.factor, height=shape[0], width=shape[1])
-    return models.conserve_kriged(predicted, observed, target, spec.factor, shape)
+    return kriging.conserve_kriged(predicted, observed, target, spec.factor, shape)
 
 
 def run(cubes: Mapping[str, DataFrame], request: Request, *, shape: tuple[int, int]) -> Result:
