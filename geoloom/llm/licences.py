@@ -41,6 +41,8 @@ from .storage import materialise, scratch
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_RE = re.compile(WORD)
+#: What stands between words: runs of all other characters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: phrase -> label, fixed by the operator's contract.
 PHRASES = {
@@ -54,8 +56,8 @@ def folded(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Words of a folded text, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    """Words of a folded text, in order: cutting between them costs less than matching them."""
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def phrase_starts(words: str, phrase: str) -> Column:
