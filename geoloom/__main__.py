@@ -1,4 +1,4 @@
-"""python -m geoloom plan|check REQUEST.json | queries | run QUERY SF_DIR OUT."""
+"""python -m geoloom plan|check REQUEST.json | discover REQUEST.json PRODUCTS | auxiliary PROVIDER DATASET | queries | run QUERY SF_DIR OUT."""
 
 from __future__ import annotations
 
@@ -15,6 +15,13 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     for name in ("plan", "check"):
         sub.add_parser(name).add_argument("request", type=Path)
+    find = sub.add_parser("discover")
+    find.add_argument("request", type=Path)
+    find.add_argument("products", help="a Parquet table of catalogue records")
+    spec = sub.add_parser("auxiliary")
+    for name in ("provider", "dataset"):
+        spec.add_argument(name)
+    spec.add_argument("variables", nargs="*")
     sub.add_parser("queries")
     run = sub.add_parser("run")
     for name in ("query", "sf_dir", "out"):
@@ -31,6 +38,20 @@ def main(argv: list[str] | None = None) -> int:
         except ValueError as e:
             print(e, file=sys.stderr)
             return 1
+    elif args.command == "discover":
+        from pyspark.sql import SparkSession
+
+        from .plans.workflow import discover
+
+        spark = SparkSession.builder.getOrCreate()
+        request = Request.from_json(args.request.read_text())
+        for sensor in request.sensors:
+            for row in discover(spark.read.parquet(args.products), request, sensor).orderBy("rank").collect():  # `limit` rows
+                print(json.dumps({"sensor": sensor, "rank": row["rank"], "product_id": row["product_id"]}))
+    elif args.command == "auxiliary":
+        from .sources.sinks import AuxiliarySpec
+
+        print(AuxiliarySpec(args.provider, args.dataset, tuple(args.variables)).key)
     else:
         from .plans.queries import QUERIES
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -140,3 +141,39 @@ def clear_fraction(pixels: DataFrame, unusable: Column, in_area: Column, keys: S
 def first_finite(tiles: DataFrame, value: str, rank: str, keys: Sequence[str] = ("iy", "ix")) -> DataFrame:
     """The value of the lowest-ranked tile that has one (overlapping elevation tiles, mosaics)."""
     return tiles.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col(rank))).alias(value))
+
+
+def methane_ratio(pixels: DataFrame, keys: Sequence[str], *, strong: str = "B12", weak: str = "B11", out: str = "mbsp") -> DataFrame:
+    """Adds the single-pass methane signal (strong - c weak) / (c weak), c the regression of a scene through the origin."""
+    x, y = F.col(weak).cast("double"), F.col(strong).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    slopes = pixels.where(both).groupBy(*keys).agg((F.sum(x * y) / F.nullif(F.sum(x * x), F.lit(0.0))).alias("_c"))
+    joined = pixels.join(slopes, list(keys), "left")
+    expected = F.col("_c") * x
+    return joined.withColumn(out, (y - expected) / F.nullif(expected, F.lit(0.0))).drop("_c")
+
+
+def methane_change(detection: DataFrame, reference: DataFrame, keys: Sequence[str] = ("iy", "ix"), *, value: str = "mbsp", out: str = "mbmp") -> DataFrame:
+    """Multi-pass signal: a plume scene's single-pass signal less that of a plume-free scene, cell by cell."""
+    before = reference.select(*keys, F.col(value).alias("_before"))
+    return detection.join(before, list(keys)).withColumn(out, F.col(value) - F.col("_before")).drop("_before")
+
+
+def gridded_gas(pixels: DataFrame, cells: DataFrame, *, value: str = "value", left: float, top: float, step: float, width: int, height: int, radius_km: float, mid_lat: float) -> DataFrame:
+    """scene, iy, ix, value, filled: means of valid pixels on a lon/lat grid whose last edges belong to it, then the footprint fill.
+
+    `cells` has scene, iy, ix, lon, lat of every cell that may be filled. A scene
+    without a valid pixel has no row.
+    """
+    from .spatial import footprint_fill
+
+    lon, lat = F.col("lon"), F.col("lat")
+    col = F.when(lon == left + width * step, width - 1).otherwise(F.floor((lon - left) / step))
+    row = F.when(lat == top, 0).otherwise(F.ceil((F.lit(top) - lat) / step) - 1)
+    good = pixels.where(F.coalesce("valid", F.lit(False)) & F.col(value).isNotNull())
+    placed = good.withColumn("ix", col.cast("int")).withColumn("iy", row.cast("int"))
+    placed = placed.where(F.col("ix").between(0, width - 1) & F.col("iy").between(0, height - 1))
+    means = bin_points(placed, [value]).select("scene", "iy", "ix", value)
+    seen = means.select("scene").distinct()
+    bucket = radius_km / (110.574 * math.cos(math.radians(mid_lat))) * 1.01
+    return footprint_fill(means, cells.join(seen, "scene", "left_semi"), good, value, radius_km=radius_km, mid_lat=mid_lat, bucket_deg=bucket)

@@ -155,24 +155,35 @@ def footprint_fill(gridded: DataFrame, cells: DataFrame, pixels: DataFrame, valu
     return have.select("scene", "iy", "ix", value, F.lit(False).alias("filled")).unionByName(filled)
 
 
-def clipped_area(quad: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area of a convex polygon inside a box, by clipping at its four sides."""
-    points = [tuple(p) for p in quad]
-    for axis, limit, keep_low in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
-        inside = (lambda p, a=axis, m=limit: p[a] <= m) if keep_low else (lambda p, a=axis, m=limit: p[a] >= m)
-        out = []
-        for p, q in zip(points, [*points[1:], points[0]], strict=True) if points else ():
-            if inside(p):
-                out.append(p)
-            if inside(p) != inside(q):
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                out.append(tuple(limit if i == axis else p[i] + t * (q[i] - p[i]) for i in (0, 1)))
-        points = out
-    if len(points) < 3:
-        return 0.0
-    p = np.array(points)
-    x, y = p[:, 0], p[:, 1]
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+def halved(polygons: np.ndarray, axis: int, limit: np.ndarray, below: bool) -> np.ndarray:
+    """Convex polygons (n, corners, 2), each cut by its own line across an axis; the side below or above stays.
+
+    A cut adds a corner at most; unused places repeat the last corner, which has no area.
+    """
+    here = polygons
+    following = np.roll(here, -1, axis=1)
+    sign = 1.0 if below else -1.0
+    a, b = (sign * (limit[:, None] - p[:, :, axis]) for p in (here, following))  # >= 0: this side
+    with np.errstate(divide="ignore", invalid="ignore"):
+        crossing = here + (following - here) * (a / (a - b))[:, :, None]
+    n, corners = a.shape
+    slots = np.stack([here, crossing], 2).reshape(n, 2 * corners, 2)
+    used = np.stack([a >= 0, (a >= 0) != (b >= 0)], 2).reshape(n, 2 * corners)
+    order = np.argsort(~used, axis=1, kind="stable")[:, : corners + 1]
+    count = used.sum(1)
+    order = np.where(np.arange(corners + 1) < count[:, None], order, np.take_along_axis(order, np.maximum(count - 1, 0)[:, None], 1))
+    out = np.take_along_axis(slots, order[:, :, None], 1)
+    out[count == 0] = 0.0
+    return out
+
+
+def clipped_areas(polygons: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Areas of convex polygons (n, corners, 2) within their boxes, all at once."""
+    for axis, limit, below in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
+        polygons = halved(polygons, axis, limit, below)
+    x, y = polygons[:, :, 0], polygons[:, :, 1]
+    x, y = x - x[:, :1], y - y[:, :1]
+    return np.abs((x * np.roll(y, -1, 1) - y * np.roll(x, -1, 1)).sum(1)) / 2
 
 
 def overlap_pieces(swath: DataFrame, *, left: float, top: float, step: float, width: int, height: int, corners: Sequence[str], carry: Sequence[str]) -> DataFrame:
@@ -193,22 +204,30 @@ def overlap_pieces(swath: DataFrame, *, left: float, top: float, step: float, wi
     def area(iy: pd.Series, ix: pd.Series, *points: pd.Series) -> pd.Series:
         quads = np.stack([p.to_numpy(float) for p in points], 1).reshape(-1, 4, 2)
         x0, y1 = left + ix.to_numpy() * step, top - iy.to_numpy() * step
-        return pd.Series([clipped_area(q, a, b - step, a + step, b) for q, a, b in zip(quads, x0, y1, strict=True)])
+        return pd.Series(clipped_areas(quads, x0, y1 - step, x0 + step, y1))
 
     cut = cells.withColumn("_area", area("iy", "ix", *corners)).where(F.col("_area") > max(1e-8, 1e-10 * step * step))
     return cut.select("scene", "iy", "ix", (F.col("_area") / (step * step)).alias("weight"), *carry)
 
 
-def union_area_share(footprints: DataFrame, grid_cells: DataFrame, key: str, boxes: Sequence[str]) -> DataFrame:
-    """Share of an area's cells under at least one footprint box, by acquisition.
+def union_area_share(footprints: DataFrame, key: str, boxes: Sequence[str], area: tuple[float, float, float, float]) -> DataFrame:
+    """key and coverage: the share of an area under at least one footprint box of a key, rounded to 4 digits.
 
-    Sampling by cell centres approximates the area of a union of polygons; the
-    error falls with the cell size. `boxes` are west, south, east, north.
+    Exact: the west and east edges of a key's boxes cut it into slabs, within which
+    the boxes are intervals whose union is measured. `boxes` names west, south,
+    east, north; a key without any overlap has no row.
     """
-    w, s, e, n = (F.col(c) for c in boxes)
-    total = grid_cells.count()
-    hit = F.broadcast(grid_cells.select("cx", "cy")).crossJoin(footprints).where(F.col("cx").between(w, e) & F.col("cy").between(s, n))
-    return hit.select(key, "cx", "cy").distinct().groupBy(key).agg(F.round(F.least(F.lit(1.0), F.count("*") / total), 4).alias("coverage"))
+    held = lambda c, low, high: F.least(F.greatest(F.col(c).cast("double"), F.lit(float(low))), F.lit(float(high)))
+    west, south, east, north = area
+    rows = footprints.select(key, held(boxes[0], west, east).alias("_w"), held(boxes[1], south, north).alias("_s"), held(boxes[2], west, east).alias("_e"), held(boxes[3], south, north).alias("_n"))
+    rows = rows.where("_w < _e and _s < _n").distinct()
+    edges = rows.select(key, F.explode(F.array("_w", "_e")).alias("_x0")).distinct()
+    slabs = edges.withColumn("_x1", F.lead("_x0").over(Window.partitionBy(key).orderBy("_x0"))).where("_x1 is not null")
+    parts = rows.join(slabs, key).where("_w <= _x0 and _x1 <= _e")
+    before = F.max("_n").over(Window.partitionBy(key, "_x0").orderBy("_s", "_n").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.col("_n") - F.greatest(F.col("_s"), F.coalesce(before, F.col("_s"))), F.lit(0.0))
+    measured = parts.select(key, ((F.col("_x1") - F.col("_x0")) * new).alias("_a"))
+    return measured.groupBy(key).agg(F.round(F.least(F.lit(1.0), F.sum("_a") / ((east - west) * (north - south))), 4).alias("coverage"))
 
 
 def around(cells: DataFrame, sites: DataFrame, reach: float, *, keys: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:

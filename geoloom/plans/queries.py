@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..functions import scalar as sc
-from ..operators import binning, catalogue, downscale, gwr, kriging, neighbourhood, spatial, stations, temporal, trees, validation, zonal
+from ..grid import Grid
+from ..operators import binning, catalogue, downscale, gwr, kriging, neighbourhood, resample, spatial, stations, temporal, trees, validation, zonal
 from ..sources import readers, sinks
 from . import workflow
 from .tables import cte, project, read
@@ -145,10 +146,8 @@ def fusion_availability(spark, d):
 @query(f"WITH {cte('obs')}, m AS (SELECT scene, iy, ix, bool_or(cloud_mask) AS cloud FROM obs GROUP BY ALL) SELECT a.scene, a.iy, a.ix, bool_or(b.cloud) AS cloud FROM m a JOIN m b ON a.scene = b.scene AND abs(a.iy - b.iy) <= 1 AND abs(a.ix - b.ix) <= 1 GROUP BY ALL")
 def dilate_mask(spark, d):
     m = obs(spark, d).groupBy("scene", "iy", "ix").agg(F.bool_or("cloud_mask").alias("cloud"))
-    # rows absent between two cells do not carry a mask on: rows then columns needs the full frame
-    frame = m.select("scene").distinct().crossJoin(F.broadcast(m.agg(F.max("iy").alias("h"), F.max("ix").alias("w")))).select("scene", F.explode(F.sequence(F.lit(0), "h")).alias("iy"), "w").select("scene", "iy", F.explode(F.sequence(F.lit(0), "w")).alias("ix"))
-    grown = neighbourhood.dilate(frame.join(m, ["scene", "iy", "ix"], "left"), "cloud", 1)
-    return grown.join(m.select("scene", "iy", "ix"), ["scene", "iy", "ix"], "left_semi").select("scene", "iy", "ix", "cloud")
+    near = neighbourhood.grown(m.where("cloud"), 1).withColumn("near", F.lit(True))
+    return m.select("scene", "iy", "ix").join(near, ["scene", "iy", "ix"], "left").select("scene", "iy", "ix", F.coalesce("near", F.lit(False)).alias("cloud"))
 
 
 # --- zones ------------------------------------------------------------------------------------
@@ -191,15 +190,16 @@ def aoi_mask_polygon(spark, d):
     return project(spark, d, "swath").select("obs_id", spatial.in_polygon(F.col("lon"), F.col("lat"), rings).alias("inside"))
 
 
-@query(f"{CELLS_SQL}, z AS (SELECT *, {ZONE_CASE} AS zone FROM cells), s AS (SELECT zone, scene, round(avg(lst), 4) AS v FROM z WHERE zone >= 0 GROUP BY ALL) SELECT CAST(zone AS INT) AS zone, count(*) AS properties, count(v) AS known FROM s GROUP BY ALL")
+@query(f"{CELLS_SQL}, z AS (SELECT *, {ZONE_CASE} AS zone FROM cells) SELECT CAST(zone AS INT) AS zone, 'mean_' || strftime(scene, '%Y-%m-%dT%H:%M') AS property, round(avg(lst), 6) AS value FROM z WHERE zone >= 0 GROUP BY zone, scene")
 def zonal_geojson(spark, d):
-    stats = zonal.zonal_statistics(cells(spark, d), labels(spark, d), 2, statistics=("count", "mean")).where("count > 0 or mean is null")
+    """Names and values of the properties of each zone's feature."""
+    stats = zonal.zonal_statistics(cells(spark, d), labels(spark, d), 2, statistics=("count", "mean"))
     present = cells(spark, d).join(labels(spark, d), ["iy", "ix"]).where("zone >= 0").select("scene", "zone").distinct()
     zones = spark.createDataFrame([(0, "triangle", "{}"), (1, "square", "{}")], "zone int, zone_id string, geometry string")
     features = sinks.zonal_geojson(stats.join(present, ["scene", "zone"]), zones, "mean")
     props = F.from_json(F.get_json_object("feature", "$.properties"), "map<string,string>")
-    found = features.select("zone", F.map_filter(props, lambda k, _: k.startswith("mean_")).alias("m"))
-    return found.where(F.size("m") > 0).select("zone", F.size("m").cast("long").alias("properties"), F.size(F.filter(F.map_values("m"), lambda v: v.isNotNull())).cast("long").alias("known"))
+    found = features.select("zone", F.explode(props).alias("property", "value")).where("property like 'mean\\_%'")
+    return rounded(found, "value")
 
 
 # --- scalars ----------------------------------------------------------------------------------
@@ -280,6 +280,31 @@ def utm_zone(spark, d):
     return s.select("s_suppkey", projection.utm_zone((F.col("s_suppkey") * 7 % 360 - 180).cast("double"), F.col("s_acctbal")).alias("epsg"))
 
 
+def utm_sql(lon: str, lat: str, meridian: float) -> tuple[str, str]:
+    """Easting and northing in SQL: conformal latitude, then the series in the third flattening to its fourth order."""
+    f = 1 / 298.257223563
+    n, e = f / (2 - f), (f * (2 - f)) ** 0.5
+    a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
+    terms = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    s = f"sin(radians({lat}))"
+    t = f"sinh(atanh({s}) - {e!r} * atanh({e!r} * {s}))"
+    dl = f"(radians({lon}) - radians({meridian!r}))"
+    xi, eta = f"atan2({t}, cos({dl}))", f"atanh(sin({dl}) / sqrt(1 + pow({t}, 2)))"
+    north = " + ".join(f"{c!r} * sin({2 * k} * {xi}) * cosh({2 * k} * {eta})" for k, c in enumerate(terms, 1))
+    east = " + ".join(f"{c!r} * cos({2 * k} * {xi}) * sinh({2 * k} * {eta})" for k, c in enumerate(terms, 1))
+    return f"(500000 + {a!r} * ({eta} + {east}))", f"({a!r} * ({xi} + {north}))"
+
+
+UTM_X, UTM_Y = utm_sql("lon", "lat", 15.0)
+
+
+@query(f"WITH {cte('swath')} SELECT obs_id, round({UTM_X}, 2) AS x, round({UTM_Y}, 2) AS y FROM swath")
+def utm_xy(spark, d):
+    s = project(spark, d, "swath")
+    x, y = projection.project(F.col("lon"), F.col("lat"), "EPSG:32633")
+    return rounded(s.select("obs_id", x.alias("x"), y.alias("y")), "x", "y", digits=2)
+
+
 @query(f"WITH {cte('swath')} SELECT obs_id, round(lon, 6) AS lon, round(lat, 6) AS lat, true AS in_zone FROM swath")
 def utm_round_trip(spark, d):
     """Projected to UTM and back; the projected point lies in the zone's strip."""
@@ -348,10 +373,31 @@ def radiance_blend(spark, d):
 
 @query(f"WITH {cte('bands')}, c AS (SELECT SCL, sum(B11 * B12) / sum(B11 * B11) AS c FROM bands GROUP BY ALL) SELECT pixel, round((B12 - c * B11) / nullif(c * B11, 0), 6) AS mbsp FROM bands JOIN c USING (SCL)")
 def methane_mbsp(spark, d):
-    b = project(spark, d, "bands")
-    c = b.groupBy("SCL").agg((F.sum(F.col("B11") * F.col("B12")) / F.sum(F.col("B11") * F.col("B11"))).alias("c"))
-    joined = b.join(F.broadcast(c), "SCL")
-    return rounded(joined.select("pixel", sc.ratio(F.col("B12") - F.col("c") * F.col("B11"), F.col("c") * F.col("B11")).alias("mbsp")), "mbsp")
+    out = binning.methane_ratio(project(spark, d, "bands"), ["SCL"])
+    return rounded(out.select("pixel", "mbsp"), "mbsp")
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 7 >= 4 THEN -1000 ELSE 0 END AS DOUBLE) AS boa_offset, CAST(CASE WHEN o_custkey % 9 <> 0 THEN (o_custkey % 9) * CASE WHEN o_orderkey > 0 THEN 0.5 ELSE 1 END - 3 END AS DOUBLE) AS value, CASE WHEN o_orderkey % 2 = 0 THEN 'a' WHEN o_orderkey % 3 = 0 THEN 'b' END AS asset FROM orders")
+def band_scaling(spark, d):
+    """Offsets by processing baseline, digital numbers to values, and assets under several names."""
+    o = read(spark, d, "orders")
+    key = F.col("o_orderkey")
+    assets = F.when(key % 2 == 0, F.create_map(F.lit("red"), F.lit("a"), F.lit("B04"), F.lit("b"))).when(key % 3 == 0, F.create_map(F.lit("B04"), F.lit("b"))).otherwise(F.create_map(F.lit("nir"), F.lit("c")))
+    offset = readers.baseline_offset((key % 7).cast("string"), key % 5 == 0)
+    value = readers.scaled_values(F.col("o_custkey") % 9, F.when(key > 0, 0.5), -3.0, nodata=0)
+    return o.select("o_orderkey", offset.alias("boa_offset"), value.alias("value"), readers.asset_of(assets, ["red", "B04"]).alias("asset"))
+
+
+@query(f"WITH {cte('obs')} SELECT event_id, NOT cloud_mask AND lst IS NOT NULL AS valid_mask, round(CASE WHEN NOT cloud_mask THEN lst - 273.15 END, 6) AS lst FROM obs")
+def cloudless_temperature(spark, d):
+    raw = obs(spark, d).select("event_id", "lst", F.when(F.col("cloud_mask"), 1).otherwise(0).alias("cloud"))
+    return rounded(readers.cloudless_temperature(raw).select("event_id", "valid_mask", "lst"), "lst")
+
+
+@query(f"WITH {cte('bands')} SELECT pixel, round(CASE WHEN SCL <= 3 THEN 10 * log10(greatest(B08, 1e-10)) END, 6) AS vv FROM bands")
+def masked_backscatter(spark, d):
+    b = project(spark, d, "bands").select("pixel", F.col("B08").alias("vv"), F.when(F.col("SCL") <= 3, 1).otherwise(0).alias("data_mask"))
+    return rounded(readers.masked_radar(b, ["vv"], output="dB").select("pixel", "vv"), "vv")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
@@ -438,22 +484,62 @@ def nearest_cell_regrid(spark, d):
     return rounded(out.select("scene", "iy", "ix", "ndvi"), "ndvi", digits=8)
 
 
-@query(f"""WITH {cte('swath')}, c AS (SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, 380000 + ix * 1000 + 500 AS x, 5830000 - iy * 1000 - 500 AS y FROM range(30) a(iy), range(30) b(ix))
-SELECT iy, ix, true AS matched FROM c""")
+#: A grid in degrees over the swath, and one in metres of another system.
+GEO = Grid("EPSG:4326", 13.2, 52.6, 0.02, 18, 10)
+MERCATOR = Grid("EPSG:3857", 1_469_000.0, 6_899_000.0, 1_700.0, 24, 18)
+RADIUS_M = 6378137.0
+GEO_SQL = f"""WITH {cte('swath')}, g AS (SELECT scene, CAST(floor(({GEO.top} - lat) / {GEO.resolution}) AS INT) AS iy, CAST(floor((lon - {GEO.left}) / {GEO.resolution}) AS INT) AS ix, avg(value) AS v FROM swath WHERE lat <= {GEO.top} AND lat > {GEO.top - GEO.height * GEO.resolution} GROUP BY ALL),
+t AS (SELECT CAST(a AS INT) AS iy, CAST(b AS INT) AS ix, degrees(({MERCATOR.left} + (b + 0.5) * {MERCATOR.resolution}) / {RADIUS_M}) AS lon, degrees(2 * atan(exp(({MERCATOR.top} - (a + 0.5) * {MERCATOR.resolution}) / {RADIUS_M})) - pi() / 2) AS lat FROM range({MERCATOR.height}) p(a), range({MERCATOR.width}) q(b)),
+n AS (SELECT iy, ix, (lon - {GEO.left}) / {GEO.resolution} AS px, ({GEO.top} - lat) / {GEO.resolution} AS py FROM t), h AS (SELECT * FROM n WHERE px BETWEEN 0 AND {GEO.width} AND py BETWEEN 0 AND {GEO.height})"""
+
+
+def geographic(spark, d):
+    """Daily means of the swath on the grid in degrees."""
+    s = project(spark, d, "swath")
+    return resample.grid_points(s, GEO, ["value"]).select("scene", "iy", "ix", "value")
+
+
+def reprojected(spark, d, method):
+    return rounded(resample.resample(geographic(spark, d), GEO, MERCATOR, ["value"], method), "value")
+
+
+@query(f"{GEO_SQL} SELECT g.scene, h.iy, h.ix, round(v, 6) AS value FROM h JOIN g ON g.iy = least(floor(py), {GEO.height - 1}) AND g.ix = least(floor(px), {GEO.width - 1})")
 def reproject_nearest(spark, d):
-    """Grid centres in UTM matched to a geographic grid by inverse projection."""
-    s = spatial.cells_table(spark, 30, 30)
-    lon, lat = projection.unproject(F.lit(380000.0) + F.col("ix") * 1000 + 500, F.lit(5830000.0) - F.col("iy") * 1000 - 500, "EPSG:32633")
-    source = spatial.cells_table(spark, 200, 200).withColumn("v", F.col("iy") * 1000 + F.col("ix"))
-    out = spatial.nearest_cell(s, source, lon, lat, left=13.0, top=53.0, step=0.01, width=200, height=200, values=["v"], by_scene=False)
-    return out.select("iy", "ix", F.col("v").isNotNull().alias("matched"))
+    """Grid centres in metres take the cell in degrees that holds them."""
+    return reprojected(spark, d, "nearest")
+
+
+@query(f"""{GEO_SQL}, k AS (SELECT h.iy, h.ix, floor(py - 0.5) + dy AS sy, floor(px - 0.5) + dx AS sx, (CASE WHEN dy = 1 THEN py - 0.5 - floor(py - 0.5) ELSE 1 - (py - 0.5 - floor(py - 0.5)) END) * (CASE WHEN dx = 1 THEN px - 0.5 - floor(px - 0.5) ELSE 1 - (px - 0.5 - floor(px - 0.5)) END) AS w FROM h, range(2) a(dy), range(2) b(dx))
+SELECT scene, k.iy, k.ix, round(sum(v * w) / sum(w), 6) AS value FROM k JOIN g ON g.iy = sy AND g.ix = sx WHERE w > 0 GROUP BY ALL""")
+def reproject_bilinear(spark, d):
+    return reprojected(spark, d, "bilinear")
 
 
-@query(f"{FINE_SQL}, m AS (SELECT iy, ix, lst FROM fine) SELECT CAST(iy // 5 AS INT) AS chip_row, CAST(ix // 5 AS INT) AS chip_col, count(*) AS cells FROM m WHERE iy < 15 AND ix < 15 GROUP BY ALL")
+@query(f"""{GEO_SQL}, c AS (SELECT scene, v, floor(({MERCATOR.top} - {RADIUS_M} * ln(tan(pi() / 4 + radians({GEO.top} - iy * {GEO.resolution} - {GEO.resolution / 2}) / 2))) / {MERCATOR.resolution}) AS ty, floor(({RADIUS_M} * radians({GEO.left} + ix * {GEO.resolution} + {GEO.resolution / 2}) - {MERCATOR.left}) / {MERCATOR.resolution}) AS tx FROM g)
+SELECT scene, CAST(ty AS INT) AS iy, CAST(tx AS INT) AS ix, round(avg(v), 6) AS value FROM c WHERE ty BETWEEN 0 AND {MERCATOR.height - 1} AND tx BETWEEN 0 AND {MERCATOR.width - 1} GROUP BY ALL""")
+def reproject_mean(spark, d):
+    return reprojected(spark, d, "mean")
+
+
+@query(f"{FINE_SQL} SELECT CAST(iy // 5 AS INT) AS chip_row, CAST(ix // 5 AS INT) AS chip_col, count(*) AS cells FROM fine WHERE iy < 15 AND ix < 15 GROUP BY ALL")
 def chips(spark, d):
-    """Cells of the whole 5 x 5 tiles of the grid."""
-    f = fine(spark, d).where("iy < 15 and ix < 15")
-    return f.groupBy(F.expr("cast(iy div 5 as int)").alias("chip_row"), F.expr("cast(ix div 5 as int)").alias("chip_col")).agg(F.count("*").alias("cells"))
+    """Cells of the whole 5 x 5 tiles of the grid, by the bounds of the tiles."""
+    grid = Grid("EPSG:32633", 0.0, 1600.0, 100.0, 16, 16)
+    tiles = [(*map(int, c.grid_id.split("/")[-2:]), c.left, c.top) for c in grid.chips(5)]
+    side = 5 * grid.resolution
+    placed = fine(spark, d).select((F.floor(grid.x() / side) * side).alias("left"), (F.lit(grid.top) - F.floor((F.lit(grid.top) - grid.y()) / side) * side).alias("top"))
+    known = spark.createDataFrame(tiles, "chip_row int, chip_col int, left double, top double")
+    return placed.join(known, ["left", "top"]).groupBy("chip_row", "chip_col").agg(F.count("*").alias("cells"))
+
+
+@query(f"{FINE_SQL}, e AS (SELECT min(scene) AS a, max(scene) AS b FROM fine), p AS (SELECT scene, iy, ix, ndvi + 0.02 AS x, ndbi + 0.05 AS y FROM fine), c AS (SELECT scene, sum(x * y) / sum(x * x) AS c FROM p GROUP BY ALL), m AS (SELECT scene, iy, ix, (y - c * x) / (c * x) AS s FROM p JOIN c USING (scene)) SELECT d.iy, d.ix, round(d.s - r.s, 6) AS mbmp FROM m d JOIN m r ON d.iy = r.iy AND d.ix = r.ix, e WHERE d.scene = b AND r.scene = a")
+def methane_mbmp(spark, d):
+    """The last scene against the first."""
+    p = fine(spark, d).select("scene", "iy", "ix", (F.col("ndvi") + 0.02).alias("B11"), (F.col("ndbi") + 0.05).alias("B12"))
+    signal = binning.methane_ratio(p, ["scene"])
+    ends = p.agg(F.min("scene").alias("first"), F.max("scene").alias("last")).first()
+    out = binning.methane_change(signal.where(F.col("scene") == ends["last"]), signal.where(F.col("scene") == ends["first"]))
+    return rounded(out.select("iy", "ix", "mbmp"), "mbmp")
 
 
 SPLIT_SQL = """, t AS (SELECT scene, row_number() OVER (ORDER BY scene) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT scene FROM fine)),
@@ -822,25 +908,43 @@ def distinct_products(spark, d):
 @query("""WITH b AS (SELECT o_orderdate AS acquired, o_orderkey % 9 AS w, o_orderkey % 8 AS s FROM orders), c AS (SELECT a + 0.5 AS cx, b + 0.5 AS cy FROM range(12) x(a), range(12) y(b)),
 h AS (SELECT DISTINCT acquired, cx, cy FROM b, c WHERE cx BETWEEN w AND w + 4 AND cy BETWEEN s AND s + 3) SELECT acquired, round(count(*) / 144, 4) AS coverage FROM h GROUP BY ALL""")
 def aoi_coverage(spark, d):
+    """The SQL counts unit cells, which boxes with whole corners cover or miss entirely."""
     boxes = read(spark, d, "orders").selectExpr("o_orderdate AS acquired", "o_orderkey % 9 AS w", "o_orderkey % 8 AS s").withColumn("e", F.col("w") + 4).withColumn("n", F.col("s") + 3).distinct()
-    grid = spatial.cells_table(spark, 12, 12).select((F.col("ix") + 0.5).alias("cx"), (F.col("iy") + 0.5).alias("cy"))
-    return spatial.union_area_share(boxes, grid, "acquired", ["w", "s", "e", "n"])
+    return spatial.union_area_share(boxes, "acquired", ["w", "s", "e", "n"], (0.0, 0.0, 12.0, 12.0))
 
 
 # --- swaths and stations ------------------------------------------------------------------------
 
 
-@query()
+def triangle_sql(u: str, half: str) -> str:
+    """Area left of u under a triangle of this half width and height around 0."""
+    return f"(CASE WHEN {u} <= -({half}) THEN 0 WHEN {u} <= 0 THEN pow({u} + ({half}), 2) / 2 WHEN {u} < ({half}) THEN pow({half}, 2) - pow(({half}) - {u}, 2) / 2 ELSE pow({half}, 2) END)"
+
+
+def diamond_sql(u: str, v: str, r: float) -> str:
+    """Area of the diamond |x| + |y| <= r where x <= u and y <= v."""
+    inner = f"greatest({r} - abs({v}), 0)"
+    return f"(CASE WHEN {v} < 0 THEN {triangle_sql(u, inner)} ELSE 2 * {triangle_sql(u, str(r))} - {triangle_sql(u, inner)} END)"
+
+
+_BOX = [(sx * sy, f"({376000.0} + (jx + {dx}) * 2000 - x)", f"({5828000.0} - (jy + {1 - dy}) * 2000 - y)") for dx, sx in ((1, 1), (0, -1)) for dy, sy in ((1, 1), (0, -1))]
+AREA_SQL = f"""WITH {cte('swath')}, p AS (SELECT scene, value, {UTM_X} AS x, {UTM_Y} AS y FROM swath), n AS (SELECT *, floor((x - 376000) / 2000) AS hx, floor((5828000 - y) / 2000) AS hy FROM p),
+c AS (SELECT scene, value, x, y, hx + dx AS jx, hy + dy AS jy FROM n, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE hx + dx BETWEEN 0 AND 13 AND hy + dy BETWEEN 0 AND 11),
+w AS (SELECT *, ({" + ".join(f"{sign} * {diamond_sql(u, v, 700.0)}" for sign, u, v in _BOX)}) / 4e6 AS w FROM c)
+SELECT scene, CAST(jy AS INT) AS iy, CAST(jx AS INT) AS ix, round(sum(value * w) / sum(w), 5) AS value, round(least(1, sum(w)), 5) AS coverage_fraction FROM w WHERE w > 1e-7 GROUP BY ALL"""
+
+
+@query(AREA_SQL)
 def area_gridding(spark, d):
-    """Swath quadrilaterals to 2 km cells, weighted by overlap."""
+    """Swath quadrilaterals (diamonds here) to 2 km cells, weighted by overlap; slivers below a ten-millionth of a cell are left out on both sides."""
     s = project(spark, d, "swath")
     x, y = projection.project(F.col("lon"), F.col("lat"), "EPSG:32633")
     s = s.withColumn("x", x).withColumn("y", y)
     corners = {"x1": ("x", 700), "y1": ("y", 0), "x2": ("x", 0), "y2": ("y", 700), "x3": ("x", -700), "y3": ("y", 0), "x4": ("x", 0), "y4": ("y", -700)}
     s = s.withColumns({k: F.col(c) + by for k, (c, by) in corners.items()})
     pieces = spatial.overlap_pieces(s, left=376000.0, top=5828000.0, step=2000.0, width=14, height=12, corners=list(corners), carry=["value"])
-    out = binning.bin_weighted(pieces, "value", "weight")
-    return rounded(out.select("scene", "iy", "ix", "value", "coverage_fraction", "source_footprint_count"), "value", "coverage_fraction")
+    out = binning.bin_weighted(pieces.where("weight > 1e-7"), "value", "weight")
+    return rounded(out.select("scene", "iy", "ix", "value", "coverage_fraction"), "value", "coverage_fraction", digits=5)
 
 
 FILL_SQL = f"""WITH {cte('swath')}, g AS (SELECT scene, CAST(floor((52.6 - lat) / 0.02) AS INT) AS iy, CAST(floor((lon - 13.2) / 0.02) AS INT) AS ix, avg(value) AS value FROM swath WHERE qa >= 0.75 GROUP BY ALL),
@@ -860,6 +964,15 @@ def footprint_fill(spark, d):
     return rounded(out, "value")
 
 
+@query(FILL_SQL.replace("CAST(floor((52.6 - lat) / 0.02) AS INT) AS iy", "CAST(ceil((52.6 - lat) / 0.02) - 1 AS INT) AS iy").replace("WHERE qa >= 0.75 GROUP BY ALL)", "WHERE qa >= 0.75 AND ceil((52.6 - lat) / 0.02) BETWEEN 1 AND 10 GROUP BY ALL)"))
+def gas_gridding(spark, d):
+    """Histogram means of a gas column, then the nearest footprint for empty cells."""
+    s = readers.gas_pixels(project(spark, d, "swath")).withColumnRenamed("obs_id", "pixel_id")
+    frame = s.select("scene").distinct().withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(17)))).withColumns({"lon": F.lit(13.2) + (F.col("ix") + 0.5) * 0.02, "lat": F.lit(52.6) - (F.col("iy") + 0.5) * 0.02})
+    out = binning.gridded_gas(s, frame, left=13.2, top=52.6, step=0.02, width=18, height=10, radius_km=1.5, mid_lat=52.5)
+    return rounded(out, "value")
+
+
 def hourly(spark, d):
     """Readings: events of each user belong to the station of that number; of an hour's the first counts."""
     e = read(spark, d, "events").select(F.col("user_id").alias("station_id"), F.date_trunc("hour", "ts").alias("ts"), "value", "event_id")

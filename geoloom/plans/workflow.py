@@ -12,7 +12,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import binning, catalogue, downscale, gwr, kriging, temporal, trees
+from ..functions.scalar import apply_quality, clear_class, radar_indices, reflectance, spectral_indices, to_celsius
+from ..operators import binning, catalogue, downscale, gwr, kriging, resample, temporal, trees
+from ..sources import readers
 from ..sources.sinks import save_result
 from .request import Downscaling, Request, build_plan, check_limits
 
@@ -22,8 +24,57 @@ TARGETS = {"lst", "surface_temperature"}
 SUFFIXES = ("_time_delta_us", "_matched_time", "_station_count", "_interpolation_uncertainty", "_interpolation_valid")
 KEYS = ("scene", "iy", "ix")
 
-#: Readers by sensor: (spark, products, request) -> cube. Plug-ins register here.
-ADAPTERS: dict[str, Callable[[SparkSession, DataFrame, Request], DataFrame]] = {}
+Adapter = Callable[[SparkSession, DataFrame, Request], DataFrame]
+#: Readers by sensor: (spark, products, request) -> cube. `register_tables` fills them; plug-ins register here too.
+ADAPTERS: dict[str, Adapter] = {}
+#: Auxiliary providers: (spark, spec) -> table with scene, lon, lat and standard names.
+PROVIDERS: dict[str, Callable[[SparkSession, Any], DataFrame]] = {}
+
+
+def from_pixels(sensor: str, pixels: DataFrame, request: Request) -> DataFrame:
+    """Raw pixels of one sensor (product_id, scene, lon, lat, raw columns) as a cube on the request's grid."""
+    grid = request.grid()
+    area = request.area
+    raw = pixels.where(F.col("lon").between(area.west - SWATH_MARGIN, area.east + SWATH_MARGIN) & F.col("lat").between(area.south - SWATH_MARGIN, area.north + SWATH_MARGIN))
+    if sensor == "sentinel3":
+        masked = to_celsius(apply_quality(raw), units=raw.schema["lst"].metadata.get("units", "K"))
+        flags = [c for c in ("exception_flags", "confidence_flags") if c in raw.columns]
+        return resample.grid_points(masked, grid, [c for c in ("lst", "lst_uncertainty") if c in raw.columns], flags=flags).withColumnRenamed("lst_count", "lst_observation_count").drop("lst_uncertainty_count")
+    if sensor == "sentinel2":
+        bands = [b for b in ("B02", "B03", "B04", "B08", "B11", "B12") if b in raw.columns]
+        offset = readers.baseline_offset(F.col("baseline")) if "baseline" in raw.columns else F.lit(0.0)
+        clear = clear_class(F.col("SCL")) if "SCL" in raw.columns else F.lit(True)
+        ready = raw.withColumns({b: F.when(clear, reflectance(F.col(b).cast("double"), offset)) for b in bands})
+        means = resample.grid_points(ready, grid, bands)
+        found = spectral_indices({b: F.col(b) if b in bands else F.lit(None).cast("double") for b in ("B02", "B03", "B04", "B08", "B11", "B12")})
+        return means.select(*KEYS, *(c.alias(n) for n, c in found.items()), (F.col(f"{bands[0]}_count") > 0).alias("valid_mask"))
+    if sensor == "sentinel1":
+        means = resample.grid_points(readers.radar_bands(raw, ["VV", "VH"], scale="power"), grid, ["VV", "VH"])  # mean power before any logarithm
+        found = radar_indices(F.col("VV"), F.col("VH"))
+        return means.select(*KEYS, F.col("VV").alias("sigma0_VV"), F.col("VH").alias("sigma0_VH"), *(c.alias(n) for n, c in found.items()))
+    if sensor == "sentinel5p":
+        gas = next(g for g in readers.GASES if g in raw.columns)
+        good = readers.gas_pixels(raw.withColumnRenamed(gas, "value")).where("valid")
+        return resample.grid_points(good, grid, ["value"]).select(*KEYS, F.col("value").alias(gas))
+    if sensor == "landsat":
+        ready = readers.surface_temperature(raw, scale=LANDSAT_SCALE, offset=LANDSAT_OFFSET)
+    else:
+        ready = readers.cloudless_temperature(raw)
+    return resample.grid_points(ready, grid, ["lst"]).withColumnRenamed("lst_count", "lst_observation_count")
+
+
+#: Degrees about the area that a swath's pixels may lie in; scale and offset of surface temperature. Fixed values.
+SWATH_MARGIN, LANDSAT_SCALE, LANDSAT_OFFSET = 0.1, 0.00341802, 149.0
+
+
+def register_tables(tables: Mapping[str, DataFrame], registry: dict[str, Adapter] | None = None) -> None:
+    """Adapters that read the discovered products' pixels from raw tables, one a sensor."""
+
+    def adapter(sensor: str, table: DataFrame) -> Adapter:
+        return lambda spark, products, request: from_pixels(sensor, table.join(products.select("product_id"), "product_id", "left_semi"), request)
+
+    for sensor, table in tables.items():
+        (ADAPTERS if registry is None else registry)[sensor] = adapter(sensor, table)
 
 
 @dataclass
@@ -63,7 +114,7 @@ def fuse(cubes: Mapping[str, DataFrame], target: str, tolerances_days: Mapping[s
     names = features_of(out)
     if not names:
         return out.withColumn("feature_availability", F.lit(None).cast("double"))
-    return out.join(F.broadcast(binning.availability(out, names, cells)) if cells is None else binning.availability(out, names, cells), "scene", "left")
+    return out.join(binning.availability(out, names, cells), "scene", "left")
 
 
 def discover(products: DataFrame, request: Request, sensor: str) -> DataFrame:
@@ -77,28 +128,43 @@ def discover(products: DataFrame, request: Request, sensor: str) -> DataFrame:
     return catalogue.best_products(found, request.limit, max_cloud=request.max_cloud)
 
 
+Model = Callable[[DataFrame, DataFrame, Downscaling, str, tuple[int, int]], DataFrame]
+
+
+def _linear(training: DataFrame, fine: DataFrame, spec: Downscaling, target: str, shape: tuple[int, int]) -> DataFrame:
+    names = list(spec.predictors[:1] if spec.model == "tsharp" else spec.predictors)
+    return downscale.predict_linear(fine.select(*KEYS, *names), downscale.fit_linear(training, target, names, min_samples=spec.min_samples), names)
+
+
+def _local(training: DataFrame, fine: DataFrame, spec: Downscaling, target: str, shape: tuple[int, int]) -> DataFrame:
+    weights = downscale.homogeneity_weights(fine, spec.predictors, spec.factor)
+    return trees.local_trees(training, fine, target, spec.predictors, spec.factor, shape, min_samples=spec.min_samples, weights=weights)
+
+
+def _ensemble(kind: str) -> Model:
+    return lambda training, fine, spec, target, shape: trees.scene_ensemble(training, fine, target, spec.predictors, spec.factor, kind, min_samples=spec.min_samples)
+
+
+def _weighted(training: DataFrame, fine: DataFrame, spec: Downscaling, target: str, shape: tuple[int, int]) -> DataFrame:
+    at = lambda df, scale: df.withColumns({c: (F.col(i) + 0.5) / scale for c, i in (("x", "ix"), ("y", "iy"))})  # noqa: E731 - in coarse cells
+    return gwr.predict_gwr(at(fine, spec.factor), at(training, 1), target, spec.predictors, bandwidth=spec.bandwidth, min_local=spec.min_samples)
+
+
+#: Models by name, each fitted scene by scene; plug-ins register here.
+PER_SCENE_MODELS: dict[str, Model] = {"linear": _linear, "tsharp": _linear, "local_trees": _local, "random_forest": _ensemble("forest"), "gradient_boosting": _ensemble("boosted"), "gwr": _weighted}
+CORRECTIONS: dict[str, Callable] = {
+    "block": lambda predicted, observed, target, factor, shape: downscale.conserve_blocks(predicted, observed, target, factor),
+    "smooth": lambda predicted, observed, target, factor, shape: downscale.conserve_smooth(predicted, observed, target, factor, height=shape[0], width=shape[1]),
+    "atpk": kriging.conserve_kriged,
+}
+
+
 def downscale_cube(coarse: DataFrame, fine: DataFrame, spec: Downscaling, target: str, shape: tuple[int, int]) -> DataFrame:
     """Sharpen scene by scene; fine scenes carry the coarse scene's time. Shape is the coarse grid's."""
-    names = list(spec.predictors)
-    means = binning.block_mean(fine, spec.factor, names)
+    means = binning.block_mean(fine, spec.factor, list(spec.predictors))
     training = coarse.select(*KEYS, target).join(means, list(KEYS))
-    if spec.model in ("linear", "tsharp"):
-        model = downscale.fit_linear(training, target, names[:1] if spec.model == "tsharp" else names, min_samples=spec.min_samples)
-        predicted = downscale.predict_linear(fine.select(*KEYS, *names), model, names[:1] if spec.model == "tsharp" else names)
-    elif spec.model == "local_trees":
-        weights = downscale.homogeneity_weights(fine, names, spec.factor)
-        predicted = trees.local_trees(training, fine, target, names, spec.factor, shape, min_samples=spec.min_samples, weights=weights)
-    elif spec.model in ("random_forest", "gradient_boosting"):
-        predicted = trees.scene_ensemble(training, fine, target, names, spec.factor, "forest" if spec.model == "random_forest" else "boosted", min_samples=spec.min_samples)
-    else:  # places in coarse cells
-        at = lambda df, scale: df.withColumns({c: (F.col(i) + 0.5) / scale for c, i in (("x", "ix"), ("y", "iy"))})
-        predicted = gwr.predict_gwr(at(fine, spec.factor), at(training, 1), target, names, bandwidth=spec.bandwidth, min_local=spec.min_samples)
-    observed = coarse.where(F.col(target).isNotNull())
-    if spec.correction == "block":
-        return downscale.conserve_blocks(predicted, observed, target, spec.factor)
-    if spec.correction == "smooth":
-        return downscale.conserve_smooth(predicted, observed, target, spec.factor, height=shape[0], width=shape[1])
-    return kriging.conserve_kriged(predicted, observed, target, spec.factor, shape)
+    predicted = PER_SCENE_MODELS[spec.model](training, fine, spec, target, shape)
+    return CORRECTIONS[spec.correction](predicted, coarse.where(F.col(target).isNotNull()), target, spec.factor, shape)
 
 
 def run(cubes: Mapping[str, DataFrame], request: Request, *, shape: tuple[int, int]) -> Result:
@@ -109,19 +175,26 @@ def run(cubes: Mapping[str, DataFrame], request: Request, *, shape: tuple[int, i
     if request.downscaling:
         fine = cubes[request.downscaling.sensor]
         pairs = temporal.nearest_times(cubes[target], fine, temporal.tolerance_us(request.downscaling.sensor, request.tolerance_days)).where("matched_time is not null").select("scene", "matched_time")
-        timed = fine.withColumnRenamed("scene", "matched_time").join(F.broadcast(pairs), "matched_time").drop("matched_time")
+        timed = fine.withColumnRenamed("scene", "matched_time").join(pairs, "matched_time").drop("matched_time")
         sharp = downscale_cube(cubes[target], timed, request.downscaling, "lst", shape)
     return Result(fused, cubes[target], sharp, {"plan": [s.__dict__ for s in build_plan(request)], "target": target})
 
 
 def execute(spark: SparkSession, request: Request, products: DataFrame, *, shape: tuple[int, int], on_error: str = "raise") -> Result:
-    """Check limits, discover, read with the registered adapters, then run. A failing sensor is skipped if told so."""
+    """Check limits, discover, read with the registered adapters, then run.
+
+    A failing sensor is skipped if told so; reads are lazy, so each cube is then
+    counted once to see whether it can be read. Without the target there is an error.
+    """
     check_limits(request)
     cubes: dict[str, DataFrame] = {}
     errors: dict[str, str] = {}
     for sensor in request.sensors:
         try:
-            cubes[sensor] = ADAPTERS[sensor](spark, discover(products, request, sensor), request)
+            cube = ADAPTERS[sensor](spark, discover(products, request, sensor), request)
+            if on_error != "raise":
+                cube.count()
+            cubes[sensor] = cube
         except Exception as e:
             if on_error == "raise":
                 raise

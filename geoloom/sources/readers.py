@@ -8,12 +8,13 @@ Every reader is a projection, so filters and column selections reach the scan.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean, clear_class, dn_to_temperature, reflectance
+from ..functions.scalar import KELVIN, clean, clear_class, dn_to_temperature, reflectance
 
 #: Gases with a level-2 column, and the quality a pixel needs. Fixed values.
 GASES = ("NO2", "SO2", "CO", "O3", "HCHO", "CH4", "AER_AI")
@@ -51,11 +52,47 @@ def optical_bands(raw: DataFrame, bands: Sequence[str], offsets: dict[str, float
     return raw.select(*keep, *(F.when(ok, reflectance(F.col(b).cast("double"), F.lit((offsets or {}).get(b)).cast("double"))).alias(b) for b in bands), ok.alias("valid_mask"))
 
 
+#: Processing baseline from which digital numbers carry an offset, and that offset. Fixed values.
+OFFSET_BASELINE, BASELINE_OFFSET = 4.0, -1000.0
+
+
+def baseline_offset(baseline: Column, scaled: Column | None = None) -> Column:
+    """Radiometric offset of a scene: that of newer baselines, unless its asset publishes a scale (then values are ready)."""
+    ready = F.coalesce(scaled, F.lit(False)) if scaled is not None else F.lit(False)
+    return F.when(~ready & (baseline.cast("double") >= OFFSET_BASELINE), BASELINE_OFFSET).otherwise(0.0)
+
+
+def scaled_values(dn: Column, scale: Column | float = 1.0, offset: Column | float = 0.0, nodata: float | None = None) -> Column:
+    """Digital numbers of a raster band as values; no data and non-finite numbers become NULL."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    value = clean(dn.cast("double"))
+    value = value if nodata is None else F.when(value != nodata, value)
+    return value * F.coalesce(lit(scale), F.lit(1.0)) + F.coalesce(lit(offset), F.lit(0.0))
+
+
+def asset_of(assets: Column, names: Sequence[str]) -> Column:
+    """The first asset of a map (name to location) that goes by one of several names."""
+    return F.coalesce(*(F.element_at(assets, F.lit(n)) for n in names))
+
+
+def top_of_atmosphere(raw: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Reflectance at the top of the atmosphere, by each row's baseline; there are no scene classes to mask by."""
+    offset = baseline_offset(F.col("baseline"))
+    keep = [c for c in raw.columns if c not in bands]
+    return raw.select(*keep, *(reflectance(F.col(b).cast("double"), offset).alias(b) for b in bands))
+
+
+def masked_radar(raw: DataFrame, bands: Sequence[str], *, mask: str = "data_mask", valid: Sequence[int] = (1,), **scales) -> DataFrame:
+    """Terrain-corrected backscatter where the data mask says so; elsewhere NULL."""
+    ok = F.coalesce(F.col(mask).isin(*valid), F.lit(False))
+    return radar_bands(raw.withColumns({b: F.when(ok, F.col(b)) for b in bands}), bands, **scales)
+
+
 def radar_bands(raw: DataFrame, bands: Sequence[str], *, scale: str = "power", output: str = "linear") -> DataFrame:
     """Backscatter from power, amplitude or dB to linear power or dB."""
     linear = {"power": lambda c: c, "amplitude": lambda c: c * c, "db": lambda c: F.pow(F.lit(10.0), c / 10.0)}[scale]
     tiny = 1e-10
-    out = lambda c: F.lit(10.0) * F.log10(F.greatest(c, F.lit(tiny))) if output == "dB" else c
+    out = lambda c: F.when(c.isNotNull(), F.lit(10.0) * F.log10(F.greatest(c, F.lit(tiny)))) if output == "dB" else c
     return raw.withColumns({b: out(linear(F.col(b).cast("double"))) for b in bands})
 
 
@@ -70,6 +107,38 @@ def surface_temperature(raw: DataFrame, *, scale: float, offset: float, dn: str
     return raw.withColumn("lst", dn_to_temperature(F.col(dn).cast("double"), scale, offset, F.col(qa)))
 
 
+def cloudless_temperature(raw: DataFrame, *, value: str = "lst", cloud: str = "cloud") -> DataFrame:
+    """Surface temperature in Celsius from kelvin where the cloud band is 0; unknown cloud counts as cloud."""
+    clear = F.coalesce(F.col(cloud).cast("int") == 0, F.lit(False))
+    return raw.withColumn("valid_mask", clear & clean(F.col(value).cast("double")).isNotNull()).withColumn(value, F.when(F.col("valid_mask"), F.col(value).cast("double") - KELVIN))
+
+
+def inspect_table(df: DataFrame) -> list[tuple[str, str, str | None]]:
+    """(name, type, units) of every column of a raw table whose layout isn't known; reads no rows."""
+    return [(f.name, f.dataType.simpleString(), (f.metadata or {}).get("units")) for f in df.schema]
+
+
+#: Names of coordinates in gridded products. Fixed values.
+COORDINATES = {"latitude": "lat", "longitude": "lon", "valid_time": "scene", "time": "scene", "forecast_reference_time": "run"}
+
+
+def normalise_gridded(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """A gridded product's columns by standard names; longitudes from 0..360 to -180..180; measurements cleaned."""
+    known = {k: v for k, v in COORDINATES.items() if k in df.columns and v not in df.columns}
+    if "valid_time" in known:
+        known.pop("time", None)
+    out = df.withColumnsRenamed({**known, **{k: v for k, v in names.items() if k in df.columns}})
+    if "lon" in out.columns:
+        out = out.withColumn("lon", F.pmod(F.col("lon").cast("double") + 180.0, F.lit(360.0)) - 180.0)
+    return out.withColumns({v: clean(F.col(v).cast("double")) for k, v in names.items() if k in df.columns})
+
+
+def snapped_box(box: tuple[float, float, float, float], step: float) -> tuple[float, float, float, float]:
+    """The box grown outward to multiples of a provider's grid step."""
+    west, south, east, north = box
+    return math.floor(west / step) * step, math.floor(south / step) * step, math.ceil(east / step) * step, math.ceil(north / step) * step
+
+
 def rename_variables(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Weather and gas reanalysis variables to their standard names; others stay."""
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
@@ -90,6 +159,16 @@ ERA5_NAMES = {
     "swvl1": "soil_water_layer_1",
 }
 
+#: Short names of atmospheric-composition variables, and the grid steps of reanalysis and forecast. Fixed values.
+CAMS_NAMES = {
+    "no2": "nitrogen_dioxide",
+    "go3": "ozone",
+    "so2": "sulphur_dioxide",
+    "co": "carbon_monoxide",
+    "pm2p5": "particulate_matter_2.5um",
+}
+CAMS_STEPS = {"reanalysis": 0.75, "forecast": 0.4}
+
 READING_SCHEMA = "struct<parameter: struct<name: string, units: string>, value: double, datetime: string, date: struct<utc: string, local: string>, period: struct<datetimeFrom: struct<utc: string, local: string>>>"
 
 

@@ -306,10 +306,18 @@ def test_nearest_cell_outside_is_missing(spark):
 
 
 def test_clipped_areas():
-    square = np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float)
-    assert spatial.clipped_area(square, 1, 1, 3, 3) == 1 and spatial.clipped_area(square, 5, 5, 6, 6) == 0
-    diamond = np.array([(1, 0), (2, 1), (1, 2), (0, 1)], float)
-    assert abs(spatial.clipped_area(diamond, 0, 0, 1, 1) - 0.5) < 1e-12 and abs(spatial.clipped_area(diamond, -9, -9, 9, 9) - 2) < 1e-12
+    square, diamond = np.array([(0, 0), (2, 0), (2, 2), (0, 2)], float), np.array([(1, 0), (2, 1), (1, 2), (0, 1)], float)
+    cases = [(square, (1, 1, 3, 3), 1), (square, (5, 5, 6, 6), 0), (diamond, (0, 0, 1, 1), 0.5), (diamond, (-9, -9, 9, 9), 2), (diamond[::-1], (0, 0, 1, 1), 0.5), (square, (2, 0, 3, 1), 0)]
+    areas = spatial.clipped_areas(np.array([c[0] for c in cases]), *(np.array([c[1][k] for c in cases], float) for k in range(4)))
+    assert np.allclose(areas, [c[2] for c in cases])
+    rng = np.random.default_rng(4)
+    angles = np.sort(rng.uniform(0, 2 * np.pi, (40, 4)), 1)
+    quads = np.stack([np.cos(angles), np.sin(angles)], 2)
+    inside = lambda q, p: np.all([((q[(k + 1) % 4] - q[k])[0] * (p - q[k])[:, 1] - (q[(k + 1) % 4] - q[k])[1] * (p - q[k])[:, 0]) >= 0 for k in range(4)], 0)
+    at = (np.arange(400) + 0.5) / 400 * 0.8 - 0.3  # the box -0.3..0.5
+    grid = np.stack(np.meshgrid(at, at), -1).reshape(-1, 2)
+    areas = spatial.clipped_areas(quads, *(np.full(40, v) for v in (-0.3, -0.3, 0.5, 0.5)))
+    assert np.allclose(areas, [inside(q, grid).mean() * 0.64 for q in quads], atol=3e-3)
 
 
 def test_area_weights_sum_to_the_quads(spark):
