@@ -1,14 +1,16 @@
 """Windows around cells: dilation, gradients, spatio-temporal fusion, semivariograms.
 
-Square windows of masks are separable and run as two window functions. Weighted
-windows explode each cell to its neighbours' positions (at most (2r+1)^2 rows a
-cell) and sum them with one equi-join and partial aggregation.
+Masks grow along one axis, then the other. Small windows explode each cell to its
+neighbours' positions and sum them with one equi-join; wide weighted windows run
+within tiles that carry a halo.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,109 @@ def neighbours(cells: DataFrame, radius: int, values: list[str], keys: tuple[str
     return moved.select(*keys, (F.col("iy") - F.col("dy")).alias("iy"), (F.col("ix") - F.col("dx")).alias("ix"), "dy", "dx", *(F.col(v).alias(f"n_{v}") for v in values))
 
 
+#: Rows and columns of a tile.
+TILE = 64
+
+
+def in_tiles(cells: DataFrame, radius: int, values: Sequence[str], keys: Sequence[str], out: Sequence[str], run: Callable[[dict[str, np.ndarray], int], dict[str, np.ndarray]]) -> DataFrame:
+    """keys, iy, ix and `out` of every cell, by a function of the windows about the cells of one tile.
+
+    A cell goes to its own tile and to those whose halo of `radius` it lies in, so a
+    group is a tile with its halo, whatever the scene's size. `run` gets arrays of
+    the tile with its halo (NaN where there is nothing) and returns arrays of the tile.
+    """
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / TILE), F.floor((F.col(c) + radius) / TILE)))
+    rows = cells.select(*keys, "iy", "ix", *(F.col(v).cast("double").alias(v) for v in values)).withColumn("_ty", near("iy")).withColumn("_tx", near("ix"))
+    columns = [*keys, "iy", "ix", *out]
+
+    def tile(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        iy, ix = group.iy.to_numpy(), group.ix.to_numpy()
+        own = (iy // TILE == key[-2]) & (ix // TILE == key[-1])
+        if not own.any():
+            return pd.DataFrame(columns=columns)
+        top, left = iy[own].min() - radius, ix[own].min() - radius  # no more of the tile than has cells
+        shape = (iy[own].max() + radius - top + 1, ix[own].max() + radius - left + 1)
+        near = (iy >= top) & (iy < top + shape[0]) & (ix >= left) & (ix < left + shape[1])
+        arrays = {}
+        for v in values:
+            arrays[v] = np.full(shape, np.nan)
+            arrays[v][iy[near] - top, ix[near] - left] = group[v].to_numpy(float)[near]
+        made = run(arrays, radius)
+        inner = (iy[own] - top - radius, ix[own] - left - radius)
+        return group.loc[own, [*keys, "iy", "ix"]].assign(**{c: made[c][inner] for c in out})
+
+    types = dict(cells.dtypes)
+    ddl = ", ".join([f"{c} {types[c]}" for c in (*keys, "iy", "ix")] + [f"{c} double" for c in out])
+    made = rows.groupBy(*keys, "_ty", "_tx").applyInPandas(tile, ddl)
+    return made.select(*keys, "iy", "ix", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in out))
+
+
+def middle(a: np.ndarray, r: int, dy: int = 0, dx: int = 0) -> tuple[slice, slice]:
+    """Where the tile lies in an array with a halo, or where its cells' neighbours at a shift do."""
+    return slice(r + dy, a.shape[0] - r + dy), slice(r + dx, a.shape[1] - r + dx)
+
+
+def shifted(a: np.ndarray, r: int) -> Iterator[tuple[int, int, tuple[slice, slice]]]:
+    """Every shift of the window, and where the neighbours at that shift lie."""
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            yield dy, dx, middle(a, r, dy, dx)
+
+
+def with_limit(cells: DataFrame, column: str, multiplier: float, keys: Sequence[str]) -> DataFrame:
+    """Adds _limit: how far similar cells may lie from a centre, in population deviations of the scene."""
+    spread = cells.groupBy(*keys).agg((F.stddev_pop(column) * multiplier).alias("_limit"))
+    return cells.join(spread, list(keys))
+
+
 def starfm(cells: DataFrame, *, fine: str = "fine0", coarse0: str = "coarse0", coarse1: str = "coarse1", radius: int = 10, multiplier: float = 2.0, keys: tuple[str, ...] = ("scene",)) -> DataFrame:
     """Fine map at a second date from a fine map and the coarse change (one pair).
 
     Adds predicted (NULL without support) and support. Similar neighbours differ
     from the centre by at most `multiplier` population deviations of the scene.
     """
-    spread = cells.groupBy(*keys).agg((F.stddev_pop(fine) * multiplier).alias("_limit"))
-    around = neighbours(cells, radius, [fine, coarse0, coarse1], keys)
-    centre = cells.select(*keys, "iy", "ix", F.col(fine).alias("_c")).where("_c is not null").join(F.broadcast(spread), list(keys))
-    f, a, b = (F.col(f"n_{c}") for c in (fine, coarse0, coarse1))
-    joined = centre.join(around, [*keys, "iy", "ix"]).where(f.isNotNull() & a.isNotNull() & b.isNotNull() & (F.abs(f - F.col("_c")) <= F.col("_limit")))
-    distance = F.lit(1.0) + F.sqrt((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).cast("double")) / radius
-    weight = F.lit(1.0) / ((F.abs(f - F.col("_c")) + EPSILON) * (F.abs(b - a) + EPSILON) * distance)
-    mixed = joined.groupBy(*keys, "iy", "ix").agg((F.sum(weight * (f + b - a)) / F.sum(weight)).alias("predicted"))
-    return cells.join(mixed, [*keys, "iy", "ix"], "left").withColumn("support", F.col("predicted").isNotNull())
+
+    def run(a: dict[str, np.ndarray], r: int) -> dict[str, np.ndarray]:
+        f, before, after = a[fine], a[coarse0], a[coarse1]
+        known = np.isfinite(f) & np.isfinite(before) & np.isfinite(after)
+        value, change = f + after - before, np.abs(after - before) + EPSILON
+        centre, limit = f[middle(f, r)], a["_limit"][middle(f, r)]
+        total, weights = np.zeros_like(centre), np.zeros_like(centre)
+        with np.errstate(invalid="ignore"):
+            for dy, dx, at in shifted(f, r):
+                apart = np.abs(f[at] - centre)
+                w = np.where(known[at] & (apart <= limit), 1.0 / ((apart + EPSILON) * change[at] * (1.0 + np.hypot(dy, dx) / max(r, 1))), 0.0)
+                weights += w
+                total += np.where(w > 0, w * value[at], 0.0)
+            return {"predicted": np.where(weights > 0, total / weights, np.nan)}
+
+    found = in_tiles(with_limit(cells, fine, multiplier, keys), radius, [fine, coarse0, coarse1, "_limit"], keys, ["predicted"], run)
+    return cells.join(found, [*keys, "iy", "ix"], "left").withColumn("support", F.col("predicted").isNotNull())
+
+
+def regressed(x: np.ndarray, y: np.ndarray, c: np.ndarray, limit: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope, intercept and residual variance of y on x over the similar cells of every window."""
+    known = np.isfinite(x) & np.isfinite(y) & np.isfinite(c)
+    x0, y0, c0 = (np.where(known, v, 0.0) for v in (x, y, c))
+    inner = middle(x, r)
+    n, sx, sy, sxx, sxy, syy = (np.zeros_like(c[inner]) for _ in range(6))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for _, _, at in shifted(x, r):
+            use = (known[at] & (np.abs(c0[at] - c[inner]) <= limit[inner])).astype(float)
+            u, v = x0[at] * use, y0[at] * use
+            n += use
+            sx += u
+            sy += v
+            sxx += u * x0[at]
+            sxy += u * y0[at]
+            syy += v * y0[at]
+        mx, my = sx / n, sy / n
+        var = sxx / n - mx * mx
+        ok = (n >= 3) & (var > 1e-9)
+        slope = np.where(ok, (sxy / n - mx * my) / var, 1.0)
+        intercept = np.where(ok, my - slope * mx, 0.0)
+        left = np.where(ok, np.maximum(syy - intercept * sy - slope * sxy, 0.0) / np.maximum(n - 2, 1.0), np.nan)
+    return tuple(np.where(n > 0, v, np.nan) for v in (slope, intercept, left))
 
 
 def local_regression(cells: DataFrame, x: str, y: str, *, radius: int, centre: str, multiplier: float = 2.0, keys: tuple[str, ...] = ("scene",), suffix: str = "") -> DataFrame:
@@ -79,20 +169,9 @@ def local_regression(cells: DataFrame, x: str, y: str, *, radius: int, centre: s
 
     With fewer than three cells or no variance of x: slope 1, intercept 0, variance NULL.
     """
-    spread = cells.groupBy(*keys).agg((F.stddev_pop(centre) * multiplier).alias("_limit"))
-    values = list(dict.fromkeys([x, y, centre]))
-    around = neighbours(cells, radius, values, keys)
-    base = cells.select(*keys, "iy", "ix", F.col(centre).alias("_c")).join(F.broadcast(spread), list(keys))
-    nx, ny = F.col(f"n_{x}"), F.col(f"n_{y}")
-    used = base.join(around, [*keys, "iy", "ix"]).where(nx.isNotNull() & ny.isNotNull() & (F.abs(F.col(f"n_{centre}") - F.col("_c")) <= F.col("_limit")))
-    s = used.groupBy(*keys, "iy", "ix").agg(F.count("*").alias("n"), F.sum(nx).alias("sx"), F.sum(ny).alias("sy"), F.sum(nx * nx).alias("sxx"), F.sum(nx * ny).alias("sxy"), F.sum(ny * ny).alias("syy"))
-    mx, my = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
-    var = F.col("sxx") / F.col("n") - mx * mx
-    ok = (F.col("n") >= 3) & (var > 1e-9)
-    s = s.withColumn("slope", F.when(ok, (F.col("sxy") / F.col("n") - mx * my) / var).otherwise(1.0)).withColumn("intercept", F.when(ok, my - F.col("slope") * mx).otherwise(0.0))
-    sse = F.col("syy") - F.col("intercept") * F.col("sy") - F.col("slope") * F.col("sxy")
-    s = s.withColumn("resvar", F.when(ok, F.greatest(sse, F.lit(0.0)) / F.greatest(F.col("n") - 2, F.lit(1))))
-    return s.select(*keys, "iy", "ix", *(F.col(c).alias(f"{c}{suffix}") for c in ("slope", "intercept", "resvar")))
+    names = [f"{c}{suffix}" for c in ("slope", "intercept", "resvar")]
+    run = lambda a, r: dict(zip(names, regressed(a[x], a[y], a[centre], a["_limit"], r), strict=True))
+    return in_tiles(with_limit(cells, centre, multiplier, keys), radius, list(dict.fromkeys([x, y, centre, "_limit"])), keys, names, run)
 
 
 def estarfm(cells: DataFrame, *, radius: int = 10, multiplier: float = 2.0, keys: tuple[str, ...] = ("scene",)) -> DataFrame:
@@ -101,15 +180,18 @@ def estarfm(cells: DataFrame, *, radius: int = 10, multiplier: float = 2.0, keys
     Each pair's coarse change is scaled by its local slope; pairs are weighted by
     the inverse residual variance (1 where there is none). Adds predicted, support.
     """
-    by = [*keys, "iy", "ix"]
-    out = cells
-    for k in ("0", "2"):
-        out = out.join(local_regression(cells, f"coarse{k}", f"fine{k}", radius=radius, centre="fine0", multiplier=multiplier, keys=keys, suffix=k), by, "left")
+    made = [f"{c}{k}" for k in "02" for c in ("slope", "intercept", "resvar")]
+
+    def run(a: dict[str, np.ndarray], r: int) -> dict[str, np.ndarray]:
+        both = [v for k in "02" for v in regressed(a[f"coarse{k}"], a[f"fine{k}"], a["fine0"], a["_limit"], r)]
+        return dict(zip(made, both, strict=True))
+
+    fitted = in_tiles(with_limit(cells, "fine0", multiplier, keys), radius, ["fine0", "coarse0", "fine2", "coarse2", "_limit"], keys, made, run)
+    out = cells.join(fitted, [*keys, "iy", "ix"], "left")
     w = {k: F.when(F.col(f"resvar{k}").isNotNull(), F.lit(1.0) / (F.col(f"resvar{k}") + EPSILON)).otherwise(1.0) for k in "02"}
     p = {k: F.col(f"fine{k}") + F.coalesce(F.col(f"slope{k}"), F.lit(1.0)) * (F.col("coarse1") - F.col(f"coarse{k}")) for k in "02"}
     out = out.withColumn("predicted", (w["0"] * p["0"] + w["2"] * p["2"]) / (w["0"] + w["2"]))
-    drop = [f"{c}{k}" for c in ("slope", "intercept", "resvar") for k in "02"]
-    return out.drop(*drop).withColumn("support", F.col("predicted").isNotNull())
+    return out.drop(*made).withColumn("support", F.col("predicted").isNotNull())
 
 
 def semivariogram(cells: DataFrame, value: str, *, max_lag: int = 8, min_pairs: int = 5, keys: tuple[str, ...] = ("scene",)) -> DataFrame:

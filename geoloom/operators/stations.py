@@ -54,7 +54,7 @@ def interpolate(cells: DataFrame, stations: DataFrame, at_times: DataFrame, *, m
     counted first, by buckets; nearest ones are looked for only where enough are.
     """
     by = ["scene", "iy", "ix"]
-    sites = at_times.join(stations.select("station_id", F.col("x").alias("sx"), F.col("y").alias("sy")), "station_id").select("scene", "station_id", "sx", "sy", "value")
+    sites = at_times.join(stations.select("station_id", F.col("x").alias("sx"), F.col("y").alias("sy")), "station_id").select("scene", "station_id", "sx", "sy", "value").persist()  # a row a station and scene, read several times
     scenes = sites.groupBy("scene").agg(F.count("*").alias("_sites"))
     frame = scenes.crossJoin(cells.select("iy", "ix", "x", "y")).drop("_sites")  # the rows of the result
     support = around(frame, sites, max_distance, keys=["scene"]).where(F.col("d2") <= max_distance * max_distance).groupBy(*by).agg(F.count("*").alias("station_count"))
@@ -78,14 +78,25 @@ def leave_one_out(readings: DataFrame, stations: DataFrame, *, tolerance_us: int
     good = first_readings(readings, order)
     sites = stations.select(F.col("station_id").alias("other"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     pairs = around(stations.select("station_id", "x", "y"), sites, max_distance).where((F.col("station_id") != F.col("other")) & (F.col("d2") <= max_distance * max_distance)).select("station_id", "other", F.sqrt("d2").alias("d"))
-    asked = good.join(pairs, "station_id").withColumnRenamed("value", "observed")
-    times = asked.select(F.col("other").alias("station_id"), F.col("ts").alias("scene")).distinct()
-    found = reading_at(good, times, tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
-    rank = F.row_number().over(Window.partitionBy("station_id", "ts").orderBy("d", "other"))
-    ranked = asked.join(found, ["other", "ts"]).withColumn("k", rank).where(F.col("k") <= max_neighbours)
+    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("station_id").orderBy("d", "other")))
+    rank = F.row_number().over(Window.partitionBy("station_id", "ts").orderBy("place"))
     w = F.lit(1.0) / F.pow(F.greatest("d", F.lit(1.0)), F.lit(power))
-    out = ranked.groupBy("station_id", "ts").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("predicted"), F.count("*").alias("n"), F.first("observed").alias("observed"))
-    return out.where(F.col("n") >= min_neighbours).drop("n")
+
+    def predicted(asking: DataFrame, known: DataFrame) -> DataFrame:
+        asked = asking.join(known, "station_id").withColumnRenamed("value", "observed")
+        times = asked.select(F.col("other").alias("station_id"), F.col("ts").alias("scene")).distinct()
+        found = reading_at(good, times, tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
+        ranked = asked.join(found, ["other", "ts"]).withColumn("k", rank).where(F.col("k") <= max_neighbours)
+        return ranked.groupBy("station_id", "ts").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("predicted"), F.count("*").alias("n"), F.first("observed").alias("observed"))
+
+    # most find enough among their nearest stations; the others, and only they, ask all in the radius
+    some = 3 * max_neighbours
+    first = predicted(good, pairs.where(F.col("place") <= some)).persist()
+    crowded = pairs.where(F.col("place") == some + 1).select("station_id")
+    short = good.join(crowded, "station_id", "left_semi").join(first.where(F.col("n") >= max_neighbours).select("station_id", "ts"), ["station_id", "ts"], "left_anti")
+    rest = predicted(short, pairs)
+    whole = first.join(rest.select("station_id", "ts"), ["station_id", "ts"], "left_anti").unionByName(rest)
+    return whole.where(F.col("n") >= min_neighbours).drop("n")
 
 
 def station_metrics(predictions: DataFrame, readings: DataFrame) -> DataFrame:
