@@ -16,8 +16,13 @@ Words are as in `wordhash.py`. A text with fewer than n words is one n-gram of
 all its words; texts without words are alike only if their bytes are equal
 (null: empty). Rows with a null doc_id take part in nothing and are not returned.
 Rows that repeat a doc_id with the same text count once; with different texts
-the doc_id gets the smallest of its classes and the sum of links. An empty table
-gives no rows.
+the doc_id gets the smallest of its classes and the sum of links. Of equally small
+members a bucket hangs on the smallest doc_id. Texts of any length count whole, and
+other columns, whatever their names, are not read. An empty table gives no rows.
+
+Every pair of a candidate part is verified, which counts every link exactly; the
+work in a part of m different texts is m * m / 2 comparisons, and each text is
+sent once for each of the part's blocks (m / 2048 of them for a large one).
 """
 
 from __future__ import annotations

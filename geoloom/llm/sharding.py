@@ -6,14 +6,16 @@ runs of that order whose largest run is smallest. Its capacity is found by
 binary search, each step checking greedily how far every shard reaches.
 
 The order is a digest, so a prefix of it names ranges of nearly equal weight:
-running sums need no global sort, only a window within each of 4096 ranges and
-one over the ranges. The greedy check needs sums at the cuts alone: the driver
+running sums need no global sort, only a window within each range and one over
+the ranges, whose number follows the number of groups. The greedy check needs sums at the cuts alone: the driver
 holds a table of bounded size (`RESOLUTION` intervals of the running sum), bounds
 the capacity with it, and refines only intervals where a cut of a capacity still
 possible may fall, until those hold single groups.
 
 Size of a document: UTF-8 bytes of its text plus `overhead`; null counts as an
-empty text. Rows that repeat a doc_id stay separate. A group larger than every
+empty text. Rows that repeat a doc_id, or have none, stay separate; within a
+group slots go by part, doc_id (null first) and row. Very long texts count whole.
+Other columns, whatever their names, are not read. A group larger than every
 capacity but its own gets a shard of its own size; with fewer groups than shards
 the last shards stay empty. An empty table gives no rows.
 """
@@ -22,23 +24,32 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, scratch
 
-#: Ranges of the digest order; intervals the driver holds at once; parts of a large group for numbering.
-RANGES, RESOLUTION, SUBGROUPS = 4096, 20_000, 64
+#: Groups in a range of the digest order, rows in a part of a group, about; intervals the driver holds at once.
+RANGE_GROUPS, PART_ROWS, RESOLUTION = 100_000, 250_000, 20_000
 
 
-def running(groups: DataFrame) -> DataFrame:
+def digits_for(rows: int) -> int:
+    """Hexadecimal digits that name a range: 4096 ranges, and 16 or 256 times as many for very many rows."""
+    return next((d for d in (3, 4) if 16**d * RANGE_GROUPS >= rows), 5)
+
+
+def bucket(digits: int) -> Column:
+    return F.conv(F.substring("digest", 1, digits), 16, 10).cast("int")
+
+
+def running(groups: DataFrame, digits: int) -> DataFrame:
     """digest, size, rows, and `upto`: sizes of this group and all before it."""
-    groups = groups.withColumn("bucket", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
+    groups = groups.withColumn("bucket", bucket(digits))
     totals = groups.groupBy("bucket").agg(F.sum("size").alias("b_size"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a range, 16^5 at most
     totals = totals.select("bucket", F.coalesce(F.sum("b_size").over(before), F.lit(0)).alias("size_before"))
     inside = Window.partitionBy("bucket").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)
-    return groups.join(F.broadcast(totals), "bucket").select("digest", "size", "rows", (F.sum("size").over(inside) + F.col("size_before")).alias("upto"))
+    return groups.join(totals, "bucket").select("digest", "size", "rows", (F.sum("size").over(inside) + F.col("size_before")).alias("upto"))
 
 
 class Reach:
@@ -131,37 +142,46 @@ def minimax_cuts(sums: DataFrame, shards: int, *, resolution: int = RESOLUTION)
 def assign_shards(docs: DataFrame, shards: int, *, overhead: int = 8, id_col: str = "doc_id", text_col: str = "text", resolution: int = RESOLUTION) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard (null).
 
-    Three shuffles of narrow rows (id, size, digest); texts are read once and never move.
+    Three shuffles of narrow rows (id, size, digest); texts are read once and never
+    move. The result is a written table; all others are deleted.
     """
+    with scratch(docs.sparkSession):
+        return materialise(placed_documents(docs, shards, overhead, id_col, text_col, resolution), "shards", last=True)
+
+
+def placed_documents(docs: DataFrame, shards: int, overhead: int, id_col: str, text_col: str, resolution: int) -> DataFrame:
+    """The partition of `assign_shards`, step by step."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + F.lit(overhead)).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = materialise(rows, "sizes")
+    total = rows.count()
+    digits = digits_for(total)
     # documents in parts of a group; a part's rows are numbered by a window, parts by counts
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SUBGROUPS)).cast("int")
-    rows = rows.withColumn("part", part)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row"))), F.lit(max(64, -(-total // PART_ROWS)))).cast("int"))
     groups = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-    sums = materialise(running(groups), "sums")
+    sums = materialise(running(groups, digits), "sums")
     _, cuts = minimax_cuts(sums, shards, resolution=resolution)
     shard = F.lit(0)
     for cut in cuts[:-1]:
         shard = shard + (F.col("upto") > cut).cast("int")
-    placed = sums.select("digest", "rows", shard.alias("shard"), F.conv(F.substring("digest", 1, 3), 16, 10).cast("int").alias("bucket"))
+    placed = sums.select("digest", "rows", shard.alias("shard"), bucket(digits).alias("bucket"))
     # groups before this one in the shard, then parts before this one in the group
     per_range = placed.groupBy("bucket", "shard").agg(F.sum("rows").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_range = per_range.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_start"))
     inside = Window.partitionBy("bucket", "shard").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("in_range", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(F.broadcast(per_range), ["bucket", "shard"])
+    placed = placed.withColumn("in_range", F.coalesce(F.sum("rows").over(inside), F.lit(0))).join(per_range, ["bucket", "shard"])
     placed = placed.select("digest", "shard", (F.col("range_start") + F.col("in_range")).alias("group_start"))
     parts = rows.groupBy("digest", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows at most
+    earlier = Window.partitionBy("digest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
     parts = parts.withColumn("part_start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(placed, "digest").select("digest", "part", "shard", (F.col("group_start") + F.col("part_start")).alias("start"))
-    number = Window.partitionBy("digest", "part").orderBy("doc_id")
+    number = Window.partitionBy("digest", "part").orderBy("doc_id", "row")
     numbered = rows.withColumn("number", F.row_number().over(number) - 1)
     return numbered.join(parts, ["digest", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("number")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")

@@ -73,6 +73,15 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert out == brute(rows)
 
 
+def test_clashing_columns_and_very_long_texts(spark):
+    rng = random.Random(8)
+    long = [f"v{rng.randrange(4000)}" for _ in range(80_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:70_000])), (3, " ".join(long[:40_000])), (4, " ".join(["more", *long])), (5, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as th", "'y' as node", "array(1L) as bands", "'z' as class_id", "1 as part")
+    out = {r.doc_id: (r.class_id, r.n_links) for r in minhash.near_duplicates(docs).collect()}
+    assert out == brute(rows)
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(docs_of(spark, [])).count() == 0
 

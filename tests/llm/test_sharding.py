@@ -45,7 +45,7 @@ def test_capacity_is_minimal(spark, seed, n, shards, resolution):
 def test_documents(spark):
     texts = ["x", "", None, "ä" * 50, "same", "same", "same", "long " * 400] + [f"text {i} " * (i % 7) for i in range(60)]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(4, "same", "s"), (None, "same", "s")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, size string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size string").selectExpr("*", "'a' as row", "'b' as part", "'c' as digest", "1.5 as shard")
     out = sharding.assign_shards(docs, 24, resolution=10).collect()
     assert len(out) == len(rows)
     by_text = {}
@@ -67,5 +67,23 @@ def test_documents(spark):
     assert max(loads.values()) == smallest_capacity(sizes, 24)
 
 
+def test_hot_and_very_long_texts(spark, monkeypatch):
+    """A third of all rows equal and without ids, in parts; one text larger than all others together."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 2)
+    rows = [(None, "hot") for _ in range(300)] + [(k, f"t{k}") for k in range(600)] + [(7, "x" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.assign_shards(docs, 5).collect()
+    assert len(out) == len(rows) and len({r.shard for r in out if r.doc_id is None}) == 1
+    for shard in range(5):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    assert max(sum(r.size for r in out if r.shard == s) for s in range(5)) >= 200_008
+    again = sharding.assign_shards(docs.repartition(2), 5).where("doc_id is not null").collect()
+    assert {(r.doc_id, r.size, r.shard) for r in again} == {(r.doc_id, r.size, r.shard) for r in out if r.doc_id is not None}
+
+
+def test_ranges_follow_the_number_of_rows():
+    assert [sharding.digits_for(n) for n in (0, 10**6, 16**3 * sharding.RANGE_GROUPS, 10**9, 10**11)] == [3, 3, 3, 4, 5]
+
+
 def test_empty_table(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string"), 24).count() == 0
