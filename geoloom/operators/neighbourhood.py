@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import apart
+
 EPSILON = 1e-6
 
 
@@ -92,7 +94,7 @@ def in_tiles(cells: DataFrame, radius: int, values: Sequence[str], keys: Sequenc
 
     types = dict(cells.dtypes)
     ddl = ", ".join([f"{c} {types[c]}" for c in (*keys, "iy", "ix")] + [f"{c} double" for c in out])
-    made = rows.groupBy(*keys, "_ty", "_tx").applyInPandas(tile, ddl)
+    made = apart(rows, *keys, "_ty", "_tx").groupBy(*keys, "_ty", "_tx").applyInPandas(tile, ddl)
     return made.select(*keys, "iy", "ix", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in out))
 
 

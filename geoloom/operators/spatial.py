@@ -281,6 +281,14 @@ def nearest_sites(cells: DataFrame, sites: DataFrame, x: str, y: str, k: int, *,
     return met.withColumn("_d2", d2).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).withColumn("distance", F.sqrt("_d2")).drop("_d2")
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over as many tasks as shuffles have, for groups with much work and few bytes.
+
+    Adaptive execution merges small shuffles, and would give all such groups to one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cells_table(spark: SparkSession, height: int, width: int) -> DataFrame:
     return spark.range(height * width).select(F.expr(f"cast(id div {width} as int)").alias("iy"), (F.col("id") % width).cast("int").alias("ix"))
 

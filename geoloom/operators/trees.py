@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import radiance_blend
-from .spatial import bilinear_up
+from .spatial import apart, bilinear_up
 
 WHOLE = -1  #: window number of a scene's own ensemble
 
@@ -109,21 +109,24 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, shape: Shape) -> Tree:
     least = min(shape.least, max(1, len(y) // 4))
     rows, depth, feature, cut, child = [np.arange(len(y))], [0], [-1], [0.0], [0]
     best = [split_gain(x, y, w, least)]
-    while (len(rows) + 1) // 2 < shape.leaves:
-        gains = [g[0] if f < 0 and d < shape.depth else 0.0 for g, f, d in zip(best, feature, depth, strict=True)]
+    gains = np.zeros(2 * min(shape.leaves, len(y)) + 1)  # of open nodes
+    gains[0] = best[0][0]
+    while (len(rows) + 1) // 2 < min(shape.leaves, len(y)):
         node = int(np.argmax(gains))
         if gains[node] <= 1e-12:
             break
         _, feature[node], cut[node] = best[node]
-        child[node] = len(rows)
+        child[node], gains[node] = len(rows), 0.0
         low = x[rows[node], feature[node]] <= cut[node]
         for side in (rows[node][low], rows[node][~low]):
+            deep = depth[node] + 1 >= shape.depth
+            best.append((0.0, 0, 0.0) if deep else split_gain(x[side], y[side], w[side], least))
+            gains[len(rows)] = best[-1][0]
             rows.append(side)
             depth.append(depth[node] + 1)
             feature.append(-1)
             cut.append(0.0)
             child.append(0)
-            best.append(split_gain(x[side], y[side], w[side], least) if depth[-1] < shape.depth else (0.0, 0, 0.0))
     fits = [leaf_fit(x[r], y[r], w[r], shape) if f < 0 else (np.zeros(x.shape[1] + 1), 0.0, 0.0) for r, f in zip(rows, feature, strict=True)]
     return Tree(np.array(feature), np.array(cut), np.array(child), np.array([b for b, _, _ in fits]), np.array([a for _, a, _ in fits]), np.array([c for _, _, c in fits]))
 
@@ -183,7 +186,7 @@ def fit_groups(rows: DataFrame, target: str, names: Sequence[str], least: int, s
         mine = cells["inside"].to_numpy(bool)
         return pd.DataFrame([(key[0], key[1], key[2], pickle.dumps(ensemble), float(left.std()), cells.iy[mine].tolist(), cells.ix[mine].tolist(), np.abs(left[mine]).tolist())], columns=columns)
 
-    return rows.groupBy("scene", "wy", "wx").applyInPandas(fit, f"scene {kind}, wy long, wx long, model binary, deviation double, iys array<int>, ixs array<int>, errors array<double>")
+    return apart(rows, "scene", "wy", "wx").groupBy("scene", "wy", "wx").applyInPandas(fit, f"scene {kind}, wy long, wx long, model binary, deviation double, iys array<int>, ixs array<int>, errors array<double>")
 
 
 def complete(training: DataFrame, target: str, names: Sequence[str], weights: DataFrame | None) -> DataFrame:
@@ -217,7 +220,7 @@ def predicted(fine: DataFrame, models: DataFrame, names: Sequence[str], side: in
         return out.assign(deviation=np.where(sound, known[known.whole].deviation.iloc[0], np.nan))[["scene", "iy", "ix", "local", "overall", "deviation"]]
 
     keys = ["scene", "wy", "wx"]
-    found = cells.groupBy(*keys).cogroup(both.groupBy(*keys)).applyInPandas(predict, f"scene {kind}, iy int, ix int, local double, overall double, deviation double")
+    found = apart(cells, *keys).groupBy(*keys).cogroup(apart(both, *keys).groupBy(*keys)).applyInPandas(predict, f"scene {kind}, iy int, ix int, local double, overall double, deviation double")
     return found.select("scene", "iy", "ix", *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("local", "overall", "deviation")))
 
 
