@@ -142,18 +142,11 @@ def verify_units(threshold: float, n: int):
     """Arrow function over rows sorted by unit (part, i, j): links and ties of each document."""
 
     def unit(rows: list[dict], i: int, j: int) -> Iterator[tuple[int, int, int]]:
-        seen: dict[int, int] = {}
-        texts, ids, copies, sides = [], [], [], []
-        for r in rows:  # repeats of a row are one document
-            if (r["node"], r["th"]) in seen:
-                continue
-            seen[(r["node"], r["th"])] = 1
-            texts.append(r["text"] or "")
-            ids.append(r["node"])
-            copies.append(r["copies"])
-            sides.append(r["own"])
-        m = len(ids)
-        grams, offsets, *_ = ngram_sets(pa.array(texts, pa.large_string()), n)
+        known = {(r["node"], r["th"]): r for r in rows}  # repeats of a row are one document
+        own = [known[k] for k in sorted(known)]
+        ids, copies = [r["node"] for r in own], np.array([r["copies"] for r in own], np.int64)
+        m = len(own)
+        grams, offsets, *_ = ngram_sets(pa.array([r["text"] or "" for r in own], pa.large_string()), n)
         owner = np.repeat(np.arange(m), np.diff(offsets))
         values, inverse = np.unique(grams, return_inverse=True)
         pairs = np.unique(inverse.astype(np.int64) * m + owner)  # n-grams x documents, once each
@@ -163,39 +156,37 @@ def verify_units(threshold: float, n: int):
         gram, owner = gram[shared], owner[shared]
         gram = np.unique(gram, return_inverse=True)[1]
         width = int(gram.max()) + 1 if len(gram) else 0
-        common = np.zeros((m, m), np.float32)
+        side = np.array([r["own"] for r in own])
+        left, right = (np.arange(m), np.arange(m)) if i == j else (np.flatnonzero(side == i), np.flatnonzero(side == j))
+        common = np.zeros((len(left), len(right)), np.float32)
         step = max(1, (8 << 20) // max(m, 1))
         for k in range(0, width, step):
             here = (gram >= k) & (gram < k + step)
             part = np.zeros((m, min(step, width - k)), np.float32)
             part[owner[here], gram[here] - k] = 1
-            common += part @ part.T
+            common += part[left] @ part[right].T
         common = common.astype(np.int64)
-        either = size[:, None] + size[None, :] - common
+        either = size[left][:, None] + size[right][None, :] - common
         tied = (common >= threshold * either - 1e-9) & (either > 0)
-        np.fill_diagonal(tied, False)
+        if i == j:
+            np.fill_diagonal(tied, False)
+        links = np.zeros(m, np.int64)
+        links[left] += tied @ copies[right]
         if i != j:
-            side = np.array(sides)
-            tied &= side[:, None] != side[None, :]
-        links = tied @ np.array(copies, np.int64)
-        root = np.arange(m)
-        order = np.array(ids)
-        for a, b in zip(*np.nonzero(np.triu(tied)), strict=True):
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a != b:
-                low, high = (a, b) if order[a] < order[b] else (b, a)
-                root[high] = low
-        for a in range(m):
-            if links[a]:
-                top = a
-                while root[top] != top:
-                    top = root[top]
-                yield ids[a], int(links[a]), ids[top]
+            links[right] += tied.T @ copies[left]
+        at, to = np.nonzero(tied)
+        at, to = left[at], right[to]
+        root = np.arange(m)  # documents stand in the order of their ids
+        while True:
+            lower = root.copy()
+            np.minimum.at(lower, at, root[to])
+            np.minimum.at(lower, to, root[at])
+            lower = np.minimum(lower, lower[lower])
+            if (lower == root).all():
+                break
+            root = lower
+        for a in np.flatnonzero(links).tolist():
+            yield ids[a], int(links[a]), ids[root[a]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg.take_over("minhash")
