@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -29,6 +30,34 @@ def search(products: DataFrame, *, start: Column, end: Column, box: tuple[float,
     return out
 
 
+#: Comparisons that a query on item properties may name. Fixed values.
+COMPARISONS = {"eq": operator.eq, "neq": operator.ne, "lt": operator.lt, "lte": operator.le, "gt": operator.gt, "gte": operator.ge}
+
+
+def search_items(items: DataFrame, *, collections: Sequence[str] = (), box: tuple[float, float, float, float] | None = None, start: str | None = None, end: str | None = None, query: dict[str, dict[str, object]] | None = None) -> DataFrame:
+    """Items (collection, datetime, west, south, east, north, properties: map of text) by collections, box, time and properties.
+
+    Bounds count; an end that is a bare date means its last second. Numbers are
+    compared as numbers, text as text; an item without the property does not match.
+    """
+    out = items
+    if collections:
+        out = out.where(F.col("collection").isin(*collections))
+    if box:
+        west, south, east, north = box
+        out = out.where((F.col("west") <= east) & (F.col("east") >= west) & (F.col("south") <= north) & (F.col("north") >= south))
+    if start:
+        out = out.where(F.col("datetime") >= F.lit(start).cast("timestamp"))
+    if end:
+        out = out.where(F.col("datetime") <= F.lit(f"{end}T23:59:59" if len(end) == 10 else end).cast("timestamp"))
+    for name, terms in (query or {}).items():
+        for term, wanted in terms.items():
+            held = F.element_at("properties", F.lit(name))
+            held = held if isinstance(wanted, str) else held.try_cast("double")
+            out = out.where(COMPARISONS[term](held, F.lit(wanted)))
+    return out
+
+
 def quality_order(cloud: str = "cloud", coverage: str = "coverage") -> list[Column]:
     """Online first, known cloud first, less cloud, more coverage (unknown last), earlier, by id."""
     return [
@@ -52,7 +81,7 @@ def best_products(products: DataFrame, limit: int, *, max_cloud: float | None =
     kept = products if max_cloud is None else products.where(F.col("cloud").isNull() | (F.col("cloud") <= max_cloud))
     known = kept.groupBy(*keys).agg(F.count("cloud").alias("_known"), F.count("*").alias("_n"))
     by = Window.partitionBy(*(keys or [F.lit(0)]))
-    sized = kept.join(F.broadcast(known), list(keys)) if keys else kept.crossJoin(F.broadcast(known))
+    sized = kept.join(known, list(keys)) if keys else kept.crossJoin(F.broadcast(known))
     ranked = sized.where("_known > 0 or _n <= " + str(int(limit))).withColumn("rank", F.row_number().over(by.orderBy(*quality_order()))).where(F.col("rank") <= limit).drop("_known", "_n")
     blind = spread_in_time(sized.where(f"_known = 0 and _n > {int(limit)}").drop("_known", "_n"), limit, keys=keys)
     return ranked.unionByName(blind)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,20 +75,28 @@ def freshest_forecast(forecast: DataFrame, values: Sequence[str], *, run: str =
 def pass_groups(tiles: DataFrame, tolerance_us: int, *, time: str = "tile_time", keys: Sequence[str] = ()) -> DataFrame:
     """Adds pass_time: a tile belongs to the group whose first tile is at most the tolerance before it.
 
-    Groups are anchored at their first tile, unlike sessions by gaps. The fold runs
-    over the distinct tile times of each key as one array (a row a tile time).
+    Groups are anchored at their first tile, unlike sessions by gaps. A gap of more
+    than the tolerance starts a group whatever came before, so times are cut there
+    first; only within such a run, a unit of work of its own, is the chain followed.
     """
-    times = tiles.select(*keys, micros(time).alias("_t")).distinct()
-    listed = times.groupBy(*keys).agg(F.array_sort(F.collect_list("_t")).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<t:long,g:long>>").alias("out"))
-
-    def step(acc, t):
-        anchor = F.when(acc["anchor"].isNull() | (t - acc["anchor"] > tolerance_us), t).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(t.alias("t"), anchor.alias("g")))).alias("out"))
-
-    groups = listed.select(*keys, F.inline(F.aggregate("ts", start, step, lambda acc: acc["out"])))
-    groups = groups.select(*keys, F.col("t").alias("_t"), F.timestamp_micros("g").alias("pass_time"))
-    return tiles.withColumn("_t", micros(time)).join(groups, [*keys, "_t"]).drop("_t")
+    times = tiles.select(*keys, micros(time).alias("_t")).where("_t is not null").distinct()
+    by_time = Window.partitionBy(*keys).orderBy("_t") if keys else Window.orderBy("_t")  # a row a tile time
+    cut = (F.col("_t") - F.lag("_t").over(by_time) > tolerance_us).cast("int")
+    runs = times.withColumn("_run", F.sum(F.coalesce(cut, F.lit(0))).over(by_time))
+    types = dict(runs.dtypes)
+
+    def follow(run: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(run["_t"].to_numpy())
+        anchors, at = np.empty_like(t), 0
+        while at < len(t):
+            stop = int(np.searchsorted(t, t[at] + tolerance_us, side="right"))
+            anchors[at:stop] = t[at]
+            at = stop
+        return run.sort_values("_t").assign(_g=anchors)[[*keys, "_t", "_g"]]
+
+    groups = runs.groupBy(*keys, "_run").applyInPandas(follow, ", ".join([*(f"{k} {types[k]}" for k in keys), "_t long", "_g long"]))
+    groups = groups.select(*keys, "_t", F.timestamp_micros("_g").alias("pass_time"))
+    return tiles.withColumn("_t", micros(time)).join(groups, [*keys, "_t"], "left").drop("_t")
 
 
 def mosaic(tiles: DataFrame, values: Sequence[str], *, rank: str, group: str = "pass_time", valid: str | None = None) -> DataFrame:
@@ -115,6 +125,16 @@ def union_scenes(cubes: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def combine_acquisitions(gridded: DataFrame, count: str, *, keys: Sequence[str] = ("product_id",)) -> DataFrame:
+    """Cells gridded acquisition by acquisition as scenes in time.
+
+    Where two acquisitions of one time have a cell, the one with more observations
+    stays, then the one whose keys sort first.
+    """
+    best = F.row_number().over(Window.partitionBy("scene", "iy", "ix").orderBy(F.desc(count), *keys))
+    return gridded.withColumn("_k", best).where("_k = 1").drop("_k", *keys)
+
+
 def merge_equal(left: DataFrame, right: DataFrame, shared: Sequence[str], keys: Sequence[str] = ("scene", "iy", "ix")) -> DataFrame:
     """Equi-join of two cubes whose shared variables must agree where both have them; a conflict fails the query."""
     renamed = right.select(*keys, *(F.col(c).alias(f"_r_{c}") if c in shared else F.col(c) for c in right.columns if c not in keys))

@@ -193,7 +193,7 @@ def execute(spark: SparkSession, request: Request, products: DataFrame, *, shape
         try:
             cube = ADAPTERS[sensor](spark, discover(products, request, sensor), request)
             if on_error != "raise":
-                cube.count()
+                cube.agg(*(F.count(c) for c in cube.columns)).collect()
             cubes[sensor] = cube
         except Exception as e:
             if on_error == "raise":

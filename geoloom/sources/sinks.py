@@ -22,9 +22,14 @@ def safe_attributes(attributes: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
-def write_cube(cube: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    """Parquet partitioned by the scenes' dates; times keep microseconds, NULL stays NULL."""
+def write_cube(cube: DataFrame, path: str, *, mode: str = "errorifexists", attributes: dict[str, Any] | None = None) -> None:
+    """Parquet partitioned by the scenes' dates; times keep microseconds, NULL stays NULL.
+
+    Attributes go to `_attributes.json` in the folder, in a form that any file can hold.
+    """
     cube.withColumn("scene_date", F.col("scene").cast("date")).repartition("scene_date", F.pmod(F.hash("iy", "ix"), F.lit(16))).sortWithinPartitions("scene", "iy", "ix").write.partitionBy("scene_date").mode(mode).parquet(path)
+    if attributes is not None:
+        write_text(cube.sparkSession, f"{path}/_attributes.json", json.dumps(safe_attributes(attributes), sort_keys=True))
 
 
 def append_scene(scene: DataFrame, path: str) -> None:
