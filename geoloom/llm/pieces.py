@@ -110,12 +110,13 @@ class Normaliser:
         length, value = self.longest(data, at)
         return (self.strings[value : self.strings.index(b"\0", value)], length) if length else None
 
-    def mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes after the map; for each its source, the place of its unit, and whether it is a blank at the unit's front.
-
-        A unit is a replacement, or a byte that stands for itself.
-        """
+    def mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes after the map; for each its source and the place of its unit (a replacement, or a byte that stands for itself)."""
         raw = np.frombuffer(data, np.uint8)
+        places = np.flatnonzero(self.begins[raw]) if self.begins.any() else raw[:0]
+        if not len(places):  # one stretch
+            at = np.arange(len(raw))
+            return raw, at, at
         parts, sources, units, at, length = [], [], [], 0, 0
 
         def copy(stop: int) -> None:
@@ -126,7 +127,7 @@ class Normaliser:
                 units.append(np.arange(length, length + stop - at))
                 length += stop - at
 
-        for place in np.flatnonzero(self.begins[raw]).tolist():
+        for place in places.tolist():
             found = self.replacement(data, place) if place >= at else None
             if found:
                 copy(place)
@@ -136,16 +137,11 @@ class Normaliser:
                 units.append(np.full(len(new), length))
                 length, at = length + len(new), place + found[1]
         copy(len(data))
-        if not parts:
-            return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        out, source, unit = np.concatenate(parts), np.concatenate(sources), np.concatenate(units)
-        blank = out == 32
-        others = np.cumsum(~blank)  # blanks at the front of a unit have none of it before them
-        return out, source, unit, blank & (others == others[unit] - ~blank[unit])
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (parts, sources, units))
 
     def aligned(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Bytes after the map, blanks written as the model's space, and the source byte of each and of the end."""
-        out, source, *_ = self.mapped(data)
+        out, source, _ = self.mapped(data)
         return self.spelled(out, source, len(data))
 
     def spelled(self, out: np.ndarray, source: np.ndarray, end: int) -> tuple[bytes, np.ndarray]:
@@ -153,8 +149,11 @@ class Normaliser:
 
     def __call__(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and the end its source offset."""
-        out, source, unit, front = self.mapped(data)
+        out, source, unit = self.mapped(data)
         if self.squeeze:
+            blank = out == 32
+            others = np.cumsum(~blank)
+            front = blank & (others == others[unit] - ~blank[unit])  # nothing but blanks before it in its unit
             if not len(out) or (front & (unit == np.arange(len(out)))).all():
                 return b"", np.array([len(data)])  # nothing but blanks
             again = front & ((unit == 0) | (out[unit - 1] == 32))
