@@ -251,21 +251,30 @@ def region_balls(dealt: DataFrame, dims: list[int]) -> dict[int, tuple[np.ndarra
 def with_plans(asked: DataFrame, balls: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
     """Adds plan: the regions of the query's length, highest upper bound first."""
     shared = asked.sparkSession.sparkContext.broadcast(balls)
-    plan_type = pa.list_(pa.struct([("region", pa.int32()), ("bound", pa.float64())]))
+
+    def lists(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """A list of (region, bound) for each row of two matrices."""
+        pairs = pa.StructArray.from_arrays([pa.array(numbers.ravel(), pa.int32()), pa.array(bounds.ravel(), pa.float64())], ["region", "bound"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(numbers) + 1, dtype=np.int32) * numbers.shape[1]), pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            plans: list = [[{"region": 0, "bound": float("inf")}]] * batch.num_rows
-            for dim in set(np.unique(dims).tolist()) & set(shared.value):
-                numbers, centres, radii = shared.value[dim]
+            plans, places = [], []
+            for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                q = matrix(batch.column("v").take(pa.array(rows)), dim)
-                bounds = upper_bounds(q, np.sqrt((q.astype(np.float64) ** 2).sum(1)), centres, radii)
-                for row, own in zip(rows.tolist(), bounds, strict=True):
-                    order = np.argsort(-own, kind="stable")
-                    plans[row] = [{"region": int(numbers[k]), "bound": float(own[k])} for k in order]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plans, plan_type)], [*batch.schema.names, "plan"])
+                numbers, bounds = np.zeros((len(rows), 1), np.int32), np.full((len(rows), 1), np.inf)
+                if dim in shared.value:
+                    known, centres, radii = shared.value[dim]
+                    q = matrix(batch.column("v").take(pa.array(rows)), dim)
+                    bounds = upper_bounds(q, np.sqrt((q.astype(np.float64) ** 2).sum(1)), centres, radii)
+                    order = np.argsort(-bounds, axis=1, kind="stable")
+                    numbers, bounds = known[order], np.take_along_axis(bounds, order, 1)
+                plans.append(lists(numbers, bounds))
+                places.append(rows)
+            if plans:
+                plan = pa.concat_arrays(plans).take(pa.array(np.argsort(np.concatenate(places), kind="stable")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, plan], [*batch.schema.names, "plan"])
 
     return asked.mapInArrow(run, "vec_id long, dim int, v array<long>, plan array<struct<region: int, bound: double>>")
 

@@ -187,6 +187,26 @@ def test_token_files(spark):
     assert token_ids.read_token_files(spark, empty).count() == 0
 
 
+def test_spans_and_batches_of_token_files_follow_bytes(spark, monkeypatch):
+    tokenizer = queries.tokenizer_file("word_bpe_49k.json")
+    rows = [(k, f"word {k} " * (k % 40)) for k in range(300)] + [(300, "long word " * 3000), (301, None)]
+    read = {}
+    for span, size in ((token_ids.SPAN_BYTES, token_ids.READ_BYTES), (2_000, 500), (1, 1)):
+        monkeypatch.setattr(token_ids, "SPAN_BYTES", span)
+        monkeypatch.setattr(token_ids, "READ_BYTES", size)
+        monkeypatch.setattr(token_ids.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 0})()))
+        writer = token_ids.TokenWriter({"path": storage.new_path(spark, "t"), "tokenizer": tokenizer, "end_ids": "2"}, token_ids.T.StructType.fromDDL("doc_id long, text string"))
+        batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+        writer.commit([writer.write(iter([batch]))])
+        reader = token_ids.TokenReader({"path": writer.path})
+        parts = [[b.to_pylist() for b in reader.read(p)] for p in reader.partitions()]
+        flat = [r for part in parts for b in part for r in b]
+        assert [r["doc_id"] for r in flat] == [i for i, _ in rows] and [r["start"] for r in flat] == [sum(r["n_tokens"] for r in flat[:k]) for k in range(len(flat))]
+        read[span] = ([r["ids"] for r in flat], len(parts), max(len(b) for part in parts for b in part))
+    assert len({tuple(x[0]) for x in read.values()}) == 1
+    assert read[1][1:] == (302, 1) and 1 < read[2_000][1] < 302 and read[2_000][2] < 302 and read[64 << 20][1:] == (1, 302)
+
+
 def test_frames_notice_damage():
     good = token_ids.frame(token_ids.pack(-7, np.array([1, 2, 70000])))
     payload, end = token_ids.unframe(good, 0)
