@@ -197,10 +197,35 @@ def estarfm(cells: DataFrame, *, radius: int = 10, multiplier: float = 2.0, keys
 
 
 def semivariogram(cells: DataFrame, value: str, *, max_lag: int = 8, min_pairs: int = 5, keys: tuple[str, ...] = ("scene",)) -> DataFrame:
-    """Half the mean squared difference at every lag (dy, dx), each pair once."""
-    known = cells.where(F.col(value).isNotNull()).select(*keys, "iy", "ix", F.col(value).alias("v"))
-    span = lambda lo: F.explode(F.sequence(F.lit(lo), F.lit(max_lag)))
-    moved = known.withColumn("dy", span(0)).withColumn("dx", span(-max_lag)).where("dy > 0 or dx > 0")
-    moved = moved.select(*keys, (F.col("iy") + F.col("dy")).alias("iy"), (F.col("ix") + F.col("dx")).alias("ix"), "dy", "dx", F.col("v").alias("u"))
-    pairs = known.join(moved, [*keys, "iy", "ix"])
-    return pairs.groupBy(*keys, "dy", "dx").agg((F.avg((F.col("v") - F.col("u")) * (F.col("v") - F.col("u"))) / 2).alias("gamma"), F.count("*").alias("pairs")).where(F.col("pairs") >= min_pairs)
+    """keys, dy, dx, gamma and pairs: half the mean squared difference at every lag, each pair once.
+
+    Tiles with a halo below and to both sides give sums a lag, which are added up by scene.
+    """
+    span = lambda c, low: F.explode(F.sequence(F.floor((F.col(c) - low) / TILE), F.floor((F.col(c) + max_lag * (c == "ix")) / TILE)))
+    rows = cells.where(F.col(value).isNotNull()).select(*keys, "iy", "ix", F.col(value).cast("double").alias("v")).withColumn("_ty", span("iy", max_lag)).withColumn("_tx", span("ix", max_lag))
+    lags = [(dy, dx) for dy in range(max_lag + 1) for dx in range(-max_lag, max_lag + 1) if dy or dx > 0]
+    columns = [*keys, "dy", "dx", "ss", "n"]
+
+    def tile(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        iy, ix, v = group.iy.to_numpy(), group.ix.to_numpy(), group.v.to_numpy(float)
+        own = (iy // TILE == key[-2]) & (ix // TILE == key[-1])
+        if not own.any():
+            return pd.DataFrame(columns=columns)
+        top, left = iy[own].min(), ix[own].min() - max_lag
+        height, width = iy[own].max() - top + 1, ix[own].max() - left - max_lag + 1
+        near = (iy >= top) & (iy < top + height + max_lag) & (ix >= left) & (ix < left + width + 2 * max_lag)
+        grid = np.full((height + max_lag, width + 2 * max_lag), np.nan)
+        grid[iy[near] - top, ix[near] - left] = v[near]
+        here = np.full_like(grid[:height, max_lag : max_lag + width], np.nan)
+        here[iy[own] - top, ix[own] - left - max_lag] = v[own]
+        found = []
+        for dy, dx in lags:
+            d = grid[dy : dy + height, max_lag + dx : max_lag + dx + width] - here
+            known = np.isfinite(d)
+            if known.any():
+                found.append((*key[:-2], dy, dx, float((d[known] ** 2).sum()), int(known.sum())))
+        return pd.DataFrame(found, columns=columns)
+
+    types = dict(cells.dtypes)
+    sums = apart(rows, *keys, "_ty", "_tx").groupBy(*keys, "_ty", "_tx").applyInPandas(tile, ", ".join([*(f"{k} {types[k]}" for k in keys), "dy int, dx int, ss double, n long"]))
+    return sums.groupBy(*keys, "dy", "dx").agg((F.sum("ss") / F.sum("n") / 2).alias("gamma"), F.sum("n").alias("pairs")).where(F.col("pairs") >= min_pairs)

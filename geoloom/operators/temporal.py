@@ -24,7 +24,8 @@ def nearest_times(targets: DataFrame, features: DataFrame, tolerance_us: int, *,
 
     The last feature time at or before and the first at or after each target are
     carried along the sorted union; the nearer wins, a tie goes to the `later` or
-    `earlier`. Beyond the tolerance (inclusive) both results are NULL.
+    `earlier`. Beyond the tolerance (inclusive) both results are NULL. Distinct times
+    are sorted by key; without keys in one task, which holds a row a scene and no cell.
     """
     a = targets.select(*keys, F.col(target).alias("t")).distinct().select(*keys, "t", F.lit(None).cast(dict(features.dtypes)[feature]).alias("f"), F.lit(1).alias("is_target"))
     b = features.select(*keys, F.col(feature).alias("t"), F.col(feature).alias("f"), F.lit(0).alias("is_target")).where("t is not null").distinct()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import downscale, gwr, kriging, spatial, stations, trees
+from geoloom.operators import downscale, gwr, kriging, neighbourhood, spatial, stations, trees
 
 T0 = dt.datetime(2025, 7, 1)
 
@@ -274,3 +274,22 @@ def test_readings_at_times_equal_brute_force(spark):
         own = spark.createDataFrame([(1, times[3]), (2, times[5]), (7, times[5])], "station_id long, scene timestamp")
         asked = {(o.station_id, o.scene): o.value for o in stations.reading_at(r, own, minutes * 60_000_000, order="n").collect()}
         assert asked == {k: v for k, v in expected.items() if k in {(1, times[3]), (2, times[5])}}
+
+
+def test_tiles_do_not_show(spark, monkeypatch):
+    """Windows and lags across tile borders are those of one large tile."""
+    rng = np.random.default_rng(11)
+    rows = [(T0, i - 3, j - 2, *map(float, rng.normal(size=5))) for i in range(14) for j in range(11) if rng.random() > 0.15]
+    rows = [(*r[:3], None, *r[4:]) if rng.random() < 0.1 else r for r in rows]
+    cells = spark.createDataFrame(rows, "scene timestamp, iy int, ix int, fine0 double, fine2 double, coarse0 double, coarse2 double, coarse1 double")
+    found = []
+    for size in (64, 4, 1):
+        monkeypatch.setattr(neighbourhood, "TILE", size)
+        parts = [neighbourhood.starfm(cells, radius=3), neighbourhood.estarfm(cells, radius=2), neighbourhood.semivariogram(cells, "fine0", max_lag=5, min_pairs=1)]
+        found.append([sorted((tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in p.collect()), key=str) for p in parts])
+    assert found[0] == found[1] == found[2] and all(map(len, found[0]))
+    known = {(r[1], r[2]): r[3] for r in rows if r[3] is not None}
+    for r in found[0][2]:
+        _, dy, dx, gamma, pairs = r
+        both = [(v - known[i + dy, j + dx]) ** 2 for (i, j), v in known.items() if (i + dy, j + dx) in known]
+        assert pairs == len(both) and gamma == pytest.approx(sum(both) / len(both) / 2, abs=1e-6)
