@@ -139,11 +139,6 @@ def snapped_box(box: tuple[float, float, float, float], step: float) -> tuple[fl
     return math.floor(west / step) * step, math.floor(south / step) * step, math.ceil(east / step) * step, math.ceil(north / step) * step
 
 
-def rename_variables(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Weather and gas reanalysis variables to their standard names; others stay."""
-    return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
-
-
 #: Short names of hourly reanalysis variables. Fixed values.
 ERA5_NAMES = {
     "t2m": "temperature_2m",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoloom import __main__ as cli
 from geoloom.functions import projection
 from geoloom.grid import Area, Grid
-from geoloom.operators import binning, catalogue, resample, temporal
+from geoloom.operators import binning, catalogue, downscale, resample, temporal, validation
 from geoloom.plans import workflow
 from geoloom.plans.request import MODELS, Downscaling, Request
 from geoloom.sources import readers, sinks
@@ -167,3 +167,40 @@ def test_command_line(spark, tables, tmp_path, capsys):
     assert cli.main(["discover", str(tmp_path / "r.json"), f"file://{tmp_path}/products"]) == 0
     assert [json.loads(x)["product_id"] for x in capsys.readouterr().out.splitlines() if x.startswith("{")] == ["p3", "pl"]
     assert cli.main(["auxiliary", "cams", "reanalysis", "no2"]) == 0 and len(capsys.readouterr().out.strip()) == 20
+
+
+def test_forests_of_all_scenes_keep_cells(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(300, 2))
+    train = spark.createDataFrame([(float(a), float(b), float(10 * (a > 0.5) + b)) for a, b in x], "a double, b double, lst double")
+    fine = spark.createDataFrame([(0, 0.9, 0.5), (1, 0.1, 0.5), (2, None, 0.5), (3, 0.9, float("nan"))], "k int, a double, b double")
+    for kind, options in (("forest", {"numTrees": 10}), ("boosted", {"maxIter": 5, "stepSize": 0.5})):
+        model = downscale.forest(train, "lst", ["a", "b"], kind=kind, **options)
+        out = {r.k: r.lst_downscaled for r in downscale.predict_forest(model, fine, ["a", "b"]).collect()}
+        assert out[2] is None and out[3] is None and out[0] - out[1] > 5 and set(out) == {0, 1, 2, 3}
+
+
+def test_raw_layouts(spark):
+    raw = spark.createDataFrame([("p", 1, 2, 52.0, 13.0, 300.0, float("inf"), "x")], "product_id string, scan_row int, scan_col int, lat double, lon double, LST double, err double, extra string")
+    assert readers.best_variable([("LST", "surface temperature"), ("err", "temperature error")], ["lst", "error"]) == "LST"
+    out = readers.thermal_pixels(raw, {"LST": "lst", "err": "lst_uncertainty", "absent": "ndvi"})
+    assert out.columns == ["product_id", "scan_row", "scan_col", "lat", "lon", "lst", "lst_uncertainty"] and out.schema["lst"].metadata == {"units": "K"}
+    assert (out.first().lst, out.first().lst_uncertainty) == (300.0, None)
+    toa = readers.top_of_atmosphere(spark.createDataFrame([(2000, 0, 4.0), (2000, 500, 3.1)], "B11 int, B12 int, baseline double"), ["B11", "B12"]).collect()
+    assert [(r.B11, r.B12) for r in toa] == [(0.1, None), (0.2, 0.05)]
+    text = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"id": k}, "geometry": {"type": "Polygon", "coordinates": [[[k, 0], [k + 1, 0], [k, 1]]]}} for k in (3, 4)]})
+    ids, rings, _ = readers.zones_from_geojson(text)
+    assert ids == ["3", "4"] and rings[1][0][0] == (4.0, 0.0)
+    with pytest.raises(ValueError):
+        readers.zones_from_geojson(text.replace('"id": 4', '"id": 3'))
+
+
+def test_reports(spark):
+    t = DAY(2024, 1, 1)
+    a = spark.createDataFrame([(t, 0, k, float(k)) for k in range(5)], "scene timestamp, iy int, ix int, lst double")
+    b = spark.createDataFrame([(t, 0, k, float(k) + (2 if k == 1 else 0)) for k in range(1, 7)], "scene timestamp, iy int, ix int, lst double")
+    m = validation.compare_cubes(a, b, "lst").first()
+    assert m.samples == 4 and m.bias == -0.5 and m.rmse == 1.0
+    joined = a.withColumns({"ref": F.col("lst") + F.when(F.col("ix") == 0, 3.0).otherwise(0.5), "sd": F.lit(1.0), "out": F.col("ix") > 2})
+    r = validation.downscaling_report(joined, estimate="lst", reference="ref", uncertainty="sd", extrapolated="out").first()
+    assert (r.samples, r.interval_coverage, r.interval_width, r.extrapolation_fraction) == (5, 0.8, 2.0, 0.4)
