@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..functions import scalar as sc
-from ..grid import Grid
+from ..grid import Area, Grid
 from ..operators import binning, catalogue, downscale, gwr, kriging, neighbourhood, resample, spatial, stations, temporal, trees, validation, zonal
 from ..sources import readers, sinks
 from . import workflow
+from .request import Request
 from .tables import cte, project, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -916,6 +917,22 @@ def aoi_coverage(spark, d):
 # --- swaths and stations ------------------------------------------------------------------------
 
 
+SENSOR_REQUEST = Request(Area(13.22, 52.42, 13.52, 52.56), "2024-01-01", "2024-01-31", ("sentinel3",), resolution=1000.0)
+SENSOR_GRID = SENSOR_REQUEST.grid()
+
+
+@query(f"""WITH {cte('swath')}, p AS (SELECT scene, CASE WHEN obs_id % 7 <> 0 THEN 280 + value % 40 - 273.15 END AS lst, CAST(floor(({SENSOR_GRID.top} - {UTM_Y}) / 1000) AS INT) AS iy, CAST(floor(({UTM_X} - {SENSOR_GRID.left}) / 1000) AS INT) AS ix FROM swath)
+SELECT scene, iy, ix, round(avg(lst), 6) AS lst, count(lst) AS lst_observation_count FROM p WHERE iy BETWEEN 0 AND {SENSOR_GRID.height - 1} AND ix BETWEEN 0 AND {SENSOR_GRID.width - 1} GROUP BY ALL""")
+def sensor_adapter(spark, d):
+    """Raw swath pixels of one product through a registered adapter: crop, mask, Celsius, cells of the request's grid."""
+    raw = project(spark, d, "swath").selectExpr("'p' AS product_id", "scene", "lon", "lat", "280 + value % 40 AS lst", "obs_id % 7 = 0 AS cloud_mask")
+    adapters: dict[str, workflow.Adapter] = {}
+    workflow.register_tables({"sentinel3": raw}, adapters)
+    products = spark.createDataFrame([("p",)], "product_id string")
+    out = adapters["sentinel3"](spark, products, SENSOR_REQUEST)
+    return rounded(out.select("scene", "iy", "ix", "lst", "lst_observation_count"), "lst")
+
+
 def triangle_sql(u: str, half: str) -> str:
     """Area left of u under a triangle of this half width and height around 0."""
     return f"(CASE WHEN {u} <= -({half}) THEN 0 WHEN {u} <= 0 THEN pow({u} + ({half}), 2) / 2 WHEN {u} < ({half}) THEN pow({half}, 2) - pow(({half}) - {u}, 2) / 2 ELSE pow({half}, 2) END)"
