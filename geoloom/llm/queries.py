@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licences, minhash, pieces, sharding, tiling, token_counts, token_ids, topk, warc
+from . import conversations, language, licences, minhash, pieces, sharding, tiling, token_counts, token_ids, topk, warc
 from .storage import new_path
 
 
@@ -126,8 +126,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_summaries(conversations.damage_turns(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_warc, op4_language_id, op5_decontamination, op6_token_files, op7_pieces, op8_shards, op9_ngram_jaccard, op10_licences)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_warc, op4_language_id, op5_decontamination, op6_token_files, op7_pieces, op8_shards, op9_ngram_jaccard, op10_licences, op11_conversation_repair)}
 
 
 OP1_SQL = """
@@ -206,5 +210,71 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN a USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE poly AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), summed AS (
+  SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(key) + 1), lambda i: CAST(ascii(substring(key, i, 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM src, poly
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM summed, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) u(copy)
+), seq AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), faults AS (
+  SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    left(role, 1) || left(lead(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS pair FROM seq
+), costed AS (
+  SELECT *, fault IN ('b', 'd') AS gone, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS t FROM faults
+), ends AS (SELECT conv_id, max(i) AS n FROM costed GROUP BY conv_id),
+f AS (
+  SELECT conv_id, n + 1 AS i, 0 AS f0, 4 AS f1, 2 AS f2, 0 AS f3 FROM ends
+  UNION ALL
+  SELECT conv_id, i, least(h0, 2 + least(h2, 2 + h3)), least(h1, 2 + least(h2, 2 + h3)), least(h2, 2 + h3), least(h3, 2 + h2) FROM (
+    SELECT c.conv_id, c.i,
+      least(3 + f0, CASE WHEN gone THEN 99999999 ELSE t + least(2 + f2, CASE ini WHEN 's' THEN f1 WHEN 'u' THEN f2 ELSE 99999999 END) END) AS h0,
+      least(3 + f1, CASE WHEN gone THEN 99999999 ELSE t + f2 + CASE ini WHEN 'u' THEN 0 ELSE 2 END END) AS h1,
+      least(3 + f2, CASE WHEN gone THEN 99999999 ELSE t + f3 + CASE ini WHEN 'a' THEN 0 ELSE 2 END END) AS h2,
+      least(3 + f3, CASE WHEN gone THEN 99999999 ELSE t + f2 + CASE ini WHEN 'u' THEN 0 ELSE 2 END END) AS h3
+    FROM f JOIN costed c ON c.conv_id = f.conv_id AND c.i = f.i - 1) h
+), go AS (SELECT conv_id, i, [f0, f1, f2, f3] AS f FROM f),
+walk AS (
+  SELECT conv_id, CAST(1 AS BIGINT) AS i, 1 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS turns FROM ends
+  UNION ALL
+  SELECT conv_id, CASE edit WHEN 'I' THEN i ELSE i + 1 END,
+    CASE WHEN edit = 'D' THEN q WHEN edit = 'K' THEN CASE ini WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END WHEN q = 3 THEN 4 ELSE 3 END,
+    audit || edit,
+    CASE edit WHEN 'D' THEN turns WHEN 'K' THEN list_append(turns, role || ':' || text)
+      ELSE list_append(turns, CASE WHEN q = 3 THEN 'assistant' ELSE 'user' END || ':' || CASE edit WHEN 'R' THEN text ELSE '' END) END
+  FROM (
+    SELECT w.*, c.ini, c.role, c.text, CASE
+      WHEN c.i IS NOT NULL AND a.f[w.q] = 3 + b.f[w.q] THEN 'D'
+      WHEN a.f[w.q] = 2 + a.f[CASE w.q WHEN 3 THEN 4 ELSE 3 END] THEN 'I'
+      WHEN c.i IS NULL OR c.gone THEN NULL
+      WHEN c.ini = 's' AND w.q = 1 AND a.f[1] = c.t + b.f[2] THEN 'K'
+      WHEN c.ini = 'u' AND w.q <> 3 AND a.f[w.q] = c.t + b.f[3] THEN 'K'
+      WHEN c.ini = 'a' AND w.q = 3 AND a.f[3] = c.t + b.f[4] THEN 'K'
+      ELSE 'R' END AS edit
+    FROM walk w JOIN go a ON a.conv_id = w.conv_id AND a.i = w.i
+    LEFT JOIN go b ON b.conv_id = w.conv_id AND b.i = w.i + 1
+    LEFT JOIN costed c ON c.conv_id = w.conv_id AND c.i = w.i) s
+  WHERE edit IS NOT NULL
+), done AS (
+  SELECT w.conv_id, arg_max(audit, len(audit)) AS audit, arg_max(turns, len(audit)) AS turns FROM walk w GROUP BY w.conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM costed GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(f.f0, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts USING (conv_id) LEFT JOIN done USING (conv_id) LEFT JOIN f ON f.conv_id = o.conv_id AND f.i = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op3_warc": OP3_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_licences": op10_sql()}
+    return {"op1_exact_topk": OP1_SQL, "op3_warc": OP3_SQL, "op9_ngram_jaccard": OP9_SQL, "op10_licences": op10_sql(), "op11_conversation_repair": OP11_SQL}
