@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, language, licences, minhash, pieces, sharding, tiling, token_counts, token_ids, topk, warc
+from . import conversations, language, licences, minhash, pieces, sharding, tiling, token_counts, token_ids, topk, warc, whitening
 from .storage import new_path
 
 
@@ -130,8 +130,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_summaries(conversations.damage_turns(table(spark, sf_dir, "conversations")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised("embedding").alias("x"))
+    return whitening.whiten(rows, whitening.fit_whitening(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_warc, op4_language_id, op5_decontamination, op6_token_files, op7_pieces, op8_shards, op9_ngram_jaccard, op10_licences, op11_conversation_repair)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_warc, op4_language_id, op5_decontamination, op6_token_files, op7_pieces, op8_shards, op9_ngram_jaccard, op10_licences, op11_conversation_repair, op12_whitening)}
 
 
 OP1_SQL = """

@@ -16,7 +16,7 @@ def test_same_as_sql(spark, con, name):
     assert differences(spark, con, queries.queries()[name], queries.oracle_sql()[name], SF) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql()) - {"op12_whitening"}))
 def test_one_row_for_each_document(spark, name):
     out = queries.queries()[name](spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
