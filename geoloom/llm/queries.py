@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, language, licences, minhash, pieces, sharding, tiling, token_counts, token_ids, topk, warc, whitening
+from . import conversations, language, licences, minhash, pieces, secrets, sharding, tiling, token_counts, token_ids, topk, warc, whitening
 from .storage import new_path
 
 
@@ -135,8 +135,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit_whitening(rows))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_warc, op4_language_id, op5_decontamination, op6_token_files, op7_pieces, op8_shards, op9_ngram_jaccard, op10_licences, op11_conversation_repair, op12_whitening)}
+    return {f.__name__: f for f in (op1_exact_topk, op2_token_counts, op3_warc, op4_language_id, op5_decontamination, op6_token_files, op7_pieces, op8_shards, op9_ngram_jaccard, op10_licences, op11_conversation_repair, op12_whitening, op13_secrets)}
 
 
 OP1_SQL = """
