@@ -70,19 +70,28 @@ def quality_order(cloud: str = "cloud", coverage: str = "coverage") -> list[Colu
     ]
 
 
+def below_cloud(products: DataFrame, max_cloud: float | None) -> DataFrame:
+    """Products with at most this much cloud; an unknown cloud cover passes."""
+    return products if max_cloud is None else products.where(F.col("cloud").isNull() | (F.col("cloud") <= max_cloud))
+
+
 def best_products(products: DataFrame, limit: int, *, max_cloud: float | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """The `limit` best products of each key, with rank; unknown cloud passes the cloud limit.
 
     Where no product of a key has a cloud value and there are too many, the period
-    is sampled evenly instead.
+    is sampled evenly instead. Without keys each task keeps its own best, so only
+    tasks x limit rows meet; just the even sample orders the whole catalogue.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
-    kept = products if max_cloud is None else products.where(F.col("cloud").isNull() | (F.col("cloud") <= max_cloud))
+    kept = below_cloud(products, max_cloud)
     known = kept.groupBy(*keys).agg(F.count("cloud").alias("_known"), F.count("*").alias("_n"))
     by = Window.partitionBy(*(keys or [F.lit(0)]))
     sized = kept.join(known, list(keys)) if keys else kept.crossJoin(F.broadcast(known))
-    ranked = sized.where("_known > 0 or _n <= " + str(int(limit))).withColumn("rank", F.row_number().over(by.orderBy(*quality_order()))).where(F.col("rank") <= limit).drop("_known", "_n")
+    seen = sized.where("_known > 0 or _n <= " + str(int(limit))).drop("_known", "_n")
+    if not keys:
+        seen = seen.orderBy(*quality_order()).limit(limit)
+    ranked = seen.withColumn("rank", F.row_number().over(by.orderBy(*quality_order()))).where(F.col("rank") <= limit)
     blind = spread_in_time(sized.where(f"_known = 0 and _n > {int(limit)}").drop("_known", "_n"), limit, keys=keys)
     return ranked.unionByName(blind)
 

@@ -91,15 +91,28 @@ def left_out_residuals(training: DataFrame, target: str, predictors: Sequence[st
 
 
 def predict_gwr(fine: DataFrame, training: DataFrame, target: str, predictors: Sequence[str], *, keys: Sequence[str] = ("scene",), **how) -> DataFrame:
-    """keys, iy, ix, lst_downscaled and its uncertainty, the deviation of leave-one-out residuals.
+    """keys, iy, ix, lst_downscaled, its uncertainty (the deviation of leave-one-out residuals), support and extrapolation.
 
-    `fine` and `training` have x, y on one scale; cells without a fit or a predictor are NULL.
+    `fine` and `training` have x, y on one scale; cells without a fit or a predictor
+    are NULL. Predictors are held to the range of the training rows, as local fits
+    are linear too; cells where that matters are marked.
     """
     by = [*keys, "iy", "ix"]
     model = gwr(fine, training, target, predictors, keys=keys, **how)
     residuals = left_out_residuals(training, target, predictors, keys=keys, **how)
-    deviation = residuals.groupBy(*keys).agg(F.stddev_samp("residual").alias("_sd")) if keys else residuals.agg(F.stddev_samp("residual").alias("_sd"))
+    ends = [f(F.col(p)).alias(f"_{name}{i}") for i, p in enumerate(predictors) for name, f in (("lo", F.min), ("hi", F.max))]
+    by_group = lambda df, *aggs: df.groupBy(*keys).agg(*aggs)
+    ranges = by_group(usable(training, [target, *predictors]), *ends)
+    deviation = by_group(residuals, F.stddev_samp("residual").alias("_sd"))
     out = fine.select(*by, *predictors).join(model, by, "left")
-    out = out.join(deviation, list(keys), "left") if keys else out.crossJoin(F.broadcast(deviation))  # one row
-    value = at(out, predictors)
-    return out.select(*by, value.alias("lst_downscaled"), F.when(value.isNotNull(), F.col("_sd")).alias("lst_downscaled_uncertainty"))
+    for group in (ranges, deviation):  # a row a group, or one row
+        out = out.join(group, list(keys), "left") if keys else out.crossJoin(F.broadcast(group))
+    value, outside = F.col("b0"), F.lit(False)
+    for i, p in enumerate(predictors):
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        value = value + F.col(f"b{i + 1}") * F.least(F.greatest(F.col(p), low), high)
+        outside = outside | (F.col(p) < low) | (F.col(p) > high)
+    for p in predictors:
+        value = F.when(F.col(p).isNotNull(), value)
+    support = value.isNotNull()
+    return out.select(*by, value.alias("lst_downscaled"), F.when(support, F.col("_sd")).alias("lst_downscaled_uncertainty"), support.alias("downscaled_support"), F.coalesce(outside & support, F.lit(False)).alias("downscaled_extrapolation"))

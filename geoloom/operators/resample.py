@@ -76,6 +76,20 @@ def resample(cube: DataFrame, source: Grid, target: Grid, values: Sequence[str],
     return joined.groupBy(*keys, "iy", "ix").agg(*mixed)
 
 
+def from_lattice(table: DataFrame, grid: Grid, values: Sequence[str], step: float, *, keys: Sequence[str] = ("scene",)) -> DataFrame:
+    """keys, iy, ix and values: each cell takes the point of a regular lon/lat lattice that is nearest to its centre.
+
+    Lattice points are whole multiples of `step` (values of points that share one are
+    averaged), so a cell's point is a computed key and the join an equi-join. Cells
+    without a point are absent.
+    """
+    place = lambda c: F.floor(c / step + 0.5).cast("long")
+    lon, lat = projection.unproject(grid.x(), grid.y(), grid.crs)
+    cells = grid.cells(table.sparkSession).select("iy", "ix", place(lat).alias("_by"), place(lon).alias("_bx"))
+    points = table.groupBy(*keys, place(F.col("lat")).alias("_by"), place(F.col("lon")).alias("_bx")).agg(*(F.avg(clean(F.col(v).cast("double"))).alias(v) for v in values))
+    return cells.join(points, ["_by", "_bx"]).select(*keys, "iy", "ix", *values)
+
+
 def to_grid(cube: DataFrame, source: Grid, target: Grid, values: Sequence[str], *, methods: Mapping[str, str] | None = None, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """The cube on a grid: itself if it is there, else each variable by its own policy (see `resampling_for`)."""
     geometry = lambda g: (g.crs, g.left, g.top, g.resolution, g.width, g.height)

@@ -9,6 +9,7 @@ from typing import Any
 
 from ..grid import Area, Grid
 from ..operators.temporal import DEFAULT_TOLERANCE_DAYS
+from ..sources.sinks import AuxiliarySpec
 
 #: Known sensors and the variables each gives. Fixed values.
 SENSORS = {
@@ -46,6 +47,7 @@ class Downscaling:
     min_samples: int = 100
     sensor: str = "sentinel2"
     bandwidth: float = 5.0  #: of gwr, in coarse cells
+    min_local: int = 10  #: of gwr, samples within the bandwidth
 
     def __post_init__(self):
         if self.model not in MODELS or self.correction not in CORRECTIONS:
@@ -61,14 +63,17 @@ class Request:
     end: str
     sensors: tuple[str, ...]
     resolution: float = 1000.0
-    fine_resolution: float = 100.0
+    fine_resolution: float | None = None  #: of sensors that see finer than the target; without one that of the grid the sharpening needs, else `resolution`
     target: str | None = None
     tolerance_days: dict[str, float] = field(default_factory=dict)
     overpass: str = "any"
     max_cloud: float | None = None
-    min_coverage: float = 0.0
-    limit: int = 10
+    min_coverage: float = 0.3
+    min_clear_fraction: float = 0.0
+    limit: int = 100
     downscaling: Downscaling | None = None
+    on_product_error: str = "skip"
+    auxiliary: tuple[AuxiliarySpec, ...] = ()
 
     def __post_init__(self):
         unknown = [s for s in self.sensors if s not in SENSORS]
@@ -76,12 +81,18 @@ class Request:
             raise ValueError(f"unknown or no sensors: {unknown}")
         if parse_bound(self.start) > parse_bound(self.end, end=True):
             raise ValueError("the start lies after the end")
-        if self.overpass not in OVERPASSES or self.resolution <= 0 or self.fine_resolution <= 0 or self.limit < 1 or not 0 <= self.min_coverage <= 1:
+        if self.overpass not in OVERPASSES or self.resolution <= 0 or (self.fine_resolution or 1) <= 0 or self.limit < 1 or not 0 <= self.min_coverage <= 1 or not 0 <= self.min_clear_fraction <= 1:
             raise ValueError("a setting is out of range")
+        if self.on_product_error not in ("skip", "raise"):
+            raise ValueError("on_product_error is skip or raise")
         if self.target and self.target not in self.sensors:
             raise ValueError("the target is not among the sensors")
         if self.downscaling and self.downscaling.sensor not in self.sensors:
             raise ValueError("the predictors' sensor is not among the sensors")
+        if self.downscaling and self.downscaling.sensor == self.target_sensor:
+            raise ValueError("the predictors come from another sensor than the target")
+        if self.downscaling and self.fine_resolution and abs(self.fine_resolution * self.downscaling.factor - self.resolution) > 1e-6 * self.resolution:
+            raise ValueError(f"cells of {self.fine_resolution} do not nest {self.downscaling.factor} times in cells of {self.resolution}")
 
     @property
     def target_sensor(self) -> str:
@@ -92,8 +103,21 @@ class Request:
         return self.tolerance_days.get(sensor, DEFAULT_TOLERANCE_DAYS)
 
     def grid(self) -> Grid:
+        """The grid of the target and of what is fused."""
         return Grid.for_area(self.area, self.resolution)
 
+    @property
+    def nested_resolution(self) -> float:
+        return self.resolution / self.downscaling.factor if self.downscaling else self.fine_resolution or self.resolution
+
+    def grid_of(self, sensor: str) -> Grid:
+        """The grid that a sensor's cube is on: that of the target, or for the predictors of a sharpening one nested in it."""
+        coarse = self.grid()
+        if not self.downscaling or sensor != self.downscaling.sensor:
+            return coarse
+        factor = self.downscaling.factor
+        return Grid(coarse.crs, coarse.left, coarse.top, coarse.resolution / factor, coarse.width * factor, coarse.height * factor)
+
     def to_dict(self) -> dict[str, Any]:
         return asdict(self)
 
@@ -109,6 +133,7 @@ class Request:
         if down:
             down = Downscaling(**{**down, "predictors": tuple(down.get("predictors", ("NDVI",)))})
         data["sensors"] = tuple(data["sensors"])
+        data["auxiliary"] = tuple(AuxiliarySpec(a["provider"], a["dataset"], tuple(a.get("variables", ())), tuple(map(tuple, a.get("options", ())))) for a in data.get("auxiliary", ()))
         return cls(area=Area(area["west"], area["south"], area["east"], area["north"], rings), downscaling=down, **data)
 
     @classmethod
@@ -148,7 +173,7 @@ def estimate_bytes(request: Request) -> int:
     """cells x products x variables x 8 over the sensors, each on its grid."""
     total = 0
     for s in request.sensors:
-        side = request.resolution if s in THERMAL or s == "sentinel5p" else request.fine_resolution
+        side = request.resolution if s in THERMAL or s == "sentinel5p" else request.nested_resolution
         total += int(area_km2(request.area) * 1e6 / side**2) * request.limit * len(SENSORS[s]) * 8
     return total
 

@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import apply_quality, clear_class, radar_indices, reflectance, spectral_indices, to_celsius
+from ..grid import Grid
 from ..operators import binning, catalogue, downscale, gwr, kriging, resample, temporal, trees
 from ..sources import readers
-from ..sources.sinks import save_result
+from ..sources.sinks import AuxiliarySpec, save_result
+from . import acquisition
+from .acquisition import TableAdapter
 from .request import Downscaling, Request, build_plan, check_limits
 
 #: Columns that describe a cube and do not count as features.
@@ -23,17 +26,34 @@ DIAGNOSTICS = {"valid_mask", "feature_availability", "clear_observation_count",
 TARGETS = {"lst", "surface_temperature"}
 SUFFIXES = ("_time_delta_us", "_matched_time", "_station_count", "_interpolation_uncertainty", "_interpolation_valid")
 KEYS = ("scene", "iy", "ix")
+NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 Adapter = Callable[[SparkSession, DataFrame, Request], DataFrame]
 #: Readers by sensor: (spark, products, request) -> cube. `register_tables` fills them; plug-ins register here too.
 ADAPTERS: dict[str, Adapter] = {}
-#: Auxiliary providers: (spark, spec) -> table with scene, lon, lat and standard names.
+#: Auxiliary providers: (spark, spec) -> table with scene, lon, lat and standard names. `register_provider` fills them.
 PROVIDERS: dict[str, Callable[[SparkSession, Any], DataFrame]] = {}
 
 
 def from_pixels(sensor: str, pixels: DataFrame, request: Request) -> DataFrame:
-    """Raw pixels of one sensor (product_id, scene, lon, lat, raw columns) as a cube on the request's grid."""
-    grid = request.grid()
+    """Raw pixels of one sensor (product_id, scene, lon, lat, raw columns) as a cube on the grid the request has for it."""
+    grid = request.grid_of(sensor)
+    return on_grid(pixels_to_cells(sensor, acquisition.parsed(pixels), request, grid), grid)
+
+
+def on_grid(cube: DataFrame, grid: Grid) -> DataFrame:
+    """The cube with its grid's id in the metadata of iy."""
+    return cube.withColumn("iy", F.col("iy").alias("iy", metadata={"grid": grid.grid_id}))
+
+
+def check_grid(sensor: str, cube: DataFrame, request: Request) -> None:
+    """A cube that says which grid it is on must be on the one that the request has for its sensor."""
+    said, due = cube.schema["iy"].metadata.get("grid"), request.grid_of(sensor).grid_id
+    if said is not None and said != due:
+        raise ValueError(f"the cube of {sensor} is on {said}; {due} is needed")
+
+
+def pixels_to_cells(sensor: str, pixels: DataFrame, request: Request, grid: Grid) -> DataFrame:
     area = request.area
     raw = pixels.where(F.col("lon").between(area.west - SWATH_MARGIN, area.east + SWATH_MARGIN) & F.col("lat").between(area.south - SWATH_MARGIN, area.north + SWATH_MARGIN))
     if sensor == "sentinel3":
@@ -69,12 +89,44 @@ SWATH_MARGIN, LANDSAT_SCALE, LANDSAT_OFFSET = 0.1, 0.00341802, 149.0
 
 def register_tables(tables: Mapping[str, DataFrame], registry: dict[str, Adapter] | None = None) -> None:
     """Adapters that read the discovered products' pixels from raw tables, one a sensor."""
+    for sensor, table in tables.items():
+        (ADAPTERS if registry is None else registry)[sensor] = TableAdapter(sensor, table)
 
-    def adapter(sensor: str, table: DataFrame) -> Adapter:
-        return lambda spark, products, request: from_pixels(sensor, table.join(products.select("product_id"), "product_id", "left_semi"), request)
 
-    for sensor, table in tables.items():
-        (ADAPTERS if registry is None else registry)[sensor] = adapter(sensor, table)
+def register_provider(provider: str, table: DataFrame, registry: dict[str, Callable] | None = None) -> None:
+    """A provider of gridded auxiliary data (era5 or cams names) over a raw table; specs choose variables."""
+    names = {"era5": readers.ERA5_NAMES, "cams": readers.CAMS_NAMES}.get(provider, {})
+
+    def provide(spark: SparkSession, spec: AuxiliarySpec) -> DataFrame:
+        out = readers.normalise_gridded(table, names)
+        return out.select("scene", "lon", "lat", *(spec.variables or [v for v in names.values() if v in out.columns]))
+
+    (PROVIDERS if registry is None else registry)[provider] = provide
+
+
+#: Steps in degrees of providers' grids. Fixed values.
+STEPS = {"era5": 0.25, "cams": readers.CAMS_STEPS["reanalysis"]}
+
+
+def auxiliary_cubes(spark: SparkSession, request: Request) -> dict[str, DataFrame]:
+    """The auxiliary data of a request on its grid, by provider."""
+    out = {}
+    for spec in request.auxiliary:
+        table = PROVIDERS[spec.provider](spark, spec)
+        step = float(dict(spec.options).get("step") or (readers.CAMS_STEPS.get(spec.dataset) if spec.provider == "cams" else None) or STEPS.get(spec.provider, 0.25))
+        values = [c for c in table.columns if c not in ("scene", "lon", "lat")]
+        out[spec.provider] = on_grid(resample.from_lattice(table, request.grid(), values, step), request.grid())
+    return out
+
+
+@dataclass
+class Notes:
+    """What an acquisition leaves out, and the clear shares that it knows and finds."""
+
+    known_clear: DataFrame | None = None
+    errors: dict[str, str] = field(default_factory=dict)
+    failed_products: list[dict[str, str]] = field(default_factory=list)
+    probed: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
@@ -83,16 +135,16 @@ class Result:
     thermal: DataFrame
     downscaled: DataFrame | None = None
     provenance: dict[str, Any] = field(default_factory=dict)
+    probed: dict[str, DataFrame] = field(default_factory=dict)  #: by sensor, clear shares of the candidates and which were accepted
 
     def save(self, path: str, request: Request) -> None:
-        cubes = {"fused": self.fused, "thermal": self.thermal} | ({"downscaled": self.downscaled} if self.downscaled is not None else {})
+        cubes = {"fused": self.fused, "thermal": self.thermal} | ({"downscaled": self.downscaled} if self.downscaled is not None else {}) | {f"probed_{s}": df for s, df in self.probed.items()}
         save_result(self.fused.sparkSession, cubes, request.to_dict(), self.provenance, path)
 
 
 def features_of(cube: DataFrame) -> list[str]:
     """Numeric columns that are features: no keys, targets or diagnostics."""
-    numeric = ("double", "float", "int", "bigint", "smallint", "tinyint")
-    return [c for c, t in cube.dtypes if t in numeric and c not in KEYS and c not in DIAGNOSTICS and c not in TARGETS and not c.endswith(SUFFIXES)]
+    return [c for c, t in cube.dtypes if t in NUMERIC and c not in KEYS and c not in DIAGNOSTICS and c not in TARGETS and not c.endswith(SUFFIXES)]
 
 
 def fuse(cubes: Mapping[str, DataFrame], target: str, tolerances_days: Mapping[str, float] | None = None, *, cells: int | None = None) -> DataFrame:
@@ -117,15 +169,20 @@ def fuse(cubes: Mapping[str, DataFrame], target: str, tolerances_days: Mapping[s
     return out.join(binning.availability(out, names, cells), "scene", "left")
 
 
-def discover(products: DataFrame, request: Request, sensor: str) -> DataFrame:
-    """The request's best products of a sensor: span, overpass, coverage, then ranking."""
+def candidates(products: DataFrame, request: Request, sensor: str) -> DataFrame:
+    """A sensor's products of the request's span, overpass and coverage."""
     from .request import parse_bound
 
     found = catalogue.search(products, start=F.lit(parse_bound(request.start)), end=F.lit(parse_bound(request.end, end=True)), sensor=sensor)
     found = catalogue.by_overpass(found, F.lit((request.area.west + request.area.east) / 2), request.overpass)
     if request.min_coverage > 0:
         found = found.where(F.coalesce("coverage", F.lit(0.0)) >= request.min_coverage)
-    return catalogue.best_products(found, request.limit, max_cloud=request.max_cloud)
+    return found
+
+
+def discover(products: DataFrame, request: Request, sensor: str) -> DataFrame:
+    """The request's best products of a sensor, ranked."""
+    return catalogue.best_products(candidates(products, request, sensor), request.limit, max_cloud=request.max_cloud)
 
 
 Model = Callable[[DataFrame, DataFrame, Downscaling, str, tuple[int, int]], DataFrame]
@@ -147,7 +204,9 @@ def _ensemble(kind: str) -> Model:
 
 def _weighted(training: DataFrame, fine: DataFrame, spec: Downscaling, target: str, shape: tuple[int, int]) -> DataFrame:
     at = lambda df, scale: df.withColumns({c: (F.col(i) + 0.5) / scale for c, i in (("x", "ix"), ("y", "iy"))})  # noqa: E731 - in coarse cells
-    return gwr.predict_gwr(at(fine, spec.factor), at(training, 1), target, spec.predictors, bandwidth=spec.bandwidth, min_local=spec.min_samples)
+    enough = downscale.usable(training, [target, *spec.predictors]).groupBy("scene").agg(F.count("*").alias("_n")).where(F.col("_n") >= spec.min_samples).select("scene")
+    kept = training.join(enough, "scene", "left_semi")
+    return gwr.predict_gwr(at(fine, spec.factor).join(enough, "scene", "left_semi"), at(kept, 1), target, spec.predictors, bandwidth=spec.bandwidth, min_local=spec.min_local)
 
 
 #: Models by name, each fitted scene by scene; plug-ins register here.
@@ -167,40 +226,87 @@ def downscale_cube(coarse: DataFrame, fine: DataFrame, spec: Downscaling, target
     return CORRECTIONS[spec.correction](predicted, coarse.where(F.col(target).isNotNull()), target, spec.factor, shape)
 
 
-def run(cubes: Mapping[str, DataFrame], request: Request, *, shape: tuple[int, int]) -> Result:
-    """Fusion and sharpening of cubes already on their grids."""
+def coarsened(cube: DataFrame, factor: int) -> DataFrame:
+    """A fine cube on the grid it is nested in: means of numbers, and masks that are true where any cell's is."""
+    names = [c for c in cube.columns if c not in KEYS]
+    masks = {c for c, t in cube.dtypes if t == "boolean"}
+    out = binning.block_mean(cube, factor, [c for c in names if dict(cube.dtypes)[c] in NUMERIC or c in masks])
+    return out.withColumns({c: F.coalesce(F.col(c) > 0, F.lit(False)) for c in masks})
+
+
+def run(cubes: Mapping[str, DataFrame], request: Request, *, shape: tuple[int, int] | None = None) -> Result:
+    """Fusion on the target's grid and sharpening of cubes already on their grids (see `Request.grid_of`).
+
+    The predictors' cube is `factor` times finer than the others; it is averaged for
+    the fusion. `shape` is that of the target's grid, if it is not the request's.
+    """
     target = request.target_sensor
-    fused = fuse(cubes, target, request.tolerance_days)
+    for sensor in request.sensors:
+        if sensor in cubes:
+            check_grid(sensor, cubes[sensor], request)
+    down = request.downscaling
+    shape = shape or (request.grid().height, request.grid().width)
+    fused = fuse({s: coarsened(c, down.factor) if down and s == down.sensor else c for s, c in cubes.items()}, target, request.tolerance_days)
     sharp = None
-    if request.downscaling:
-        fine = cubes[request.downscaling.sensor]
-        pairs = temporal.nearest_times(cubes[target], fine, temporal.tolerance_us(request.downscaling.sensor, request.tolerance_days)).where("matched_time is not null").select("scene", "matched_time")
+    if down:
+        if down.sensor not in cubes:
+            raise ValueError(f"sharpening needs cells of {down.sensor}, which gave none")
+        fine = cubes[down.sensor]
+        pairs = temporal.nearest_times(cubes[target], fine, temporal.tolerance_us(down.sensor, request.tolerance_days)).where("matched_time is not null").select("scene", "matched_time")
         timed = fine.withColumnRenamed("scene", "matched_time").join(pairs, "matched_time").drop("matched_time")
-        sharp = downscale_cube(cubes[target], timed, request.downscaling, "lst", shape)
-    return Result(fused, cubes[target], sharp, {"plan": [s.__dict__ for s in build_plan(request)], "target": target})
+        sharp = downscale_cube(cubes[target], timed, down, "lst", shape)
+    return Result(fused, cubes[target], sharp, {"plan": [s.__dict__ for s in build_plan(request)], "target": target, "sensors": list(cubes)})
 
 
-def execute(spark: SparkSession, request: Request, products: DataFrame, *, shape: tuple[int, int], on_error: str = "raise") -> Result:
-    """Check limits, discover, read with the registered adapters, then run.
+def acquire(spark: SparkSession, adapter: Adapter, products: DataFrame, request: Request, sensor: str, result: Notes) -> DataFrame:
+    """One sensor's cube from its discovered products; what was left out is noted.
 
-    A failing sensor is skipped if told so; reads are lazy, so each cube is then
-    counted once to see whether it can be read. Without the target there is an error.
+    Over a raw table, the ids and errors of at most `limit` products come to the
+    driver. Clear shares of all candidates stay a table.
+    """
+    if not isinstance(adapter, TableAdapter):
+        return adapter(spark, discover(products, request, sensor), request)
+    if request.min_clear_fraction > 0 and adapter.probes:
+        found = catalogue.below_cloud(candidates(products, request, sensor), request.max_cloud)
+        judged = acquisition.select_clear(found, adapter.clear(found, request.area, result.known_clear), request.min_clear_fraction, request.limit)
+        result.probed[sensor] = judged.select("product_id", "clear_fraction", "accepted")
+        chosen = judged.where("accepted")
+    else:
+        chosen = discover(products, request, sensor)
+    ids = [r.product_id for r in chosen.select("product_id").collect()]
+    if not ids:
+        raise acquisition.ProductError(f"no products of {sensor} for this area and time")
+    if request.on_product_error == "skip":
+        failed = {r.product_id: r.error for r in adapter.failures(spark.createDataFrame([(p,) for p in ids], "product_id string"), ids).collect()}
+        result.failed_products += [{"sensor": sensor, "product": p, "error": failed[p]} for p in sorted(failed)]
+        ids = [p for p in ids if p not in failed]
+        if not ids:
+            raise acquisition.ProductError(f"all products of {sensor} failed: {'; '.join(f'{p}: {e}' for p, e in sorted(failed.items()))}")
+    return adapter.read(ids, request)
+
+
+def execute(spark: SparkSession, request: Request, products: DataFrame, *, shape: tuple[int, int] | None = None, known_clear: DataFrame | None = None) -> Result:
+    """Check limits, get auxiliary data, discover, read with the registered adapters, then run.
+
+    With `on_product_error` "skip" a product that cannot be read is left out and
+    named in the provenance, and so is a sensor of which none can; with "raise" both
+    are errors. Without the target there is an error. `known_clear` has clear shares
+    of an earlier run (product_id, clear_fraction).
     """
     check_limits(request)
+    notes = Notes(known_clear)
+    auxiliary = auxiliary_cubes(spark, request)
     cubes: dict[str, DataFrame] = {}
-    errors: dict[str, str] = {}
     for sensor in request.sensors:
         try:
-            cube = ADAPTERS[sensor](spark, discover(products, request, sensor), request)
-            if on_error != "raise":
-                cube.agg(*(F.count(c) for c in cube.columns)).collect()
-            cubes[sensor] = cube
+            cubes[sensor] = acquire(spark, ADAPTERS[sensor], products, request, sensor, notes)
         except Exception as e:
-            if on_error == "raise":
+            if request.on_product_error == "raise":
                 raise
-            errors[sensor] = str(e)
+            notes.errors[sensor] = str(e)
     if request.target_sensor not in cubes:
-        raise RuntimeError(f"no data for the target: {errors}")
-    out = run(cubes, request, shape=shape)
-    out.provenance["errors"] = errors
+        raise RuntimeError(f"no data for the target: {notes.errors}")
+    out = run(cubes | auxiliary, request, shape=shape)
+    out.provenance |= {"errors": notes.errors, "failed_products": notes.failed_products}
+    out.probed = notes.probed
     return out

@@ -426,19 +426,26 @@ def test_request_round_trip_and_limits():
     assert request.parse_bound("2025-01-01T02:00:00+02:00") == DAY(2025, 1, 1)
 
 
-def test_execute_with_adapters(spark, tmp_path):
+def test_execute_with_adapters(spark, tmp_path, monkeypatch):
     f, c, *_ = scene(spark)
     later = f.withColumn("scene", F.col("scene") + F.expr("interval 1 day"))
     items = spark.createDataFrame([("p1", DAY(2025, 7, 1), DAY(2025, 7, 1, 1), True, 1.0, 1.0, s) for s in ("sentinel3", "sentinel2")], "product_id string, start_ts timestamp, end_ts timestamp, online boolean, cloud double, coverage double, sensor string")
-    workflow.ADAPTERS["sentinel3"], workflow.ADAPTERS["sentinel2"] = (lambda s, p, r: c), (lambda s, p, r: later)
+    monkeypatch.setattr(workflow, "ADAPTERS", {"sentinel3": lambda s, p, r: c, "sentinel2": lambda s, p, r: later})
     r = request.Request(g.Area(13.2, 52.4, 13.5, 52.6), "2025-06-01", "2025-07-30", ("sentinel3", "sentinel2"), downscaling=request.Downscaling(("NDVI",), "linear", factor=5, min_samples=50))
     out = workflow.execute(spark, r, items, shape=(10, 10))
-    assert out.fused.where("NDVI is not null").count() == 100 and out.downscaled.count() == 2500
+    means = {(x.iy, x.ix): x.m for x in f.groupBy(F.expr("iy div 5").alias("iy"), F.expr("ix div 5").alias("ix")).agg(F.avg("NDVI").alias("m")).collect()}
+    fused = {(x.iy, x.ix): x.NDVI for x in out.fused.collect()}
+    assert fused == pytest.approx(means) and len(fused) == 100 and out.downscaled.count() == 2500
     out.save(f"file://{tmp_path}/result", r)
     assert request.Request.from_json((tmp_path / "result/request.json").read_text()) == r
     assert spark.read.parquet(f"file://{tmp_path}/result/downscaled").count() == 2500
     files = sinks.manifest(spark, f"file://{tmp_path}/result/fused")
     assert files.count() > 0 and sinks.changed_files(files, files).count() == 0
+    with pytest.raises(ValueError, match="nest"):
+        request.Request(r.area, r.start, r.end, r.sensors, fine_resolution=100.0, downscaling=r.downscaling)
+    wrong = workflow.on_grid(later, r.grid())
+    with pytest.raises(ValueError, match="is needed"):
+        workflow.run({"sentinel3": c, "sentinel2": wrong}, r, shape=(10, 10))
 
 
 def test_contracts(spark):

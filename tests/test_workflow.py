@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -71,20 +72,113 @@ def test_six_adapters(spark, tables):
         assert found["landsat"][cell].lst_observation_count == len([k for k in ks if k])
 
 
-def test_execute_skips_a_failing_sensor(spark, tables, monkeypatch):
+def test_failing_products_are_named_and_left_out(spark, tables, monkeypatch):
     monkeypatch.setattr(workflow, "ADAPTERS", {})
-    broken = tables["sentinel2"].withColumn("B08", F.raise_error(F.lit("unreadable")).cast("int"))
-    workflow.register_tables({**tables, "sentinel2": broken})
+    t = tables["sentinel2"].withColumn("B08", F.col("B08").cast("string"))
+    more = [t.withColumn("product_id", F.lit(p)) for p in ("good", "bad", "late")]
+    more[1] = more[1].withColumn("B08", F.when(F.col("B02") == 1003, "x17").otherwise(F.col("B08")))
+    more[2] = more[2].withColumn("scene", F.when(F.col("B02") != 1005, F.col("scene")))
+    workflow.register_tables({**tables, "sentinel2": t.unionByName(more[0]).unionByName(more[1]).unionByName(more[2])})
     request = request_for(("sentinel3", "sentinel2", "sentinel1"))
     products = products_of(spark, tables)
-    out = workflow.execute(spark, request, products, shape=(5, 5), on_error="skip")
-    assert set(out.provenance["errors"]) == {"sentinel2"} and "unreadable" in out.provenance["errors"]["sentinel2"]
-    assert "sigma0_VV" in out.fused.columns and "NDVI" not in out.fused.columns and out.fused.count() > 0
-    with pytest.raises(Exception, match="unreadable"):
-        workflow.execute(spark, request, products, shape=(5, 5)).fused.collect()
+    own = products.where("sensor = 'sentinel2'")
+    for p in ("good", "bad", "late", "gone"):
+        products = products.unionByName(own.withColumn("product_id", F.lit(p)))
+    out = workflow.execute(spark, request, products)
+    failed = {f["product"]: f["error"] for f in out.provenance["failed_products"]}
+    assert failed == {"bad": "B08 is no number: x17", "late": "no time", "gone": "no pixels"} and not out.provenance["errors"]
+    assert out.fused.where("NDVI is not null").count() > 0 and "sigma0_VV" in out.fused.columns
+    # all of one sensor: that sensor is left out; told to raise, or of the target: an error
+    workflow.register_tables({"sentinel2": more[1], "sentinel1": tables["sentinel1"].drop("VH")})
+    out = workflow.execute(spark, request, products)
+    assert set(out.provenance["errors"]) == {"sentinel1", "sentinel2"} and "x17" in out.provenance["errors"]["sentinel2"] and "no VH" in out.provenance["errors"]["sentinel1"]
+    assert "NDVI" not in out.fused.columns and out.fused.count() > 0
+    with pytest.raises(Exception, match="no VH"):
+        workflow.execute(spark, request_for(("sentinel3", "sentinel1"), on_product_error="raise"), products)
+    workflow.register_tables({"sentinel3": tables["sentinel3"].drop("lst")})
     with pytest.raises(RuntimeError, match="target"):
-        monkeypatch.setattr(workflow, "ADAPTERS", {"sentinel1": workflow.ADAPTERS["sentinel1"]})
-        workflow.execute(spark, request, products, shape=(5, 5), on_error="skip")
+        workflow.execute(spark, request, products)
+
+
+def test_clear_products_are_chosen_by_their_flags(spark, tables, tmp_path):
+    whole = tables["sentinel3"].where("product_id = 'p3' and lon < 14")
+    share = {"a": 0.0, "b": 0.9, "c": 0.6, "d": 1.0}
+    rows = [whole.withColumn("product_id", F.lit(p)).withColumn("cloud_mask", F.col("lat") >= BOX.south + (BOX.north - BOX.south) * s) for p, s in share.items()]
+    table = rows[0]
+    for r in rows[1:]:
+        table = table.unionByName(r)
+    path = f"file://{tmp_path}/raw"
+    table.write.partitionBy().parquet(path)
+    registry = {}
+    workflow.register_tables({"sentinel3": spark.read.parquet(path)}, registry)
+    products = spark.createDataFrame([(p, "sentinel3", DAY(2024, 5, 10, k), DAY(2024, 5, 10, k), True, float(k), 1.0) for k, p in enumerate([*share, "far"])], "product_id string, sensor string, start_ts timestamp, end_ts timestamp, online boolean, cloud double, coverage double")
+    request = request_for(("sentinel3",), min_clear_fraction=0.5, limit=2)
+    notes = workflow.Notes()
+    cube = workflow.acquire(spark, registry["sentinel3"], products, request, "sentinel3", notes)
+    judged = {r.product_id: r for r in notes.probed["sentinel3"].collect()}
+    assert {p for p, r in judged.items() if r.accepted} == {"b", "c"}  # d is clearer, but ranks after them
+    assert {p: r.clear_fraction and round(r.clear_fraction, 1) for p, r in judged.items()} == {"a": 0.0, "b": 0.9, "c": 0.6, "d": 1.0, "far": None}
+    # ids are a filter of the scan that reads values; the probe reads no values
+    plan = cube._jdf.queryExecution().executedPlan().toString()
+    assert "In(product_id, [b,c])" in plan
+    probe = notes.probed["sentinel3"]._jdf.queryExecution().executedPlan().toString()
+    assert "exception_flags" not in probe and "cloud_mask" in probe
+    known = spark.createDataFrame([("b", 0.1), ("other", 1.0)], "product_id string, clear_fraction double")
+    again = workflow.Notes(known)
+    workflow.acquire(spark, registry["sentinel3"], products, request, "sentinel3", again)
+    assert {r.product_id for r in again.probed["sentinel3"].where("accepted").collect()} == {"c", "d"}
+
+
+def test_auxiliary_data_join_the_run(spark, tables, monkeypatch):
+    monkeypatch.setattr(workflow, "ADAPTERS", {})
+    monkeypatch.setattr(workflow, "PROVIDERS", {})
+    workflow.register_tables(tables)
+    rows = [(DAY(2024, 5, 10, 11), lat, lon % 360, 280.0 + lat + lon) for lat in (52.25, 52.5, 52.75) for lon in (13.0, 13.25, 13.5)]
+    workflow.register_provider("era5", spark.createDataFrame(rows, "valid_time timestamp, latitude double, longitude double, t2m double"))
+    request = request_for(("sentinel3",), auxiliary=(sinks.AuxiliarySpec("era5", "hourly", ("temperature_2m",)),))
+    assert Request.from_json(request.to_json()) == request
+    out = {(r.iy, r.ix): r.temperature_2m for r in workflow.execute(spark, request, products_of(spark, tables)).fused.collect()}
+    grid = request.grid()
+    for (iy, ix), v in out.items():
+        lon, lat = projection.unproject_point(grid.left + (ix + 0.5) * 1000, grid.top - (iy + 0.5) * 1000, grid.crs)
+        assert v == pytest.approx(280 + round(lat * 4) / 4 + round(lon * 4) / 4)
+    assert len(out) > 10
+
+
+def swaths(spark, factor, n=1):
+    """Raw pixels of two sensors, one a fine cell of the predictors, whose truth is known."""
+    request = Request(Area(13.25, 52.43, 13.45, 52.55), "2024-05-01", "2024-05-31", ("sentinel3", "sentinel2"), resolution=1000.0, downscaling=Downscaling(("NDVI",), "linear", factor=factor, min_samples=50))
+    grid = request.grid_of("sentinel2")
+    rng = np.random.default_rng(1)
+    red = np.clip(rng.uniform(0.05, 0.3, (grid.height, grid.width)) + 0.1 * np.sin(np.arange(grid.width) / 7), 0.02, 0.5)
+    ndvi = (0.4 - red) / (0.4 + red)
+    places = [(iy, ix, *projection.unproject_point(grid.left + (ix + 0.5) * grid.resolution, grid.top - (iy + 0.5) * grid.resolution, grid.crs)) for iy in range(grid.height) for ix in range(grid.width)]
+    t, later = DAY(2024, 5, 10, 10), DAY(2024, 5, 11, 10)
+    thermal = spark.createDataFrame([("p3", t, x, y, 300.0 - 8 * float(ndvi[i, j]), 0) for i, j, x, y in places], "product_id string, scene timestamp, lon double, lat double, lst double, exception_flags long")
+    optical = spark.createDataFrame([("p2", later, x, y, float(red[i, j]) * 1e4 + 1000, 5000.0, "5.09") for i, j, x, y in places], "product_id string, scene timestamp, lon double, lat double, B04 double, B08 double, baseline string")
+    return request, {"sentinel3": thermal, "sentinel2": optical}, ndvi
+
+
+@pytest.mark.parametrize("model", MODELS)
+def test_from_raw_swaths_to_a_sharpened_cube(spark, monkeypatch, model):
+    factor = 4
+    request, raw, ndvi = swaths(spark, factor)
+    request = replace(request, downscaling=Downscaling(("NDVI",), model, factor=factor))  # the defaults: 100 samples, 10 of them near
+    monkeypatch.setattr(workflow, "ADAPTERS", {})
+    workflow.register_tables(raw)
+    out = workflow.execute(spark, request, products_of(spark, raw))
+    grid = request.grid()
+    assert ndvi.shape == (grid.height * factor, grid.width * factor)
+    means = ndvi.reshape(grid.height, factor, grid.width, factor).mean((1, 3))
+    fused = {(r.iy, r.ix): r for r in out.fused.collect()}
+    inner = [(i, j) for i in range(1, grid.height - 1) for j in range(1, grid.width - 1)]
+    assert all(fused[k].NDVI == pytest.approx(means[k], abs=1e-9) and fused[k].lst == pytest.approx(26.85 - 8 * means[k], abs=1e-6) for k in inner)
+    sharp = {(r.iy, r.ix): r.lst_downscaled for r in out.downscaled.collect()}
+    got = np.array([[sharp.get((i, j), np.nan) for j in range(ndvi.shape[1])] for i in range(ndvi.shape[0])], float)
+    assert np.isfinite(got).mean() > 0.99
+    error = np.sqrt(np.nanmean((got - (26.85 - 8 * ndvi)) ** 2))
+    coarse = np.kron(26.85 - 8 * means, np.ones((factor, factor)))
+    assert error < 0.8 * np.sqrt(np.mean((coarse - (26.85 - 8 * ndvi)) ** 2))  # fine predictors are held to the range of coarse ones
 
 
 def test_every_model_and_correction_conserves(spark):
