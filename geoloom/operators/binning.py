@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EXCEPTION_BITS, clean
+from .quantiles import percentiles
 
 CELL = ["scene", "iy", "ix"]
 
@@ -105,9 +106,11 @@ def heat_metrics(cube: DataFrame, value: str = "lst", threshold: float = 35.0) -
 
 
 def value_summary(df: DataFrame, value: str = "lst") -> DataFrame:
-    """total, valid, mean, median, min and max of a column."""
+    """total, valid, mean, median, min and max of a column; the median is selected in rounds, whatever the number of rows."""
     v = F.col(value)
-    return df.agg(F.count("*").alias("total"), F.count(v).alias("valid"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"))
+    plain = df.agg(F.count("*").alias("total"), F.count(v).alias("valid"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    middle = percentiles(df, value, {"median": 0.5}).agg(F.max("median").alias("median"))  # a row also where there is no value
+    return plain.crossJoin(F.broadcast(middle)).select("total", "valid", "mean", "median", "min", "max")
 
 
 def quality_summary(df: DataFrame, valid: str = "valid_mask") -> DataFrame:

@@ -6,17 +6,16 @@ compares every row with every other.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Edges of a polygon that an expression may hold.
-MAX_EDGES = 10_000
+from .polygons import ENDS
 
 Ring = Sequence[tuple[float, float]]
 
@@ -24,34 +23,23 @@ Ring = Sequence[tuple[float, float]]
 def in_polygon(x: Column, y: Column, rings: Sequence[Ring]) -> Column:
     """Strictly inside by ray-crossing parity; holes are rings, points on an edge are outside.
 
-    The bounding box is tested first, so most rows never look at an edge.
+    The edges are one constant array, which a row goes through if it lies in the
+    bounding box: right for the outline of an area. Many zones, or outlines of very
+    many edges, are joined as a table of edges (`polygons`).
     """
-    if sum(map(len, rings)) > MAX_EDGES:
-        raise ValueError(f"a polygon may have at most {MAX_EDGES} edges")
-    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+    edges = [tuple(map(float, (*a, *b))) for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True) if tuple(a) != tuple(b)]
+    xs, ys = [v for e in edges for v in e[::2]], [v for e in edges for v in e[1::2]]
     box = (x > min(xs)) & (x < max(xs)) & (y > min(ys)) & (y < max(ys))
+    held = F.from_json(F.lit(json.dumps([dict(zip(ENDS, e, strict=True)) for e in edges])), "array<struct<x1: double, y1: double, x2: double, y2: double>>")
 
-    def crosses(x1: float, y1: float, x2: float, y2: float) -> Column:
-        if y1 == y2:
-            return F.lit(0)
-        return F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (y - y1) * ((x2 - x1) / (y2 - y1)) + x1), 1).otherwise(0)
+    def crosses(e: Column) -> Column:
+        return ((e["y1"] > y) != (e["y2"] > y)) & (x < (y - e["y1"]) * ((e["x2"] - e["x1"]) / (e["y2"] - e["y1"])) + e["x1"])
 
-    def touches(x1: float, y1: float, x2: float, y2: float) -> Column:
-        cross = (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)
-        return (cross == 0) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2))
+    def touches(e: Column) -> Column:
+        cross = (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])
+        return (cross == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
-    edges = [(*a, *b) for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True) if tuple(a) != tuple(b)]
-    odd = reduce(lambda a, b: a + b, (crosses(*e) for e in edges)) % 2 == 1
-    on = reduce(lambda a, b: a | b, (touches(*e) for e in edges))
-    return box & odd & ~on
-
-
-def zone_labels(cells: DataFrame, zones: Sequence[Sequence[Ring]], x: Column, y: Column) -> DataFrame:
-    """Adds zone: the first zone that holds the cell's centre, or -1. Meant for the static cell table."""
-    label = F.lit(-1)
-    for k in reversed(range(len(zones))):
-        label = F.when(in_polygon(x, y, zones[k]), F.lit(k)).otherwise(label)
-    return cells.withColumn("zone", label)
+    return box & (F.size(F.filter(held, crosses)) % 2 == 1) & ~F.exists(held, touches)
 
 
 def clip_to(df: DataFrame, inside: Column, values: Sequence[str]) -> DataFrame:
@@ -210,26 +198,6 @@ def overlap_pieces(swath: DataFrame, *, left: float, top: float, step: float, wi
     return cut.select("scene", "iy", "ix", (F.col("_area") / (step * step)).alias("weight"), *carry)
 
 
-def union_area_share(footprints: DataFrame, key: str, boxes: Sequence[str], area: tuple[float, float, float, float]) -> DataFrame:
-    """key and coverage: the share of an area under at least one footprint box of a key, rounded to 4 digits.
-
-    Exact: the west and east edges of a key's boxes cut it into slabs, within which
-    the boxes are intervals whose union is measured. `boxes` names west, south,
-    east, north; a key without any overlap has no row.
-    """
-    held = lambda c, low, high: F.least(F.greatest(F.col(c).cast("double"), F.lit(float(low))), F.lit(float(high)))
-    west, south, east, north = area
-    rows = footprints.select(key, held(boxes[0], west, east).alias("_w"), held(boxes[1], south, north).alias("_s"), held(boxes[2], west, east).alias("_e"), held(boxes[3], south, north).alias("_n"))
-    rows = rows.where("_w < _e and _s < _n").distinct()
-    edges = rows.select(key, F.explode(F.array("_w", "_e")).alias("_x0")).distinct()
-    slabs = edges.withColumn("_x1", F.lead("_x0").over(Window.partitionBy(key).orderBy("_x0"))).where("_x1 is not null")
-    parts = rows.join(slabs, key).where("_w <= _x0 and _x1 <= _e")
-    before = F.max("_n").over(Window.partitionBy(key, "_x0").orderBy("_s", "_n").rowsBetween(Window.unboundedPreceding, -1))
-    new = F.greatest(F.col("_n") - F.greatest(F.col("_s"), F.coalesce(before, F.col("_s"))), F.lit(0.0))
-    measured = parts.select(key, ((F.col("_x1") - F.col("_x0")) * new).alias("_a"))
-    return measured.groupBy(key).agg(F.round(F.least(F.lit(1.0), F.sum("_a") / ((east - west) * (north - south))), 4).alias("coverage"))
-
-
 def around(cells: DataFrame, sites: DataFrame, reach: float, *, keys: Sequence[str] = (), x: str = "x", y: str = "y") -> DataFrame:
     """Cells with every site (sx, sy) of the same keys in the nine buckets about them, and d2, the squared distance.
 

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def metric_columns(estimate: Column, reference: Column) -> list[Column]:
     """samples, bias, mae, rmse and correlation (NULL for one sample or no variance) as aggregates."""
@@ -58,30 +60,14 @@ def blocked_split(cube: DataFrame, *, validation_fraction: float = 0.2, period:
     return out.withColumns({"train": ~F.col("_late") & ~F.col("_held"), "validation": F.col("_late") & F.col("_held"), "calibration": ~F.col("_late") & F.col("_held")}).drop("_late", "_held")
 
 
-def conformal_quantile(scores: DataFrame, score: str, *, alpha: float = 0.1, buckets: int = 256) -> DataFrame:
-    """The ceil((n-1) q) + 1 smallest score, q = min(1, ceil((n+1)(1-alpha)) / n): one row.
-
-    The rank is found without sorting everything in one task: counts by range
-    bucket narrow it to one bucket, whose rows are ranked.
-    """
-    rows = scores.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"))
-    span = rows.agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n")).first()
-    n = span["n"]
+def conformal_quantile(scores: DataFrame, score: str, *, alpha: float = 0.1) -> DataFrame:
+    """The ceil((n-1) q) + 1 smallest score, q = min(1, ceil((n+1)(1-alpha)) / n): one row."""
+    n = scores.where(F.col(score).isNotNull()).count()
     if not n:
         raise ValueError("no scores")
     q = min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
-    wanted = math.ceil((n - 1) * q) + 1
-    lo, hi = span["lo"], span["hi"]
-    while hi > lo:
-        width = (hi - lo) / buckets
-        k = F.least(F.floor((F.col("s") - lo) / width), F.lit(buckets - 1))
-        counts = rows.where(F.col("s").between(lo, hi)).groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy("k").collect()
-        for c in counts:  # at most `buckets` rows
-            if wanted <= c["n"]:
-                lo, hi = c["lo"], c["hi"]
-                break
-            wanted -= c["n"]
-    return scores.sparkSession.createDataFrame([(float(lo), n, q)], "quantile double, samples long, level double")
+    found = percentiles(scores, score, {"quantile": (q, "higher")})
+    return found.select("quantile", F.col("_n").alias("samples"), F.lit(q).alias("level"))
 
 
 @dataclass(frozen=True)
@@ -104,7 +90,8 @@ def fit_conformal(calibration: DataFrame, estimate: str, reference: str, *, spre
     floor = None
     score = F.abs(F.col(estimate) - F.col(reference))
     if spread:
-        floor = max(calibration.agg(F.percentile(spread, F.lit(0.05))).first()[0] or 0.0, 1e-6)
+        low = percentiles(calibration, spread, {"low": 0.05}).first()
+        floor = max(low["low"] if low else 0.0, 1e-6)
         score = score / F.greatest(F.col(spread), F.lit(floor))
     found = conformal_quantile(calibration.select(score.alias("s")), "s", alpha=alpha).first()
     if found["samples"] < min_samples:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import projection
 from ..functions import scalar as sc
 from ..grid import Area, Grid
-from ..operators import binning, catalogue, downscale, gwr, kriging, neighbourhood, resample, spatial, stations, temporal, trees, validation, zonal
+from ..operators import binning, catalogue, downscale, gwr, kriging, neighbourhood, polygons, resample, spatial, stations, temporal, trees, validation, zonal
 from ..sources import readers, sinks
 from . import workflow
 from .request import Request
@@ -160,7 +160,7 @@ ZONE_CASE = "CASE WHEN ix > 0 AND iy > 0 AND ix + iy < 8 THEN 0 WHEN ix > 2.5 AN
 
 def labels(spark, d):
     grid = cells(spark, d).select("iy", "ix").distinct()
-    return spatial.zone_labels(grid, ZONES, F.col("ix").cast("double"), F.col("iy").cast("double"))
+    return polygons.zone_labels(grid, polygons.edges_of(spark, ZONES), F.col("ix"), F.col("iy"))
 
 
 @query(f"{CELLS_SQL} SELECT DISTINCT iy, ix, CAST({ZONE_CASE} AS INT) AS zone FROM cells")
@@ -906,12 +906,34 @@ def distinct_products(spark, d):
     return catalogue.distinct_products(rows)
 
 
+AREA_12 = [[(0.0, 0.0), (12.0, 0.0), (12.0, 12.0), (0.0, 12.0)]]
+
+
+def footprint_edges(rows: DataFrame, key: str, corners: list[tuple[str, str]]) -> DataFrame:
+    """An edge a row of footprints whose corners are expressions, in order around; a row's columns name its footprint."""
+    ends = [(a, b) for a, b in zip(corners, [*corners[1:], corners[0]])]
+    structs = [F.struct(*(F.expr(f"cast({e} as double)").alias(n) for e, n in zip((*a, *b), polygons.ENDS))) for a, b in ends]
+    return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("zone"), F.explode(F.array(*structs)).alias("e")).select(key, "zone", "e.*")
+
+
 @query("""WITH b AS (SELECT o_orderdate AS acquired, o_orderkey % 9 AS w, o_orderkey % 8 AS s FROM orders), c AS (SELECT a + 0.5 AS cx, b + 0.5 AS cy FROM range(12) x(a), range(12) y(b)),
 h AS (SELECT DISTINCT acquired, cx, cy FROM b, c WHERE cx BETWEEN w AND w + 4 AND cy BETWEEN s AND s + 3) SELECT acquired, round(count(*) / 144, 4) AS coverage FROM h GROUP BY ALL""")
 def aoi_coverage(spark, d):
-    """The SQL counts unit cells, which boxes with whole corners cover or miss entirely."""
-    boxes = read(spark, d, "orders").selectExpr("o_orderdate AS acquired", "o_orderkey % 9 AS w", "o_orderkey % 8 AS s").withColumn("e", F.col("w") + 4).withColumn("n", F.col("s") + 3).distinct()
-    return spatial.union_area_share(boxes, "acquired", ["w", "s", "e", "n"], (0.0, 0.0, 12.0, 12.0))
+    """Boxes. The SQL counts unit cells, which boxes with whole corners cover or miss entirely."""
+    boxes = read(spark, d, "orders").selectExpr("o_orderdate AS acquired", "o_orderkey % 9 AS w", "o_orderkey % 8 AS s").distinct()
+    return polygons.union_share(footprint_edges(boxes, "acquired", [("w", "s"), ("w + 4", "s"), ("w + 4", "s + 3"), ("w", "s + 3")]), "acquired", AREA_12)
+
+
+@query("""WITH b AS (SELECT o_orderdate AS acquired, o_orderkey % 13 AS cx, o_custkey % 13 AS cy, 2 + o_orderkey % 3 AS r, o_orderkey % 5 = 0 AS missing FROM orders WHERE o_orderkey % 4 = 0),
+t AS (SELECT a + 0.5 + dx AS px, b + 0.5 + dy AS py FROM range(12) x(a), range(12) y(b), (VALUES (0.3, 0.0), (-0.3, 0.0), (0.0, 0.3), (0.0, -0.3)) v(dx, dy)),
+h AS (SELECT DISTINCT acquired, px, py FROM b, t WHERE NOT missing AND abs(px - cx) + abs(py - cy) < r AND NOT abs(px - cx) + abs(py - cy) < r - 1)
+SELECT acquired, CASE WHEN bool_and(missing) THEN NULL ELSE round(coalesce((SELECT count(*) FROM h WHERE h.acquired = b.acquired), 0) / 576, 4) END AS coverage FROM b GROUP BY acquired""")
+def aoi_coverage_rings(spark, d):
+    """Square rings that stand on a corner. The SQL counts quarters of unit cells, which such rings cover or miss entirely."""
+    rows = read(spark, d, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderdate AS acquired", "o_orderkey % 13 AS cx", "o_custkey % 13 AS cy", "if(o_orderkey % 5 = 0, null, 2 + o_orderkey % 3) AS r")
+    corners = lambda r: [("cx", f"cy - ({r})"), (f"cx + ({r})", "cy"), ("cx", f"cy + ({r})"), (f"cx - ({r})", "cy")]
+    outer, inner = (footprint_edges(rows.distinct(), "acquired", corners(r)) for r in ("r", "r - 1"))  # two rings of one footprint
+    return polygons.union_share(outer.unionByName(inner), "acquired", AREA_12)
 
 
 # --- swaths and stations ------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geoloom import grid as g
 from geoloom.functions import projection
 from geoloom.functions import scalar as sc
-from geoloom.operators import binning, catalogue, downscale, gwr, neighbourhood, spatial, stations, temporal, trees, validation, zonal
+from geoloom.operators import binning, catalogue, downscale, gwr, neighbourhood, polygons, spatial, stations, temporal, trees, validation, zonal
 from geoloom.plans import contracts, request, workflow
 from geoloom.sources import readers, sinks
 
@@ -95,7 +95,7 @@ def test_cloud_buffer_grows_clouds(spark):
 def test_zones_first_wins_and_empty_zone(spark):
     zones = [[[(0, 0), (4, 0), (0, 4)]], [[(1, 1), (3, 1), (3, 3), (1, 3)]], [[(50, 50), (51, 50), (51, 51)]]]
     cells = spatial.cells_table(spark, 4, 4)
-    labels = spatial.zone_labels(cells, zones, F.col("ix") + 0.5, F.col("iy") + 0.5)
+    labels = polygons.zone_labels(cells, polygons.edges_of(spark, zones), F.col("ix") + 0.5, F.col("iy") + 0.5)
     found = {(r.iy, r.ix): r.zone for r in labels.collect()}
     assert found[0, 0] == 0 and found[2, 2] == 1 and found[3, 3] == -1 and found[1, 1] == 0
     data = cube(spark, [(DAY(2025, 1, 1), r, c, float(r + c) if (r, c) != (0, 0) else None) for r in range(4) for c in range(4)])
@@ -400,7 +400,7 @@ def test_split_and_quantile(spark):
         scores = [rng.choice([rng.random(), 0.5]) for _ in range(n)]
         q = min(1.0, math.ceil((n + 1) * 0.9) / n)
         expected = np.quantile(scores, q, method="higher")
-        got = validation.conformal_quantile(spark.createDataFrame([(s,) for s in scores], "s double"), "s", buckets=8).first()
+        got = validation.conformal_quantile(spark.createDataFrame([(s,) for s in scores], "s double"), "s").first()
         assert got.quantile == pytest.approx(expected) and got.samples == n
 
 
