@@ -70,6 +70,12 @@ class Reach:
             return low, low
         return low, min(limit, self.ends[k] - 1)
 
+    def nearest_above(self, limit: int) -> tuple[int, int]:
+        """Bounds of the smallest running sum that is at least `limit`."""
+        k = bisect_left(self.ends, limit)
+        before = self.ends[k - 1] if k else 0
+        return (self.ends[k], self.ends[k]) if self.whole[k] else (max(limit, before + 1), self.ends[k])
+
     def fits(self, capacity: int, shards: int, hopeful: bool) -> bool:
         """Whether greedy filling ends within `shards`, with upper or lower bounds of each reach."""
         at = 0
@@ -79,6 +85,34 @@ class Reach:
                 return True
         return False
 
+    def unknown(self, low: int, high: int) -> list[tuple[int, int]]:
+        """Stretches (from, to] with running sums that are not known between two bounds."""
+        a, b = bisect_left(self.ends, low), bisect_left(self.ends, high)
+        return [(self.ends[k - 1] if k else 0, self.ends[k] - 1) for k in range(a, min(b, len(self.ends) - 1) + 1) if not self.whole[k]]
+
+    def levelled(self, capacity: int, shards: int) -> tuple[list[int], list[tuple[int, int]]]:
+        """(cuts, stretches that have to be known before the cuts are right)."""
+        total, missing = self.ends[-1], []
+
+        def exactly(bounds: tuple[int, int]) -> int:
+            if bounds[0] != bounds[1]:
+                missing.extend(self.unknown(*bounds))
+            return bounds[1]
+
+        least_ends = [total]  # from where the shards after can hold the rest
+        for _ in range(shards - 1):
+            least_ends.append(exactly(self.nearest_above(max(least_ends[-1] - capacity, 1))) if least_ends[-1] > capacity else 0)
+        cuts, at = [], 0
+        for left, floor in zip(range(shards, 0, -1), reversed(least_ends), strict=True):
+            aim = min(max(at - (at - total) // left, floor), at + capacity)  # an even share, rounded up
+            low, high = exactly(self.furthest(aim)), exactly(self.nearest_above(min(aim + 1, total)))
+            low_stands, high_stands = low > at and low >= floor, high <= at + capacity
+            at = high if high_stands and (not low_stands or high - aim < aim - low) else low
+            cuts.append(at)
+            if at >= total:
+                break
+        return cuts, missing
+
 
 def least(low: int, high: int, good) -> int:
     """Smallest value of low..high that is good; high is known to be."""
@@ -98,18 +132,17 @@ def minimax_cuts(sums: DataFrame, shards: int, *, resolution: int = RESOLUTION)
     if top is None or top["total"] is None:
         return 0, []
     total, largest = int(top["total"]), int(top["largest"])
-    stretches = [(0, total)]  # (from, to]: running sums to look at
-    low, high = max(largest, -(-total // shards)), total
     known: dict[int, bool] = {total: False}
-    while True:
-        length = sum(b - a for a, b in stretches)
-        width = max(1, -(-length // resolution))
+
+    def look(stretches: list[tuple[int, int]]) -> Reach:
+        """List what ends in the stretches (from, to], interval by interval."""
+        width = max(1, -(-sum(b - a for a, b in stretches) // resolution))
         which, k = F.lit(None).cast("int"), F.lit(None).cast("long")
         for n, (a, b) in enumerate(stretches):
             here = (F.col("upto") > a) & (F.col("upto") <= b)
             which, k = F.when(here, n).otherwise(which), F.when(here, F.floor((F.col("upto") - a - 1) / width).cast("long")).otherwise(k)
         found = sums.select(which.alias("s"), k.alias("k"), "upto").where("s is not null").groupBy("s", "k").agg(F.min("upto").alias("lo"), F.max("upto").alias("hi"), F.count("*").alias("n")).collect()
-        for a, b in stretches:
+        for _, b in stretches:
             if b + 1 in known:
                 known[b + 1] = True  # what ends before it is listed now
         for r in found:
@@ -117,26 +150,27 @@ def minimax_cuts(sums: DataFrame, shards: int, *, resolution: int = RESOLUTION)
             if r["n"] > 1:
                 known[int(r["hi"])] = r["n"] == 2
         ends = sorted(k for k in known if k > 0)
-        reach = Reach(ends, [known[k] for k in ends])
+        return Reach(ends, [known[k] for k in ends])
+
+    stretches = [(0, total)]
+    low, high = max(largest, -(-total // shards)), total
+    while stretches:
+        reach = look(stretches)
         high = least(low, high, lambda c: reach.fits(c, shards, False))
         low = least(low, high, lambda c: reach.fits(c, shards, True))
         open_ends: list[tuple[int, int]] = []
         at_low = at_high = 0
         for _ in range(shards):  # where the cuts of capacities low..high may fall
             first, last = reach.furthest(at_low + low), reach.furthest(at_high + high)
-            a, b = bisect_left(ends, first[0]), bisect_left(ends, last[1])
-            for k in range(a, min(b, len(ends) - 1) + 1):
-                if not reach.whole[k]:
-                    open_ends.append((ends[k - 1] if k else 0, ends[k] - 1))
+            open_ends += reach.unknown(first[0], last[1])
             at_low, at_high = first[0], last[1]
         stretches = [s for s in sorted(set(open_ends)) if s[1] > s[0]]
-        if not stretches:
-            break
-    cuts, at = [], 0
-    while at < total:
-        at = reach.furthest(at + high)[0]
-        cuts.append(at)
-    return high, cuts
+    while True:
+        cuts, missing = reach.levelled(high, shards)
+        missing = [s for s in sorted(set(missing)) if s[1] > s[0]]
+        if not missing:
+            return high, cuts
+        reach = look(missing)
 
 
 def assign_shards(docs: DataFrame, shards: int, *, overhead: int = 8, id_col: str = "doc_id", text_col: str = "text", resolution: int = RESOLUTION) -> DataFrame:

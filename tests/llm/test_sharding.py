@@ -38,8 +38,25 @@ def test_capacity_is_minimal(spark, seed, n, shards, resolution):
     capacity, cuts = sharding.minimax_cuts(spark.createDataFrame(rows, "size long, upto long"), shards, resolution=resolution)
     assert capacity == smallest_capacity(sizes, shards)
     ends = {r[1] for r in rows}
-    assert set(cuts) <= ends and cuts[-1] == at and len(cuts) <= shards
-    assert max(b - a for a, b in zip([0, *cuts], cuts)) == capacity
+    assert set(cuts) <= ends and cuts[-1] == at and len(cuts) == min(shards, n)
+    loads = [b - a for a, b in zip([0, *cuts], cuts)]
+    assert max(loads) <= capacity and min(loads) > 0
+    levelled = 0
+    for k in range(len(loads) - 1):  # each ends as near as can be to an even share of the rest, or where the rest needs it
+        even = levelled + (at - levelled) / (shards - k)
+        nearest = min((e for e in ends if e > levelled), key=lambda e: abs(e - even))
+        fits_rest = smallest_capacity([r[0] for r in rows if r[1] > nearest], shards - k - 1) <= capacity
+        assert cuts[k] == nearest or abs(abs(cuts[k] - even) - abs(nearest - even)) <= 1 or nearest > levelled + capacity or not fits_rest
+        levelled = cuts[k]
+
+
+def test_one_long_text_leaves_no_shard_empty(spark):
+    rng = random.Random(9)
+    docs = [(0, "a" * 60_000)] + [(k, "".join(rng.choices("abcdefgh", k=rng.randint(50, 1300)))) for k in range(1, 1001)]
+    out = sharding.assign_shards(spark.createDataFrame(docs, "doc_id long, text string"), 24).groupBy("shard").agg({"size": "sum"}).collect()
+    loads = sorted(r[1] for r in out)
+    mean = (sum(loads) - loads[-1]) / 23
+    assert len(loads) == 24 and loads[0] > 0.9 * mean and loads[-2] < 1.1 * mean and loads[-1] < 1.05 * 60_008
 
 
 def test_documents(spark):
