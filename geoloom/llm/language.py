@@ -11,7 +11,7 @@ into one matrix, and a text's scores are the sum of the rows of its n-grams.
 
 Fit: at most about `per_label` texts a label, chosen by a hash of their id, each
 of at most `max_chars` characters (a label that only longer texts have is not
-learned). More labels than `max_labels` raise a ValueError: the model has a row
+learned), and about `max_bytes` in all, shared equally by the labels. More labels than `max_labels` raise a ValueError: the model has a row
 an n-gram and a column a label, and travels to every worker. Texts are always
 scored whole. Null text, or text without a letter, gives the label `und` and
 score 0; the score of others is the winning regression value, limited to 0..1.
@@ -198,21 +198,21 @@ def fit(texts: list[str], labels: list[str], *, landmarks: int = 256, ridge: flo
     return model
 
 
-def training_sample(docs: DataFrame, learnable: Column, *, id_col: str, text_col: str, label_col: str, per_label: int, max_chars: int, max_labels: int) -> DataFrame:
-    """About `per_label` texts of each label, by a hash of the id; no single task sees a whole label."""
+def training_sample(docs: DataFrame, learnable: Column, *, id_col: str, text_col: str, label_col: str, per_label: int, max_chars: int, max_labels: int, max_bytes: int) -> DataFrame:
+    """About `per_label` texts of each label, by a hash of the id, and about `max_bytes` over all; no single task sees a whole label."""
     rows = docs.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.length(text_col).between(1, max_chars))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).limit(max_labels + 1).collect()
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).limit(max_labels + 1).collect()
     if len(sizes) > max_labels:
         raise ValueError(f"more than {max_labels} labels in {label_col}: raise max_labels")
-    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, per_label / r["n"])) for r in sizes], T.StructType([T.StructField("label", rows.schema["label"].dataType), T.StructField("keep", T.DoubleType())]))
+    shares = docs.sparkSession.createDataFrame([(r["label"], min(1.0, per_label / r["n"], max_bytes / len(sizes) / r["bytes"])) for r in sizes], T.StructType([T.StructField("label", rows.schema["label"].dataType), T.StructField("keep", T.DoubleType())]))
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(F.broadcast(shares), "label").where(share < F.col("keep")).select("id", "text", "label")
 
 
-def fit_languages(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 800, max_chars: int = 50_000, landmarks: int = 256, max_labels: int = 1000) -> LanguageModel:
-    """Model from a bounded sample: `per_label` texts a label (in expectation), each of at most `max_chars`; ValueError beyond `max_labels`."""
-    rows = training_sample(docs, learnable, id_col=id_col, text_col=text_col, label_col=label_col, per_label=per_label, max_chars=max_chars, max_labels=max_labels).collect()
+def fit_languages(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 800, max_chars: int = 50_000, landmarks: int = 256, max_labels: int = 1000, max_bytes: int = 256 << 20) -> LanguageModel:
+    """Model from a bounded sample: `per_label` texts a label (in expectation), each of at most `max_chars`, about `max_bytes` in all; ValueError beyond `max_labels`."""
+    rows = training_sample(docs, learnable, id_col=id_col, text_col=text_col, label_col=label_col, per_label=per_label, max_chars=max_chars, max_labels=max_labels, max_bytes=max_bytes).collect()
     rows = sorted(rows, key=lambda r: (r["id"], r["label"], r["text"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows], landmarks=landmarks)
 

@@ -24,8 +24,9 @@ BATCH_BYTES = 2 << 20
 CACHE_BYTES, LONGEST_KEPT = 96 << 20, 256
 #: Bytes of a cached entry beside those of its text and result: two objects and a place in the table.
 ENTRY_BYTES = 240
-#: Marks a cut; a text that holds it is encoded whole.
+#: Marks a cut; a text that holds it is encoded whole. Others that may take its place.
 MARK = "\x1f"
+MARKS = (MARK, "\x1e", "\x1d", "\x1c", "\x01", "\x02", "\ue000", "\ufdd0")
 
 
 def large_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -75,14 +76,20 @@ def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, schema=batches[0].schema)
 
 
-def cut(texts: pa.Array, before: str) -> tuple[np.ndarray, pa.Array]:
+def free_mark(texts: pa.Array) -> str | None:
+    """A mark that none of the texts holds."""
+    return next((m for m in MARKS if not pc.any(pc.match_substring(texts, m)).as_py()), None)
+
+
+def cut(texts: pa.Array, before: str, *, more_space: str = "", mark: str = MARK) -> tuple[np.ndarray, pa.Array]:
     """Cut each text before every character of class `before` that follows a non-space.
 
+    `more_space` is a class of characters that are space besides the usual ones.
     Returns list offsets and the flat segments; concatenating the segments of a
     text gives the text.
     """
-    marked = pc.replace_substring_regex(texts, rf"([^ \t\n\f\r\v])([{before}])", rf"\1{MARK}\2")
-    lists = pc.split_pattern(marked, MARK)
+    marked = pc.replace_substring_regex(texts, rf"([^ \t\n\f\r\v{more_space}])([{before}])", rf"\1{mark}\2")
+    lists = pc.split_pattern(marked, mark)
     return lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten()
 
 

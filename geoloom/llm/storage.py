@@ -26,7 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.gettempdir()}/geoloom-shared-{os.getuid()}"
-    return path.rstrip("/")
+    return qualified(spark, path.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark resolves it to (a bare path belongs to `fs.defaultFS`)."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -77,12 +83,24 @@ def discard(spark: SparkSession, df_or_path: DataFrame | str) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: Schemes of Hadoop's stores by the name under which Arrow opens the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def open_fs(uri: str):
-    """(pyarrow filesystem, path in it) for a URI or an absolute path."""
+    """(pyarrow filesystem, path in it) for a URI; ValueError for a store that Arrow cannot open.
+
+    A bare absolute path is refused: Spark may resolve it to another store than the
+    executor's own disk (see `qualified`).
+    """
     import pyarrow.fs as pafs
 
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
-    if uri.startswith("/"):
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        raise ValueError(f"{uri} names no store")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    except (OSError, ValueError, NotImplementedError) as e:
+        raise ValueError(f"files cannot be written to {uri} from tasks: {e}") from e

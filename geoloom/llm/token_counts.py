@@ -1,16 +1,18 @@
 """Token counts of whole texts, as the tokenizers library gives them.
 
 Batches balanced by bytes go through Arrow functions that return lengths only.
-Long and short texts alike are split at safe boundaries (a white-space character
-after a non-space: no token of a byte-level BPE with the usual splitting pattern
-holds a non-space before a white-space character); the library encodes each
-distinct segment once. Texts with a special token's string or with white space
-other than blank, tab, line feed, carriage return or form feed go to the library
-whole.
+Long and short texts alike are split at safe boundaries: before a blank, tab, line
+feed, carriage return or form feed that follows a character which no engine takes
+for white space. No token of a byte-level BPE with the usual splitting pattern holds
+a non-space before a white-space character, and the string of a special token that
+has no space in it and takes none from its sides lies within one segment. The
+library encodes each distinct segment once. Only what lies between two boundaries
+is in one piece: a run without such spaces (in Chinese, or base 64) is as long as
+it is.
 
 Nulls count as empty texts (0 bytes, 0 tokens). Repeated rows give repeated
-results; extra columns pass through unless their names clash with the results',
-which then replace them.
+results; an empty table gives no rows; extra columns pass through unless their
+names clash with the results', which then replace them.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 
 from . import segments as seg
 
-#: White space and separators at which the library's pattern and the cut could differ.
-ODD_SPACE = r"[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space and separators other than those at which texts are cut: no cut follows one.
+ODD_SPACE = r"\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 _COUNTERS: dict[str, TokenCounter] = {}
 
@@ -43,35 +45,23 @@ class TokenCounter:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Cutting is proven only for byte-level BPE without a normaliser.
-        self.cuttable = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
+        #: Cutting is proven only for byte-level BPE without a normaliser, and special strings that stand for themselves.
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        plain = not any(t.lstrip or t.rstrip or t.single_word or any(c.isspace() for c in t.content) for t in special)
+        self.cuttable = plain and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         self.cached = seg.SegmentCache(self.lengths)
 
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def whole(self, texts: pa.Array) -> np.ndarray:
-        """Which texts may not be cut."""
-        if not self.cuttable:
-            return np.ones(len(texts), bool)
-        odd = pc.match_substring_regex(texts, ODD_SPACE)
-        for special in self.specials:
-            odd = pc.or_(odd, pc.match_substring(texts, special))
-        return odd.to_numpy(zero_copy_only=False)
-
     def count(self, texts: pa.Array) -> np.ndarray:
-        out = np.zeros(len(texts), np.int64)
-        whole = self.whole(texts)
-        for i in np.flatnonzero(whole):
-            out[i] = self.lengths([texts[int(i)].as_py()])[0]
-        rest = np.flatnonzero(~whole)
-        if len(rest):
-            offsets, flat = seg.cut(texts if len(rest) == len(texts) else texts.take(pa.array(rest)), " \\t\\n\\f\\r")
-            coded = flat.dictionary_encode()
-            table = np.array(self.cached(coded.dictionary.to_pylist()), dtype=np.int64)
-            out[rest] = seg.segment_sums(table[coded.indices.to_numpy()], offsets)
-        return out
+        mark = seg.free_mark(texts) if self.cuttable else None
+        if mark is None:  # a text at a time
+            return np.array([self.lengths([t])[0] for t in texts.to_pylist()], np.int64)
+        offsets, flat = seg.cut(texts, " \\t\\n\\f\\r", more_space=ODD_SPACE, mark=mark)
+        coded = flat.dictionary_encode()
+        table = np.array(self.cached(coded.dictionary.to_pylist()), dtype=np.int64)
+        return seg.segment_sums(table[coded.indices.to_numpy()], offsets)
 
 
 def counter(tokenizer_path: str) -> TokenCounter:
@@ -91,7 +81,7 @@ def token_counts(
 ) -> DataFrame:
     """`keep` columns (default: all but the text) with n_bytes, n_tokens, over_limit.
 
-    Map-only: no shuffle, memory bounded by `batch_bytes` and the longest text.
+    Map-only: no shuffle, memory bounded by `batch_bytes` and the longest text (its segments, not its tokens).
     """
     made = ("n_bytes", "n_tokens", "over_limit")
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in made and c != text_col]

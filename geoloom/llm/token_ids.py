@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import segments as seg
-from .storage import open_fs
+from .storage import open_fs, qualified
 
 MASK_DELTA = 0xA282EAD8
 INDEX = np.dtype([("at", "<u8"), ("before", "<u8"), ("n", "<u8")])
@@ -329,13 +329,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
     docs.sparkSession.dataSource.register(TokenFiles)
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.write.format("geoloom_tokens").mode("append").option("path", path).option("tokenizer", tokenizer_path).option("end_ids", ",".join(map(str, end_ids))).save()
+    ordered.write.format("geoloom_tokens").mode("append").option("path", qualified(docs.sparkSession, path)).option("tokenizer", tokenizer_path).option("end_ids", ",".join(map(str, end_ids))).save()
 
 
 def read_token_files(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids of every record."""
     spark.dataSource.register(TokenFiles)
-    return spark.read.format("geoloom_tokens").option("path", path).load()
+    return spark.read.format("geoloom_tokens").option("path", qualified(spark, path)).load()
 
 
 def read_record(path: str, number: int) -> tuple[int | None, np.ndarray]:

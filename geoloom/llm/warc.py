@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from .components import splittable
-from .storage import open_fs
+from .storage import open_fs, qualified
 
 SCHEMA = "record_type string, page_id long, url string, date string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 HEADER_COLUMNS = {"record_type", "page_id", "url", "payload_digest", "payload_bytes", "refers_to"}
@@ -354,7 +354,7 @@ def as_records(pages: DataFrame, *, dedup_min: int = 100) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, *, dedup_min: int = 100) -> None:
     """Write a record for every page; each task one archive file."""
     pages.sparkSession.dataSource.register(Warc)
-    as_records(pages, dedup_min=dedup_min).write.format("geoloom_warc").mode("append").option("path", path).save()
+    as_records(pages, dedup_min=dedup_min).write.format("geoloom_warc").mode("append").option("path", qualified(pages.sparkSession, path)).save()
 
 
 def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
@@ -364,4 +364,4 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFr
     """
     spark.dataSource.register(Warc)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("geoloom_warc").option("path", path).option("payload", str(payload).lower()).load()
+    return spark.read.format("geoloom_warc").option("path", qualified(spark, path)).option("payload", str(payload).lower()).load()

@@ -216,3 +216,32 @@ def test_frames_notice_damage():
         bad[k] ^= 1
         with pytest.raises((ValueError, Exception)):
             token_ids.unframe(bytes(bad), 0)
+
+
+def test_texts_with_odd_spaces_are_split_and_counted_right():
+    import random
+
+    from geoloom.llm import segments
+    from geoloom.llm.token_counts import counter
+
+    one = counter(queries.tokenizer_file("byte_bpe_50k.json"))
+    rnd = random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\f", "\x0b", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", *segments.MARKS[:4], "a", "word", "'s", "12", "!?", "漢字", "e\u0301", "😀", "<|endoftext|>", "<|endoftext|"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(25))) for _ in range(4000)]
+    got = [n for k in range(0, len(texts), 40) for n in one.count(pa.array(texts[k : k + 40], pa.large_string()))]
+    assert got == one.lengths(texts)
+    seen = []
+    lengths, one.cached.encode = one.cached.encode, lambda s: (seen.extend(map(len, s)), lengths(s))[1]
+    page = "a\xa0page with <|endoftext|> and many words " * 20_000
+    assert one.count(pa.array([page], pa.large_string()))[0] == lengths([page])[0] and max(seen, default=0) < 100
+    one.cached.encode = lengths
+
+
+def test_stores_that_tasks_cannot_write_to(spark):
+    from geoloom.llm import storage
+
+    assert storage.qualified(spark, "/some/where") == "file:/some/where"
+    assert storage.open_fs("file:/some/where")[1] == "/some/where" == storage.open_fs("file:///some/where")[1]
+    for uri in ("/bare/path", "viewfs://store/a", "nothing"):
+        with pytest.raises(ValueError):
+            storage.open_fs(uri)
