@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,28 +178,6 @@ def ensemble_spread(predictions: DataFrame, members: Sequence[str], out: str = "
     return predictions.withColumn(out, F.sqrt(ss / (len(members) - 1)))
 
 
-def forest(training: DataFrame, target: str, predictors: Sequence[str], *, kind: str = "forest", seed: int = 42, **options):
-    """A fitted Spark ML regressor: a random forest (200 trees) or gradient-boosted trees (300, depth 6, rate 0.05)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    rows = VectorAssembler(inputCols=list(predictors), outputCol="features").transform(usable(training, [target, *predictors]))
-    if kind == "forest":
-        model = RandomForestRegressor(labelCol=target, seed=seed, **({"numTrees": 200, "maxDepth": 10} | options))
-    else:
-        model = GBTRegressor(labelCol=target, seed=seed, **({"maxIter": 300, "maxDepth": 6, "stepSize": 0.05} | options))
-    return model.fit(rows)
-
-
-def predict_forest(model, fine: DataFrame, predictors: Sequence[str]) -> DataFrame:
-    """Adds lst_downscaled; cells with a missing predictor stay, with NULL."""
-    from pyspark.ml.feature import VectorAssembler
-
-    sound = reduce(lambda a, b: a & b, (F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")) for p in predictors))
-    ready = VectorAssembler(inputCols=list(predictors), outputCol="features", handleInvalid="keep").transform(fine)
-    return model.transform(ready).withColumn("lst_downscaled", F.when(sound, F.col("prediction"))).drop("features", "prediction")
-
-
 def fit_estimator(training: DataFrame, target: str, predictors: Sequence[str], estimator):
     """(fitted Spark ML pipeline, residual deviation with ddof 1) of any regressor with `featuresCol` features."""
     from pyspark.ml import Pipeline

@@ -1,4 +1,4 @@
-"""Tree ensembles for each scene: linear-leaf trees in moving windows, forests, boosting.
+"""Linear-leaf trees for each scene, in moving windows and over the whole scene (other ensembles: `forests`).
 
 A model is a row of arrays, not an object: one DataFrame row for each (scene,
 window) ensemble. Training groups are the coarse cells of one window or scene,
@@ -13,7 +13,6 @@ fine cells with a missing predictor stay, with NULL.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import radiance_blend
+from .quantiles import cut
 from .spatial import apart, bilinear_up
 
 WHOLE = -1  #: window number of a scene's own ensemble
@@ -37,15 +37,12 @@ class Shape:
     depth: int = 64
     least: int = 10  #: samples in a leaf
     linear: bool = True
-    rate: float | None = None  #: each member fits what the members before it leave, times this
     slack: float = 0.25  #: a linear leaf may leave its range by this share of it
     penalty: float = 1.0
     seed: int = 42
 
 
 SCENE_TREES, WINDOW_TREES = Shape(), Shape(leaves=10)
-FOREST = Shape(members=200, leaves=1 << 10, depth=10, least=1, linear=False)
-BOOSTED = Shape(members=300, leaves=1 << 6, depth=6, least=1, linear=False, rate=0.05)
 
 
 @dataclass
@@ -133,26 +130,26 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, shape: Shape) -> Tree:
 
 @dataclass
 class Ensemble:
-    """Mean of bootstrapped trees, or the sum of boosted ones."""
+    """Mean of bootstrapped trees."""
 
     trees: list[Tree]
-    rate: float | None = None
-    base: float = 0.0
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        total = sum((t(x) for t in self.trees), np.zeros(len(x)))
-        return total / len(self.trees) if self.rate is None else self.base + self.rate * total
+        return sum((t(x) for t in self.trees), np.zeros(len(x))) / len(self.trees)
+
+    def columns(self) -> list[list]:
+        """The trees as arrays of numbers: how many nodes each has, and the nodes of all, one after the other."""
+        joined = [np.concatenate([getattr(t, f) for t in self.trees]).ravel().tolist() for f in ("feature", "cut", "child", "slope", "low", "high")]
+        return [[len(t.cut) for t in self.trees], *joined]
+
+    @classmethod
+    def of(cls, sizes, feature, cut, child, slope, low, high) -> Ensemble:
+        ends = np.cumsum(sizes)[:-1]
+        parts = [np.split(np.asarray(c), ends) for c in (feature, cut, child, np.asarray(slope).reshape(len(cut), -1), low, high)]
+        return cls([Tree(*nodes) for nodes in zip(*parts, strict=True)])
 
 
 def fit_ensemble(x: np.ndarray, y: np.ndarray, w: np.ndarray, shape: Shape) -> Ensemble:
-    if shape.rate is not None:
-        out = Ensemble([], shape.rate, float(np.average(y, weights=w) if w.sum() > 0 else y.mean()))
-        left = y - out.base
-        for _ in range(shape.members):
-            tree = grow(x, left, w, shape)
-            out.trees.append(tree)
-            left = left - shape.rate * tree(x)
-        return out
     trees = []
     for member in range(shape.members):
         drawn = np.random.default_rng([shape.seed, member]).integers(0, len(y), len(y))
@@ -160,6 +157,11 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, w: np.ndarray, shape: Shape) -> E
     return Ensemble(trees)
 
 
+#: An ensemble's columns (see `Ensemble.columns`).
+NODES = ("sizes", "feature", "cut", "child", "slope", "low", "high")
+NODE_TYPES = "sizes array<int>, feature array<int>, cut array<double>, child array<int>, slope array<double>, low array<double>, high array<double>"
+
+
 def memberships(training: DataFrame, window: int, overlap: float) -> DataFrame:
     """Coarse cells with every window (wy, wx) they train, their own among them (`inside`), and the scene's (-1)."""
     more = max(1, round(window * overlap))
@@ -171,12 +173,12 @@ def memberships(training: DataFrame, window: int, overlap: float) -> DataFrame:
 
 
 def fit_groups(rows: DataFrame, target: str, names: Sequence[str], least: int, scene_least: int, local: Shape, whole: Shape) -> DataFrame:
-    """scene, wy, wx, model, deviation, and for the group's own cells their absolute errors: a row a group."""
+    """scene, wy, wx, an ensemble's nodes, deviation, and for the group's own cells their absolute errors: a row a group."""
     kind = dict(rows.dtypes)["scene"]
 
     def fit(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         own = key[1] == WHOLE
-        columns = ["scene", "wy", "wx", "model", "deviation", "iys", "ixs", "errors"]
+        columns = ["scene", "wy", "wx", *NODES, "deviation", "iys", "ixs", "errors"]
         if len(cells) < (scene_least if own else least):
             return pd.DataFrame(columns=columns)
         cells = cells.sort_values(["iy", "ix"])
@@ -184,9 +186,9 @@ def fit_groups(rows: DataFrame, target: str, names: Sequence[str], least: int, s
         ensemble = fit_ensemble(x, y, w, whole if own else local)
         left = y - ensemble(x)
         mine = cells["inside"].to_numpy(bool)
-        return pd.DataFrame([(key[0], key[1], key[2], pickle.dumps(ensemble), float(left.std()), cells.iy[mine].tolist(), cells.ix[mine].tolist(), np.abs(left[mine]).tolist())], columns=columns)
+        return pd.DataFrame([(key[0], key[1], key[2], *ensemble.columns(), float(left.std()), cells.iy[mine].tolist(), cells.ix[mine].tolist(), np.abs(left[mine]).tolist())], columns=columns)
 
-    return apart(rows, "scene", "wy", "wx").groupBy("scene", "wy", "wx").applyInPandas(fit, f"scene {kind}, wy long, wx long, model binary, deviation double, iys array<int>, ixs array<int>, errors array<double>")
+    return apart(rows, "scene", "wy", "wx").groupBy("scene", "wy", "wx").applyInPandas(fit, f"scene {kind}, wy long, wx long, {NODE_TYPES}, deviation double, iys array<int>, ixs array<int>, errors array<double>")
 
 
 def complete(training: DataFrame, target: str, names: Sequence[str], weights: DataFrame | None) -> DataFrame:
@@ -201,9 +203,9 @@ def predicted(fine: DataFrame, models: DataFrame, names: Sequence[str], side: in
     """scene, iy, ix, local, overall and deviation of fine cells, a window of `side` fine cells a task's group."""
     kind = dict(fine.dtypes)["scene"]
     cells = fine.select("scene", "iy", "ix", *names, F.expr(f"iy div {side}").cast("long").alias("wy"), F.expr(f"ix div {side}").cast("long").alias("wx"))
-    whole = models.where(f"wy = {WHOLE}").select("scene", "model", "deviation", F.lit(True).alias("whole"))
+    whole = models.where(f"wy = {WHOLE}").select("scene", *NODES, "deviation", F.lit(True).alias("whole"))
     asked = cells.select("scene", "wy", "wx").distinct().join(whole, "scene")
-    both = asked.unionByName(models.where(f"wy <> {WHOLE}").select("scene", "wy", "wx", "model", "deviation", F.lit(False).alias("whole")))
+    both = asked.unionByName(models.where(f"wy <> {WHOLE}").select("scene", "wy", "wx", *NODES, "deviation", F.lit(False).alias("whole")))
     both = both.toDF(*both.columns)  # columns of its own, for the cogroup
 
     def predict(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -215,7 +217,7 @@ def predicted(fine: DataFrame, models: DataFrame, names: Sequence[str], side: in
         for name, rows in (("overall", known[known.whole]), ("local", known[~known.whole])):
             values = np.full(len(own), np.nan)
             if len(rows):
-                values[sound] = pickle.loads(rows.model.iloc[0])(x[sound])
+                values[sound] = Ensemble.of(*(rows[c].iloc[0] for c in NODES))(x[sound])
             out[name] = values
         return out.assign(deviation=np.where(sound, known[known.whole].deviation.iloc[0], np.nan))[["scene", "iy", "ix", "local", "overall", "deviation"]]
 
@@ -250,7 +252,7 @@ def local_trees(training: DataFrame, fine: DataFrame, target: str, predictors: S
     rows = memberships(complete(training, target, predictors, weights), window, overlap)
     local, whole = (replace(s, members=members) for s in (WINDOW_TREES, SCENE_TREES))
     models = fit_groups(rows, target, predictors, min_window, min_samples, local, whole)
-    models = models.persist()  # trees are read three times; a lost part is fitted again
+    models = cut(models)  # trees are read three times
     scenes = models.where(f"wy = {WHOLE}").select("scene")
     found = predicted(fine.join(scenes, "scene", "left_semi"), models, predictors, window * factor)
     height, width = shape
@@ -261,14 +263,6 @@ def local_trees(training: DataFrame, fine: DataFrame, target: str, predictors: S
     return blended.select("scene", "iy", "ix", value.alias("lst_downscaled"), F.col("deviation").alias("lst_downscaled_uncertainty"))
 
 
-def scene_ensemble(training: DataFrame, fine: DataFrame, target: str, predictors: Sequence[str], factor: int, kind: str | Shape, *, min_samples: int = 30, weights: DataFrame | None = None, tile: int = 10) -> DataFrame:
-    """scene, iy, ix, lst_downscaled, lst_downscaled_uncertainty by one ensemble a scene (`forest`, `boosted` or a Shape)."""
-    shape = {"forest": FOREST, "boosted": BOOSTED}[kind] if isinstance(kind, str) else kind
-    rows = complete(training, target, predictors, weights).withColumns({"wy": F.lit(WHOLE).cast("long"), "wx": F.lit(WHOLE).cast("long"), "inside": F.lit(False)})
-    models = fit_groups(rows, target, predictors, min_samples, min_samples, shape, shape)
-    return predicted(fine, models, predictors, tile * factor).select("scene", "iy", "ix", F.col("overall").alias("lst_downscaled"), F.col("deviation").alias("lst_downscaled_uncertainty"))
-
-
 def skipped_scenes(training: DataFrame, target: str, predictors: Sequence[str], min_samples: int = 30) -> DataFrame:
     """scene, samples and reason of scenes that get no model."""
     sound = F.col(target).isNotNull()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import projection
 from ..functions import scalar as sc
 from ..grid import Area, Grid
-from ..operators import binning, catalogue, downscale, gwr, kriging, neighbourhood, polygons, resample, spatial, stations, temporal, trees, validation, zonal
+from ..operators import binning, catalogue, downscale, forests, gwr, kriging, neighbourhood, polygons, resample, spatial, stations, temporal, trees, validation, zonal
 from ..sources import readers, sinks
 from . import workflow
 from .request import Request
@@ -668,7 +668,7 @@ def local_trees(spark, d):
 
 
 def by_ensemble(spark, d, kind):
-    out = trees.scene_ensemble(coarse(spark, d), fine(spark, d), "lst", ["ndvi", "ndbi"], 4, kind, min_samples=10)
+    out = forests.scene_ensemble(coarse(spark, d), fine(spark, d), "lst", ["ndvi", "ndbi"], 4, kind, min_samples=10)
     return rounded(out, "lst_downscaled", "lst_downscaled_uncertainty")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import apply_quality, clear_class, radar_indices, reflectance, spectral_indices, to_celsius
 from ..grid import Grid
-from ..operators import binning, catalogue, downscale, gwr, kriging, resample, temporal, trees
+from ..operators import binning, catalogue, downscale, forests, gwr, kriging, resample, temporal, trees
 from ..sources import readers
 from ..sources.sinks import AuxiliarySpec, save_result
 from . import acquisition
@@ -199,7 +199,7 @@ def _local(training: DataFrame, fine: DataFrame, spec: Downscaling, target: str,
 
 
 def _ensemble(kind: str) -> Model:
-    return lambda training, fine, spec, target, shape: trees.scene_ensemble(training, fine, target, spec.predictors, spec.factor, kind, min_samples=spec.min_samples)
+    return lambda training, fine, spec, target, shape: forests.scene_ensemble(training, fine, target, spec.predictors, spec.factor, kind, min_samples=spec.min_samples)
 
 
 def _weighted(training: DataFrame, fine: DataFrame, spec: Downscaling, target: str, shape: tuple[int, int]) -> DataFrame:

@@ -263,17 +263,6 @@ def test_command_line(spark, tables, tmp_path, capsys):
     assert cli.main(["auxiliary", "cams", "reanalysis", "no2"]) == 0 and len(capsys.readouterr().out.strip()) == 20
 
 
-def test_forests_of_all_scenes_keep_cells(spark):
-    rng = np.random.default_rng(5)
-    x = rng.uniform(size=(300, 2))
-    train = spark.createDataFrame([(float(a), float(b), float(10 * (a > 0.5) + b)) for a, b in x], "a double, b double, lst double")
-    fine = spark.createDataFrame([(0, 0.9, 0.5), (1, 0.1, 0.5), (2, None, 0.5), (3, 0.9, float("nan"))], "k int, a double, b double")
-    for kind, options in (("forest", {"numTrees": 10}), ("boosted", {"maxIter": 5, "stepSize": 0.5})):
-        model = downscale.forest(train, "lst", ["a", "b"], kind=kind, **options)
-        out = {r.k: r.lst_downscaled for r in downscale.predict_forest(model, fine, ["a", "b"]).collect()}
-        assert out[2] is None and out[3] is None and out[0] - out[1] > 5 and set(out) == {0, 1, 2, 3}
-
-
 def test_raw_layouts(spark):
     raw = spark.createDataFrame([("p", 1, 2, 52.0, 13.0, 300.0, float("inf"), "x")], "product_id string, scan_row int, scan_col int, lat double, lon double, LST double, err double, extra string")
     assert readers.best_variable([("LST", "surface temperature"), ("err", "temperature error")], ["lst", "error"]) == "LST"
