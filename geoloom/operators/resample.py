@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import projection
 from ..functions.scalar import clean
 from ..grid import Grid
-from .spatial import resampling_for
+from .spatial import computed_once, resampling_for
 
 
 def moved(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
@@ -31,7 +31,7 @@ def grid_points(points: DataFrame, grid: Grid, values: Sequence[str], *, keys: S
     from .binning import bin_points
 
     x, y = projection.project(F.col(lon), F.col(lat), grid.crs)
-    placed = points.withColumns({"iy": grid.row_of(y), "ix": grid.column_of(x)}).where(grid.inside(F.col("iy"), F.col("ix")))
+    placed = computed_once(points, {"iy": grid.row_of(y), "ix": grid.column_of(x)}, grid.inside(F.col("iy"), F.col("ix")))
     return bin_points(placed, values, flags, keys=[*keys, "iy", "ix"])
 
 

@@ -42,6 +42,15 @@ def in_polygon(x: Column, y: Column, rings: Sequence[Ring]) -> Column:
     return box & (F.size(F.filter(held, crosses)) % 2 == 1) & ~F.exists(held, touches)
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column], kept: Column) -> DataFrame:
+    """The columns added, and of the rows those that `kept`, a condition on them, keeps.
+
+    A filter would be pushed below long expressions and repeat them, until no method
+    holds the code; the row number that it asks for holds it back.
+    """
+    return df.withColumns({**columns, "_row": F.monotonically_increasing_id()}).where(kept & (F.col("_row") >= 0)).drop("_row")
+
+
 def clip_to(df: DataFrame, inside: Column, values: Sequence[str]) -> DataFrame:
     """Values outside become NULL, masks outside become false."""
     types = dict(df.dtypes)
@@ -186,7 +195,9 @@ def overlap_pieces(swath: DataFrame, *, left: float, top: float, step: float, wi
     col = lambda x: F.floor((x - left) / step).cast("int")
     row = lambda y: F.floor((F.lit(top) - y) / step).cast("int")
     touches = (F.greatest(*xs) >= left) & (F.least(*xs) <= left + width * step) & (F.greatest(*ys) >= top - height * step) & (F.least(*ys) <= top)
-    cells = swath.where(touches).withColumn("iy", F.explode(F.sequence(lo(row(F.greatest(*ys)), height), lo(row(F.least(*ys)), height)))).withColumn("ix", F.explode(F.sequence(lo(col(F.least(*xs)), width), lo(col(F.greatest(*xs)), width))))
+    # what touches nothing has no rows to explode; as a filter it would repeat the corners' expressions below, beyond what a method may hold
+    rows = F.when(touches, F.sequence(lo(row(F.greatest(*ys)), height), lo(row(F.least(*ys)), height)))
+    cells = swath.withColumn("iy", F.explode(rows)).withColumn("ix", F.explode(F.sequence(lo(col(F.least(*xs)), width), lo(col(F.greatest(*xs)), width))))
 
     @F.pandas_udf("double")
     def area(iy: pd.Series, ix: pd.Series, *points: pd.Series) -> pd.Series:
@@ -211,17 +222,19 @@ def around(cells: DataFrame, sites: DataFrame, reach: float, *, keys: Sequence[s
     return met.withColumn("d2", (F.col(x) - F.col("sx")) * (F.col(x) - F.col("sx")) + (F.col(y) - F.col("sy")) * (F.col(y) - F.col("sy")))
 
 
-def nearest_sites(cells: DataFrame, sites: DataFrame, x: str, y: str, k: int, *, cell_keys: Sequence[str], site_key: str | Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+def nearest_sites(cells: DataFrame, sites: DataFrame, x: str, y: str, k: int, *, cell_keys: Sequence[str], site_key: str | Sequence[str], keys: Sequence[str] = (), places: DataFrame | None = None) -> DataFrame:
     """Cells with rank and distance of the k nearest sites (sx, sy) of the same `keys`, all if there are fewer.
 
     Sites are counted in square buckets whose side doubles from level to level. A
     cell looks on the first level where the nine buckets about it hold k sites:
     its k-th is within 2 * sqrt(2) sides, so the nine buckets two levels up hold all
     that may be nearer, and only those are joined. Ties go to the smaller site key.
+    `places` is a table whose x and y span those of the cells, if the cells cost
+    much to make: its extent is looked up when the plan is built, as is the sites'.
     """
     site_key = [site_key] if isinstance(site_key, str) else list(site_key)
     ends = sites.agg(F.count("*").alias("n"), *(f(c).alias(f"{name}_{c}") for c in ("sx", "sy") for name, f in (("lo", F.min), ("hi", F.max)))).first()
-    mine = cells.agg(*(f(c).alias(f"{name}_{d}") for c, d in ((x, "sx"), (y, "sy")) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+    mine = (cells if places is None else places).agg(*(f(c).alias(f"{name}_{d}") for c, d in ((x, "sx"), (y, "sy")) for name, f in (("lo", F.min), ("hi", F.max)))).first()
     known = [(ends[f"lo_{c}"], ends[f"hi_{c}"], mine[f"lo_{c}"], mine[f"hi_{c}"]) for c in ("sx", "sy")]
     nothing = not ends["n"] or any(v is None for vs in known for v in vs)
     (x0, x1), (y0, y1) = [(0.0, 1.0)] * 2 if nothing else [(min(v), max(v)) for v in known]

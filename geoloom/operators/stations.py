@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cut
 from .spatial import around, nearest_sites
 from .temporal import micros
 from .validation import metric_columns
@@ -24,25 +25,39 @@ def first_readings(readings: DataFrame, order: str | None = None) -> DataFrame:
     return good.groupBy("station_id", "ts").agg((F.min_by("value", order) if order else F.min("value")).alias("value"))
 
 
-def reading_at(readings: DataFrame, times: DataFrame, tolerance_us: int, *, order: str | None = None) -> DataFrame:
-    """station_id, scene, value: each station's nearest reading to each scene time within a tolerance, the earlier on ties.
+def answers(readings: DataFrame, tolerance_us: int, *, order: str | None = None) -> DataFrame:
+    """station_id, value, _low, _high and _bucket: the interval of times for which a reading is the nearest of its station's.
 
-    `times` has scene, or station_id and scene where each station is asked for its
-    own times. A reading answers for the times nearer to it than to its neighbours,
-    an interval; intervals and times meet in buckets of an eighth of the tolerance,
-    so a station and time meet in one row.
+    Of two readings equally near the earlier answers. An interval is a row in each
+    of the buckets, an eighth of the tolerance wide, that it meets.
     """
-    own = ["station_id"] if "station_id" in times.columns else []
-    width = max(1, tolerance_us // 8)
     t = F.col("_t")
     by_time = Window.partitionBy("station_id").orderBy("_t")
     rows = first_readings(readings, order).withColumn("_t", micros("ts"))
     low = F.greatest(F.coalesce(F.floor((F.lag(t).over(by_time) + t) / 2).cast("long") + 1, t - tolerance_us), t - tolerance_us)
     high = F.least(F.coalesce(F.floor((t + F.lead(t).over(by_time)) / 2).cast("long"), t + tolerance_us), t + tolerance_us)
-    bucket = lambda c: F.floor(c / width).cast("long")
-    answers = rows.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_low")), bucket(F.col("_high")))))
-    asked = times.select(*own, "scene").where("scene is not null").distinct().withColumn("_s", micros("scene")).withColumn("_bucket", bucket(F.col("_s")))
-    return answers.join(asked, [*own, "_bucket"]).where(F.col("_s").between(F.col("_low"), F.col("_high"))).select("station_id", "scene", "value")
+    bucket = lambda c: F.floor(F.col(c) / bucket_width(tolerance_us)).cast("long")
+    return rows.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn("_bucket", F.explode(F.sequence(bucket("_low"), bucket("_high")))).select("station_id", "value", "_low", "_high", "_bucket")
+
+
+def bucket_width(tolerance_us: int) -> int:
+    return max(1, tolerance_us // 8)
+
+
+def answered(known: DataFrame, times: DataFrame, tolerance_us: int) -> DataFrame:
+    """station_id, scene, value of `answers` at times (scene, or station_id and scene); a station and time meet in one row."""
+    own = ["station_id"] if "station_id" in times.columns else []
+    asked = times.select(*own, "scene").where("scene is not null").distinct().withColumn("_s", micros("scene")).withColumn("_bucket", F.floor(F.col("_s") / bucket_width(tolerance_us)).cast("long"))
+    return known.join(asked, [*own, "_bucket"]).where(F.col("_s").between(F.col("_low"), F.col("_high"))).select("station_id", "scene", "value")
+
+
+def reading_at(readings: DataFrame, times: DataFrame, tolerance_us: int, *, order: str | None = None) -> DataFrame:
+    """station_id, scene, value: each station's nearest reading to each scene time within a tolerance, the earlier on ties.
+
+    `times` has scene, or station_id and scene where each station is asked for its
+    own times.
+    """
+    return answered(answers(readings, tolerance_us, order=order), times, tolerance_us)
 
 
 def interpolate(cells: DataFrame, stations: DataFrame, at_times: DataFrame, *, max_distance: float, min_neighbours: int = 3, max_neighbours: int = 12, power: float = 2.0) -> DataFrame:
@@ -54,12 +69,13 @@ def interpolate(cells: DataFrame, stations: DataFrame, at_times: DataFrame, *, m
     counted first, by buckets; nearest ones are looked for only where enough are.
     """
     by = ["scene", "iy", "ix"]
-    sites = at_times.join(stations.select("station_id", F.col("x").alias("sx"), F.col("y").alias("sy")), "station_id").select("scene", "station_id", "sx", "sy", "value").persist()  # a row a station and scene, read several times
+    sites = at_times.join(stations.select("station_id", F.col("x").alias("sx"), F.col("y").alias("sy")), "station_id").select("scene", "station_id", "sx", "sy", "value")
+    sites = cut(sites)  # a row a station and scene, read several times
     scenes = sites.groupBy("scene").agg(F.count("*").alias("_sites"))
     frame = scenes.crossJoin(cells.select("iy", "ix", "x", "y")).drop("_sites")  # the rows of the result
     support = around(frame, sites, max_distance, keys=["scene"]).where(F.col("d2") <= max_distance * max_distance).groupBy(*by).agg(F.count("*").alias("station_count"))
     enough = frame.join(support.where(F.col("station_count") >= min_neighbours).select(*by), by, "left_semi")
-    near = nearest_sites(enough, sites, "x", "y", max_neighbours, cell_keys=by, site_key="station_id", keys=["scene"])
+    near = nearest_sites(enough, sites, "x", "y", max_neighbours, cell_keys=by, site_key="station_id", keys=["scene"], places=cells)
     d, v = F.col("distance"), F.col("value")
     w = F.when(d > 0, F.lit(1.0) / F.pow(d, F.lit(power)))
     sums = near.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * v).alias("wv"), F.sum(w * v * v).alias("wvv"), F.avg(F.when(d == 0, v)).alias("here"))
@@ -76,6 +92,7 @@ def leave_one_out(readings: DataFrame, stations: DataFrame, *, tolerance_us: int
     the times at which one in its reach has a reading.
     """
     good = first_readings(readings, order)
+    known_answers = cut(answers(good, tolerance_us))
     sites = stations.select(F.col("station_id").alias("other"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     pairs = around(stations.select("station_id", "x", "y"), sites, max_distance).where((F.col("station_id") != F.col("other")) & (F.col("d2") <= max_distance * max_distance)).select("station_id", "other", F.sqrt("d2").alias("d"))
     pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("station_id").orderBy("d", "other")))
@@ -85,13 +102,13 @@ def leave_one_out(readings: DataFrame, stations: DataFrame, *, tolerance_us: int
     def predicted(asking: DataFrame, known: DataFrame) -> DataFrame:
         asked = asking.join(known, "station_id").withColumnRenamed("value", "observed")
         times = asked.select(F.col("other").alias("station_id"), F.col("ts").alias("scene")).distinct()
-        found = reading_at(good, times, tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
+        found = answered(known_answers, times, tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
         ranked = asked.join(found, ["other", "ts"]).withColumn("k", rank).where(F.col("k") <= max_neighbours)
         return ranked.groupBy("station_id", "ts").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("predicted"), F.count("*").alias("n"), F.first("observed").alias("observed"))
 
     # most find enough among their nearest stations; the others, and only they, ask all in the radius
     some = 3 * max_neighbours
-    first = predicted(good, pairs.where(F.col("place") <= some)).persist()
+    first = cut(predicted(good, pairs.where(F.col("place") <= some)))
     crowded = pairs.where(F.col("place") == some + 1).select("station_id")
     short = good.join(crowded, "station_id", "left_semi").join(first.where(F.col("n") >= max_neighbours).select("station_id", "ts"), ["station_id", "ts"], "left_anti")
     rest = predicted(short, pairs)

@@ -582,10 +582,15 @@ def tsharp_fit(spark, d):
     return rounded(m.select("scene", "samples", "b1", "b0"), "b1", "b0", digits=4)
 
 
-@query(f"{COARSE_SQL}{FIT_SQL} SELECT f.scene, f.iy, f.ix, round(b0 + b1 * least(greatest(ndvi, lo - 1e-6), hi + 1e-6), 4) AS lst_downscaled, ndvi < lo - 1e-6 OR ndvi > hi + 1e-6 AS downscaled_extrapolation FROM fine f JOIN m USING (scene)")
+#: Predictors rounded before they are compared, as sums differ in their last digit between engines.
+NINE_SQL = COARSE_SQL + ", nine AS (SELECT scene, lst, round(ndvi, 9) AS ndvi FROM coarse)" + FIT_SQL.replace("FROM coarse", "FROM nine")
+
+
+@query(f"{NINE_SQL} SELECT f.scene, f.iy, f.ix, round(b0 + b1 * least(greatest(round(ndvi, 9), lo), hi), 4) AS lst_downscaled, round(ndvi, 9) < lo OR round(ndvi, 9) > hi AS downscaled_extrapolation FROM fine f JOIN m USING (scene)")
 def tsharp_predict(spark, d):
-    m = downscale.fit_linear(coarse(spark, d), "lst", ["ndvi"], min_samples=10).withColumn("lo0", F.col("lo0") - 1e-6).withColumn("hi0", F.col("hi0") + 1e-6)
-    out = downscale.predict_linear(fine(spark, d).select("scene", "iy", "ix", "ndvi"), m, ["ndvi"])
+    nine = lambda df: df.withColumn("ndvi", F.round("ndvi", 9))
+    m = downscale.fit_linear(nine(coarse(spark, d)), "lst", ["ndvi"], min_samples=10)
+    out = downscale.predict_linear(nine(fine(spark, d)).select("scene", "iy", "ix", "ndvi"), m, ["ndvi"])
     return rounded(out.select("scene", "iy", "ix", "lst_downscaled", "downscaled_extrapolation"), "lst_downscaled", digits=4)
 
 
@@ -682,9 +687,11 @@ def gradient_boosting(spark, d):
     return by_ensemble(spark, d, "boosted")
 
 
-@query(f"{COARSE_SQL} SELECT scene, count(lst) AS samples FROM coarse WHERE ndvi IS NOT NULL GROUP BY scene HAVING count(lst) < 16")
+@query(f"{COARSE_SQL} SELECT scene, count(CASE WHEN ndvi >= 0.04871 THEN lst END) AS samples FROM coarse GROUP BY scene HAVING count(CASE WHEN ndvi >= 0.04871 THEN lst END) < 9")
 def skipped_scenes(spark, d):
-    return trees.skipped_scenes(coarse(spark, d), "lst", ["ndvi"], 16).select("scene", "samples")
+    """Scenes in which too few cells have a target, where low values of the predictor hide it."""
+    hidden = coarse(spark, d).withColumn("lst", F.when(F.col("ndvi") >= 0.04871, F.col("lst")))
+    return trees.skipped_scenes(hidden, "lst", ["ndvi"], 9).select("scene", "samples")
 
 
 GWR_SQL = f"""{COARSE_SQL}, s AS (SELECT iy AS py, ix AS px, count(*) AS n, sum(ndvi) AS sx, sum(lst) AS sy, sum(ndvi * ndvi) AS sxx, sum(ndvi * lst) AS sxy FROM coarse GROUP BY ALL),
@@ -970,19 +977,19 @@ _BOX = [(sx * sy, f"({376000.0} + (jx + {dx}) * 2000 - x)", f"({5828000.0} - (jy
 AREA_SQL = f"""WITH {cte('swath')}, p AS (SELECT scene, value, {UTM_X} AS x, {UTM_Y} AS y FROM swath), n AS (SELECT *, floor((x - 376000) / 2000) AS hx, floor((5828000 - y) / 2000) AS hy FROM p),
 c AS (SELECT scene, value, x, y, hx + dx AS jx, hy + dy AS jy FROM n, range(-1, 2) a(dx), range(-1, 2) b(dy) WHERE hx + dx BETWEEN 0 AND 13 AND hy + dy BETWEEN 0 AND 11),
 w AS (SELECT *, ({" + ".join(f"{sign} * {diamond_sql(u, v, 700.0)}" for sign, u, v in _BOX)}) / 4e6 AS w FROM c)
-SELECT scene, CAST(jy AS INT) AS iy, CAST(jx AS INT) AS ix, round(sum(value * w) / sum(w), 5) AS value, round(least(1, sum(w)), 5) AS coverage_fraction FROM w WHERE w > 1e-7 GROUP BY ALL"""
+SELECT scene, CAST(jy AS INT) AS iy, CAST(jx AS INT) AS ix, round(sum(value * w) / sum(w), 5) AS value, round(least(1, sum(w)), 5) AS coverage_fraction FROM w WHERE w > 1e-10 GROUP BY ALL"""
 
 
 @query(AREA_SQL)
 def area_gridding(spark, d):
-    """Swath quadrilaterals (diamonds here) to 2 km cells, weighted by overlap; slivers below a ten-millionth of a cell are left out on both sides."""
+    """Swath quadrilaterals (diamonds here) to 2 km cells, weighted by overlap."""
     s = project(spark, d, "swath")
     x, y = projection.project(F.col("lon"), F.col("lat"), "EPSG:32633")
     s = s.withColumn("x", x).withColumn("y", y)
     corners = {"x1": ("x", 700), "y1": ("y", 0), "x2": ("x", 0), "y2": ("y", 700), "x3": ("x", -700), "y3": ("y", 0), "x4": ("x", 0), "y4": ("y", -700)}
     s = s.withColumns({k: F.col(c) + by for k, (c, by) in corners.items()})
     pieces = spatial.overlap_pieces(s, left=376000.0, top=5828000.0, step=2000.0, width=14, height=12, corners=list(corners), carry=["value"])
-    out = binning.bin_weighted(pieces.where("weight > 1e-7"), "value", "weight")
+    out = binning.bin_weighted(pieces, "value", "weight")
     return rounded(out.select("scene", "iy", "ix", "value", "coverage_fraction"), "value", "coverage_fraction", digits=5)
 
 
@@ -1090,13 +1097,10 @@ def nearest_stations(spark, d):
     return stations.nearest_stations(grid, project(spark, d, "stations"), 4).select("iy", "ix", "station_id", "rank")
 
 
-@query("SELECT sensor, CAST(cells AS BIGINT) * products * variables * 8 AS bytes FROM (SELECT o_orderpriority AS sensor, count(DISTINCT o_custkey) AS cells, count(*) AS products, 3 AS variables FROM orders GROUP BY ALL)")
-def size_estimate(spark, d):
-    p = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("sensor")).agg(F.countDistinct("o_custkey").alias("cells"), F.count("*").alias("products"))
-    return p.select("sensor", (F.col("cells") * F.col("products") * 3 * 8).alias("bytes"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Swath to cells to zones: quality mask, Celsius, binning, zonal statistics."""
     return zonal_stats(spark, d)
 
+
+
+from . import workflow_queries  # noqa: E402, F401 - registers its queries
