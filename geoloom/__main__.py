@@ -1,4 +1,4 @@
-"""python -m geoloom plan|check REQUEST.json | discover REQUEST.json PRODUCTS | auxiliary PROVIDER DATASET | queries | run QUERY SF_DIR OUT."""
+"""python -m geoloom plan|check REQUEST.json | discover REQUEST.json PRODUCTS | request REQUEST.json PRODUCTS RAW OUT | auxiliary PROVIDER DATASET | queries | run QUERY SF_DIR OUT."""
 
 from __future__ import annotations
 
@@ -18,6 +18,11 @@ def main(argv: list[str] | None = None) -> int:
     find = sub.add_parser("discover")
     find.add_argument("request", type=Path)
     find.add_argument("products", help="a Parquet table of catalogue records")
+    whole = sub.add_parser("request")
+    whole.add_argument("request", type=Path)
+    whole.add_argument("products", help="a Parquet table of catalogue records")
+    whole.add_argument("raw", help="a folder with a Parquet table of raw pixels for each sensor, named after it")
+    whole.add_argument("out", help="a folder for the cubes, the request and the provenance")
     spec = sub.add_parser("auxiliary")
     for name in ("provider", "dataset"):
         spec.add_argument(name)
@@ -48,6 +53,17 @@ def main(argv: list[str] | None = None) -> int:
         for sensor in request.sensors:
             for row in discover(spark.read.parquet(args.products), request, sensor).orderBy("rank").collect():  # `limit` rows
                 print(json.dumps({"sensor": sensor, "rank": row["rank"], "product_id": row["product_id"]}))
+    elif args.command == "request":
+        from pyspark.sql import SparkSession
+
+        from .plans.workflow import execute, register_tables
+
+        spark = SparkSession.builder.getOrCreate()
+        request = Request.from_json(args.request.read_text())
+        register_tables({s: spark.read.parquet(f"{args.raw}/{s}") for s in request.sensors})
+        result = execute(spark, request, spark.read.parquet(args.products))
+        result.save(args.out, request)
+        print(json.dumps({k: result.provenance[k] for k in ("target", "sensors", "errors", "failed_products")}))
     elif args.command == "auxiliary":
         from .sources.sinks import AuxiliarySpec
 

@@ -7,10 +7,9 @@ Divisions by zero give NULL.
 from __future__ import annotations
 
 import math
-import operator
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,14 +133,21 @@ def apply_quality(df: DataFrame, policy: QualityPolicy | None = None, *, value:
 CLOUD_TERMS = ("cloud", "cirrus", "fog", "stratus")
 
 
-def flag_mask(masks: Sequence[int], meanings: str, terms: Sequence[str] = CLOUD_TERMS) -> int:
-    """The bits whose meaning holds one of the terms, whatever the case; none if masks and meanings don't pair up."""
-    bits = dict(enumerate(masks))
-    named = dict(enumerate(meanings.lower().split()))
-    if bits.keys() != named.keys():
-        return 0
-    chosen = {int(bits[k]) for k, name in named.items() for term in terms if term.lower() in name}
-    return reduce(operator.or_, chosen, 0)
+def flag_table(masks: Sequence[int], meanings: str) -> dict[str, int]:
+    """Bits by meaning, from the two attributes of a flag variable; they must name the same number of flags."""
+    names = meanings.lower().split()
+    if len(names) != len(masks):
+        raise ValueError(f"{len(masks)} masks for {len(names)} meanings")
+    return {name: int(bit) for name, bit in zip(names, masks, strict=True)}
+
+
+def bits_about(table: Mapping[str, int], terms: Sequence[str] = CLOUD_TERMS) -> int:
+    """All bits of a flag table whose meaning speaks of one of the terms, as one mask."""
+    about = re.compile("|".join(re.escape(t.lower()) for t in terms))
+    mask = 0
+    for meaning in filter(about.search, table):
+        mask |= table[meaning]
+    return mask
 
 
 def has_flag(flags: Column, mask: int) -> Column:

@@ -31,23 +31,23 @@ RANGES = tuple(np.geomspace(0.25, 30.0, 48).tolist())
 LEAST_CELLS, LEAST_LAGS, LEAST_PAIRS, FLAT = 10, 3, 5, 1e-12
 
 
-def grid_points(n: int) -> np.ndarray:
-    """Centres (y, x) of n x n parts of a unit cell around the origin."""
-    at = (np.arange(n) + 0.5) / n - 0.5
-    y, x = np.meshgrid(at, at, indexing="ij")
-    return np.column_stack([y.ravel(), x.ravel()])
-
-
-def averaged(reach: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exponential covariance of every point of a with every point of b."""
-    return np.exp(-np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]) / reach)
+def centres(n: int) -> np.ndarray:
+    """Places along one side of a cell, from its middle: the middles of n equal parts."""
+    return (np.arange(n) - (n - 1) / 2) / n
 
 
 @lru_cache(maxsize=256)
 def cell_covariances(reach: float, span: int) -> np.ndarray:
-    """Covariance of two cells by their shift (0..span in each direction): means over their points."""
-    points = grid_points(POINTS)
-    return np.array([[averaged(reach, points, points + [dy, dx]).mean() for dx in range(span + 1)] for dy in range(span + 1)])
+    """Covariance of two cells by their shift (0..span in each direction): the mean over their points.
+
+    Along a side the parts of two cells lie k parts apart in POINTS - |k| ways, so
+    the mean over all pairs of points is one over pairs of such distances.
+    """
+    k = np.arange(1 - POINTS, POINTS)
+    ways = (POINTS - np.abs(k)) / POINTS**2
+    along = np.arange(span + 1)[:, None] + k / POINTS
+    apart = np.hypot(along[:, None, :, None], along[None, :, None, :])
+    return np.einsum("yxab,a,b->yx", np.exp(-apart / reach), ways, ways)
 
 
 def variogram_shapes(spark: SparkSession, max_lag: int = MAX_LAG) -> DataFrame:
@@ -77,8 +77,10 @@ def spread_weights(reach: float, seen: tuple[int, ...], positions: int) -> np.nd
     shifts = np.array([divmod(k, side) for k in seen]) - RADIUS
     c = cell_covariances(reach, 2 * RADIUS)
     between = c[np.abs(shifts[:, None, 0] - shifts[None, :, 0]), np.abs(shifts[:, None, 1] - shifts[None, :, 1])]
-    inner = grid_points(POINTS)
-    to_points = np.stack([averaged(reach, grid_points(positions), inner + s).mean(1) for s in shifts], 1)
+    # by position and part of each cell seen, first along one side, then along the other
+    along = centres(positions)[:, None, None] - (shifts.T[:, None, :, None] + centres(POINTS))
+    apart = np.hypot(along[0][:, None, :, :, None], along[1][None, :, :, None, :])
+    to_points = np.exp(-apart / reach).mean((3, 4)).reshape(positions**2, len(seen))
     lower = np.linalg.cholesky(between + 1e-10 * np.eye(len(seen)))
     return np.linalg.solve(lower.T, np.linalg.solve(lower, to_points.T)).T
 

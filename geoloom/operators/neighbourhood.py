@@ -19,13 +19,6 @@ from .spatial import apart
 EPSILON = 1e-6
 
 
-def dilate(cube: DataFrame, mask: str, pixels: int, *, keys: tuple[str, ...] = ("scene",), out: str | None = None) -> DataFrame:
-    """The mask grown by `pixels` cells in all eight directions, on the rows that are there."""
-    along = lambda by, order: Window.partitionBy(*keys, by).orderBy(order).rangeBetween(-pixels, pixels)
-    grown = cube.withColumn("_row", F.max(F.coalesce(F.col(mask), F.lit(False))).over(along("iy", "ix")))
-    return grown.withColumn(out or mask, F.max("_row").over(along("ix", "iy"))).drop("_row")
-
-
 def grown(cells: DataFrame, pixels: int, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """keys, iy, ix of all cells within `pixels` rows and columns of the given ones, along one axis, then the other."""
     steps = F.explode(F.sequence(F.lit(-pixels), F.lit(pixels)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import projection
 from ..functions.scalar import clean
 from ..grid import Grid
-from .spatial import computed_once, resampling_for
+from .spatial import computed_once, overlap_pieces, resampling_for
 
 
 def moved(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
@@ -39,8 +39,11 @@ def links(spark: SparkSession, source: Grid, target: Grid, method: str) -> DataF
     """iy, ix of the target, _iy, _ix of the source, and _w: which source cells a target cell takes, and how much of each.
 
     nearest: the cell that holds the target's centre. bilinear: up to four cells
-    about it. mean: all source cells whose centre lies in the target cell.
+    about it. mean: all source cells whose centre lies in the target cell. area: all
+    that overlap it, weighted by the area of the overlap (see `area_links`).
     """
+    if method == "area":
+        return area_links(spark, source, target)
     if method == "mean":
         x, y = moved(source.x(), source.y(), source.crs, target.crs)
         placed = source.cells(spark).select(F.col("iy").alias("_iy"), F.col("ix").alias("_ix"), target.row_of(y).alias("iy"), target.column_of(x).alias("ix"), F.lit(1.0).alias("_w"))
@@ -52,7 +55,7 @@ def links(spark: SparkSession, source: Grid, target: Grid, method: str) -> DataF
     if method == "nearest":
         return held.select("iy", "ix", limit(F.floor("_py"), source.height).alias("_iy"), limit(F.floor("_px"), source.width).alias("_ix"), F.lit(1.0).alias("_w"))
     if method != "bilinear":
-        raise ValueError(f"{method} is not nearest, bilinear or mean")
+        raise ValueError(f"{method} is not nearest, bilinear, mean or area")
     corner = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1))))
     each = held.withColumns({"_px": F.col("_px") - 0.5, "_py": F.col("_py") - 0.5}).withColumn("_k", corner)
     share = lambda c, d: F.when(F.col(d) == 1, F.col(c) - F.floor(c)).otherwise(1 - F.col(c) + F.floor(c))
@@ -61,10 +64,30 @@ def links(spark: SparkSession, source: Grid, target: Grid, method: str) -> DataF
     return each.where((F.col("_w") > 0) & source.inside(F.col("_iy"), F.col("_ix")))
 
 
+def area_links(spark: SparkSession, source: Grid, target: Grid) -> DataFrame:
+    """iy, ix, _iy, _ix and _w, the area in the target's units of a source cell's part of a target cell.
+
+    A source cell is a quadrilateral once its corners are projected. Corners are
+    shared, so each is projected once and joined to the four cells about it; cells
+    of the target that a quadrilateral may meet follow from its box. The parts of a
+    cell inside the target add up to the cell.
+    """
+    edge = lambda c: c * source.resolution
+    corner = spark.range((source.width + 1) * (source.height + 1)).select(F.expr(f"cast(id div {source.width + 1} as int)").alias("j"), (F.col("id") % (source.width + 1)).cast("int").alias("i"))
+    x, y = moved(F.lit(source.left) + edge(F.col("i")), F.lit(source.top) - edge(F.col("j")), source.crs, target.crs)
+    ways = [(0, 0), (0, 1), (1, 1), (1, 0)]  # in order around the cell
+    about = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dj).alias("dj"), F.lit(di).alias("di")) for k, (dj, di) in enumerate(ways))))
+    of_cell = corner.withColumns({"x": x, "y": y}).withColumn("c", about).select((F.col("j") - F.col("c.dj")).alias("_iy"), (F.col("i") - F.col("c.di")).alias("_ix"), "c.k", "x", "y").where(source.inside(F.col("_iy"), F.col("_ix")))
+    names = [f"{a}{k + 1}" for k in range(4) for a in "xy"]
+    quads = of_cell.groupBy("_iy", "_ix").agg(*(F.max(F.when(F.col("k") == int(n[1]) - 1, F.col(n[0]))).alias(n) for n in names))
+    pieces = overlap_pieces(quads.withColumn("scene", F.lit(None).cast("int")), left=target.left, top=target.top, step=target.resolution, width=target.width, height=target.height, corners=names, carry=["_iy", "_ix"])
+    return pieces.select("iy", "ix", "_iy", "_ix", (F.col("weight") * target.resolution**2).alias("_w"))
+
+
 def resample(cube: DataFrame, source: Grid, target: Grid, values: Sequence[str], method: str, *, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """keys, iy, ix and values on the target grid; missing cells have no weight, and a cell without a known one is NULL.
 
-    Masks are taken from the nearest cell, by any method but `mean`, which gives the share that is true.
+    Masks are taken from the nearest cell, by any method but `mean` and `area`, which give the share that is true.
     """
     linked = links(cube.sparkSession, source, target, method)
     types = dict(cube.dtypes)

@@ -409,7 +409,7 @@ def json_props_extract(spark, d):
 @query("SELECT event_id, event_type IN ('error', 'click') AS flagged FROM events")
 def flag_meanings(spark, d):
     """Flag bits selected by their meaning."""
-    mask = sc.flag_mask([1, 2, 4], "Summary_Cloud cirrus_test land")
+    mask = sc.bits_about(sc.flag_table([1, 2, 4], "Summary_Cloud cirrus_test land"))
     bits = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "click", 2).otherwise(4)
     return read(spark, d, "events").select("event_id", sc.has_flag(bits, mask).alias("flagged"))
 

@@ -7,7 +7,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..grid import Area
+from ..grid import Area, Grid
+from ..operators import resample
+from ..sources import chunks
+from ..sources.stores import new_folder
 from . import acquisition, workflow
 from .queries import UTM_X, UTM_Y, query, rounded
 from .request import SENSORS, Downscaling, Request, estimate_bytes
@@ -183,3 +186,49 @@ def size_estimate(spark, d):
     base = Request(AREA, "2024-01-01", "2024-01-31", ("sentinel3",), resolution=1000.0, fine_resolution=100.0)
     rows = [(s, estimate_bytes(replace(base, sensors=(s,), limit=counts[k]))) for k, s in enumerate(SENSORS) if k in counts]
     return spark.createDataFrame(rows, "sensor string, bytes long")
+
+
+#: A source of 100 m cells that start off the target's 300 m cells, between two systems whose axes are parallel.
+OFF_SOURCE, OFF_TARGET = Grid("EPSG:32633", 0.0, 1000.0, 100.0, 10, 10), Grid("EPSG:32633", -150.0, 1060.0, 300.0, 4, 4)
+SHARE = "greatest(0, least({a} + 100, {b} + 300) - greatest({a}, {b}))"
+
+
+@query(f"""WITH {cte('obs')}, o AS (SELECT scene, iy % 10 AS iy, ix % 10 AS ix, avg(lst) AS v FROM obs GROUP BY ALL),
+t AS (SELECT CAST(a AS INT) AS ty, CAST(b AS INT) AS tx FROM range(4) p(a), range(4) q(b)),
+w AS (SELECT o.scene, ty, tx, v, {SHARE.format(a="(ix * 100)", b="(-150 + tx * 300)")} * {SHARE.format(a="(900 - iy * 100)", b="(760 - ty * 300)")} AS w FROM o, t)
+SELECT scene, ty AS iy, tx AS ix, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END), 5) AS lst FROM w WHERE w > 0 GROUP BY ALL""")
+def reproject_area(spark, d):
+    """Cells weighted by the part of them that lies in a target cell, in closed form."""
+    o = project(spark, d, "obs").groupBy("scene", (F.col("iy") % 10).alias("iy"), (F.col("ix") % 10).alias("ix")).agg(F.avg("lst").alias("lst"))
+    return rounded(resample.resample(o, OFF_SOURCE, OFF_TARGET, ["lst"], "area"), "lst", digits=5)
+
+
+#: Web Mercator and degrees have parallel axes: columns are proportional, rows are not.
+DEGREES, MERCATOR = Grid("EPSG:4326", 13.2, 52.6, 0.02, 18, 10), Grid("EPSG:3857", 1_468_000.0, 6_896_000.0, 7000.0, 6, 6)
+RADIUS = 6378137.0
+NORTHING = "(ln(tan(radians({lat}) / 2 + pi() / 4)) * 6378137.0)"
+
+
+@query(f"""WITH {cte('swath')}, o AS (SELECT scene, CAST(floor((52.6 - lat) / 0.02) AS INT) AS iy, CAST(floor((lon - 13.2) / 0.02) AS INT) AS ix, avg(value) AS v FROM swath GROUP BY ALL),
+e AS (SELECT *, radians(13.2 + ix * 0.02) * {RADIUS} AS x0, radians(13.2 + (ix + 1) * 0.02) * {RADIUS} AS x1, {NORTHING.format(lat="52.6 - (iy + 1) * 0.02")} AS y0, {NORTHING.format(lat="52.6 - iy * 0.02")} AS y1 FROM o WHERE iy BETWEEN 0 AND 9 AND ix BETWEEN 0 AND 17),
+t AS (SELECT CAST(a AS INT) AS ty, CAST(b AS INT) AS tx, 1468000.0 + b * 7000.0 AS left_, 6896000.0 - a * 7000.0 AS top FROM range(6) p(a), range(6) q(b)),
+w AS (SELECT scene, ty, tx, v, greatest(0, least(x1, left_ + 7000) - greatest(x0, left_)) * greatest(0, least(y1, top) - greatest(y0, top - 7000)) AS w FROM e, t)
+SELECT scene, ty AS iy, tx AS ix, round(sum(v * w) / sum(w), 5) AS value FROM w WHERE w > 0.01 GROUP BY ALL""")
+def reproject_area_mercator(spark, d):
+    """From degrees to web Mercator with partial weights; the SQL intersects the projected boxes."""
+    s = project(spark, d, "swath")
+    at = s.groupBy("scene", F.floor((F.lit(52.6) - F.col("lat")) / 0.02).cast("int").alias("iy"), F.floor((F.col("lon") - 13.2) / 0.02).cast("int").alias("ix")).agg(F.avg("value").alias("value"))
+    return rounded(resample.resample(at, DEGREES, MERCATOR, ["value"], "area"), "value", digits=5)
+
+
+@query(f"WITH {cte('obs')} SELECT scene, iy, ix, round(avg(lst), 6) AS lst, count(*) FILTER (cloud_mask) > 0 AS cloud_mask FROM obs WHERE day(scene) % 3 = 0 GROUP BY ALL HAVING iy >= 4 AND ix < 8")
+def chunk_store(spark, d):
+    """A cube written as chunked arrays, in two goes along time, and read back in part."""
+    o = project(spark, d, "obs").groupBy("scene", "iy", "ix").agg(F.avg("lst").alias("lst"), F.max("cloud_mask").alias("cloud_mask"))
+    most = o.agg(F.max("iy"), F.max("ix")).first()
+    grid = Grid("EPSG:32633", 0.0, 0.0, 1000.0, most[1] + 1, most[0] + 1)
+    path = new_folder(spark, "chunks")
+    for part in ("day(scene) % 2 = 1", "day(scene) % 2 = 0"):
+        chunks.write_chunks(o.where(part), path, grid, chunk=4)
+    back = chunks.read_chunks(spark, path)
+    return rounded(back.where("day(scene) % 3 = 0 and iy >= 4 and ix < 8"), "lst")

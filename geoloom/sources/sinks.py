@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Any
@@ -11,6 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stores import publish
+
 
 def safe_attributes(attributes: dict[str, Any]) -> dict[str, Any]:
     """Attributes a file can hold: None goes, booleans become 0 or 1, lists stay, the rest becomes text."""
@@ -62,11 +65,17 @@ def save_result(spark: SparkSession, cubes: dict[str, DataFrame], request: dict,
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file through Hadoop's file system, so any store works."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    """A small file through Hadoop's file system, so any store works; it takes the place of an older one in one step."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target, staged = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(conf)
+    out = fs.create(staged, True)
     out.write(bytearray(text.encode()))
     out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(target), over)
 
 
 def request_key(request: dict) -> str:
@@ -86,14 +95,31 @@ def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def cached(spark: SparkSession, folder: str, key: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table stored under the digest of its key; made and written on the first request only."""
+    """A derived table stored under the digest of its key; made and written on the first request only.
+
+    It is written beside its place and gets its name when it is whole. Of two that
+    write at a time one wins, and both read that one's table.
+    """
     path = f"{folder}/{hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:40]}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        make().write.mode("overwrite").parquet(path)
+        staged = f"{path}.{uuid.uuid4().hex}.staged"
+        make().write.parquet(staged)
+        publish(spark, staged, path)
     return spark.read.parquet(path)
 
 
+def record(spark: SparkSession, folder: str, entries: DataFrame) -> None:
+    """Replace a folder's manifest (`manifest`'s rows) in one step: readers see the old one or the new one."""
+    rows = entries.toJSON().collect()  # a line a file
+    write_text(spark, f"{folder}/_manifest.json", "\n".join(sorted(rows)))
+
+
+def recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest that `record` wrote."""
+    return spark.read.schema("path string, length long, modified timestamp, sha256 string").json(f"{folder}/_manifest.json")
+
+
 #: Option names that may hold credentials and never reach a manifest. Fixed values.
 SECRET_WORDS = ("password", "token", "secret", "key", "credential")
 

@@ -291,7 +291,7 @@ def test_estarfm_uses_slopes(spark):
 
 def test_dilation_is_square(spark):
     df = cube(spark, [(DAY(2025, 1, 1), r, c, (r, c) == (4, 4)) for r in range(9) for c in range(9)], "scene timestamp, iy int, ix int, m boolean")
-    out = {(r.iy, r.ix) for r in neighbourhood.dilate(df, "m", 2).where("m").collect()}
+    out = {(r.iy, r.ix) for r in neighbourhood.grown(df.where("m"), 2).collect()}
     assert out == {(r, c) for r in range(2, 7) for c in range(2, 7)}
 
 
@@ -480,7 +480,10 @@ def test_stores(spark, tmp_path):
 def test_variable_discovery():
     known = [("LST", "land surface temperature"), ("T_air", "air temperature"), ("x", "")]
     assert readers.best_variable(known, ["air temperature", "temperature"]) == "T_air" and readers.best_variable(known, ["humidity"]) is None
-    assert sc.flag_mask([1, 2], "a b c") == 0
+    with pytest.raises(ValueError, match="2 masks for 3"):
+        sc.flag_table([1, 2], "a b c")
+    table = sc.flag_table([1, 2, 4, 64], "Thin_Cirrus land fog_low cloud")
+    assert table == {"thin_cirrus": 1, "land": 2, "fog_low": 4, "cloud": 64} and sc.bits_about(table) == 69 and sc.bits_about(table, ["LAND"]) == 2 and sc.bits_about(table, ["ice"]) == 0
 
 
 def test_stream_equals_batch(spark, tmp_path):

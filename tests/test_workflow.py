@@ -263,6 +263,48 @@ def test_command_line(spark, tables, tmp_path, capsys):
     assert cli.main(["auxiliary", "cams", "reanalysis", "no2"]) == 0 and len(capsys.readouterr().out.strip()) == 20
 
 
+def test_a_request_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(workflow, "ADAPTERS", {})
+    request, raw, _ = swaths(spark, 3)
+    for sensor, table in raw.items():
+        table.write.parquet(f"file://{tmp_path}/raw/{sensor}")
+    products_of(spark, raw).write.parquet(f"file://{tmp_path}/products")
+    (tmp_path / "r.json").write_text(request.to_json())
+    assert cli.main(["request", str(tmp_path / "r.json"), f"file://{tmp_path}/products", f"file://{tmp_path}/raw", f"file://{tmp_path}/out"]) == 0
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert said == {"target": "sentinel3", "sensors": ["sentinel3", "sentinel2"], "errors": {}, "failed_products": []}
+    assert spark.read.parquet(f"file://{tmp_path}/out/downscaled").where("lst_downscaled is not null").count() > 1000
+    assert json.loads((tmp_path / "out/provenance.json").read_text())["target"] == "sentinel3"
+
+
+def test_area_links_conserve(spark):
+    a = Grid("EPSG:32633", 380_000.0, 5_830_000.0, 900.0, 8, 7)
+    for b in (Grid("EPSG:32632", 786_000.0, 5_846_000.0, 1100.0, 12, 14), Grid("EPSG:3857", 1_466_000.0, 6_925_000.0, 1500.0, 24, 24)):
+        links = resample.links(spark, a, b, "area").collect()
+        sums = {}
+        for r in links:
+            sums[r._iy, r._ix] = sums.get((r._iy, r._ix), 0.0) + r._w
+        assert len(sums) == a.width * a.height and len(links) > len(sums)
+        for (iy, ix), got in sums.items():
+            lonlat = [projection.unproject_point(a.left + (ix + dx) * a.resolution, a.top - (iy + dy) * a.resolution, a.crs) for dy, dx in ((0, 0), (0, 1), (1, 1), (1, 0))]
+            p = [projection.project_point(*q, b.crs) for q in lonlat]
+            p = [(u - p[0][0], v - p[0][1]) for u, v in p]
+            assert got == pytest.approx(abs(sum(p[k][0] * p[(k + 1) % 4][1] - p[(k + 1) % 4][0] * p[k][1] for k in range(4))) / 2, rel=1e-9)
+
+
+def test_long_projections_compile(spark):
+    """No stage falls back to slow code: with the fallback off, one whose code is too long would fail."""
+    from geoloom.plans import queries
+
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("area_gridding", "adapter_sentinel1", "utm_round_trip"):
+            queries.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
+
+
 def test_raw_layouts(spark):
     raw = spark.createDataFrame([("p", 1, 2, 52.0, 13.0, 300.0, float("inf"), "x")], "product_id string, scan_row int, scan_col int, lat double, lon double, LST double, err double, extra string")
     assert readers.best_variable([("LST", "surface temperature"), ("err", "temperature error")], ["lst", "error"]) == "LST"
