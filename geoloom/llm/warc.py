@@ -102,6 +102,7 @@ class Records:
     def __init__(self, source, size: int | None = None):
         self.source, self.data, self.at = source, b"", 0
         self.left = size  #: bytes of the source that are ours; None: all
+        self.ahead = 0  #: bytes of the member at the current place, if it was looked at and not taken
 
     def need(self, n: int) -> bool:
         """Have `n` bytes at hand from the current place, reading on as necessary."""
@@ -123,10 +124,26 @@ class Records:
         self.at += n
         return self.data[self.at - n : self.at]
 
+    def skip(self, n: int) -> None:
+        """Pass over `n` bytes; those that are not at hand are not read."""
+        more = n - (len(self.data) - self.at)
+        if more <= 0:
+            self.at += n
+            return
+        if self.left is not None:
+            if more > self.left:
+                raise ValueError("an archive ends within a record")
+            self.left -= more
+        self.source.seek(more, 1)
+        self.data, self.at = b"", 0
+
     def __iter__(self) -> Iterator[tuple[dict, callable]]:
         while self.need(1):
             if self.need(24) and self.data[self.at : self.at + 4] == b"\x1f\x8b\x08\x04" and self.data[self.at + 12 : self.at + 14] == b"sl":
                 yield self.sized_member()
+                if self.ahead:
+                    self.skip(self.ahead)
+                    self.ahead = 0
             elif self.data[self.at : self.at + 2] == b"\x1f\x8b":
                 yield from self.member()
             elif self.need(5) and self.data[self.at : self.at + 5] == b"WARC/":
@@ -137,20 +154,26 @@ class Records:
                 raise ValueError("neither a record nor a gzip member")
 
     def sized_member(self) -> tuple[dict, callable]:
+        """Headers from the first bytes of a member; the rest is read only for its payload."""
         (size,) = struct.unpack("<I", self.data[self.at + 16 : self.at + 20])
-        whole = self.take(size)
-        check = struct.unpack("<II", whole[-8:])
-        inflate = zlib.decompressobj(-15)
-        head = inflate.decompress(whole[24:-8], HEAD_BYTES)
-        while (end := head.find(b"\r\n\r\n")) < 0 and not inflate.eof:
-            head += inflate.decompress(inflate.unconsumed_tail, HEAD_BYTES)
-        if end < 0:
-            raise ValueError("a record without headers")
+        inflate, head, upto, given = zlib.decompressobj(-15), b"", 24, b""
+        while (end := head.find(b"\r\n\r\n")) < 0:
+            if not given:  # a little more of the member
+                if inflate.eof or upto >= size - 8:
+                    raise ValueError("a record without headers")
+                following = min(size - 8, max(HEAD_BYTES, upto * 4))
+                if not self.need(following):
+                    raise ValueError("an archive ends within a record")
+                given, upto = self.data[self.at + upto : self.at + following], following
+            head += inflate.decompress(given, HEAD_BYTES)
+            given = inflate.unconsumed_tail
         fields = parse_headers(head[:end])
+        self.ahead = size
 
         def payload() -> bytes:
-            content = head + inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
-            if (zlib.crc32(content), len(content) & 0xFFFFFFFF) != check:
+            whole, self.ahead = self.take(size), 0
+            content = zlib.decompress(whole[24:-8], -15)
+            if (zlib.crc32(content), len(content) & 0xFFFFFFFF) != struct.unpack("<II", whole[-8:]):
                 raise ValueError("a damaged record")
             return content[end + 4 : end + 4 + fields["content_length"]]
 

@@ -123,3 +123,32 @@ def test_damage_is_noticed():
     for bad in (good[:-3], good[:60] + bytes([good[60] ^ 255]) + good[61:], b"junk" + good):
         with pytest.raises(Exception):
             [p() for _, p in warc.Records(io.BytesIO(bad))]
+
+
+def test_long_payloads_are_passed_over_and_read_whole(spark, tmp_path):
+    import random
+
+    rnd = random.Random(1)
+    long = "".join(chr(rnd.randrange(33, 0x2FF)) for _ in range(3_000_000))  # does not compress
+    rows = [(1, "a", long), (2, "b", long), (3, "c", "short " * 30), (4, "d", long[1:]), (5, "e", None)]
+    path = f"file://{tmp_path}/w"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    back = {r.page_id: bytes(r.payload) for r in warc.read_warc(spark, path).where("record_type = 'response'").collect()}
+    assert back == {k: (t or "").encode() for k, _, t in rows if k != 2}
+    names = [p for p in (tmp_path / "w").iterdir() if p.name.endswith(".gz")]
+
+    class Counting:
+        def __init__(self, name):
+            self.f, self.read_bytes = open(name, "rb"), 0
+
+        def read(self, n):
+            out = self.f.read(n)
+            self.read_bytes += len(out)
+            return out
+
+        def seek(self, n, whence=0):
+            return self.f.seek(n, whence)
+
+    sources = [Counting(n) for n in names]
+    assert sorted(f["page_id"] for s in sources for f, _ in warc.Records(s)) == [1, 2, 3, 4, 5]
+    assert sum(s.read_bytes for s in sources) < sum(n.stat().st_size for n in names) / 2
