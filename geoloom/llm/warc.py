@@ -47,7 +47,7 @@ URN = "urn:page:"
 #: Bytes of inflated data that surely hold a record's headers; more is read if not.
 HEAD_BYTES = 4096
 #: Compressed bytes read from a file at once; bytes of a file in an input partition.
-CHUNK, SPLIT_BYTES = 4 << 20, 64 << 20
+CHUNK, HEAD_CHUNK, SPLIT_BYTES = 4 << 20, 128 << 10, 64 << 20
 
 
 def member(content: bytes, level: int) -> bytes:
@@ -99,17 +99,18 @@ class Records:
     their content length.
     """
 
-    def __init__(self, source, size: int | None = None):
+    def __init__(self, source, size: int | None = None, chunk: int = CHUNK):
+        self.chunk = chunk  #: bytes read at once; fewer where most are to be passed over
         self.source, self.data, self.at = source, b"", 0
         self.left = size  #: bytes of the source that are ours; None: all
         self.ahead = 0  #: bytes of the member at the current place, if it was looked at and not taken
 
     def need(self, n: int) -> bool:
         """Have `n` bytes at hand from the current place, reading on as necessary."""
-        if self.at > CHUNK:
+        if self.at > self.chunk:
             self.data, self.at = self.data[self.at :], 0
         while len(self.data) - self.at < n:
-            wanted = max(CHUNK, n - (len(self.data) - self.at))
+            wanted = max(self.chunk, n - (len(self.data) - self.at))
             more = self.source.read(wanted if self.left is None else min(wanted, self.left))
             if not more:
                 return False
@@ -320,7 +321,7 @@ class WarcReader(DataSourceReader):
         held = 0
         with fs.open_input_file(f"{root}/{part.name}") as f:
             f.seek(part.start)
-            for fields, payload in Records(f, part.size):
+            for fields, payload in Records(f, part.size, CHUNK if self.with_payload else HEAD_CHUNK):
                 if not all(fields[c] in values for c, values in self.wanted):
                     continue
                 if self.with_payload and fields["record_type"] != "revisit":
