@@ -11,7 +11,7 @@ Fine cells meet the models of their scene in tiles.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -24,8 +24,8 @@ from .spatial import apart
 from .trees import complete
 
 BINS = 256
-#: Members of a forest that a group fits.
-BLOCK = 25
+#: Members of a forest that a group fits; coarse cells, of whole scenes, that are boosted side by side.
+BLOCK, SIDE_BY_SIDE = 25, 20_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class Nodes(NamedTuple):
 
 
 class Binned(NamedTuple):
-    """Bin of every row and predictor, and the least and largest value in each bin."""
+    """Bin of every row and predictor; for each predictor the least and largest value of each bin, a row a group of rows."""
 
     code: np.ndarray
     low: list[np.ndarray]
@@ -83,14 +83,29 @@ def binned(x: np.ndarray, bins: int = BINS) -> Binned:
         first = np.flatnonzero(np.diff(of_value, prepend=-1))
         of_value = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
         code[:, f] = of_value[inverse]
-        low.append(values[first])
-        high.append(values[np.append(first[1:] - 1, len(values) - 1)])
+        low.append(values[first][None, :])
+        high.append(values[np.append(first[1:] - 1, len(values) - 1)][None, :])
     return Binned(code, low, high)
 
 
-def cuts_of(local: np.ndarray, nodes: int, code: np.ndarray, w: np.ndarray, wy: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By node: how much the best cut of one predictor lowers the squared error, its last bin below, and its value."""
-    size = len(low)
+def together(parts: Sequence[Binned]) -> Binned:
+    """Groups of rows with bins of their own, one after the other."""
+    def padded(arrays: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(arrays), max(a.shape[1] for a in arrays)))
+        for row, a in zip(out, arrays, strict=True):
+            row[: a.shape[1]] = a[0]
+        return out
+
+    columns = range(parts[0].code.shape[1])
+    return Binned(np.concatenate([p.code for p in parts]), *([padded([getattr(p, end)[f] for p in parts]) for f in columns] for end in ("low", "high")))
+
+
+def cuts_of(local: np.ndarray, code: np.ndarray, w: np.ndarray, wy: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By node: how much the best cut of one predictor lowers the squared error, its last bin below, and its value.
+
+    low and high have a row a node.
+    """
+    nodes, size = low.shape
     at = local * size + code
     table = lambda weights=None: np.bincount(at, weights, nodes * size).reshape(nodes, size)
     here, weight, moment = table(), table(w), table(wy)
@@ -102,49 +117,58 @@ def cuts_of(local: np.ndarray, nodes: int, code: np.ndarray, w: np.ndarray, wy:
     last = fall.argmax(1)
     row = np.arange(nodes)
     after = ((here > 0) & (np.arange(size) > last[:, None])).argmax(1)
-    below, above = high[last], low[after]
+    below, above = high[row, last], low[row, after]
     middle = below + (above - below) / 2
     return fall[row, last], last, np.where(middle < above, middle, below)
 
 
-def grow(data: Binned, y: np.ndarray, weights: np.ndarray, depth: int) -> tuple[Nodes, np.ndarray]:
-    """Trees for each row of `weights` (trees x rows; 0: not drawn), and each row's leaf in each (-1: not drawn)."""
-    trees = len(weights)
-    tree, row = np.nonzero(weights)
-    w = weights[tree, row]
-    centre = float(np.average(y, weights=weights.sum(0)))
-    wy = w * (y[row] - centre)
-    node = tree.copy()
+def grow_trees(data: Binned, y: np.ndarray, tree: np.ndarray, row: np.ndarray, w: np.ndarray, group: np.ndarray, depth: int) -> tuple[Nodes, np.ndarray, np.ndarray]:
+    """Trees from (tree, row, weight), each in its group's bins: nodes, each one's tree, and the leaf of each (tree, row)."""
+    trees = len(group)
+    weight = np.bincount(tree, w, trees)
+    centre = np.divide(np.bincount(tree, w * y[row], trees), weight, out=np.zeros(trees), where=weight > 0)
+    apart_ = y[row] - centre[tree]
+    wy = w * apart_
+    tolerance = np.zeros(trees)
+    np.maximum.at(tolerance, tree, wy * apart_)
+    tolerance = 1e-12 * np.maximum(1.0, tolerance)
+    node, of_tree = tree.copy(), [np.arange(trees)]
     feature, cut, child = [np.full(trees, -1)], [np.zeros(trees)], [np.zeros(trees, np.int64)]
     start, stop = 0, trees
     live = np.arange(len(node))
-    tolerance = 1e-12 * max(1.0, float((w * (y[row] - centre) ** 2).max(initial=0.0)))
     for _ in range(depth):
         if not len(live):
             break
-        local, nodes = node[live] - start, stop - start
-        found = [cuts_of(local, nodes, data.code[row[live], f], w[live], wy[live], data.low[f], data.high[f]) for f in range(data.code.shape[1])]
+        local, bins = node[live] - start, group[of_tree[-1]]
+        found = [cuts_of(local, data.code[row[live], f], w[live], wy[live], data.low[f][bins], data.high[f][bins]) for f in range(data.code.shape[1])]
         gains = np.stack([f[0] for f in found])
         best = gains.argmax(0)
-        split = gains.max(0) > tolerance
-        place = np.arange(nodes)
+        split = gains.max(0) > tolerance[of_tree[-1]]
+        place = np.arange(stop - start)
         last, value = (np.stack([f[k] for f in found])[best, place] for k in (1, 2))
         ids = np.flatnonzero(split)
         feature[-1][ids], cut[-1][ids], child[-1][ids] = best[ids], value[ids], stop + 2 * np.arange(len(ids))
         going = split[local]
         live, local = live[going], local[going]
         node[live] = child[-1][local] + (data.code[row[live], best[local]] > last[local])
+        of_tree.append(np.repeat(of_tree[-1][ids], 2))
         start, stop = stop, stop + 2 * len(ids)
-        new = stop - start
-        feature.append(np.full(new, -1))
-        cut.append(np.zeros(new))
-        child.append(np.zeros(new, np.int64))
+        feature.append(np.full(stop - start, -1))
+        cut.append(np.zeros(stop - start))
+        child.append(np.zeros(stop - start, np.int64))
+    owner = np.concatenate(of_tree)
     total = np.bincount(node, w, stop)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        means = np.where(total > 0, np.bincount(node, wy, stop) / total, 0.0) + centre
+    means = np.divide(np.bincount(node, wy, stop), total, out=np.zeros(stop), where=total > 0) + centre[owner]
+    return Nodes(np.arange(trees), *(np.concatenate(c) for c in (feature, cut, child)), means), owner, node
+
+
+def grow(data: Binned, y: np.ndarray, weights: np.ndarray, depth: int) -> tuple[Nodes, np.ndarray]:
+    """Trees for each row of `weights` (trees x rows; 0: not drawn), and each row's leaf in each (-1: not drawn)."""
+    tree, row = np.nonzero(weights)
+    nodes, _, at = grow_trees(data, y, tree, row, weights[tree, row], np.zeros(len(weights), np.int64), depth)
     leaf = np.full(weights.shape, -1)
-    leaf[tree, row] = node
-    return Nodes(np.arange(trees), *(np.concatenate(c) for c in (feature, cut, child)), means), leaf
+    leaf[tree, row] = at
+    return nodes, leaf
 
 
 def bootstrap(n: int, weight: np.ndarray, members: Sequence[int], seed: int) -> np.ndarray:
@@ -152,19 +176,40 @@ def bootstrap(n: int, weight: np.ndarray, members: Sequence[int], seed: int) ->
     return np.stack([np.bincount(np.random.default_rng([seed, m]).integers(0, n, n), minlength=n) for m in members]) * weight
 
 
-def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, growth: Growth) -> tuple[Nodes, float]:
-    """All trees as one, and the value they start from."""
-    data = binned(x)
-    weight = weight if weight.sum() > 0 else np.ones_like(weight)
-    base = float(np.average(y, weights=weight))
-    left, parts, size = y - base, [], 0
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, growth: Growth, group: np.ndarray | None = None) -> list[tuple[Nodes, float, np.ndarray]]:
+    """For each group of rows (0, 1, ...; all are one without): all its trees, the value they start from, and what they leave.
+
+    Groups are boosted side by side, a tree each in every round, as each round is a few short sums.
+    """
+    group = np.zeros(len(y), np.int64) if group is None else group
+    groups = int(group.max()) + 1
+    data = together([binned(x[group == g]) for g in range(groups)]) if groups > 1 else binned(x)
+    order = np.argsort(group, kind="stable")  # as `together` has the rows
+    y, weight, own = y[order], weight[order], group[order]
+    empty = np.bincount(own, weight, groups) <= 0
+    weight = np.where(empty[own], 1.0, weight)
+    base = np.bincount(own, weight * y, groups) / np.bincount(own, weight, groups)
+    left, rows = y - base[own], np.arange(len(y))
+    parts, owners, size = [], [], 0
     for _ in range(growth.members):
-        tree, leaf = grow(data, left, weight[None, :], growth.depth)
-        own = np.where(leaf[0] >= 0, leaf[0], tree.leaves(x)[0]) if (leaf[0] < 0).any() else leaf[0]
-        left = left - growth.rate * tree.value[own]
-        parts.append(Nodes(tree.roots + size, tree.feature, tree.cut, tree.child + size, tree.value))
-        size += len(tree.value)
-    return Nodes(*(np.concatenate(c) for c in zip(*parts, strict=True))), base
+        trees, owner, leaf = grow_trees(data, left, own, rows, weight, np.arange(groups), growth.depth)
+        left = left - growth.rate * trees.value[leaf]
+        parts.append(Nodes(trees.roots + size, trees.feature, trees.cut, trees.child + size, trees.value))
+        owners.append(owner)
+        size += len(owner)
+    every, owner = Nodes(*(np.concatenate(c) for c in zip(*parts, strict=True))), np.concatenate(owners)
+    by_group = np.argsort(owner, kind="stable")
+    counts = np.bincount(owner, minlength=groups)
+    begins = np.cumsum(counts) - counts
+    place = np.empty(size, np.int64)
+    place[by_group] = np.arange(size) - np.repeat(begins, counts)  # number of a node among its group's
+    out = []
+    for g in range(groups):
+        ids = by_group[begins[g] : begins[g] + counts[g]]
+        inner = every.feature[ids] >= 0
+        child = np.where(inner, place[np.where(inner, every.child[ids], 0)], 0)
+        out.append((Nodes(place[every.roots.reshape(-1, groups)[:, g]], every.feature[ids], every.cut[ids], child, every.value[ids]), float(base[g]), left[own == g]))
+    return out
 
 
 COLUMNS = ("roots", "feature", "cut", "child", "value")
@@ -175,7 +220,41 @@ def fit_scenes(training: DataFrame, target: str, names: Sequence[str], growth: G
     """scene, block and a block's trees as arrays (see `Nodes`), with the deviation of the whole ensemble's residuals."""
     rows = complete(training, target, names, weights)
     kind = dict(rows.dtypes)["scene"]
-    blocks = 1 if growth.rate is not None else -(-growth.members // BLOCK)
+    return fit_boosted(rows, target, names, growth, min_samples, kind) if growth.rate is not None else fit_forests(rows, target, names, growth, min_samples, kind)
+
+
+def fit_boosted(rows: DataFrame, target: str, names: Sequence[str], growth: Growth, min_samples: int, kind: str) -> DataFrame:
+    """Whole scenes, as many as make up about `SIDE_BY_SIDE` rows at a time."""
+    made = ["scene", "block", "members", "base", "rate", *COLUMNS, "deviation"]
+
+    def fit(cells: pd.DataFrame) -> pd.DataFrame:
+        enough = cells.groupby("scene")["iy"].transform("size") >= min_samples
+        cells = cells[enough].sort_values(["scene", "iy", "ix"])
+        if not len(cells):
+            return pd.DataFrame(columns=made)
+        group, scenes = pd.factorize(cells.scene)
+        x, y, w = cells[list(names)].to_numpy(float), cells[target].to_numpy(float), cells["weight"].to_numpy(float)
+        found = boosted(x, y, w, growth, group)
+        return pd.DataFrame([(scene, 0, len(trees.roots), base, growth.rate, *(c.tolist() for c in trees), float(left.std())) for scene, (trees, base, left) in zip(scenes, found, strict=True)], columns=made)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            held.append(frame)
+            if sum(map(len, held)) >= SIDE_BY_SIDE:
+                cells = pd.concat(held)
+                last = cells.scene == cells.scene.iloc[-1]  # may go on
+                if not last.all():
+                    yield fit(cells[~last])
+                held = [cells[last]]
+        if held:
+            yield fit(pd.concat(held))
+
+    return apart(rows, "scene").sortWithinPartitions("scene", "iy", "ix").mapInPandas(batches, f"scene {kind}, {MODEL}, deviation double")
+
+
+def fit_forests(rows: DataFrame, target: str, names: Sequence[str], growth: Growth, min_samples: int, kind: str) -> DataFrame:
+    blocks = -(-growth.members // BLOCK)
     made = ["scene", "block", "members", "base", "rate", *COLUMNS, "fitted", "truth"]
 
     def fit(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
@@ -183,25 +262,19 @@ def fit_scenes(training: DataFrame, target: str, names: Sequence[str], growth: G
             return pd.DataFrame(columns=made)
         cells = cells.sort_values(["iy", "ix"])
         x, y, w = cells[list(names)].to_numpy(float), cells[target].to_numpy(float), cells["weight"].to_numpy(float)
-        if growth.rate is not None:
-            trees, base = boosted(x, y, w, growth)
-            fitted = base + growth.rate * trees(x).sum(0)
-        else:
-            own = range(key[1] * BLOCK, min(growth.members, (key[1] + 1) * BLOCK))
-            drawn = bootstrap(len(y), w if w.sum() > 0 else np.ones_like(w), own, growth.seed)
-            drawn[drawn.sum(1) == 0] = 1.0
-            trees, base = grow(binned(x), y, drawn, growth.depth)[0], 0.0
-            fitted = trees(x).sum(0)
+        own = range(key[1] * BLOCK, min(growth.members, (key[1] + 1) * BLOCK))
+        drawn = bootstrap(len(y), w if w.sum() > 0 else np.ones_like(w), own, growth.seed)
+        drawn[drawn.sum(1) == 0] = 1.0
+        trees = grow(binned(x), y, drawn, growth.depth)[0]
         truth = y.tolist() if key[1] == 0 else []
-        return pd.DataFrame([(key[0], key[1], len(trees.roots), base, growth.rate, *(c.tolist() for c in trees), fitted.tolist(), truth)], columns=made)
+        return pd.DataFrame([(key[0], key[1], len(trees.roots), 0.0, None, *(c.tolist() for c in trees), trees(x).sum(0).tolist(), truth)], columns=made)
 
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = apart(spread, "scene", "block").groupBy("scene", "block").applyInPandas(fit, f"scene {kind}, {MODEL}, fitted array<double>, truth array<double>")
 
     def residual(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.asarray(f) for f in parts.fitted], 0)
         truth = np.asarray(next(t for t in parts.truth if len(t)))
-        left = truth - (total if growth.rate is not None else total / parts.members.sum())
+        left = truth - np.sum([np.asarray(f) for f in parts.fitted], 0) / parts.members.sum()
         return pd.DataFrame({"scene": [key[0]], "deviation": [float(left.std())]})
 
     # a number a coarse cell and block

@@ -59,7 +59,7 @@ def test_quantile_bins_hold_like_many_rows():
     x = np.column_stack([rng.normal(size=5000), rng.integers(0, 5, 5000), np.full(5000, 2.0), rng.exponential(size=5000) * (rng.uniform(size=5000) < 0.3)])
     data = forests.binned(x, 32)
     for f in range(4):
-        low, high, code = data.low[f], data.high[f], data.code[:, f]
+        low, high, code = data.low[f][0], data.high[f][0], data.code[:, f]
         assert len(low) <= 32 and (low <= high).all() and (high[:-1] < low[1:]).all()
         assert ((x[:, f] >= low[code]) & (x[:, f] <= high[code])).all() and set(code) == set(range(len(low)))
     assert np.bincount(data.code[:, 0]).max() < 2 * 5000 / 32
@@ -99,7 +99,8 @@ def test_boosting_follows_its_rule():
     rng = np.random.default_rng(3)
     x = rng.uniform(size=(80, 2))
     y = np.sin(6 * x[:, 0]) + x[:, 1]
-    model, base = forests.boosted(x, y, np.ones(80), forests.Growth(members=30, depth=3, rate=0.1))
+    growth = forests.Growth(members=30, depth=3, rate=0.1)
+    [(model, base, rest)] = forests.boosted(x, y, np.ones(80), growth)
     left, errors = y - y.mean(), []
     for tree in model(x):
         errors.append((left**2).mean())
@@ -107,7 +108,15 @@ def test_boosting_follows_its_rule():
     assert base == pytest.approx(y.mean()) and len(errors) == 30
     assert all(b < a for a, b in itertools.pairwise(errors)) and errors[-1] < 0.1 * errors[0]
     one = trees.grow(x, y - base, np.ones(80), replace(PLAIN, leaves=8, depth=3))
-    assert np.allclose(model(x)[0], one(x))
+    assert np.allclose(model(x)[0], one(x)) and np.allclose(rest, left)
+    # side by side, each group comes out as by itself
+    group = rng.integers(0, 3, 80)
+    weight = rng.uniform(0.5, 2, 80) * (group > 0)  # a group of no weight counts alike
+    both = forests.boosted(x, y, weight, growth, group)
+    for g in range(3):
+        [(alone, start, _)] = forests.boosted(x[group == g], y[group == g], weight[group == g], growth)
+        assert both[g][1] == pytest.approx(start) and np.isclose(both[g][0](x), alone(x)).mean() > 0.98
+        assert np.allclose(both[g][2], y[group == g] - start - 0.1 * both[g][0](x[group == g]).sum(0))
 
 
 def test_spread_is_that_of_the_trees(spark):
