@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import cut
 from .spatial import apart
 from .trees import complete
 
@@ -107,6 +108,8 @@ def cuts_of(local: np.ndarray, code: np.ndarray, w: np.ndarray, wy: np.ndarray,
     """
     nodes, size = low.shape
     at = local * size + code
+    if nodes * size > 4 * len(at):
+        return sparse_cuts(at, w, wy, low, high)
     table = lambda weights=None: np.bincount(at, weights, nodes * size).reshape(nodes, size)
     here, weight, moment = table(), table(w), table(wy)
     count, left_w, left_m = (np.cumsum(t, 1) for t in (here, weight, moment))
@@ -122,6 +125,35 @@ def cuts_of(local: np.ndarray, code: np.ndarray, w: np.ndarray, wy: np.ndarray,
     return fall[row, last], last, np.where(middle < above, middle, below)
 
 
+def sparse_cuts(at: np.ndarray, w: np.ndarray, wy: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`cuts_of` where most bins of most nodes are empty: sums along the sorted (node, bin) that there are."""
+    nodes, size = low.shape
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    node, own = np.divmod(at[order][first], size)
+    weight, moment = (np.add.reduceat(v[order], first) for v in (w, wy))
+    begin = np.flatnonzero(np.diff(node, prepend=-1))
+    lengths = np.diff(np.append(begin, len(node)))
+    segment = np.repeat(np.arange(len(begin)), lengths)
+    ends = begin + lengths - 1
+    left_w, left_m = (np.cumsum(v) - (np.cumsum(v)[begin] - v[begin])[segment] for v in (weight, moment))
+    all_w, all_m = left_w[ends][segment], left_m[ends][segment]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fall = left_m**2 / left_w + (all_m - left_m) ** 2 / (all_w - left_w) - all_m**2 / all_w
+    fall[~np.isfinite(fall)] = 0.0
+    fall[ends] = 0.0
+    most = np.maximum.reduceat(fall, begin)
+    there = np.flatnonzero(fall == most[segment])
+    place = there[np.unique(segment[there], return_index=True)[1]]
+    following = np.minimum(place + 1, ends)
+    found, last, value = np.zeros(nodes), np.zeros(nodes, np.int64), np.zeros(nodes)
+    seen = node[begin]
+    below, above = high[seen, own[place]], low[seen, own[following]]
+    middle = below + (above - below) / 2
+    found[seen], last[seen], value[seen] = most, own[place], np.where(middle < above, middle, below)
+    return found, last, value
+
+
 def grow_trees(data: Binned, y: np.ndarray, tree: np.ndarray, row: np.ndarray, w: np.ndarray, group: np.ndarray, depth: int) -> tuple[Nodes, np.ndarray, np.ndarray]:
     """Trees from (tree, row, weight), each in its group's bins: nodes, each one's tree, and the leaf of each (tree, row)."""
     trees = len(group)
@@ -131,9 +163,9 @@ def grow_trees(data: Binned, y: np.ndarray, tree: np.ndarray, row: np.ndarray, w
     wy = w * apart_
     tolerance = np.zeros(trees)
     np.maximum.at(tolerance, tree, wy * apart_)
-    tolerance = 1e-12 * np.maximum(1.0, tolerance)
+    tolerance = 1e-10 * np.maximum(1.0, tolerance)  # running sums over all nodes round
     node, of_tree = tree.copy(), [np.arange(trees)]
-    feature, cut, child = [np.full(trees, -1)], [np.zeros(trees)], [np.zeros(trees, np.int64)]
+    feature, at_value, child = [np.full(trees, -1)], [np.zeros(trees)], [np.zeros(trees, np.int64)]
     start, stop = 0, trees
     live = np.arange(len(node))
     for _ in range(depth):
@@ -147,19 +179,19 @@ def grow_trees(data: Binned, y: np.ndarray, tree: np.ndarray, row: np.ndarray, w
         place = np.arange(stop - start)
         last, value = (np.stack([f[k] for f in found])[best, place] for k in (1, 2))
         ids = np.flatnonzero(split)
-        feature[-1][ids], cut[-1][ids], child[-1][ids] = best[ids], value[ids], stop + 2 * np.arange(len(ids))
+        feature[-1][ids], at_value[-1][ids], child[-1][ids] = best[ids], value[ids], stop + 2 * np.arange(len(ids))
         going = split[local]
         live, local = live[going], local[going]
         node[live] = child[-1][local] + (data.code[row[live], best[local]] > last[local])
         of_tree.append(np.repeat(of_tree[-1][ids], 2))
         start, stop = stop, stop + 2 * len(ids)
         feature.append(np.full(stop - start, -1))
-        cut.append(np.zeros(stop - start))
+        at_value.append(np.zeros(stop - start))
         child.append(np.zeros(stop - start, np.int64))
     owner = np.concatenate(of_tree)
     total = np.bincount(node, w, stop)
     means = np.divide(np.bincount(node, wy, stop), total, out=np.zeros(stop), where=total > 0) + centre[owner]
-    return Nodes(np.arange(trees), *(np.concatenate(c) for c in (feature, cut, child)), means), owner, node
+    return Nodes(np.arange(trees), *(np.concatenate(c) for c in (feature, at_value, child)), means), owner, node
 
 
 def grow(data: Binned, y: np.ndarray, weights: np.ndarray, depth: int) -> tuple[Nodes, np.ndarray]:
@@ -271,6 +303,7 @@ def fit_forests(rows: DataFrame, target: str, names: Sequence[str], growth: Grow
 
     spread = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = apart(spread, "scene", "block").groupBy("scene", "block").applyInPandas(fit, f"scene {kind}, {MODEL}, fitted array<double>, truth array<double>")
+    found = cut(found)  # read twice: for the residuals of all blocks, and for the trees
 
     def residual(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         truth = np.asarray(next(t for t in parts.truth if len(t)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import percentiles
+from .quantiles import cut, percentiles
 
 PERCENTILES = {"median": 0.5, "p10": 0.1, "p90": 0.9}
 STATISTICS = {
@@ -33,6 +33,8 @@ def zonal_statistics(cube: DataFrame, labels: DataFrame, n_zones: int, *, value:
     v: Column = F.col(value)
     by = [*keys, "zone"]
     inside = cube.select(*keys, "iy", "ix", value).join(labels.where("zone >= 0").select("iy", "ix", "zone"), ["iy", "ix"])
+    if any(s in PERCENTILES for s in statistics):
+        inside = cut(inside.select(*by, value))  # read in every round
     plain = [s for s in statistics if s not in PERCENTILES]
     found = inside.groupBy(*by).agg(F.count("*").alias("_rows"), *(STATISTICS[s](v).alias(s) for s in plain)).drop("_rows")
     selected = {s: q for s, q in PERCENTILES.items() if s in statistics}

@@ -54,6 +54,20 @@ def test_histograms_grow_the_same_trees():
             assert np.array_equal(np.unique(rows), np.flatnonzero(leaf[m] >= 0)) and np.allclose(grown.value[leaf[m][leaf[m] >= 0]], grown(x)[m][leaf[m] >= 0])
 
 
+def test_sparse_and_dense_sums_find_the_same_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        nodes, size, n = int(rng.integers(1, 6)), int(rng.integers(1, 9)), int(rng.integers(1, 40))
+        local, code = np.append(np.arange(nodes), rng.integers(0, nodes, n)), rng.integers(0, size, n + nodes)
+        w, y = rng.integers(0, 3, n + nodes).astype(float), rng.normal(size=n + nodes)
+        low = np.sort(rng.normal(size=(nodes, size)), 1)
+        dense = forests.cuts_of(np.repeat(local, 8), np.repeat(code, 8), np.repeat(w, 8) / 8, np.repeat(w * y, 8) / 8, low, low)  # eightfold, so that it is dense
+        sparse = forests.sparse_cuts(local * size + code, w, w * y, low, low)
+        assert np.allclose(dense[0], sparse[0])
+        cut = sparse[0] > 1e-9
+        assert np.array_equal(dense[1][cut], sparse[1][cut]) and np.allclose(dense[2][cut], sparse[2][cut])
+
+
 def test_quantile_bins_hold_like_many_rows():
     rng = np.random.default_rng(8)
     x = np.column_stack([rng.normal(size=5000), rng.integers(0, 5, 5000), np.full(5000, 2.0), rng.exponential(size=5000) * (rng.uniform(size=5000) < 0.3)])
