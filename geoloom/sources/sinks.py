@@ -112,12 +112,12 @@ def cached(spark: SparkSession, folder: str, key: dict, make: Callable[[], DataF
 def record(spark: SparkSession, folder: str, entries: DataFrame) -> None:
     """Replace a folder's manifest (`manifest`'s rows) in one step: readers see the old one or the new one."""
     rows = entries.toJSON().collect()  # a line a file
-    write_text(spark, f"{folder}/_manifest.json", "\n".join(sorted(rows)))
+    write_text(spark, f"{folder}/manifest.json", "\n".join(sorted(rows)))
 
 
 def recorded(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest that `record` wrote."""
-    return spark.read.schema("path string, length long, modified timestamp, sha256 string").json(f"{folder}/_manifest.json")
+    return spark.read.schema("path string, length long, modified timestamp, sha256 string").json(f"{folder}/manifest.json")
 
 
 #: Option names that may hold credentials and never reach a manifest. Fixed values.
