@@ -189,13 +189,13 @@ def size_estimate(spark, d):
 
 
 #: A source of 100 m cells that start off the target's 300 m cells, between two systems whose axes are parallel.
-OFF_SOURCE, OFF_TARGET = Grid("EPSG:32633", 0.0, 1000.0, 100.0, 10, 10), Grid("EPSG:32633", -150.0, 1060.0, 300.0, 4, 4)
+OFF_SOURCE, OFF_TARGET = Grid("EPSG:32633", 0.0, 1000.0, 100.0, 10, 10), Grid("EPSG:32633", -147.3, 1061.7, 300.0, 4, 4)
 SHARE = "greatest(0, least({a} + 100, {b} + 300) - greatest({a}, {b}))"
 
 
 @query(f"""WITH {cte('obs')}, o AS (SELECT scene, iy % 10 AS iy, ix % 10 AS ix, avg(lst) AS v FROM obs GROUP BY ALL),
 t AS (SELECT CAST(a AS INT) AS ty, CAST(b AS INT) AS tx FROM range(4) p(a), range(4) q(b)),
-w AS (SELECT o.scene, ty, tx, v, {SHARE.format(a="(ix * 100)", b="(-150 + tx * 300)")} * {SHARE.format(a="(900 - iy * 100)", b="(760 - ty * 300)")} AS w FROM o, t)
+w AS (SELECT o.scene, ty, tx, v, {SHARE.format(a="(ix * 100)", b="(-147.3 + tx * 300)")} * {SHARE.format(a="(900 - iy * 100)", b="(761.7 - ty * 300)")} AS w FROM o, t)
 SELECT scene, ty AS iy, tx AS ix, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END), 5) AS lst FROM w WHERE w > 0 GROUP BY ALL""")
 def reproject_area(spark, d):
     """Cells weighted by the part of them that lies in a target cell, in closed form."""
