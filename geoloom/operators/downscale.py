@@ -11,13 +11,13 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .binning import block_mean
+from .neighbourhood import in_tiles, middle
 from .spatial import bilinear_corners, bilinear_up, spread_down
 
 
@@ -92,12 +92,12 @@ def conserve_smooth(predicted: DataFrame, coarse: DataFrame, target: str, factor
     """Adds bilinearly interpolated residuals, again and again: no steps between coarse cells.
 
     Height and width are the coarse grid's. Interpolating and averaging over blocks
-    are linear, so their product is a table of at most nine weights a coarse cell;
-    rounds run on coarse cells alone, a scene at a time, and the fine cells are
-    touched twice whatever the number of rounds. Cells without an observation add
-    nothing; a fine cell next to an absent coarse cell is not corrected.
+    are linear, so their product is at most nine weights a coarse cell; rounds run on
+    coarse cells alone, and the fine cells are touched twice whatever their number.
+    A round reaches one cell further, so a tile with a halo of `iterations` cells has
+    the values that the whole scene gives. Cells without an observation add nothing;
+    a fine cell next to an absent coarse cell is not corrected.
     """
-    keys = ["scene"]
     base = coarse.select("scene", "iy", "ix", F.col(target).cast("double").alias("t"))
     cells = predicted.where(F.col(value).isNotNull()).select("scene", "iy", "ix")
     corners = bilinear_corners(cells, factor, height, width).join(base.select("scene", F.col("iy").alias("_cy"), F.col("ix").alias("_cx"), F.lit(True).alias("_there")), ["scene", "_cy", "_cx"], "left")
@@ -108,21 +108,22 @@ def conserve_smooth(predicted: DataFrame, coarse: DataFrame, target: str, factor
     spread = weights.join(means.select("scene", "iy", "ix", "n"), ["scene", "iy", "ix"]).select("scene", "iy", "ix", "_cy", "_cx", (F.col("w") / F.col("n")).alias("w"))
     start = base.join(means, ["scene", "iy", "ix"], "left").select("scene", "iy", "ix", (F.col("t") - F.col("m")).alias("r"))
 
-    def rounds(residuals: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        place = {k: n for n, k in enumerate(zip(residuals.iy, residuals.ix, strict=True))}
-        known = residuals.r.notna().to_numpy()
-        first = residuals.r.fillna(0.0).to_numpy()
-        to = np.fromiter((place.get(k, -1) for k in zip(links.iy, links.ix, strict=True)), np.int64, len(links))
-        by = np.fromiter((place[k] for k in zip(links._cy, links._cx, strict=True)), np.int64, len(links))
-        w = links.w.to_numpy()
-        to, by, w = to[to >= 0], by[to >= 0], w[to >= 0]
-        total = np.zeros(len(first))
+    near = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    names = [f"_w{k}" for k in range(len(near))]
+    share = [F.sum(F.when((F.col("_cy") - F.col("iy") == dy) & (F.col("_cx") - F.col("ix") == dx), F.col("w"))).alias(c) for (dy, dx), c in zip(near, names, strict=True)]
+    cells = start.join(spread.groupBy("scene", "iy", "ix").agg(*share), ["scene", "iy", "ix"], "left")
+
+    def rounds(a: dict[str, np.ndarray], r: int) -> dict[str, np.ndarray]:
+        known = np.isfinite(a["r"])
+        first, weights = np.where(known, a["r"], 0.0), [np.nan_to_num(a[c]) for c in names]
+        total = np.zeros_like(first)
         for _ in range(iterations):
-            total = total + np.where(known, first - np.bincount(to, w * total[by], len(first)), 0.0)
-        return residuals[["scene", "iy", "ix"]].assign(_r=total)
+            about = np.pad(total, 1)
+            mixed = sum(w * about[1 + dy : 1 + dy + total.shape[0], 1 + dx : 1 + dx + total.shape[1]] for (dy, dx), w in zip(near, weights, strict=True))
+            total = total + np.where(known, first - mixed, 0.0)
+        return {"_r": total[middle(total, r)]}
 
-    kind = dict(coarse.dtypes)["scene"]
-    field = start.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(rounds, f"scene {kind}, iy int, ix int, _r double")
+    field = in_tiles(cells, iterations, ["r", *names], ["scene"], ["_r"], rounds)
     out = bilinear_up(predicted, field, factor, "_r", height=height, width=width, out="coarse_consistency_correction")
     out = out.withColumn("coarse_consistency_correction", F.coalesce("coarse_consistency_correction", F.lit(0.0)))
     return out.withColumn(f"{value}_raw", F.col(value)).withColumn(value, F.col(value) + F.col("coarse_consistency_correction"))

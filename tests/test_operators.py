@@ -167,6 +167,37 @@ def test_sharpening_conserves(spark, correction):
     assert np.sqrt(((got - truth) ** 2).mean()) < np.sqrt(((flat - truth) ** 2).mean())
 
 
+def test_smoothing_across_tiles_equals_whole_scene(spark):
+    """Rounds on the fine grid of a scene wider than a tile, with gaps, against tiles with a halo."""
+    height, width, factor, iterations = 7, neighbourhood.TILE + 9, 2, 4
+    rng = np.random.default_rng(11)
+    raw, coarse = rng.normal(20, 3, (height * factor, width * factor)), rng.normal(20, 3, (height, width))
+    coarse[2, 5] = coarse[4, neighbourhood.TILE] = np.nan  # not observed
+    raw[6, 2 * neighbourhood.TILE - 1] = np.nan  # not predicted
+    t = DAY(2025, 7, 1)
+    number = lambda v: None if np.isnan(v) else float(v)
+    observed = cube(spark, [(t, r, c, number(coarse[r, c])) for r in range(height) for c in range(width)])
+    predicted = cube(spark, [(t, r, c, number(raw[r, c])) for r in range(height * factor) for c in range(width * factor)], "scene timestamp, iy int, ix int, lst_downscaled double")
+    out = downscale.conserve_smooth(predicted, observed, "lst", factor, height=height, width=width, iterations=iterations).collect()
+
+    def up(field):
+        place = lambda n: np.clip((np.arange(n * factor) + 0.5) / factor - 0.5, 0, n - 1)
+        rows = np.array([np.interp(place(width), np.arange(width), row) for row in field])
+        return np.array([np.interp(place(height), np.arange(height), column) for column in rows.T]).T
+
+    now = raw.copy()
+    total = np.zeros_like(raw)
+    for _ in range(iterations):
+        means = np.nanmean(now.reshape(height, factor, width, factor), axis=(1, 3))
+        step = up(np.nan_to_num(coarse - means))
+        now, total = now + step, total + step
+    got = np.full_like(raw, np.nan)
+    for r in out:
+        got[r.iy, r.ix] = np.nan if r.lst_downscaled is None else r.lst_downscaled
+    assert len(out) == raw.size
+    np.testing.assert_allclose(got, now, atol=1e-9)
+
+
 def test_local_trees_beat_one_line_on_two_regimes(spark):
     factor, size = 3, 20
     rng = np.random.default_rng(3)
