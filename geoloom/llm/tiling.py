@@ -13,7 +13,10 @@ A benchmark of at most `block_bytes` of text (measured first) is known to every
 worker, and one pass over the documents joins and tiles. A larger one stays
 distributed: seeds of documents and items are joined by shuffles, and only texts
 that may reach the threshold meet their items, one pair at a time. Both give the
-same rows.
+same rows. In the latter an item meets documents by its rarest seeds only: its most
+frequent ones are left aside as long as their places cover less of it than the
+threshold, since a document that shares no other cannot reach it. A stock phrase
+of many documents and items so makes no pairs.
 
 Null or empty texts and items match nothing; items with fewer than `min_match`
 words have no seeds of that length and are looked for as a whole. Repeated rows
@@ -275,6 +278,58 @@ def seeds_of(size_of: int | None):
     return run
 
 
+def rarest(words: np.ndarray, size: int, seeds: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """Seeds (sorted, with their counts) of an item of which a text must have one to cover `threshold` of its words.
+
+    Words that a text's tiling marks lie in shared seeds. So the most frequent seeds
+    can be left aside until their places cover as much; ties go by the seed.
+    """
+    grams = run_hashes(words, size).view(np.int64)
+    order = np.argsort(grams, kind="stable")
+    first, last = (np.searchsorted(grams[order], seeds, side=s) for s in ("left", "right"))
+    taken, covered_words = np.zeros(len(words), bool), 0
+    queue = np.lexsort((seeds, -counts))
+    for done, k in enumerate(queue):
+        for place in order[first[k] : last[k]]:
+            window = taken[place : place + size]
+            covered_words += size - int(window.sum())
+            window[:] = True
+        if covered_words >= threshold * len(words):
+            return np.sort(seeds[queue[done:]])
+    return seeds[:0]
+
+
+def rarest_seeds(threshold: float):
+    """Arrow function: (key, size, seed) of the rarest seeds of items (key, t, size, found: seeds that texts have with their counts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in seg.byte_balanced(batches, "t"):
+            w = wh.words(seg.large_text(batch.column("t")))
+            keys, sizes, found = (batch.column(c).to_pylist() for c in ("key", "size", "found"))
+            for k in range(batch.num_rows):
+                seeds, counts = (np.array([x[c] for x in found[k]], np.int64) for c in ("seed", "n"))
+                kept = rarest(w.hashes[w.offsets[k] : w.offsets[k + 1]], sizes[k], seeds, counts, threshold)
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[k]] * len(kept), pa.string()), pa.array([sizes[k]] * len(kept), pa.int32()), pa.array(kept)], ["key", "size", "seed"])
+
+    return run
+
+
+def meeting_pairs(shared: DataFrame, item_seeds: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """text_key, item_key, size of pairs whose shared seeds may cover `threshold` of the item.
+
+    `shared` has the texts' seeds that some item has (text_key, size, seed), once a
+    text. Pairs come from the items' rarest seeds; only for those are all seeds counted.
+    """
+    counts = splittable(shared.groupBy("seed", "size").agg(F.count("*").alias("n")), "seed")
+    held = item_seeds.join(counts, ["size", "seed"]).groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("seed", "n"))).alias("found"))  # one item's seeds
+    rare = items.select("key", "t").join(held, "key").select("key", "t", "size", "found").mapInArrow(rarest_seeds(threshold), "key string, size int, seed long")
+    met = shared.join(rare.withColumnRenamed("key", "item_key"), ["size", "seed"]).select("text_key", "item_key", "size").distinct()
+    every = item_seeds.withColumnRenamed("key", "item_key")
+    reach = met.join(every, ["item_key", "size"]).join(shared, ["text_key", "size", "seed"]).groupBy("text_key", "item_key", "size").agg(F.sum("places").alias("n"), F.first("words").alias("words"))
+    return reach.where(F.col("n") * F.col("size") >= F.col("words") * threshold).select("text_key", "item_key", "size")
+
+
 SEED_DDL = "key string, size int, seed long, places long, words long"
 
 
@@ -282,9 +337,9 @@ def through_joins(docs: DataFrame, wanted: DataFrame, min_match: int, threshold:
     """The same rows with the benchmark left distributed.
 
     Equal texts are one text by their SHA-256. Seeds meet by (length, hash) after
-    each text's own are distinct; adaptive execution splits hot ones. The words
-    that an item's shared seeds can cover are summed by (text, item) before any
-    text moves, and each surviving pair is tiled by itself.
+    each text's own are distinct; adaptive execution splits hot ones. Items meet
+    texts by their rarest seeds, the words that shared seeds can cover are summed
+    by (text, item) before any text moves, and each surviving pair is tiled by itself.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     items = materialise(wanted.select(F.concat_ws(":", F.coalesce(F.col("i").cast("string"), F.lit("")), F.sha2(F.col("t"), 256)).alias("key"), "i", "t"), "items")
@@ -292,10 +347,9 @@ def through_joins(docs: DataFrame, wanted: DataFrame, min_match: int, threshold:
     sizes = sorted(r["size"] for r in item_seeds.select("size").distinct().collect())  # at most min_match rows
     texts = docs.where(F.length(text_col) > 0).select(F.sha2(text, 256).alias("key"), text.alias("t")).dropDuplicates(["key"])
     doc_seeds = texts.withColumn("sizes", F.array(*map(F.lit, sizes)).cast("array<int>")).mapInArrow(seeds_of(None), SEED_DDL)
-    left = doc_seeds.select(F.col("key").alias("text_key"), "size", "seed")
-    right = item_seeds.select(F.col("key").alias("item_key"), "size", "seed", "places", "words")
-    pairs = left.join(right, ["size", "seed"]).groupBy("text_key", "item_key", "size").agg(F.sum("places").alias("n"), F.first("words").alias("words"))
-    pairs = materialise(pairs.where(F.col("n") * F.col("size") >= F.col("words") * threshold).select("text_key", "item_key", "size"), "pairs")
+    known = splittable(item_seeds.select("seed", "size").distinct(), "seed")
+    shared = materialise(doc_seeds.select(F.col("key").alias("text_key"), "size", "seed").join(known, ["size", "seed"], "left_semi"), "shared")
+    pairs = materialise(meeting_pairs(shared, item_seeds, items, threshold), "pairs")
     met = pairs.join(items.select(F.col("key").alias("item_key"), "i", F.col("t").alias("item")), "item_key").join(texts.select(F.col("key").alias("text_key"), "t"), "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,3 +131,32 @@ def test_whole_query_against_brute_force(spark):
         rows = out.collect()
         assert sorted(((r.doc_id, r.n_items, r.max_coverage) for r in rows), key=str) == expected
         assert all(r.contaminated == (r.max_coverage >= 0.5) for r in rows)
+
+
+def test_no_pair_is_lost_to_rarest_seeds():
+    rng = random.Random(5)
+    reached = 0
+    for _ in range(2000):
+        kinds, size, threshold = rng.choice([2, 3, 6]), rng.choice([1, 2, 3]), rng.choice([0.3, 0.5, 0.9, 1.0])
+        item = [rng.randrange(kinds) for _ in range(rng.randint(size, 18))]
+        doc = [rng.randrange(kinds) for _ in range(rng.randint(0, 12))] + (item[: rng.randint(0, len(item))] if rng.random() < 0.5 else [])
+        own, shared = np.unique(tiling.run_hashes(hashed(item), size)).view(np.int64), tiling.run_hashes(hashed(doc), size).view(np.int64)
+        seeds = np.sort(own[np.array([s in shared or rng.random() < 0.5 for s in own], bool)])
+        kept = tiling.rarest(hashed(item), size, seeds, np.array([rng.randint(1, 4) for _ in seeds], np.int64), threshold)
+        if greedy(doc, item, size) >= threshold * len(item):
+            reached += 1
+            assert np.isin(kept, shared).any()
+    assert reached > 100
+
+
+def test_a_stock_phrase_makes_no_pairs(spark):
+    """A phrase of every document and item: with all seeds, all of them would meet."""
+    stock = "answer the question below with one of the given choices only"  # 11 words of 30
+    items = [(k, f"{stock} " + " ".join(f"i{k}w{n}" for n in range(19))) for k in range(40)]
+    docs = [(k, f"d{k} {stock} " + (items[k][1] if k < 10 else f"e{k} f{k}")) for k in range(60)]
+    seeds = lambda rows, sizes: spark.createDataFrame([(str(k), t, sizes) for k, t in rows], "key string, t string, sizes array<int>")
+    item_seeds = seeds(items, None).mapInArrow(tiling.seeds_of(4), tiling.SEED_DDL)
+    shared = seeds(docs, [4]).mapInArrow(tiling.seeds_of(None), tiling.SEED_DDL).select(tiling.F.col("key").alias("text_key"), "size", "seed").join(item_seeds.select("size", "seed").distinct(), ["size", "seed"], "left_semi")
+    pairs = tiling.meeting_pairs(shared, item_seeds, seeds(items, None), 0.5)
+    assert sorted((int(r.text_key), int(r.item_key)) for r in pairs.collect()) == [(k, k) for k in range(10)]
+    assert {k for k, r in run(spark, docs, items, block_bytes=10).items() if r.contaminated} == set(range(10))
