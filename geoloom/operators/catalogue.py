@@ -80,7 +80,7 @@ def best_products(products: DataFrame, limit: int, *, max_cloud: float | None =
 
     Where no product of a key has a cloud value and there are too many, the period
     is sampled evenly instead. Without keys each task keeps its own best, so only
-    tasks x limit rows meet; just the even sample orders the whole catalogue.
+    tasks x limit rows meet.
     """
     if limit < 1:
         raise ValueError("limit must be positive")
@@ -97,12 +97,25 @@ def best_products(products: DataFrame, limit: int, *, max_cloud: float | None =
 
 
 def spread_in_time(products: DataFrame, limit: int, *, keys: Sequence[str] = ()) -> DataFrame:
-    """`limit` products evenly spaced in time order: places round-half-even(i (n-1) / (limit-1)), each once."""
-    by = Window.partitionBy(*(keys or [F.lit(0)]))
-    placed = products.withColumn("_k", F.row_number().over(by.orderBy(F.col("start_ts").asc_nulls_first(), "product_id")) - 1).withColumn("_n", F.count("*").over(by))
-    wanted = F.array(F.lit(0.0)) if limit == 1 else F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / (limit - 1)))
-    chosen = placed.where(F.array_contains(wanted, F.col("_k").cast("double")))
-    return chosen.withColumn("rank", F.row_number().over(by.orderBy("_k"))).drop("_k", "_n")
+    """`limit` products evenly spaced in time order: places round-half-even(i (n-1) / (limit-1)), each once.
+
+    Counts by day say on which days the places fall; only those days' products are
+    put in order, a day by itself. Products without a time come first, as one day.
+    """
+    day = F.coalesce(F.floor(F.unix_micros(F.col("start_ts").cast("timestamp")) / 86_400_000_000), F.lit(-(1 << 40)))
+    names = [f"_k{n}" for n in range(len(keys))]
+    counts = products.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), day.alias("_on")).agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*(names or [F.lit(0)]))  # a row a day
+    places = F.array(F.lit(0.0)) if limit == 1 else F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / (limit - 1))))
+    days = counts.withColumn("_n", F.sum("_c").over(whole)).withColumn("_before", F.sum("_c").over(whole.orderBy("_on")) - F.col("_c")).withColumn("_places", places)
+    days = days.where(F.exists("_places", lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_c")))).drop("_c", "_n")
+    same = F.col("_day") == F.col("_on")
+    for k, n in zip(keys, names, strict=True):
+        same = same & products[k].eqNullSafe(F.col(n))
+    met = products.withColumn("_day", day).join(days, same)
+    placed = met.withColumn("_at", F.col("_before") + F.row_number().over(Window.partitionBy(*names, "_day").orderBy(F.col("start_ts").asc_nulls_first(), "product_id")) - 1)
+    rank = F.array_position("_places", F.col("_at").cast("double")).cast("int")
+    return placed.withColumn("rank", rank).where("rank > 0").select(*products.columns, "rank")
 
 
 def one_per_orbit(products: DataFrame, *, name: str = "name", order: str = "ordinal") -> DataFrame:

@@ -411,6 +411,22 @@ def test_ranking_and_even_spread(spark):
     assert [r.product_id for r in catalogue.spread_in_time(products(spark, blind), 1).collect()] == ["p0"]
 
 
+@pytest.mark.parametrize("limit", [1, 2, 7, 500])
+def test_even_spread_over_days_equals_one_order(spark, limit):
+    rng = random.Random(limit)
+    rows = [(f"p{k:03}", rng.choice([None, *(DAY(2025, 1, d, h) for d in range(1, 5) for h in range(0, 24, 6))]), None, rng.choice([None, True, False]), None, None) for k in range(200)]
+    expected = []
+    for key in (None, True, False):
+        own = sorted((r for r in rows if r[3] == key), key=lambda r: (r[1] is not None, r[1] or DAY(1, 1, 1), r[0]))
+        places = sorted({round(i * (len(own) - 1) / (limit - 1)) for i in range(limit)} if limit > 1 else {0})
+        expected += [(str(key), n + 1, own[p][0]) for n, p in enumerate(places)]
+    out = catalogue.spread_in_time(products(spark, rows), limit, keys=["online"])
+    assert sorted((str(r.online), r["rank"], r.product_id) for r in out.collect()) == sorted(expected)
+    assert {"product_id", "rank"} <= set(out.columns) and len(out.columns) == 7
+    alone = catalogue.spread_in_time(products(spark, rows[:50]), limit).count()
+    assert alone == min(limit, 50)
+
+
 def test_pairs_and_orbits(spark):
     day = dt.date(2025, 6, 30)
     at = lambda back: DAY(2025, 6, 30) - dt.timedelta(days=back)
