@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -30,8 +30,30 @@ DIMENSIONS = ("time", "y", "x")
 COMPRESSOR = {"id": "zlib", "level": 1}
 EPOCH = dt.datetime(1970, 1, 1)
 MICROSECOND = dt.timedelta(microseconds=1)
-#: Spark types that arrays hold, with the array's type and what stands for a missing value.
-KINDS = {"double": ("<f8", "NaN"), "float": ("<f4", "NaN"), "boolean": ("|i1", -1), "int": ("<f8", "NaN"), "bigint": ("<f8", "NaN"), "smallint": ("<f8", "NaN"), "tinyint": ("<f8", "NaN")}
+#: Spark types that arrays hold, with the array's type and what stands for a missing value: no value of a narrower type.
+LEAST = -(1 << 63)
+KINDS = {"double": ("<f8", "NaN"), "float": ("<f4", "NaN"), "boolean": ("|i1", -1), "tinyint": ("<i2", -(1 << 15)), "smallint": ("<i4", -(1 << 31)), "int": ("<i8", LEAST), "bigint": ("<i8", LEAST)}
+
+
+def kinds_of(fs, root: str, types: dict[str, str]) -> dict[str, tuple]:
+    """Each variable's array type and missing value, as the store has them, or else as its Spark type asks."""
+    out = {}
+    for v, kind in types.items():
+        about = get(fs, f"{root}/{v}/.zarray")
+        out[v] = KINDS[kind] if about is None else (json.loads(about)["dtype"], json.loads(about)["fill_value"])
+    return out
+
+
+def filled(name: str, dtype: str, fill) -> Column:
+    """A column as numbers of the array, without NULL; a value that means a missing one is an error."""
+    if "f" in dtype:
+        return F.coalesce(F.col(name).cast("double"), F.lit(float("nan"))).alias(name)
+    value = F.col(name).cast("bigint")
+    return F.when(value == fill, F.raise_error(F.lit(f"{fill} stands for a missing value of {name}")).cast("bigint")).otherwise(F.coalesce(value, F.lit(fill))).alias(name)
+
+
+def missing(values: np.ndarray, fill) -> np.ndarray:
+    return np.isnan(values) if values.dtype.kind == "f" else values == fill
 
 
 def encoded(values: np.ndarray) -> bytes:
@@ -61,7 +83,7 @@ def write_chunks(cube: DataFrame, path: str, grid: Grid, values: Sequence[str] |
     """Write a cube's scenes (scene, iy, ix, values) to a store, after those that it has; the number of scenes there.
 
     A scene that the store has is refused, as is a store on another grid or with
-    other variables. The driver sees the scenes' times; a task holds a chunk.
+    other variables, and the least bigint, which stands for a missing value. The driver sees the scenes' times; a task holds a chunk.
     """
     spark = cube.sparkSession
     types = dict(cube.dtypes)
@@ -91,17 +113,17 @@ def write_chunks(cube: DataFrame, path: str, grid: Grid, values: Sequence[str] |
     for v in values:
         fs.create_dir(f"{root}/{v}", recursive=True)
     place = spark.createDataFrame([(int(m), len(had) + k) for k, m in enumerate(new)], "_micros long, _t int")
-    keyed = rows.join(F.broadcast(place), "_micros").select("_t", F.expr(f"iy div {chunk}").cast("int").alias("_cy"), F.expr(f"ix div {chunk}").cast("int").alias("_cx"), "iy", "ix", *(F.col(v).cast("double").alias(v) if types[v] != "boolean" else F.col(v).cast("int").cast("double").alias(v) for v in values))
+    kinds = kinds_of(fs, root, {v: types[v] for v in values})
+    keyed = rows.join(F.broadcast(place), "_micros").select("_t", F.expr(f"iy div {chunk}").cast("int").alias("_cy"), F.expr(f"ix div {chunk}").cast("int").alias("_cx"), "iy", "ix", *(filled(v, *kinds[v]) for v in values))
 
     def write(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         store, at = open_store(uri)
         t, cy, cx = (int(k) for k in key)
         iy, ix = cells.iy.to_numpy() - cy * chunk, cells.ix.to_numpy() - cx * chunk
-        for v in values:
-            dtype, fill = KINDS[types[v]]
-            block = np.full((chunk, chunk), float(fill))
-            block[iy, ix] = np.where(cells[v].isna(), float(fill), cells[v])
-            put(store, f"{at}/{v}/{t}.{cy}.{cx}", encoded(block.astype(dtype)))
+        for v, (dtype, fill) in kinds.items():
+            block = np.full((chunk, chunk), float(fill) if "f" in dtype else fill, dtype)
+            block[iy, ix] = cells[v].to_numpy()
+            put(store, f"{at}/{v}/{t}.{cy}.{cx}", encoded(block))
         return pd.DataFrame({"n": [len(cells)]})
 
     keyed.groupBy("_t", "_cy", "_cx").applyInPandas(write, "n long").agg(F.sum("n")).collect()
@@ -115,7 +137,7 @@ def write_chunks(cube: DataFrame, path: str, grid: Grid, values: Sequence[str] |
         put(fs, f"{root}/{name}/.zarray", metadata([len(at)], [len(at)], "<f8", "NaN"))
     for v in values:
         put(fs, f"{root}/{v}/.zattrs", json.dumps({"_ARRAY_DIMENSIONS": list(DIMENSIONS)}).encode())
-        put(fs, f"{root}/{v}/.zarray", metadata([len(every), grid.height, grid.width], [1, chunk, chunk], *KINDS[types[v]]))
+        put(fs, f"{root}/{v}/.zarray", metadata([len(every), grid.height, grid.width], [1, chunk, chunk], *kinds[v]))
     put(fs, f"{root}/.zattrs", json.dumps(known).encode())
     fs.create_dir(f"{root}/time", recursive=True)
     put(fs, f"{root}/time/.zattrs", json.dumps({"_ARRAY_DIMENSIONS": ["time"], "units": "microseconds since 1970-01-01"}).encode())
@@ -147,6 +169,7 @@ class ChunkSource(DataSource):
         known = json.loads(found)
         if self.options.get("columns"):
             known["variables"] = {v: known["variables"][v] for v in self.options["columns"].split(",")}
+        known["arrays"] = kinds_of(fs, root, known["variables"])
         return known
 
     def schema(self) -> str:
@@ -184,16 +207,16 @@ class ChunkReader(DataSourceReader):
         if part.t < 0:
             return
         fs, root = open_store(self.path)
-        side, kinds = self.known["chunk"], self.known["variables"]
+        side, kinds, stored = self.known["chunk"], self.known["variables"], self.known["arrays"]
         arrays = {}
-        for v, kind in kinds.items():
+        for v in kinds:
             raw = get(fs, f"{root}/{v}/{part.t}.{part.cy}.{part.cx}")
             if raw is None:
                 return  # a chunk without a cell
-            arrays[v] = np.frombuffer(zlib.decompress(raw), KINDS[kind][0]).reshape(side, side)
+            arrays[v] = np.frombuffer(zlib.decompress(raw), stored[v][0]).reshape(side, side)
         there = np.zeros((side, side), bool)
-        for v, kind in kinds.items():
-            there |= arrays[v] >= 0 if kind == "boolean" else ~np.isnan(arrays[v])
+        for v in kinds:
+            there |= ~missing(arrays[v], stored[v][1])
         iy, ix = np.nonzero(there)
         scene = EPOCH + part.micros * MICROSECOND
         fixed = {"timestamp": pa.timestamp("us", "UTC"), "timestamp_ntz": pa.timestamp("us"), "date": pa.date32()}[self.known["scene"]]
@@ -201,8 +224,8 @@ class ChunkReader(DataSourceReader):
         to = {"double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}
         for v, kind in kinds.items():
             own = arrays[v][iy, ix]
-            missing = own < 0 if kind == "boolean" else np.isnan(own)
-            columns.append(pa.array(np.where(missing, 0, own), mask=missing).cast(to[kind]))
+            absent = missing(own, stored[v][1])
+            columns.append(pa.array(np.where(absent, own.dtype.type(0), own), mask=absent).cast(to[kind]))
         yield pa.RecordBatch.from_arrays(columns, ["scene", "iy", "ix", *kinds])
 
 

@@ -44,6 +44,20 @@ def test_round_trip_and_append(spark, tmp_path, kind):
     assert chunks.read_chunks(spark, path, ["lst"]).columns == ["scene", "iy", "ix", "lst"]
 
 
+def test_whole_numbers_are_exact(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    t = DAY(2024, 1, 1)
+    rows = [(t, 0, 0, (1 << 63) - 1, -(1 << 31), -(1 << 15), -128, 0.5), (t, 0, 1, (1 << 53) + 1, (1 << 31) - 1, (1 << 15) - 1, 127, None), (t, 3, 2, 1 - (1 << 63), None, None, None, None), (t, 4, 4, None, None, 0, None, None)]
+    wide = spark.createDataFrame(rows, "scene timestamp, iy int, ix int, a bigint, b int, c smallint, d tinyint, e float")
+    chunks.write_chunks(wide, path, GRID, chunk=16)
+    back = chunks.read_chunks(spark, path)
+    assert back.dtypes == wide.dtypes and sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert json.loads((tmp_path / "store/a/.zarray").read_text())["dtype"] == "<i8"
+    with pytest.raises(Exception, match="missing value of a"):
+        chunks.write_chunks(wide.withColumns({"scene": F.lit(DAY(2024, 1, 2)), "a": F.lit(-(1 << 63))}), path, GRID)
+    assert chunks.read_chunks(spark, path).count() == len(rows)  # a failed append adds no scene
+
+
 def test_layout_is_the_public_one(spark, tmp_path):
     chunks.write_chunks(cube(spark, [1, 2]).select("scene", "iy", "ix", "lst"), f"file://{tmp_path}/s", GRID, chunk=16, attributes={"title": "x", "none": None})
     about = json.loads((tmp_path / "s/lst/.zarray").read_text())
