@@ -45,9 +45,14 @@ def bucket_width(tolerance_us: int) -> int:
 
 
 def answered(known: DataFrame, times: DataFrame, tolerance_us: int) -> DataFrame:
-    """station_id, scene, value of `answers` at times (scene, or station_id and scene); a station and time meet in one row."""
+    """station_id, scene, value of `answers` at times (scene, or station_id and scene); a station and time meet in one row.
+
+    Intervals in buckets are many more than their readings, which Spark's estimates
+    don't see: they are never what is broadcast. Scenes by themselves are few.
+    """
     own = ["station_id"] if "station_id" in times.columns else []
     asked = times.select(*own, "scene").where("scene is not null").distinct().withColumn("_s", micros("scene")).withColumn("_bucket", F.floor(F.col("_s") / bucket_width(tolerance_us)).cast("long"))
+    asked = asked.hint("merge") if own else F.broadcast(asked)
     return known.join(asked, [*own, "_bucket"]).where(F.col("_s").between(F.col("_low"), F.col("_high"))).select("station_id", "scene", "value")
 
 
@@ -85,35 +90,67 @@ def interpolate(cells: DataFrame, stations: DataFrame, at_times: DataFrame, *, m
     return out.select(*by, F.coalesce("here", mean).alias("value"), "station_count", F.when(F.col("here").isNotNull(), 0.0).otherwise(spread).alias("uncertainty"), (F.col("station_count") >= min_neighbours).alias("valid"))
 
 
+def near_lists(places: DataFrame, sites: DataFrame, k: int, reach: float) -> DataFrame:
+    """px, py, near and whole: the first k sites (other, sx, sy) within reach of each place, by distance and name.
+
+    `whole` says that there are no more. Sites that share a place are as near as each
+    other: of a place the first k names count, and only of places that have fewer
+    than k sites before them. So the rows are k a place, not sites times sites.
+    """
+    by_name = Window.partitionBy("sx", "sy").orderBy("other")
+    members = sites.where("sx is not null and sy is not null").withColumn("_m", F.row_number().over(by_name)).where(F.col("_m") <= k).drop("_m")
+    spots = members.groupBy("sx", "sy").agg(F.min("other").alias("_name"), F.count("*").alias("_c"))
+    dx, dy = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
+    met = nearest_sites(places, spots, "px", "py", k, cell_keys=["px", "py"], site_key="_name", places=spots.select(F.col("sx").alias("px"), F.col("sy").alias("py")))
+    met = met.where(dx * dx + dy * dy <= reach * reach).select("px", "py", "sx", "sy", "_c", F.sqrt(dx * dx + dy * dy).alias("d"))
+    upto = Window.partitionBy("px", "py").orderBy("d")  # with those as near
+    met = met.withColumn("_before", F.sum("_c").over(upto) - F.sum("_c").over(Window.partitionBy("px", "py", "d"))).where(F.col("_before") < k)
+    order = Window.partitionBy("px", "py").orderBy("d", "other")
+    ranked = met.join(members, ["sx", "sy"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return ranked.groupBy("px", "py").agg(F.array_sort(F.collect_list(F.struct("place", "other", "d"))).alias("near")).withColumn("whole", F.size("near") < k)
+
+
 def leave_one_out(readings: DataFrame, stations: DataFrame, *, tolerance_us: int, max_distance: float, min_neighbours: int = 3, max_neighbours: int = 12, power: float = 2.0, order: str | None = None) -> DataFrame:
     """station_id, ts, predicted, observed: each reading predicted from the other stations in the radius.
 
-    Stations in reach of each other meet in buckets; a station is asked only for
-    the times at which one in its reach has a reading.
+    Stations at one place have the same neighbours but for themselves, so places and
+    times ask, once for all readings there. Most find enough among the nearest
+    stations; the others, and only they, ask four times as many in the next round,
+    until enough answer or all in the radius were asked.
     """
     good = first_readings(readings, order)
-    known_answers = cut(answers(good, tolerance_us))
-    sites = stations.select(F.col("station_id").alias("other"), F.col("x").alias("sx"), F.col("y").alias("sy"))
-    pairs = around(stations.select("station_id", "x", "y"), sites, max_distance).where((F.col("station_id") != F.col("other")) & (F.col("d2") <= max_distance * max_distance)).select("station_id", "other", F.sqrt("d2").alias("d"))
-    pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("station_id").orderBy("d", "other")))
-    rank = F.row_number().over(Window.partitionBy("station_id", "ts").orderBy("place"))
-    w = F.lit(1.0) / F.pow(F.greatest("d", F.lit(1.0)), F.lit(power))
-
-    def predicted(asking: DataFrame, known: DataFrame) -> DataFrame:
-        asked = asking.join(known, "station_id").withColumnRenamed("value", "observed")
-        times = asked.select(F.col("other").alias("station_id"), F.col("ts").alias("scene")).distinct()
-        found = answered(known_answers, times, tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
-        ranked = asked.join(found, ["other", "ts"]).withColumn("k", rank).where(F.col("k") <= max_neighbours)
-        return ranked.groupBy("station_id", "ts").agg((F.sum(w * F.col("v")) / F.sum(w)).alias("predicted"), F.count("*").alias("n"), F.first("observed").alias("observed"))
-
-    # most find enough among their nearest stations; the others, and only they, ask all in the radius
-    some = 3 * max_neighbours
-    first = cut(predicted(good, pairs.where(F.col("place") <= some)))
-    crowded = pairs.where(F.col("place") == some + 1).select("station_id")
-    short = good.join(crowded, "station_id", "left_semi").join(first.where(F.col("n") >= max_neighbours).select("station_id", "ts"), ["station_id", "ts"], "left_anti")
-    rest = predicted(short, pairs)
-    whole = first.join(rest.select("station_id", "ts"), ["station_id", "ts"], "left_anti").unionByName(rest)
-    return whole.where(F.col("n") >= min_neighbours).drop("n")
+    at = stations.select("station_id", F.col("x").alias("px"), F.col("y").alias("py")).where("px is not null and py is not null")
+    sites = at.select(F.col("station_id").alias("other"), F.col("px").alias("sx"), F.col("py").alias("sy"))
+    listed = at.groupBy("station_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # rows of one station, usually one
+    spare = max_neighbours + listed  # one's own rows go
+    by = ["px", "py", "ts"]
+    left, k, done = good.join(at, "station_id").select(*by).distinct(), 3 * max_neighbours + listed, []
+    while True:
+        lists = near_lists(left.select("px", "py").distinct() if done else at.select("px", "py").distinct(), sites, k, max_distance)
+        asked = left.join(lists, ["px", "py"]).select(*by, "whole", F.explode("near").alias("e")).select(*by, "whole", "e.*")
+        times = asked.select(F.col("other").alias("station_id"), F.col("ts").alias("scene"))
+        known = answers(good.join(lists.select(F.explode("near.other").alias("station_id")).distinct(), "station_id", "left_semi"), tolerance_us)
+        found = answered(known, times, tolerance_us).select(F.col("station_id").alias("other"), F.col("scene").alias("ts"), F.col("value").alias("v"))
+        # counted by whether they answer: those without an answer come last
+        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("v").isNull(), "place"))
+        ranked = asked.join(found.hint("merge"), ["other", "ts"], "left").withColumn("_r", first).where(F.col("_r") <= spare)
+        near = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("d", "other", "place", "v"))))
+        top = cut(ranked.groupBy(*by).agg(near.alias("near"), F.first("whole").alias("whole")).withColumn("_enough", F.col("whole") | (F.size("near") >= spare)))
+        done.append(top.where("_enough").select(*by, "near"))
+        left, k = top.where("not _enough").select(*by), 4 * k
+        if left.isEmpty():
+            break
+    answers_at = done[0]
+    for more in done[1:]:
+        answers_at = answers_at.unionByName(more)
+    others = F.filter("near", lambda e: e["other"] != F.col("station_id"))
+    out = good.join(at, "station_id").join(answers_at.hint("merge"), by).select("station_id", "ts", F.col("value").alias("observed"), others.alias("near"))
+    if listed > 1:
+        out = out.groupBy("station_id", "ts").agg(F.first("observed").alias("observed"), F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    out = out.withColumn("near", F.slice("near", 1, max_neighbours)).where(F.size("near") >= min_neighbours)
+    w = lambda e: F.lit(1.0) / F.pow(F.greatest(e["d"], F.lit(1.0)), F.lit(power))
+    total = lambda f: F.aggregate("near", F.lit(0.0), lambda acc, e: acc + f(e))
+    return out.select("station_id", "ts", (total(lambda e: w(e) * e["v"]) / total(w)).alias("predicted"), "observed")
 
 
 def station_metrics(predictions: DataFrame, readings: DataFrame) -> DataFrame:

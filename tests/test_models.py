@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 from dataclasses import replace
 import random
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import downscale, forests, gwr, kriging, neighbourhood, spatial, stations, trees
+from geoloom.operators import downscale, forests, gwr, kriging, neighbourhood, quantiles, spatial, stations, trees
 
 T0 = dt.datetime(2025, 7, 1)
 
@@ -350,6 +351,54 @@ def test_readings_at_times_equal_brute_force(spark):
         assert asked == {k: v for k, v in expected.items() if k in {(1, times[3]), (2, times[5])}}
 
 
+def test_stations_left_out_equal_brute_force(spark):
+    """Many stations at a place, ties, silent ones that make more rounds, one that is listed twice."""
+    rng = random.Random(12)
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    sites = [(k, float(rng.choice([0, 0, 0, 300, 400, 2000])), float(rng.choice([0, 300, 400]))) for k in range(90)] + [(5, 0.0, 0.0), (95, None, 1.0)]
+    talking = rng.sample(range(90), 16) + [5, 95, 200]
+    readings = [(s, at(60 * rng.randrange(12)), rng.uniform(0, 9)) for s in talking for _ in range(5)]
+    r = spark.createDataFrame(readings, "station_id long, ts timestamp, value double")
+    s = spark.createDataFrame(sites, "station_id long, x double, y double")
+    least, tolerance, reach = {}, dt.timedelta(minutes=90), 500.0
+    for q, ts, v in readings:
+        least[q, ts] = min(v, least.get((q, ts), v))
+    expected = {}
+    for (q, ts), v in least.items():
+        found = []
+        for a in sites:
+            for b in sites:
+                if a[0] == q != b[0] and a[1] is not None and b[1] is not None and math.hypot(a[1] - b[1], a[2] - b[2]) <= reach:
+                    near = min(((abs(t - ts), t) for o, t in least if o == b[0]), default=(tolerance * 2, ts))
+                    if near[0] <= tolerance:
+                        found.append((math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2), b[0], least[b[0], near[1]]))
+        found = sorted(found)[:4]
+        if len(found) >= 2:
+            w = [1 / max(d, 1) ** 2 for d, _, _ in found]
+            expected[q, ts] = (sum(a * f[2] for a, f in zip(w, found)) / sum(w), v)
+    rows = stations.leave_one_out(r, s, tolerance_us=90 * 60_000_000, max_distance=reach, min_neighbours=2, max_neighbours=4).collect()
+    got = {(o.station_id, o.ts): (o.predicted, o.observed) for o in rows}
+    assert len(got) == len(rows) and got.keys() == expected.keys() and len({k[0] for k in got}) > 10
+    assert all(got[k] == pytest.approx(expected[k], rel=1e-12) for k in got)
+
+
+def test_intervals_are_not_broadcast(spark):
+    """Their rows are many more than estimates say; with scenes of its own for each station nothing is."""
+    r = spark.createDataFrame([(1, T0, 1.0), (2, T0, 2.0)], "station_id long, ts timestamp, value double")
+    known = quantiles.cut(stations.answers(r, 60_000_000))
+    plan = lambda times: stations.answered(known, times, 60_000_000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(r.select("station_id", F.col("ts").alias("scene")))
+    assert "BuildRight" in plan(r.select(F.col("ts").alias("scene")))
+
+
+def test_sites_of_a_place_are_listed_once(spark):
+    """Rows are k a place, however many stations share it: 2000 of them here, 4 million pairs."""
+    sites = spark.range(2000).select(F.col("id").alias("other"), (F.col("id") % 2 * 3.0).alias("sx"), F.lit(0.0).alias("sy"))
+    lists = stations.near_lists(sites.selectExpr("sx AS px", "sy AS py").distinct(), sites, 5, 10.0).collect()
+    assert {(o.px, tuple((e.other, e.d) for e in o.near)) for o in lists} == {(3.0 * b, tuple((2 * i + b, 0.0) for i in range(5))) for b in (0, 1)}
+    assert not any(o.whole for o in lists)
+
+
 def test_tiles_do_not_show(spark, monkeypatch):
     """Windows and lags across tile borders are those of one large tile."""
     rng = np.random.default_rng(11)
