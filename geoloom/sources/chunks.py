@@ -12,17 +12,17 @@ from __future__ import annotations
 import datetime as dt
 import json
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..grid import Grid
+from ..operators.spatial import apart
 from .sinks import safe_attributes
 from .stores import get, open_store, put, qualified
 
@@ -33,6 +33,10 @@ MICROSECOND = dt.timedelta(microseconds=1)
 #: Spark types that arrays hold, with the array's type and what stands for a missing value: no value of a narrower type.
 LEAST = -(1 << 63)
 KINDS = {"double": ("<f8", "NaN"), "float": ("<f4", "NaN"), "boolean": ("|i1", -1), "tinyint": ("<i2", -(1 << 15)), "smallint": ("<i4", -(1 << 31)), "int": ("<i8", LEAST), "bigint": ("<i8", LEAST)}
+#: Up to so many chunks a partition each is read; of more, a partition reads several, of so many cells and files at most.
+PARTS, PART_CELLS, PART_FILES = 256, 1 << 20, 4096
+#: Cells that are made rows at once.
+BATCH = 1 << 16
 
 
 def kinds_of(fs, root: str, types: dict[str, str]) -> dict[str, tuple]:
@@ -116,17 +120,30 @@ def write_chunks(cube: DataFrame, path: str, grid: Grid, values: Sequence[str] |
     kinds = kinds_of(fs, root, {v: types[v] for v in values})
     keyed = rows.join(F.broadcast(place), "_micros").select("_t", F.expr(f"iy div {chunk}").cast("int").alias("_cy"), F.expr(f"ix div {chunk}").cast("int").alias("_cx"), "iy", "ix", *(filled(v, *kinds[v]) for v in values))
 
-    def write(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of their chunks; one chunk is held, which may go on in the next batch."""
         store, at = open_store(uri)
-        t, cy, cx = (int(k) for k in key)
-        iy, ix = cells.iy.to_numpy() - cy * chunk, cells.ix.to_numpy() - cx * chunk
-        for v, (dtype, fill) in kinds.items():
-            block = np.full((chunk, chunk), float(fill) if "f" in dtype else fill, dtype)
-            block[iy, ix] = cells[v].to_numpy()
-            put(store, f"{at}/{v}/{t}.{cy}.{cx}", encoded(block))
-        return pd.DataFrame({"n": [len(cells)]})
-
-    keyed.groupBy("_t", "_cy", "_cx").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+        here, blocks = None, {}
+
+        def close() -> None:
+            for v, block in blocks.items():
+                put(store, f"{at}/{v}/{'.'.join(map(str, here))}", encoded(block))
+
+        for batch in batches:
+            t, cy, cx, iy, ix = (batch.column(c).to_numpy() for c in ("_t", "_cy", "_cx", "iy", "ix"))
+            cells = {v: batch.column(v).to_numpy() for v in kinds}
+            starts = np.flatnonzero((np.diff(t) != 0) | (np.diff(cy) != 0) | (np.diff(cx) != 0)) + 1
+            for lo, hi in zip([0, *starts], [*starts, len(t)]) if len(t) else ():
+                if here != (key := (int(t[lo]), int(cy[lo]), int(cx[lo]))):
+                    close()
+                    here, blocks = key, {v: np.full((chunk, chunk), float(fill) if "f" in dtype else fill, dtype) for v, (dtype, fill) in kinds.items()}
+                for v, block in blocks.items():
+                    block[iy[lo:hi] - key[1] * chunk, ix[lo:hi] - key[2] * chunk] = cells[v][lo:hi]
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(t)], pa.int64())})
+        close()
+
+    by = ["_t", "_cy", "_cx"]
+    apart(keyed, *by).sortWithinPartitions(*by).mapInArrow(write, "n long").agg(F.sum("n")).collect()
     every = np.append(had, new)
     put(fs, f"{root}/.zgroup", b'{"zarr_format": 2}')
     coordinates = {"y": grid.top - (np.arange(grid.height) + 0.5) * grid.resolution, "x": grid.left + (np.arange(grid.width) + 0.5) * grid.resolution}
@@ -148,10 +165,14 @@ def write_chunks(cube: DataFrame, path: str, grid: Grid, values: Sequence[str] |
 
 @dataclass
 class Chunk(InputPartition):
+    """The chunk (t, cy, cx) of a scene and, of those wanted, the n - 1 after it, which may go on in the scenes (t, micros) of `more`."""
+
     t: int
     micros: int
     cy: int
     cx: int
+    n: int = 1
+    more: tuple[tuple[int, int], ...] = ()
 
 
 class ChunkSource(DataSource):
@@ -181,7 +202,7 @@ class ChunkSource(DataSource):
 
 
 class ChunkReader(DataSourceReader):
-    """Plans the chunks that filters on scene, iy and ix leave; a chunk is a partition."""
+    """Plans the chunks that filters on scene, iy and ix leave; a partition is a chunk, or a run of them if there are many."""
 
     def __init__(self, path: str, known: dict):
         self.path, self.known = path, known
@@ -196,37 +217,78 @@ class ChunkReader(DataSourceReader):
             return False
         return column not in self.listed or any(first <= v <= last for v in self.listed[column])
 
-    def partitions(self) -> list[Chunk]:
-        fs, root = open_store(self.path)
+    def sides(self, fs, root: str) -> tuple[list[int], list[int]]:
+        """Rows and columns of the wanted chunks."""
         side = self.known["chunk"]
         _, height, width = json.loads(get(fs, f"{root}/{next(iter(self.known['variables']))}/.zarray"))["shape"]
         rows, columns = ([k for k in range(-(-n // side)) if self.wanted(c, k * side, (k + 1) * side - 1)] for c, n in (("iy", height), ("ix", width)))
-        return [Chunk(t, int(m), cy, cx) for t, m in enumerate(times_of(fs, root)) if self.wanted("scene", int(m), int(m)) for cy in rows for cx in columns] or [Chunk(-1, 0, 0, 0)]
+        return rows, columns
+
+    def partitions(self) -> list[Chunk]:
+        fs, root = open_store(self.path)
+        rows, columns = self.sides(fs, root)
+        scenes = [(t, int(m)) for t, m in enumerate(times_of(fs, root)) if self.wanted("scene", int(m), int(m))]
+        each = len(rows) * len(columns)
+        total = each * len(scenes)
+        run = max(1, min(-(-total // PARTS), PART_CELLS // self.known["chunk"] ** 2, PART_FILES))
+        out = []
+        for first in range(0, total, run):
+            n = min(run, total - first)
+            within = scenes[first // each : (first + n - 1) // each + 1]
+            out.append(Chunk(*within[0], rows[first % each // len(columns)], columns[first % len(columns)], n, tuple(within[1:])))
+        return out or [Chunk(-1, 0, 0, 0)]
+
+    def chunks_of(self, fs, root: str, part: Chunk) -> Iterator[tuple[int, int, int, int]]:
+        """t, micros, cy and cx of a partition's chunks."""
+        if part.n == 1:
+            yield part.t, part.micros, part.cy, part.cx
+            return
+        rows, columns = self.sides(fs, root)
+        each, scenes = len(rows) * len(columns), [(part.t, part.micros), *part.more]
+        first = rows.index(part.cy) * len(columns) + columns.index(part.cx)
+        for k in range(first, first + part.n):
+            yield *scenes[k // each], rows[k % each // len(columns)], columns[k % len(columns)]
 
     def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
         if part.t < 0:
             return
         fs, root = open_store(self.path)
         side, kinds, stored = self.known["chunk"], self.known["variables"], self.known["arrays"]
-        arrays = {}
-        for v in kinds:
-            raw = get(fs, f"{root}/{v}/{part.t}.{part.cy}.{part.cx}")
-            if raw is None:
-                return  # a chunk without a cell
-            arrays[v] = np.frombuffer(zlib.decompress(raw), stored[v][0]).reshape(side, side)
-        there = np.zeros((side, side), bool)
+        held: list[tuple[int, int, int, list[np.ndarray]]] = []
+        for t, micros, cy, cx in self.chunks_of(fs, root, part):
+            raw = []
+            for v in kinds:
+                raw.append(get(fs, f"{root}/{v}/{t}.{cy}.{cx}"))
+                if raw[-1] is None:
+                    break  # a chunk without a cell
+            else:
+                held.append((micros, cy, cx, [np.frombuffer(zlib.decompress(r), stored[v][0]).reshape(side, side) for v, r in zip(kinds, raw)]))
+            if len(held) * side * side >= BATCH:
+                yield self.rows_of(held)
+                held = []
+        if held:
+            yield self.rows_of(held)
+
+    def rows_of(self, held: list[tuple[int, int, int, list[np.ndarray]]]) -> pa.RecordBatch:
+        """The cells of some chunks (micros, cy, cx, an array a variable) that have a value."""
+        side, kinds, stored = self.known["chunk"], self.known["variables"], self.known["arrays"]
+        arrays = {v: np.stack([h[3][k] for h in held]) for k, v in enumerate(kinds)}
+        there = np.zeros((len(held), side, side), bool)
         for v in kinds:
             there |= ~missing(arrays[v], stored[v][1])
-        iy, ix = np.nonzero(there)
-        scene = EPOCH + part.micros * MICROSECOND
-        fixed = {"timestamp": pa.timestamp("us", "UTC"), "timestamp_ntz": pa.timestamp("us"), "date": pa.date32()}[self.known["scene"]]
-        columns = [pa.array([scene] * len(iy), fixed) if self.known["scene"] != "date" else pa.array([scene.date()] * len(iy), fixed), pa.array((iy + part.cy * side).astype(np.int32)), pa.array((ix + part.cx * side).astype(np.int32))]
+        which, iy, ix = np.nonzero(there)
+        micros, cy, cx = (np.array([h[k] for h in held], np.int64)[which] for k in range(3))
+        if self.known["scene"] == "date":
+            scene = pa.array((micros // 86_400_000_000).astype(np.int32)).cast(pa.date32())
+        else:
+            scene = pa.array(micros).cast(pa.timestamp("us", "UTC") if self.known["scene"] == "timestamp" else pa.timestamp("us"))
+        columns = [scene, pa.array((iy + cy * side).astype(np.int32)), pa.array((ix + cx * side).astype(np.int32))]
         to = {"double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "tinyint": pa.int8()}
         for v, kind in kinds.items():
-            own = arrays[v][iy, ix]
+            own = arrays[v][which, iy, ix]
             absent = missing(own, stored[v][1])
             columns.append(pa.array(np.where(absent, own.dtype.type(0), own), mask=absent).cast(to[kind]))
-        yield pa.RecordBatch.from_arrays(columns, ["scene", "iy", "ix", *kinds])
+        return pa.RecordBatch.from_arrays(columns, ["scene", "iy", "ix", *kinds])
 
 
 class FilteredReader(ChunkReader):

@@ -93,6 +93,25 @@ def test_filters_drop_chunks(spark, tmp_path):
         spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
 
 
+def test_many_chunks_share_partitions(spark, tmp_path, monkeypatch):
+    """3 scenes of 23 * 37 chunks of a cell: runs of chunks that end within rows and scenes."""
+    path = f"file://{tmp_path}/store"
+    days = cube(spark, [1, 2, 3]).select("scene", "iy", "ix", "lst", "flags")
+    chunks.write_chunks(days, path, GRID, chunk=1)
+    reader = chunks.FilteredReader(path, chunks.ChunkSource({"path": path}).about())
+    assert len(reader.partitions()) <= chunks.PARTS and sum(p.n for p in reader.partitions()) == 3 * 23 * 37
+    back = chunks.read_chunks(spark, path)
+    assert back.rdd.getNumPartitions() <= chunks.PARTS
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, days.collect()), key=str)
+    from pyspark.sql.datasource import GreaterThan, In
+
+    monkeypatch.setattr(chunks, "PARTS", 7)
+    list(reader.pushFilters([GreaterThan(("iy",), 4), In(("ix",), (1, 5, 30, 36)), In(("scene",), (DAY(2024, 1, 1, 5, 6, 7, 891), DAY(2024, 1, 3, 5, 6, 7, 891)))]))
+    assert len(reader.partitions()) == 7
+    found = [c for p in reader.partitions() for c in reader.chunks_of(*stores.open_store(path), p)]
+    assert [(t, cy, cx) for t, _, cy, cx in found] == [(t, i, j) for t in (0, 2) for i in range(5, 23) for j in (1, 5, 30, 36)]
+
+
 def test_two_writers_one_table(spark, tmp_path):
     folder, made, results = f"file://{tmp_path}/cache", [], []
     gate = threading.Barrier(2)
