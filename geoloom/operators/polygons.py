@@ -94,21 +94,24 @@ def union_share(footprints: DataFrame, key: str, area: Sequence[Ring], *, footpr
     of all ends and crossings of a key's edges, the area's among them, cut it into
     slabs in which no two edges cross. There the edges, in order, say how many
     footprints lie under each stretch; its area is its middle width times its height.
-    Windows hold the edges of one slab.
+    Lines that several footprints share are crossed once. Edges are many more in their
+    slabs than before, so slabs are dealt out anew, and windows hold the edges of one.
     """
     spark = footprints.sparkSession
     keys = footprints.select(key).distinct()
-    own = footprints.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select(F.col(key).alias("_key"), F.col(footprint).cast("string").alias("_f"), *(F.col(c).cast("double").alias(c) for c in ENDS))
+    own = footprints.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select(F.col(key).alias("_key"), F.dense_rank().over(Window.partitionBy(key).orderBy(F.col(footprint).cast("string"))).alias("_f"), *(F.col(c).cast("double").alias(c) for c in ENDS))
     frame = edges_of(spark, [area]).select(*ENDS)
     present = own.select("_key").distinct()
-    edges = own.unionByName(present.crossJoin(F.broadcast(frame)).withColumn("_f", F.lit(None).cast("string")))  # the area is a parameter
+    edges = own.unionByName(present.crossJoin(F.broadcast(frame)).withColumn("_f", F.lit(None).cast("int")))  # the area is a parameter
     edges = edges.where("y1 <> y2").withColumns({"_lo": F.least("y1", "y2"), "_hi": F.greatest("y1", "y2"), "_slope": (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))}).withColumn("_x0", F.col("x1") - F.col("_slope") * F.col("y1"))
-    other = edges.select("_key", F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"), F.col("_slope").alias("_slope2"), F.col("_x0").alias("_x02"))
-    crossing = edges.join(other, "_key").where("_slope < _slope2 and _lo < _hi2 and _lo2 < _hi").select("_key", ((F.col("_x02") - F.col("_x0")) / (F.col("_slope") - F.col("_slope2"))).alias("_y"), "_lo", "_hi", "_lo2", "_hi2")
+    lines = edges.select("_key", "_lo", "_hi", "_slope", "_x0").distinct()
+    other = lines.select("_key", F.col("_lo").alias("_lo2"), F.col("_hi").alias("_hi2"), F.col("_slope").alias("_slope2"), F.col("_x0").alias("_x02"))
+    crossing = lines.join(other, "_key").where("_slope < _slope2 and _lo < _hi2 and _lo2 < _hi").select("_key", ((F.col("_x02") - F.col("_x0")) / (F.col("_slope") - F.col("_slope2"))).alias("_y"), "_lo", "_hi", "_lo2", "_hi2")
     crossing = crossing.where("_y > greatest(_lo, _lo2) and _y < least(_hi, _hi2)").select("_key", "_y")
     heights = edges.select("_key", F.explode(F.array("_lo", "_hi")).alias("_y")).unionByName(crossing).distinct()
     slabs = heights.withColumn("_y1", F.lead("_y").over(Window.partitionBy("_key").orderBy("_y"))).where("_y1 is not null")
-    parts = slabs.join(edges, "_key").where("_lo <= _y and _hi >= _y1").withColumn("_x", F.col("_x0") + F.col("_slope") * (F.col("_y") + F.col("_y1")) / 2)
+    parts = slabs.join(edges.select("_key", "_f", "_lo", "_hi", "_slope", "_x0"), "_key").where("_lo <= _y and _hi >= _y1").select("_key", "_y", "_f", (F.col("_y1") - F.col("_y")).alias("_h"), (F.col("_x0") + F.col("_slope") * (F.col("_y") + F.col("_y1")) / 2).alias("_x"))
+    parts = parts.repartition("_key", "_y")
     slab = Window.partitionBy("_key", "_y")
     entering = F.when(F.row_number().over(Window.partitionBy("_key", "_y", "_f").orderBy("_x")) % 2 == 1, 1).otherwise(-1)
     along = slab.orderBy("_x", F.col("_f").asc_nulls_first())
@@ -116,7 +119,7 @@ def union_share(footprints: DataFrame, key: str, area: Sequence[Ring], *, footpr
     under = parts.withColumns({
         "_in": F.sum(F.when(F.col("_f").isNull(), F.col("_d")).otherwise(0)).over(along),
         "_n": F.sum(F.when(F.col("_f").isNotNull(), F.col("_d")).otherwise(0)).over(along),
-        "_w": (F.lead("_x").over(along) - F.col("_x")) * (F.col("_y1") - F.col("_y")),
+        "_w": (F.lead("_x").over(along) - F.col("_x")) * F.col("_h"),
     }).where("_in > 0")
     shares = under.groupBy(F.col("_key").alias(key)).agg(F.round(F.least(F.lit(1.0), F.sum(F.when(F.col("_n") > 0, F.col("_w")).otherwise(0.0)) / F.sum("_w")), digits).alias("coverage"))
     return keys.join(shares, keys[key].eqNullSafe(shares[key]), "left").select(keys[key], "coverage")

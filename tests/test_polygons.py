@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -114,6 +115,16 @@ def test_union_of_rotated_quadrilaterals(spark):
     assert exact.coverage == pytest.approx(28 / 64, abs=1e-12)
 
 
+def test_slabs_are_dealt_out(spark):
+    """A key's slabs are tasks of their own size, lines that footprints share are crossed once, a footprint without a name is one."""
+    rings = [(f"long name {f}" if f else None, [(0, 0), (4, 1), (5, 5), (1, 4)]) for f in range(40)] + [("other", [(4, 0), (8, 0), (8, 3), (4, 3)])]
+    rows = [(1, f, *map(float, (*a, *b))) for f, ring in rings for a, b in zip(ring, [*ring[1:], ring[0]])]
+    out = polygons.union_share(spark.createDataFrame(rows, "key int, zone string, x1 double, y1 double, x2 double, y2 double"), "key", [[(0, 0), (8, 0), (8, 8), (0, 8)]], digits=9)
+    # in common: above y = 0 and left of the line from (4, 1) to (5, 5), up to y = 3
+    assert out.first().coverage == pytest.approx((15 + 12 - 0.5) / 64, abs=1e-9)
+    assert re.search(r"hashpartitioning\(_key#\d+, _y#\d+, \d+\), REPARTITION_BY_COL", out._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("few", [3, 20_000])
 def test_percentiles_equal_numpy(spark, monkeypatch, few):
     monkeypatch.setattr(quantiles, "FEW", few)  # 3: many rounds
